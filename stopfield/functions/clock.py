@@ -43,7 +43,7 @@ def spans(value: Column) -> Column:
     return F.transform(found, parse)
 
 
-def in_peak(start: Column, end: Column, peaks=((7 * 3600, 9 * 3600), (17 * 3600, 19 * 3600))) -> Column:
+def in_peak(start: Column, end: Column, peaks=((7 * 3600, 9 * 3600), (16.5 * 3600, 19 * 3600))) -> Column:
     """Whether the middle of a window lies in one of the peaks."""
     middle = (start + end) / 2
     out = F.lit(False)

@@ -48,7 +48,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def is_subsequence(short: Column, long: Column) -> Column:
     """Whether the letters of ``short`` occur in ``long`` in order."""
     pattern = F.concat(F.lit("^.*"), F.regexp_replace(F.regexp_replace(short, "[^a-z0-9]", ""), "(.)", "$1.*"))
-    return long.rlike(pattern)
+    return F.regexp_like(long, pattern)
 
 
 def acronym(words: Column) -> Column:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from stopfield.queries.registry import ORACLES, QUERIES
+import importlib
+import pkgutil
+
+from stopfield.queries.registry import ORACLES, QUERIES, ROWS
+
+__all__ = ["ORACLES", "QUERIES", "ROWS", "load_all"]
 
 
 def load_all() -> None:
-    from stopfield.queries import q_windows_sets  # noqa: F401
+    for module in pkgutil.iter_modules(__path__):
+        if module.name.startswith("q_"):
+            importlib.import_module(f"{__name__}.{module.name}")
