@@ -106,6 +106,15 @@ def ln_gamma(x: Column) -> Column:
     return lifted - steps
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, whatever the number of its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _fields(**columns: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
 def beta_fraction(a: Column, b: Column, x: Column, rounds: int = 200) -> Column:
     """Continued fraction of the incomplete beta function by the modified Lentz recurrence, as one fold over a fixed sequence."""
     tiny = F.lit(1e-300)
@@ -113,36 +122,65 @@ def beta_fraction(a: Column, b: Column, x: Column, rounds: int = 200) -> Column:
     def guard(v):
         return F.when(F.abs(v) < tiny, tiny).otherwise(v)
 
-    def pair(c, d, f, term):
-        d2 = F.lit(1.0) / guard(1 + term * d)
-        c2 = guard(1 + term / c)
-        return c2, d2, f * c2 * d2
+    def half(acc, term):
+        ready = _fields(c=guard(1 + term / acc["c"]), d=1 / guard(1 + term * acc["d"]), f=acc["f"])
+        return let(ready, lambda h: _fields(c=h["c"], d=h["d"], f=h["f"] * h["c"] * h["d"]))
 
-    def step(acc, m):
-        m = m.cast("double")
+    def step(acc, i):
+        m = i.cast("double")
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        half = F.struct(*[v.alias(n) for v, n in zip(pair(acc["c"], acc["d"], acc["f"], even), "cdf")])
-        # a one-element array names the half step, so its expression is not copied into every use
-        return F.element_at(
-            F.transform(F.array(half), lambda h: F.struct(*[v.alias(n) for v, n in zip(pair(h["c"], h["d"], h["f"], odd), "cdf")])), 1
-        )
-
-    d0 = F.lit(1.0) / guard(1 - (a + b) * x / (a + 1))
-    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("f"))
+        return let(half(acc, even), lambda h: half(h, odd))
+
+    start = let(1 / guard(1 - (a + b) * x / (a + 1)), lambda d: _fields(c=F.lit(1.0), d=d, f=d))
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: acc["f"])
 
 
+def _beta_tail(t: Column, dof: Column) -> Column:
+    a, x = dof / 2, dof / (dof + t * t)
+    mirrored = x >= (a + 1) / (a + 2.5)
+    half = F.lit(0.5)
+    chosen = _fields(
+        swap=mirrored, a=F.when(mirrored, half).otherwise(a), b=F.when(mirrored, a).otherwise(half), x=F.when(mirrored, 1 - x).otherwise(x)
+    )
+
+    def value(s):
+        a_, b_, x_ = s["a"], s["b"], s["x"]
+        front = F.exp(ln_gamma(a_ + b_) - ln_gamma(a_) - ln_gamma(b_) + a_ * F.ln(x_) + b_ * F.ln(1 - x_))
+        part = front * beta_fraction(a_, b_, x_) / a_
+        return F.when(s["swap"], 1 - part).otherwise(part)
+
+    return let(chosen, value)
+
+
+# Polynomial of the complementary error function (fractional error below 1.2e-7).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_two_sided(z: Column) -> Column:
+    u = F.abs(z) / math.sqrt(2)
+
+    def value(k):
+        poly = F.lit(ERFC[-1])
+        for coefficient in reversed(ERFC[:-1]):
+            poly = poly * k + F.lit(coefficient)
+        return k * F.exp(-u * u + poly)
+
+    return let(1 / (1 + u / 2), value)
+
+
+LARGE_DOF = 5000
+
+
 def t_two_sided(t: Column, dof: Column) -> Column:
-    """Two-sided p-value of Student's t, for the few rows of a result table."""
-    a, b = dof / 2, F.lit(0.5)
-    x = dof / (dof + t * t)
-    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
-    direct = front * beta_fraction(a, b, x) / a
-    mirrored = 1 - front * beta_fraction(b, a, 1 - x) / b
+    """Two-sided p-value of Student's t, for the few rows of a result table. Pass plain columns: they are used many times.
+
+    Beyond ``LARGE_DOF`` degrees of freedom t is first carried to its normal deviate.
+    """
+    deviate = F.sqrt((dof - 0.5) * F.log1p(t * t / dof)) * (1 - 0.75 / (dof * dof))
     return (
         F.when(t.isNull() | dof.isNull(), F.lit(None).cast("double"))
         .when(t == 0, F.lit(1.0))
-        .when(x < (a + 1) / (a + b + 2), direct)
-        .otherwise(mirrored)
+        .when(dof > LARGE_DOF, normal_two_sided(deviate))
+        .otherwise(_beta_tail(t, dof))
     )

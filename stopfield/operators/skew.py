@@ -138,26 +138,68 @@ def counts_below(df: DataFrame, by: Sequence[str], value: str, fineness: int = 1
     )
 
 
+def rank_within(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False, fineness: int = 1024) -> DataFrame:
+    """``rank()`` of every row within its group, missing values last, without putting a group in one task.
+
+    The rank of a value is 1 + the rows before it; it is found on the distinct values and joined back.
+    """
+    v = F.col(value).cast("double")
+    rows = df.withColumn("_k", F.when(~F.isnan(v), -v if descending else v))
+    known = rows.filter(F.col("_k").isNotNull())
+    below = counts_below(known, by, "_k", fineness).select(*by, "_k", (F.col("below") + 1).alias(name))
+    keys = [*by, "_k"]
+    placed = salted_join(known, below, keys, "inner").drop("_k")
+    sizes = df.groupBy(*by).agg(F.count_if(v.isNotNull() & ~F.isnan(v)).alias("_n"))
+    missing = rows.filter(F.col("_k").isNull()).drop("_k")
+    missing = salted_join(missing, sizes, by) if by else missing.crossJoin(F.broadcast(sizes))
+    return placed.unionByName(missing.withColumn(name, F.col("_n") + 1).drop("_n"))
+
+
 def running_sum(
-    df: DataFrame, groups: Sequence[str], order: str, ties: Sequence[str], weight: str, name: str, fineness: int = 64
+    df: DataFrame, groups: Sequence[str], order: str, tie: str, weight: str, name: str, fineness: int = 1024
 ) -> DataFrame:
-    """Running sum of ``weight`` over the whole table ordered by ``groups``, then ``order``, then ``ties``.
+    """Running sum of ``weight`` over the whole table ordered by ``groups``, then ``order``, then the md5 of the unique key ``tie``.
 
-    Three levels of offsets: group totals, bucket totals within a group, rows within a bucket; no task sorts more than one bucket.
+    Offsets are found level by level: groups, buckets of the order column, distinct values in a bucket, 256 slices of equal values. The only
+    rows ever sorted together are one slice of one value, so neither a hot group nor a hot value ends up in one task.
     """
-    rows = df.withColumn("_b", order_bucket(F.col(order), fineness))
-    buckets = rows.groupBy(*groups, "_b").agg(F.sum(weight).alias("_bw"))
+    rows = df.withColumn("_b", order_bucket(F.col(order).cast("double"), fineness)).withColumn(
+        "_s", F.substring(F.md5(F.col(tie).cast("string")), 1, 2)
+    )
+    value = [*groups, "_b", order]
+    slices = rows.groupBy(*value, "_s").agg(F.sum(weight).alias("_sw"))
+    values = slices.groupBy(*value).agg(F.sum("_sw").alias("_vw"))
+    buckets = values.groupBy(*groups, "_b").agg(F.sum("_vw").alias("_bw"))
     totals = buckets.groupBy(*groups).agg(F.sum("_bw").alias("_gw"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    # the group table has one row per distinct group tuple, so this window without a partition is over that short list only
-    totals = totals.withColumn("_goff", F.coalesce(F.sum("_gw").over(before(Window.orderBy(*groups))), F.lit(0.0))).drop("_gw")
-    buckets = buckets.withColumn(
-        "_boff", F.coalesce(F.sum("_bw").over(before(Window.partitionBy(*groups).orderBy("_b"))), F.lit(0.0))
-    ).drop("_bw")
-    offsets = buckets.join(totals, list(groups)).withColumn("_off", F.col("_goff") + F.col("_boff")).drop("_goff", "_boff")
-    inside = Window.partitionBy(*groups, "_b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+
+    def before(w, column):
+        return F.coalesce(F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+
+    # one row per distinct group tuple: the window without a partition runs over that short list only
+    totals = totals.select(*groups, before(Window.orderBy(*groups), "_gw").alias("_go"))
+    buckets = buckets.select(*groups, "_b", before(Window.partitionBy(*groups).orderBy("_b"), "_bw").alias("_bo"))
+    values = values.select(*value, before(Window.partitionBy(*groups, "_b").orderBy(order), "_vw").alias("_vo"))
+    slices = slices.select(*value, "_s", before(Window.partitionBy(*value).orderBy("_s"), "_sw").alias("_so"))
+    upper = (buckets.join(totals, list(groups)) if groups else buckets.crossJoin(F.broadcast(totals))).select(
+        *groups, "_b", (F.col("_go") + F.col("_bo")).alias("_o1")
+    )
+    offsets = slices.join(values, value).join(upper, [*groups, "_b"]).select(
+        *value, "_s", (F.col("_o1") + F.col("_vo") + F.col("_so")).alias("_o")
+    )
+    inside = Window.partitionBy(*value, "_s").orderBy(F.md5(F.col(tie).cast("string"))).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(offsets, [*groups, "_b"])
-        .withColumn(name, F.col("_off") + F.sum(weight).over(inside))
-        .drop("_b", "_off")
+        rows.join(offsets, [*value, "_s"]).withColumn(name, F.col("_o") + F.sum(weight).over(inside)).select(*df.columns, name)
     )
+
+
+def global_ids(df: DataFrame, group: str, key: str, name: str, slices: int = 4096) -> DataFrame:
+    """Running ids 0, 1, 2, ... over the whole table, group after group, within a group by the md5 slice and value of ``key``."""
+    digits = 3 if slices > 256 else 2
+    rows = df.withColumn("_s", F.substring(F.md5(F.col(key).cast("string")), 1, digits))
+    sizes = rows.groupBy(group, "_s").agg(F.count("*").alias("_n"))
+    totals = sizes.groupBy(group).agg(F.sum("_n").alias("_gn"))
+    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(group, ahead(Window.orderBy(group), "_gn").alias("_go"))
+    offsets = sizes.select(group, "_s", ahead(Window.partitionBy(group).orderBy("_s"), "_n").alias("_so")).join(totals, group)
+    place = F.row_number().over(Window.partitionBy(group, "_s").orderBy(key)) - 1
+    return rows.join(offsets, [group, "_s"]).withColumn(name, F.col("_go") + F.col("_so") + place).select(*df.columns, name)

@@ -62,13 +62,13 @@ def regression(df: DataFrame, by: Sequence[str], x: str, y: str, weight: str | N
     residual = F.greatest(F.col("_syy") - explained, F.lit(0.0))
     dof = F.greatest(F.col("n") - 2, F.lit(1)).cast("double")
     error = F.sqrt(residual / dof / positive(F.col("_sxx")))
-    t = slope / positive(error)
+    joined = joined.withColumn("_t", slope / positive(error)).withColumn("_dof", dof)
     return joined.select(
         *by,
         slope.alias("slope"),
         (F.col("_my") - slope * F.col("_mx")).alias("intercept"),
         F.when(fit, 1 - residual / positive(F.col("_syy"))).alias("r2"),
-        t_two_sided(t, dof).alias("p_value"),
+        t_two_sided(F.col("_t"), F.col("_dof")).alias("p_value"),
         F.col("n"),
     )
 
@@ -106,14 +106,15 @@ def median_split(df: DataFrame, by: Sequence[str], split: str, score: str, weigh
     spread = F.when(testable, positive(a + b))
     t = (F.col("_low_avg") - F.col("_high_avg")) / F.sqrt(spread)
     dof = spread * spread / (a * a / (F.col("low_n") - 1) + b * b / (F.col("high_n") - 1))
+    sums = sums.withColumn("_t", t).withColumn("_dof", dof)
     out = [
         F.when(big, F.col("median")).alias("median"),
         F.when(big, F.col("low_mean")).alias("low_mean"),
         F.when(big, F.col("high_mean")).alias("high_mean"),
         F.when(big, F.col("low_n")).otherwise(0).alias("low_n"),
         F.when(big, F.col("high_n")).otherwise(0).alias("high_n"),
-        t.alias("t_statistic"),
-        t_two_sided(t, dof).alias("p_value"),
+        F.col("_t").alias("t_statistic"),
+        t_two_sided(F.col("_t"), F.col("_dof")).alias("p_value"),
     ]
     if weight is not None:
         out.append(F.when(big, F.col("high_mean") - F.col("low_mean")).alias("diff"))
