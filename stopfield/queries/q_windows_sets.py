@@ -45,7 +45,7 @@ def _(t):
     SELECT o_custkey, arg_min(o_orderkey, row(o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY 1""")
 def _(t):
     first = Wn.keep_first(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("first_order"))
-    last = Wn.keep_first(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [-F.unix_seconds("o_orderdate"), -F.col("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("last_order"))
+    last = Wn.keep_first(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [-F.unix_date(F.to_date("o_orderdate")), -F.col("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("last_order"))
     return first.join(last, "o_custkey")
 
 
@@ -58,9 +58,9 @@ def _(t):
 
 
 @query("running_weight_by_group", "W5 W9", """
-    SELECT id, round(sum(jobs) OVER (ORDER BY state, county, income, md5(id::VARCHAR) ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM v_unit""")
+    SELECT id, round(sum(jobs) OVER (ORDER BY state, county, income, md5(id::VARCHAR) ROWS UNBOUNDED PRECEDING), 5) AS cumulative FROM v_unit""")
 def _(t):
-    return running_sum(t.unit, ["state", "county"], "income", "id", "jobs", "cumulative").select("id", r(F.col("cumulative"), 4).alias("cumulative"))
+    return running_sum(t.unit, ["state", "county"], "income", "id", "jobs", "cumulative").select("id", r(F.col("cumulative"), 5).alias("cumulative"))
 
 
 @query("random_rows_per_unit", "W10", """

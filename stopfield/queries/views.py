@@ -161,6 +161,51 @@ class Tables:
             F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1)).alias("ring"),
         )
 
+    @cached_property
+    def trip(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        return self.read("orders").select(
+            k.alias("trip"), (F.col("o_custkey") % 8).alias("feed"), (F.col("o_custkey") % 60).alias("route"), (k % 25).alias("service"),
+            (k % 2).alias("direction"),
+        )
+
+    @cached_property
+    def stop_time(self) -> DataFrame:
+        """Calls of trips: stop and second of departure; several lines of one order at the same number count once."""
+        one = self.read("lineitem").groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("seq")).agg(
+            F.min("l_suppkey").alias("stop"), F.min("l_quantity").cast("int").alias("wait")
+        )
+        return one.select("trip", "seq", "stop", (F.col("trip") * 37 % 72000 + F.col("seq") * 300 + F.col("wait") * 5).cast("int").alias("sec"))
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        """One service per nation: weekday flags and a date range around January 2024."""
+        k = F.col("n_nationkey")
+        bits = (k * 37 + 31) % 128
+        flag = lambda i, n: F.shiftright(bits, i).bitwiseAND(F.lit(1)).alias(n)
+        names = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+        start = F.date_add(F.lit("2024-01-01").cast("date"), (k % 6).cast("int"))
+        return self.read("nation").select(
+            k.cast("long").alias("service"), *[flag(i, n) for i, n in enumerate(names)], start.alias("start_date"),
+            F.date_add(start, (F.lit(14) + k % 11).cast("int")).alias("end_date"),
+        )
+
+    @cached_property
+    def exception(self) -> DataFrame:
+        """Calendar exceptions: 1 adds a service on a date, 2 removes it."""
+        e = self.read("events").filter("event_type in ('purchase', 'error') and user_id % 6 = 0")
+        return e.groupBy((F.col("user_id") % 25).alias("service"), F.to_date("ts").alias("date")).agg(
+            F.min(F.when(F.col("event_type") == "purchase", 1).otherwise(2)).alias("exception_type")
+        )
+
+    @cached_property
+    def frequency(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        start = k % 18 * 3600
+        return self.read("orders").filter("o_orderkey % 3 = 0").select(
+            k.alias("trip"), start.alias("start"), (start + (k % 4 + 1) * 1800).alias("end"), (F.lit(300) + k % 12 * 75).alias("headway")
+        )
+
     @cached_property
     def edge(self) -> DataFrame:
         """Street edges: from every order's customer position eastwards, up to a quarter of a degree long, with a level of service."""
@@ -263,6 +308,29 @@ SQL_VIEWS: dict[str, str] = {
     "v_area": """
         SELECT n_nationkey AS area, n_name AS name, x-1.0::DOUBLE AS west, y-1.0::DOUBLE AS south, x+1.0::DOUBLE AS east, y+1.0::DOUBLE AS north
         FROM (SELECT *, (-99.0 + (n_nationkey*37)%18)::DOUBLE AS x, (31.0 + (n_nationkey*53)%13)::DOUBLE AS y FROM nation)""",
+    "v_trip": """
+        SELECT o_orderkey AS trip, o_custkey%8 AS feed, o_custkey%60 AS route, o_orderkey%25 AS service, o_orderkey%2 AS direction FROM orders""",
+    "v_stop_time": """
+        SELECT trip, seq, stop, ((trip*37)%72000 + seq*300 + wait*5)::INT AS sec FROM (
+          SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_suppkey) AS stop, min(l_quantity)::INT AS wait FROM lineitem GROUP BY 1,2)""",
+    "v_calendar": """
+        SELECT n_nationkey::BIGINT AS service, b&1 AS monday, (b>>1)&1 AS tuesday, (b>>2)&1 AS wednesday, (b>>3)&1 AS thursday, (b>>4)&1 AS friday, (b>>5)&1 AS saturday, (b>>6)&1 AS sunday,
+               DATE '2024-01-01' + n_nationkey%6 AS start_date, DATE '2024-01-01' + n_nationkey%6 + 14 + n_nationkey%11 AS end_date
+        FROM (SELECT *, (n_nationkey*37+31)%128 AS b FROM nation)""",
+    "v_exception": """
+        SELECT user_id%25 AS service, ts::DATE AS date, min(CASE WHEN event_type='purchase' THEN 1 ELSE 2 END) AS exception_type
+        FROM events WHERE event_type IN ('purchase','error') AND user_id%6=0 GROUP BY 1,2""",
+    "v_frequency": """
+        SELECT o_orderkey AS trip, o_orderkey%18*3600 AS start, o_orderkey%18*3600 + (o_orderkey%4+1)*1800 AS "end", 300 + o_orderkey%12*75 AS headway
+        FROM orders WHERE o_orderkey%3=0""",
+    "v_active": """
+        SELECT service, date FROM (
+          SELECT service, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY))::DATE AS date, monday, tuesday, wednesday, thursday, friday, saturday, sunday FROM v_calendar)
+        WHERE CASE isodow(date) WHEN 1 THEN monday WHEN 2 THEN tuesday WHEN 3 THEN wednesday WHEN 4 THEN thursday WHEN 5 THEN friday WHEN 6 THEN saturday ELSE sunday END = 1
+        UNION SELECT service, date FROM v_exception WHERE exception_type = 1
+        EXCEPT SELECT service, date FROM v_exception WHERE exception_type = 2""",
+    "v_day_count": """
+        SELECT feed, date, sum(n)::BIGINT AS trips FROM v_active JOIN (SELECT feed, service, count(*) AS n FROM v_trip GROUP BY 1,2) USING (service) GROUP BY 1,2""",
     "v_edge": """
         SELECT o_orderkey AS edge, x0 AS x1, y0 AS y1, x0 + (o_orderkey%9+1)::DOUBLE/36.0 AS x2, y0 + (o_orderkey%5)::DOUBLE/36.0 AS y2,
                ((o_orderkey*31)%101)::DOUBLE AS los
