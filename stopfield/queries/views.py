@@ -206,6 +206,21 @@ class Tables:
             k.alias("trip"), start.alias("start"), (start + (k % 4 + 1) * 1800).alias("end"), (F.lit(300) + k % 12 * 75).alias("headway")
         )
 
+    @cached_property
+    def item(self) -> DataFrame:
+        """Walks from a cell (a home place) to a station, in metres, with the cell's residents and unit."""
+        u = self.unit.select(F.col("id").alias("cell"), "county", "population", "jobs")
+        return self.flow.join(u, F.col("h") == F.col("cell")).select(
+            "cell", "county", "population", "jobs", F.col("w").alias("station"), ((F.col("h") * 13 + F.col("w") * 7) % 2500).cast("double").alias("dist")
+        )
+
+    @cached_property
+    def pattern(self) -> DataFrame:
+        """All service patterns of a station with headway (min) and speed (km/h)."""
+        return self.route_service.join(self.station.select("station", "mode"), "station").select(
+            "station", "route", "direction", "mode", F.col("headway").alias("h"), (F.col("distance") / 1000 / (F.col("time") / 3600)).alias("v")
+        )
+
     @cached_property
     def edge(self) -> DataFrame:
         """Street edges: from every order's customer position eastwards, up to a quarter of a degree long, with a level of service."""
@@ -331,6 +346,19 @@ SQL_VIEWS: dict[str, str] = {
         EXCEPT SELECT service, date FROM v_exception WHERE exception_type = 2""",
     "v_day_count": """
         SELECT feed, date, sum(n)::BIGINT AS trips FROM v_active JOIN (SELECT feed, service, count(*) AS n FROM v_trip GROUP BY 1,2) USING (service) GROUP BY 1,2""",
+    "v_item": """
+        SELECT u.id AS cell, county, population, jobs, w AS station, ((h*13+w*7)%2500)::DOUBLE AS dist FROM v_flow JOIN v_unit u ON h = u.id""",
+    "v_pattern": """
+        SELECT r.station, route, direction, s.mode, headway AS h, distance/1000/(time/3600) AS v FROM v_route_service r JOIN v_station s ON r.station = s.station""",
+    "v_profile": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY h, route, direction) - 1 AS slot FROM v_pattern) WHERE slot < 5""",
+    "v_scored_item": """
+        SELECT i.*, p.slot, p.mode, p.h, p.v,
+          CASE p.mode WHEN 'bus' THEN 0.7 WHEN 'tram' THEN 0.85 ELSE 1.0 END
+          * (CASE WHEN p.h <= 2 THEN 1.0 WHEN p.h <= 10 THEN 1.0+(p.h-2)*(0.7-1.0)/8 WHEN p.h <= 30 THEN 0.7+(p.h-10)*(0.3-0.7)/20 WHEN p.h <= 60 THEN 0.3+(p.h-30)*(0.1-0.3)/30 ELSE 0.1 END)
+          * (CASE WHEN p.v <= 5 THEN 0.2 WHEN p.v <= 20 THEN 0.2+(p.v-5)*(0.6-0.2)/15 WHEN p.v <= 50 THEN 0.6+(p.v-20)*(1.0-0.6)/30 ELSE 1.0 END)
+          * pow(1 + i.dist/(CASE p.mode WHEN 'bus' THEN 500.0 WHEN 'tram' THEN 700.0 ELSE 900.0 END), -1.5) AS value
+        FROM v_item i JOIN v_profile p ON i.station = p.station""",
     "v_edge": """
         SELECT o_orderkey AS edge, x0 AS x1, y0 AS y1, x0 + (o_orderkey%9+1)::DOUBLE/36.0 AS x2, y0 + (o_orderkey%5)::DOUBLE/36.0 AS y2,
                ((o_orderkey*31)%101)::DOUBLE AS los
