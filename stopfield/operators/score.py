@@ -24,7 +24,7 @@ FAR_BANDS = ((0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 9.0))
 def combined_headway(rows: DataFrame, by: Sequence[str], direction: str, headway: str) -> DataFrame:
     """Headways of one direction add up as rates; the better direction counts. Missing or non-positive ones are skipped."""
     good = rows.filter(F.col(headway) > 0)
-    each = good.groupBy(*by, direction).agg((1 / F.sum(1 / F.col(headway))).alias("_h"))
+    each = good.groupBy(*by, direction).agg(F.try_divide(F.lit(1.0), F.sum(F.try_divide(F.lit(1.0), F.col(headway)))).alias("_h"))
     return each.groupBy(*by).agg(F.min("_h").alias("headway"))
 
 
@@ -47,33 +47,43 @@ def best_subset(headways: DataFrame, speeds: DataFrame, curves: ScoreCurves = DE
     """
     known = F.col("distance").isNotNull() & (F.col("time") > 0)
     speed = F.when(known, (F.col("distance") / 1000.0) / (F.col("time") / 3600.0))
-    tiers = F.array(*[F.struct(F.lit(i).alias("ti"), F.lit(n).alias("tier"), F.array(*[F.lit(m) for m in ms]).alias("ms")) for i, (n, ms) in enumerate(TIERS)])
-    mode = F.coalesce("mode", F.lit("bus"))
-    routes = speeds.withColumn("_m", mode).withColumn("step", F.floor(speed / SPEED_STEP) * SPEED_STEP).withColumn("_t", F.explode(tiers))
-    routes = routes.filter(F.array_contains("_t.ms", F.col("_m"))).select(
-        "station", "route", F.col("_t.ti").alias("ti"), F.col("_t.tier").alias("tier"), "step",
+    routes = speeds.select(
+        "station", "route", F.coalesce("mode", F.lit("bus")).alias("mode"), (F.floor(speed / SPEED_STEP) * SPEED_STEP).alias("step"),
         F.when(known, F.col("distance")).alias("d"), F.when(known, F.col("time")).alias("t"),
     )
+    # all that follows works on sums per speed step, a short list per station
+    per_mode = routes.groupBy("station", "mode", "step").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
+    rated = salted_join(headways.filter("headway > 0"), routes.select("station", "route", "mode", "step"), ["station", "route"], "inner")
+    rate = F.sum(F.try_divide(F.lit(1.0), F.col("headway"))).alias("rate")
+    mode_rates = rated.groupBy("station", "mode", "step", "direction").agg(rate)
+
+    tiers = F.array(*[F.struct(F.lit(i).alias("ti"), F.lit(n).alias("tier"), F.array(*[F.lit(m) for m in ms]).alias("ms")) for i, (n, ms) in enumerate(TIERS)])
+
+    def by_tier(df, keys, *sums):
+        rows = df.withColumn("_t", F.explode(F.filter(tiers, lambda x: F.array_contains(x["ms"], F.col("mode")))))
+        rows = rows.select("*", F.col("_t.ti").alias("ti"), F.col("_t.tier").alias("tier"))
+        return rows.groupBy("station", "ti", "tier", *keys).agg(*sums)
+
     key = ["station", "ti", "tier"]
-    groups = routes.groupBy(*key).agg(F.count("step").alias("_known"))
-    steps = routes.filter("step is not null").groupBy(*key, "step").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
-    bare = groups.filter("_known = 0").select(*key, F.lit(0.0).alias("step"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("double").alias("t"))
-    steps = steps.unionByName(bare)
-    faster = Window.partitionBy(*key).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    speed_at = steps.select(*key, "step", ((F.sum("d").over(faster) / 1000) / (F.sum("t").over(faster) / 3600)).alias("speed"))
-
-    rates = salted_join(headways.filter("headway > 0"), routes.select("station", "route", "ti", "step").distinct(), ["station", "route"], "inner")
-    per_step = rates.groupBy("station", "ti", "direction", "step").agg(F.sum(1 / F.col("headway")).alias("rate"))
-    always = per_step.filter("step is null").select("station", "ti", "direction", F.col("rate").alias("_always"))
-    directions = per_step.select("station", "ti", "direction").distinct()
+    w = Window.partitionBy(*key)
+    steps = by_tier(per_mode, ["step"], F.sum("d").alias("d"), F.sum("t").alias("t")).withColumn("_known", F.count("step").over(w))
+    steps = steps.filter("step is not null or _known = 0").withColumn("step", F.coalesce("step", F.lit(0.0)))
+    faster = w.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    speed_at = steps.select(*key, "step", ((F.sum("d").over(faster) / 1000) / positive(F.sum("t").over(faster) / 3600)).alias("speed"))
+
+    # rates per direction at every cut-off of the tier: routes of unknown speed count at all of them
+    per_step = by_tier(mode_rates, ["direction", "step"], F.sum("rate").alias("rate"))
+    d = Window.partitionBy("station", "ti", "direction")
+    always = F.coalesce(F.max(F.when(F.col("step").isNull(), F.col("rate"))).over(d), F.lit(0.0))
+    per_step = per_step.withColumn("_always", always)
+    directions = per_step.select("station", "ti", "direction", "_always").distinct()
     frame = steps.select("station", "ti", "step").join(directions, ["station", "ti"])
-    down = Window.partitionBy("station", "ti", "direction").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = (
-        frame.join(per_step.filter("step is not null"), ["station", "ti", "direction", "step"], "left")
-        .join(always, ["station", "ti", "direction"], "left")
-        .withColumn("_r", F.coalesce(F.sum("rate").over(down), F.lit(0.0)) + F.coalesce("_always", F.lit(0.0)))
+    at_step = per_step.filter("step is not null").select("station", "ti", "direction", "step", "rate")
+    down = d.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = frame.join(at_step, ["station", "ti", "direction", "step"], "left").withColumn(
+        "_r", F.coalesce(F.sum("rate").over(down), F.lit(0.0)) + F.col("_always")
     )
-    headway_at = summed.filter("_r > 0").groupBy("station", "ti", "step").agg(F.min(1 / F.col("_r")).alias("headway"))
+    headway_at = summed.filter("_r > 0").groupBy("station", "ti", "step").agg(F.min(F.try_divide(F.lit(1.0), F.col("_r"))).alias("headway"))
 
     combos = speed_at.join(headway_at, ["station", "ti", "step"]).filter("speed is not null")
     scored = combos.select(
@@ -84,8 +94,9 @@ def best_subset(headways: DataFrame, speeds: DataFrame, curves: ScoreCurves = DE
     )
     fields = ["ti", "tier", "headway", "speed", "min_speed", "mode_score", "speed_score", "frequency_score", "score"]
     best = first_row(scored, ["station"], [-F.col("score"), F.col("ti"), F.col("min_speed")], fields)
-    kept = salted_join(routes.select("station", "ti", "route", "step"), best.select("station", "ti", "min_speed"), ["station", "ti"], "inner")
-    kept = kept.filter(F.col("step").isNull() | (F.col("step") >= F.col("min_speed")))
+    members = F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for _, ms in TIERS]), F.col("ti") + 1)
+    kept = salted_join(routes.select("station", "route", "mode", "step"), best.select("station", "ti", "min_speed"), ["station"], "inner")
+    kept = kept.filter((F.col("step").isNull() | (F.col("step") >= F.col("min_speed"))) & F.array_contains(members, F.col("mode")))
     lists = kept.groupBy("station").agg(F.sort_array(F.collect_list(F.col("route").cast("string"))).alias("route_ids"))
     return best.drop("ti").join(lists, "station")
 
