@@ -311,9 +311,9 @@ def lines_to_cells(edges: DataFrame, value: str, res: int, reach: float, fallbac
 
 def _point_lines(points: DataFrame, edges: DataFrame, point: str, line: str, metres: float, lat0: float) -> DataFrame:
     res = grid.resolution_for(metres)
-    c = line_cells(edges, [line], res, metres, lat0).drop("fraction", "dist")
-    at = points.select(point, plane_x(F.col("lon"), lat0).alias("_qx"), plane_y(F.col("lat")).alias("_qy"), grid.cell(F.col("lon"), F.col("lat"), res).alias("cell"))
-    rows = salted_join(at, c, ["cell"], "inner")
+    c = line_cells(edges, [line], res, metres, lat0).drop("fraction", "dist").withColumnRenamed("cell", "_cell")
+    at = points.select(point, plane_x(F.col("lon"), lat0).alias("_qx"), plane_y(F.col("lat")).alias("_qy"), grid.cell(F.col("lon"), F.col("lat"), res).alias("_cell"))
+    rows = salted_join(at, c, ["_cell"], "inner")
     return _with_distance(rows, F.col("_qx"), F.col("_qy")).filter(F.col("dist") <= metres)
 
 
