@@ -127,6 +127,15 @@ def attach(df: DataFrame, source: DataFrame, key: str, prefix: str, on: Column |
     return df.join(right, (F.col(key) if on is None else on) == F.col("_k"), "left").drop("_k")
 
 
+def merge_sources(sources: Sequence[DataFrame], key: str) -> DataFrame:
+    """Full outer merge on a key; of a column several sources have, the first source's stays."""
+    out = sources[0]
+    for s in sources[1:]:
+        fresh = [c for c in s.columns if c == key or c not in out.columns]
+        out = out.join(s.select(*fresh), key, "full_outer")
+    return out
+
+
 def latest_period(columns: Sequence[str], protect: Sequence[str] = ()) -> list[str]:
     """Of columns that differ only in a year, the ones of the last year; others stay."""
     stems: dict[str, tuple[int, str]] = {}

@@ -158,7 +158,7 @@ def headways(calls: DataFrame, by: Sequence[str], window: tuple[int, int] = DAY_
     w = Window.partitionBy(*by).orderBy("sec")
     gap = F.lead("sec").over(w) - F.col("sec")
     spread = inside.withColumn("_gap", gap.cast("double"))
-    night = F.lit(length) - (F.max("sec") - F.min("sec"))
+    night = (F.lit(length) - (F.max("sec") - F.min("sec"))).cast("double")
     total = F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)) + night * night
     return spread.groupBy(*by).agg((total / length / 60).alias("headway"), F.count("*").alias("departures"))
 

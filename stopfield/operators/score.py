@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopfield.functions.curves import DEFAULT, ScoreCurves
-from stopfield.operators.rollup import positive, total, weighted_mean
+from stopfield.operators.gtfs import DAY_WINDOW, headways
+from stopfield.operators.rollup import positive, weighted_mean
 from stopfield.operators.skew import first_row, salted_join, weighted_quantiles, with_totals
 from stopfield.operators.windows import top_k
 
@@ -35,10 +36,10 @@ def combined_speed(distance: Column, time: Column) -> Column:
     return (d / 1000) / positive(t / 3600)
 
 
-def best_subset(headways: DataFrame, speeds: DataFrame, curves: ScoreCurves = DEFAULT) -> DataFrame:
+def best_subset(route_headways: DataFrame, speeds: DataFrame, curves: ScoreCurves = DEFAULT) -> DataFrame:
     """Best combination of a mode tier and a minimum route speed for every station.
 
-    ``headways``: (station, route, direction, headway); ``speeds``: (station, route, mode, distance, time), one row per route. Cut-offs are the
+    ``route_headways``: (station, route, direction, headway); ``speeds``: (station, route, mode, distance, time), one row per route. Cut-offs are the
     tier's route speeds floored to 2 km/h (0 where none is known); routes at or above the cut-off, and those of unknown speed, are kept.
     Equal scores go to the first tier, then the lowest cut-off; stations without a valid combination are absent.
 
@@ -53,7 +54,7 @@ def best_subset(headways: DataFrame, speeds: DataFrame, curves: ScoreCurves = DE
     )
     # all that follows works on sums per speed step, a short list per station
     per_mode = routes.groupBy("station", "mode", "step").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
-    rated = salted_join(headways.filter("headway > 0"), routes.select("station", "route", "mode", "step"), ["station", "route"], "inner")
+    rated = salted_join(route_headways.filter("headway > 0"), routes.select("station", "route", "mode", "step"), ["station", "route"], "inner")
     rate = F.sum(F.try_divide(F.lit(1.0), F.col("headway"))).alias("rate")
     mode_rates = rated.groupBy("station", "mode", "step", "direction").agg(rate)
 
@@ -255,3 +256,36 @@ def level_weights(df: DataFrame, group: str, weight: str, power: float, by: str
         rows = with_totals(rows, [by], {"_c": F.sum("_w")}).withColumn("_w", F.col("_w") * F.pow(F.greatest("_c", F.lit(1e-9)), F.lit(-0.5))).drop("_c")
         rows = unit(rows)
     return rows.withColumn("w", F.col("_w")).select(*df.columns, "w")
+
+
+def best_subset_merged(calls: DataFrame, curves: ScoreCurves = DEFAULT, window: tuple[int, int] = DAY_WINDOW) -> DataFrame:
+    """Best mode tier and minimum trip speed of every station from the departures of all its routes merged per direction.
+
+    ``calls``: (station, direction, sec, mode, distance, time), the last two of the call's trip. Route ids play no role and simultaneous
+    departures count once, so a timetable published twice changes nothing. Cut-offs are trip speeds floored to 2 km/h. Before the cut-offs
+    multiply them, calls are reduced to one row per second and speed step.
+    """
+    known = F.col("distance").isNotNull() & (F.col("time") > 0)
+    speed = F.when(known, (F.col("distance") / 1000.0) / (F.col("time") / 3600.0))
+    inside = calls.filter((F.col("sec") >= window[0]) & (F.col("sec") < window[1]))
+    rows = inside.select(
+        "station", "direction", "sec", F.coalesce("mode", F.lit("bus")).alias("mode"), (F.floor(speed / SPEED_STEP) * SPEED_STEP).alias("step"),
+        F.when(known, F.col("distance")).alias("d"), F.when(known, F.col("time")).alias("t"),
+    )
+    slots = rows.groupBy("station", "direction", "sec", "mode", "step").agg(F.max("d").alias("d"), F.max("t").alias("t"))
+    tiers = F.array(*[F.struct(F.lit(i).alias("ti"), F.lit(n).alias("tier"), F.array(*[F.lit(m) for m in ms]).alias("ms")) for i, (n, ms) in enumerate(TIERS)])
+    slots = slots.withColumn("_t", F.explode(F.filter(tiers, lambda x: F.array_contains(x["ms"], F.col("mode")))))
+    slots = slots.select("*", F.col("_t.ti").alias("ti"), F.col("_t.tier").alias("tier")).drop("_t")
+    # speed steps of a station's tier: a short list that its calls are matched to
+    cuts = slots.groupBy("station", "ti").agg(F.sort_array(F.collect_set("step")).alias("_cuts"))
+    cuts = cuts.withColumn("_cuts", F.when(F.size("_cuts") > 0, F.col("_cuts")).otherwise(F.array(F.lit(0.0))))
+    each = salted_join(slots, cuts, ["station", "ti"], "inner").withColumn("_keep", F.filter("_cuts", lambda c: F.col("step").isNull() | (c <= F.col("step"))))
+    each = each.select("station", "ti", "tier", "direction", "sec", "d", "t", F.explode("_keep").alias("min_speed"))
+    key = ["station", "ti", "tier", "min_speed"]
+    merged = each.groupBy(*key, "direction", "sec").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
+    speeds = merged.groupBy(*key).agg(((F.sum("d") / 1000) / positive(F.sum("t") / 3600)).alias("speed"))
+    frequent = headways(merged, [*key, "direction"], window).groupBy(*key).agg(F.min("headway").alias("headway"))
+    scored = speeds.join(frequent, key).filter("speed is not null").select(
+        *key, "headway", "speed", curves.stop_score(F.col("tier"), F.col("headway"), F.col("speed")).alias("score")
+    )
+    return first_row(scored, ["station"], [-F.col("score"), F.col("ti"), F.col("min_speed")], ["tier", "headway", "speed", "min_speed", "score"])

@@ -125,6 +125,15 @@ def _(t):
     return C.attach(base, t.nation, "n_nationkey", "nat_", on=F.substring("geoid", 3, 3).cast("int"))
 
 
+@query("sources_merged", "J2", """
+    WITH a AS (SELECT id, los AS score, income FROM v_place WHERE county < 15), b AS (SELECT id, population, jobs FROM v_unit WHERE county > 5)
+    SELECT id, score, income, population, round(jobs,5) AS jobs FROM a FULL JOIN b USING (id)""")
+def _(t):
+    a = t.place.filter("county < 15").select("id", F.col("los").alias("score"), "income")
+    b = t.unit.filter("county > 5").select("id", F.lit(-1.0).alias("income"), "population", r(F.col("jobs"), 5).alias("jobs"))
+    return C.merge_sources([a, b], "id")
+
+
 @query("latest_period_columns", "P12", """
     SELECT o_custkey AS id, count(*) FILTER (WHERE year(o_orderdate)=1996) AS rent_1996,
            count(*) FILTER (WHERE year(o_orderdate)=1997) AS elec_1997_share, count(*) AS total FROM orders GROUP BY 1""")

@@ -253,3 +253,39 @@ def _(t):
     rows = u.select((F.col("los") * F.col("population")).alias("fp"), F.col("population").alias("p"), F.col("dem").alias("d"), F.inline(levels))
     g = rows.groupBy("level", "code").agg((F.sum("fp") / F.sum("p")).alias("x"), (F.sum("d") / F.sum("p")).alias("y"), F.sum("p").alias("w"))
     return S.r2_by(g, ["level"], "x", "y", {"population": "w"}).select("level", F.col("n_population").alias("n"), r(F.col("r2_population")).alias("r2"))
+
+
+CALLS = """SELECT user_id%40 AS station, event_id%2 AS direction, (extract('hour' FROM ts)*3600 + extract('minute' FROM ts)*60 + floor(extract('second' FROM ts)))::INT AS sec, ['bus','tram','rail'][(user_id%3+1)::INT] AS mode,
+    CASE WHEN event_id%17 > 0 THEN 2000.0::DOUBLE + (event_id%50)*300 END AS distance, 1800.0::DOUBLE AS time FROM events"""
+
+
+@query("best_subset_merged_directions", "K1 K3 W8", f"""
+    WITH c AS (SELECT *, CASE WHEN distance IS NOT NULL THEN floor(distance/1000.0/(time/3600.0)/2)*2 END AS step FROM ({CALLS}) WHERE sec >= 21600 AND sec < 79200),
+    s AS (SELECT station, direction, sec, mode, step, max(distance) AS d, max(CASE WHEN distance IS NOT NULL THEN time END) AS t FROM c GROUP BY 1,2,3,4,5),
+    tr AS (SELECT s.*, ti, tier FROM s JOIN (VALUES (0,'bus',['bus','tram','rail']), (1,'tram',['tram','rail']), (2,'rail',['rail'])) k(ti, tier, ms) ON list_contains(ms, mode)),
+    cu AS (SELECT DISTINCT station, ti, step AS cut FROM tr WHERE step IS NOT NULL), e AS (SELECT tr.station, tr.ti, tier, cut, direction, sec, sum(d) AS d, sum(t) AS t FROM tr JOIN cu ON tr.station = cu.station AND tr.ti = cu.ti AND (step IS NULL OR step >= cut) GROUP BY 1,2,3,4,5,6),
+    sp AS (SELECT station, ti, tier, cut, (sum(d)/1000)/(sum(t)/3600) AS speed FROM e GROUP BY 1,2,3,4),
+    g AS (SELECT *, (lead(sec) OVER (PARTITION BY station, ti, cut, direction ORDER BY sec)-sec)::DOUBLE AS gap FROM e),
+    h AS (SELECT station, ti, cut, min(h) AS headway FROM (SELECT station, ti, cut, direction, (coalesce(sum(gap*gap),0)+pow(57600-(max(sec)-min(sec)),2))/57600/60 AS h FROM g GROUP BY 1,2,3,4) GROUP BY 1,2,3),
+    sc AS (SELECT sp.*, headway, {MODE.format(m='tier')}*{HEAD.format(h='headway')}*{SPEED.format(v='speed')} AS score FROM sp JOIN h USING (station, ti, cut)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY round(score,12) DESC, ti, cut) AS n FROM sc)
+    SELECT station, tier, round(headway,6) AS headway, round(speed,6) AS speed, cut AS min_speed, round(score,6) AS score FROM b WHERE n = 1""")
+def _(t):
+    ts, k, u = F.col("ts"), F.col("event_id"), F.col("user_id")
+    calls = t.events.select((u % 40).alias("station"), (k % 2).alias("direction"), (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).alias("sec"),
+                            F.element_at(F.array(F.lit("bus"), F.lit("tram"), F.lit("rail")), (u % 3 + 1).cast("int")).alias("mode"),
+                            F.when(k % 17 > 0, F.lit(2000.0) + k % 50 * 300).alias("distance"), F.lit(1800.0).alias("time"))
+    out = K.best_subset_merged(calls)
+    return out.select("station", "tier", r(F.col("headway")).alias("headway"), r(F.col("speed")).alias("speed"), "min_speed", r(F.col("score")).alias("score"))
+
+
+@query("feeds_to_station_scores", "K3 C5 T7 W1")
+def _(t):
+    from stopfield.plans.stop_scores import Feeds, scored_stops
+
+    stops = t.station.select(F.col("station").alias("stop"), (F.col("station") % 60).alias("station"), "lon", "lat")
+    modes = F.element_at(F.array(F.lit("bus"), F.lit("tram"), F.lit("rail")), (F.col("route") % 3 + 1).cast("int"))
+    routes = t.trip.select("feed", "route").distinct().withColumn("mode", modes)
+    feeds = Feeds(t.trip, t.stop_time, stops, routes, t.calendar, t.exception)
+    out = scored_stops(feeds, "2024-01-10")
+    return out.select("station", "tier", r(F.col("headway"), 4).alias("headway"), r(F.col("speed"), 4).alias("speed"), r(F.col("score")).alias("score"), F.size("route_ids").alias("routes"))

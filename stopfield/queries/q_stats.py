@@ -37,7 +37,9 @@ REGRESSION = """
 
 def regression_sql(src):
     body = REGRESSION.replace("{p}", t_pvalue("t", "(n-2)::DOUBLE")).replace("{src}", src)
-    return f"SELECT county, round(slope,6) AS slope, round(intercept,6) AS intercept, round(r2,6) AS r2, round(p_value,6) AS p_value, n FROM ({body})"
+    pts = f"SELECT county, count(DISTINCT (x, y)) >= 5 AS ok FROM ({src}) GROUP BY 1"
+    cols = ", ".join(f"CASE WHEN ok THEN round({c},6) END AS {c}" for c in ("slope", "intercept", "r2", "p_value"))
+    return f"SELECT county, {cols}, n FROM ({body}) JOIN ({pts}) USING (county)"
 
 
 @query("regression_plain", "A20 M2", regression_sql("SELECT county, ln(1+jobs) AS x, los AS y, 1.0::DOUBLE AS w FROM v_unit"))
@@ -67,7 +69,9 @@ SPLIT = """
        count(*) FILTER (WHERE low) AS low_n, count(*) FILTER (WHERE NOT low) AS high_n, avg(los) FILTER (WHERE low) AS la, avg(los) FILTER (WHERE NOT low) AS ha,
        var_samp(los) FILTER (WHERE low) AS lv, var_samp(los) FILTER (WHERE NOT low) AS hv FROM j GROUP BY 1),
     b AS (SELECT *, (la-ha)/sqrt(lv/low_n+hv/high_n) AS t, pow(lv/low_n+hv/high_n,2)/(pow(lv/low_n,2)/(low_n-1)+pow(hv/high_n,2)/(high_n-1)) AS v FROM a)
-    SELECT county, round(median,6) AS median, round(low_mean,6) AS low_mean, round(high_mean,6) AS high_mean, low_n, high_n, round(t,6) AS t_statistic, round({p},6) AS p_value {extra} FROM b"""
+    SELECT county, CASE WHEN big THEN round(median,6) END AS median, CASE WHEN big THEN round(low_mean,6) END AS low_mean, CASE WHEN big THEN round(high_mean,6) END AS high_mean,
+      CASE WHEN big THEN low_n ELSE 0 END AS low_n, CASE WHEN big THEN high_n ELSE 0 END AS high_n, CASE WHEN ok THEN round(t,6) END AS t_statistic, CASE WHEN ok THEN round({p},6) END AS p_value {extra}
+    FROM (SELECT *, low_n+high_n >= 4 AS big, low_n+high_n >= 4 AND low_n >= 2 AND high_n >= 2 AS ok FROM b)"""
 
 
 @query("median_split", "A21", SPLIT.replace("{median}", "SELECT county, quantile_cont(income,0.5) AS median FROM v_unit GROUP BY 1").replace("{w}", "1.0").replace("{p}", t_pvalue("t", "v")).replace("{extra}", ""))
@@ -77,7 +81,7 @@ def _(t):
 
 @query("median_split_weighted", "A21", SPLIT.replace("{median}", """SELECT county, min(income) AS median FROM (SELECT county, income, population,
       sum(population) OVER (PARTITION BY county ORDER BY income) AS cum, sum(population) OVER (PARTITION BY county) AS tot FROM v_unit) WHERE cum >= 0.5*tot AND population > 0 GROUP BY 1""")
-    .replace("{w}", "population").replace("{p}", t_pvalue("t", "v")).replace("{extra}", ", round(high_mean-low_mean,6) AS diff"))
+    .replace("{w}", "population").replace("{p}", t_pvalue("t", "v")).replace("{extra}", ", CASE WHEN big THEN round(high_mean-low_mean,6) END AS diff"))
 def _(t):
     return rounded(S.median_split(t.unit, ["county"], "income", "los", "population"), ["county"])
 
