@@ -138,7 +138,7 @@ def departures(frequencies: DataFrame, offsets: DataFrame) -> DataFrame:
     )
     first = offsets.groupBy("trip").agg(F.min("sec").alias("_first"))
     calls = offsets.join(first, "trip").select("trip", "stop", "seq", (F.col("sec") - F.col("_first")).alias("_off"))
-    return salted_join(runs, calls, ["trip"], "inner").select("trip", "stop", "seq", (F.col("_go") + F.col("_off")).alias("sec"))
+    return runs.join(calls, "trip").select("trip", "stop", "seq", (F.col("_go") + F.col("_off")).alias("sec"))
 
 
 def runs_per_trip(trips: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def route_modes(routes: DataFrame, modes: DataFrame) -> DataFrame:
     """Mode of every loaded route by (own id, file, type), else by its type. ``modes``: (route, file_id, route_type, mode)."""
     keyed = routes.withColumn("_id", original_route(F.col("route"), F.col("file_id")))
     m = modes.groupBy(F.trim("route").alias("_id"), "file_id", "route_type").agg(F.min("mode").alias("_mode"))
-    return salted_join(keyed, m, ["_id", "file_id", "route_type"]).select(
+    return keyed.join(m, ["_id", "file_id", "route_type"], "left").select(
         *routes.columns, F.coalesce("_mode", route_mode(F.col("route_type"))).alias("mode")
     )
 

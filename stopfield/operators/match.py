@@ -34,12 +34,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens:
         ranked = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_f", "_k"))).alias("_r"), F.first("_all").alias("_all"))
         n = F.size("_r")
         keep = n - F.ceil(n * F.lit(minimum) - F.lit(1e-9)).cast("int") + 1
-        return ranked.select(key, "_all", F.explode(F.slice("_r", F.lit(1), keep)).alias("_x")).select(key, "_all", F.col("_x._k").alias("_k"))
+        rare = F.transform(F.slice("_r", F.lit(1), keep), lambda x: x["_k"])
+        return ranked.select(key, "_all", rare.alias("_rare")).select(key, "_all", "_rare", F.explode("_rare").alias("_k"))
 
     l, r = prefix(left, lid), prefix(right, rid)
-    pairs = l.select(lid, F.col("_all").alias("_a"), "_k").join(r.select(rid, F.col("_all").alias("_b"), "_k"), "_k")
-    scored = pairs.select(lid, rid, text.jaccard(F.col("_a"), F.col("_b")).alias("score")).filter(F.col("score") >= minimum - 1e-12)
-    return scored.distinct()
+    pairs = l.select(lid, F.col("_all").alias("_a"), F.col("_rare").alias("_ra"), "_k").join(r.select(rid, F.col("_all").alias("_b"), F.col("_rare").alias("_rb"), "_k"), "_k")
+    # a pair that meets at several rare tokens counts at the smallest of them, so no duplicates have to be removed afterwards
+    once = pairs.filter(F.col("_k") == F.array_min(F.array_intersect("_ra", "_rb")))
+    return once.select(lid, rid, text.jaccard(F.col("_a"), F.col("_b")).alias("score")).filter(F.col("score") >= minimum - 1e-12)
 
 
 def catalogue_matches(broken: DataFrame, catalogue: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -54,7 +54,8 @@ def best_subset(route_headways: DataFrame, speeds: DataFrame, curves: ScoreCurve
     )
     # all that follows works on sums per speed step, a short list per station
     per_mode = routes.groupBy("station", "mode", "step").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
-    rated = salted_join(route_headways.filter("headway > 0"), routes.select("station", "route", "mode", "step"), ["station", "route"], "inner")
+    # a (station, route) pair has a row per direction at most, so the pairs need no salt
+    rated = route_headways.filter("headway > 0").join(routes.select("station", "route", "mode", "step"), ["station", "route"])
     rate = F.sum(F.try_divide(F.lit(1.0), F.col("headway"))).alias("rate")
     mode_rates = rated.groupBy("station", "mode", "step", "direction").agg(rate)
 

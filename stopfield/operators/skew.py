@@ -148,7 +148,7 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str, name: str, descend
     known = rows.filter(F.col("_k").isNotNull())
     below = counts_below(known, by, "_k", fineness).select(*by, "_k", (F.col("below") + 1).alias(name))
     keys = [*by, "_k"]
-    placed = salted_join(known, below, keys, "inner").drop("_k")
+    placed = salted_join(known, below, keys, "inner", salts=4).drop("_k")
     sizes = df.groupBy(*by).agg(F.count_if(v.isNotNull() & ~F.isnan(v)).alias("_n"))
     missing = rows.filter(F.col("_k").isNull()).drop("_k")
     missing = salted_join(missing, sizes, by) if by else missing.crossJoin(F.broadcast(sizes))

@@ -183,7 +183,7 @@ def polyfill(polygons: DataFrame, key: str, res: int, ring: str = "ring") -> Dat
 def within(points: DataFrame, polygons: DataFrame, key: str, res: int, ring: str = "ring") -> DataFrame:
     """Points with every polygon that holds them. Points are matched to cover cells; only cells on a rim test their few edges."""
     cells = cover(polygons, key, res, ring)
-    joined = salted_join(points.withColumn("cell_", grid.cell(F.col("lon"), F.col("lat"), res)), cells.withColumnRenamed("cell", "cell_"), ["cell_"], "inner")
+    joined = salted_join(points.withColumn("cell_", grid.cell(F.col("lon"), F.col("lat"), res)), cells.withColumnRenamed("cell", "cell_"), ["cell_"], "inner", salts=8)
     hit = F.col("edges").isNull() | crossing_inside(F.col("edges"), F.col("lon"), F.col("lat"))
     return joined.filter(hit).select(*points.columns, key)
 
@@ -313,7 +313,7 @@ def _point_lines(points: DataFrame, edges: DataFrame, point: str, line: str, met
     res = grid.resolution_for(metres)
     c = line_cells(edges, [line], res, metres, lat0).drop("fraction", "dist").withColumnRenamed("cell", "_cell")
     at = points.select(point, plane_x(F.col("lon"), lat0).alias("_qx"), plane_y(F.col("lat")).alias("_qy"), grid.cell(F.col("lon"), F.col("lat"), res).alias("_cell"))
-    rows = salted_join(at, c, ["_cell"], "inner")
+    rows = at.join(c, "_cell")  # both sides are large: a hot cell is split by the adaptive skew join
     return _with_distance(rows, F.col("_qx"), F.col("_qy")).filter(F.col("dist") <= metres)
 
 

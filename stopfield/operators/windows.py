@@ -75,7 +75,7 @@ def percentile_of(df: DataFrame, by: Sequence[str], column: str, name: str = "pe
     """``percent_rank`` of every row in its group."""
     below = counts_below(df.filter(F.col(column).isNotNull()), by, column)
     share = below.select(*by, column, F.when(F.col("size") > 1, F.col("below") / (F.col("size") - 1)).otherwise(0.0).alias(name))
-    return salted_join(df, share, [*by, column])
+    return salted_join(df, share, [*by, column], salts=4)
 
 
 def percentile_from_table(df: DataFrame, table: DataFrame, column: str, name: str = "percentile") -> DataFrame:

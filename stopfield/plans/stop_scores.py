@@ -45,7 +45,7 @@ def score_stations(feeds: Feeds, shared_day: str, params: StudyParams = StudyPar
     The day's calls are written once: headways and speeds both read them.
     """
     trips = day_trips(feeds, shared_day, params).select("trip", "feed", "route", "direction")
-    calls = salted_join(feeds.calls, trips, ["trip"], "inner")
+    calls = feeds.calls.join(trips, "trip")  # a trip is a short list of calls
     along = G.along_trip(calls, feeds.stops).select("trip", "seq", "stop", "sec", "feed", "route", "direction", "metres", "seconds")
     placed = cut_lineage(salted_join(along, feeds.stops.select("stop", "station"), ["stop"], "inner"))
     placed = placed.withColumn("route", F.concat_ws(":", "feed", "route"))
@@ -54,7 +54,7 @@ def score_stations(feeds: Feeds, shared_day: str, params: StudyParams = StudyPar
     inside = placed.filter((F.col("sec") >= window[0]) & (F.col("sec") < window[1]))
     # a trip's own distance and time count at every station it serves
     whole = placed.groupBy("trip").agg(F.max("metres").alias("_m"), F.max("seconds").alias("_s"))
-    rides = salted_join(inside.select("station", "route", "trip").distinct(), whole, ["trip"], "inner")
+    rides = inside.select("station", "route", "trip").distinct().join(whole, "trip")
     speed = rides.groupBy("station", "route").agg(F.sum("_m").alias("distance"), F.sum("_s").alias("time"))
     modes = feeds.routes.select(F.concat_ws(":", "feed", "route").alias("route"), "mode").dropDuplicates(["route"])
     return best_subset(headway.select("station", "route", "direction", "headway"), salted_join(speed, modes, ["route"]), params.curves)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions.numeric import nan_to_null
 from stopfield.operators.gtfs import fingerprint, trim_table
-from stopfield.operators.skew import first_row, salted_join
+from stopfield.operators.skew import first_row
 from stopfield.operators.spatial import within
 
 # Fixed value: census figures at or below this are "no data" codes.
@@ -148,5 +148,5 @@ def join_batches(batches: Sequence[DataFrame], key: str) -> DataFrame:
     """Column batches of the same units side by side."""
     out = batches[0]
     for b in batches[1:]:
-        out = salted_join(out, b, [key], "left")
+        out = out.join(b, key, "left")
     return out
