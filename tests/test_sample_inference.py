@@ -88,3 +88,15 @@ def test_non_negative_effects(spark):
     df = spark.createDataFrame([(int(i % 9), *map(float, r), float(v), 1.0) for i, (r, v) in enumerate(zip(x, y))], "m int, a double, b double, c double, y double, w double")
     got = {r["feature"]: r["effect"] for r in models.band_effects(df, "m", ["a", "b", "c"], "y", "w", replicates=5).collect()}
     assert abs(got["a"] - 0.5) < 0.1 and got["b"] == 0.0 and all(v >= 0 for v in got.values())
+
+
+def test_curve_search_moves_towards_the_planted_decay(spark):
+    from stopfield.functions.curves import DEFAULT
+    from stopfield.operators.score import rescore
+
+    items = spark.createDataFrame([(i, 1, float(100 * i)) for i in range(1, 15)], "cell int, station int, dist double")
+    profiles = spark.createDataFrame([(1, 0, "bus", 10.0, 20.0)], "station int, slot int, mode string, h double, v double")
+    truth = rescore(items, profiles, {"t": DEFAULT.with_(walk_power=2.1)}).select("cell", F.col("los").alias("t"))
+    loss = lambda s: s.join(truth, "cell").groupBy("set").agg(F.avg(F.pow(F.col("los") - F.col("t"), F.lit(2))).alias("loss"))
+    best, _ = models.search_curves(items, profiles, DEFAULT, {"walk_power": [0.4, 0.2]}, loss, rounds=2)
+    assert abs(best.walk_power - 2.1) < 1e-9

@@ -192,3 +192,17 @@ def test_stops_keep_their_order_on_an_out_and_back_line(spark):
     assert out["ambiguous"]
     straight = spark.range(1).select(F.array(*map(at, [(0.0, 0.0), (0.1, 0.0), (0.2, 0.0)])).alias("line"), F.array(*map(at, [(0.0, 0.0), (0.2, 0.0)])).alias("stops"))
     assert not lines.ambiguous_line(lines.stop_positions(straight)).first()["ambiguous"]
+
+
+def test_cell_walk_goes_by_the_nearer_end(spark):
+    x1, x2, y = 2.0, 2.01, 41.0
+    length = (x2 - x1) * grid.METRES_PER_DEGREE * math.cos(math.radians(LAT0))
+    street = spark.createDataFrame([(1, 10, 20, length, x1, y, x2, y)], "edge int, u int, v int, w double, x1 double, y1 double, x2 double, y2 double")
+    walks = spark.createDataFrame([(7, 10, 100.0), (7, 20, 50.0), (8, 20, 9e9)], "station int, node int, dist double")
+    cell = spark.range(1).select(grid.cell(F.lit(2.0025), F.lit(41.0005), 20).alias("cell"))
+    at = cell.select(grid.centre_lon(F.col("cell"), 20).alias("x"), grid.centre_lat(F.col("cell"), 20).alias("y")).first()
+    px, py = plane(at["x"], at["y"])
+    off, along = abs(py - plane(x1, y)[1]), px - plane(x1, y)[0]
+    got = network.cell_walks(cell, street, walks, 20, 2000.0, LAT0).collect()
+    assert len(got) == 1 and got[0]["station"] == 7
+    assert abs(got[0]["dist"] - (off + min(along + 100, length - along + 50))) < 1e-3
