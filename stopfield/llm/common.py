@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopfield.session import cut_lineage
+from stopfield.session import checkpoint_folder
 
-__all__ = ["WORD", "cut_lineage", "keyed", "read_table", "shuffle_width", "utf8"]
+__all__ = ["WORD", "keyed", "landed", "read_table", "shuffle_width", "utf8"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: the longest run of characters that are none of space, tab and the line breaks U+000A to U+000D."""
@@ -33,3 +35,14 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """The rows written once as a table in the folder that ``spark.checkpoint.dir`` names, and read from there.
+
+    Cuts the lineage without computing the rows twice; executors share the folder, so a lost one costs nothing. The cluster empties it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import line_dedup, mixing, url_filter
+from stopfield.llm import line_dedup, mixing, simhash_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated_lines(read_table(spark, sf_dir, "documents"))
 
 
+@register("op6_simhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicate_report(read_table(spark, sf_dir, "documents"))
+
+
 @register("op7_source_mix", mixing.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
