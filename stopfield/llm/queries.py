@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import line_dedup, mixing, simhash_dedup, url_filter
+from stopfield.llm import bpe, line_dedup, mixing, simhash_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op9_bpe_tokens")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(read_table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
 @register("op10_url_filter", url_filter.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
