@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import bpe, line_dedup, mixing, order_minhash, quality, simhash_dedup, url_filter
+from stopfield.llm import bpe, html_extract, line_dedup, mixing, order_minhash, quality, simhash_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_report(read_table(spark, sf_dir, "documents"))
 
 
+@register("op5_html_extract")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(read_table(spark, sf_dir, "pages"))
+
+
 @register("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_report(read_table(spark, sf_dir, "documents"))
