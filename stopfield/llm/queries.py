@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import bpe, html_extract, line_dedup, mixing, order_minhash, quality, simhash_dedup, url_filter
+from stopfield.llm import bpe, hamming_search, html_extract, line_dedup, mixing, order_minhash, quality, simhash_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated_lines(read_table(spark, sf_dir, "documents"))
 
 
+@register("op3_hamming_search", hamming_search.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.vector_search(read_table(spark, sf_dir, "embeddings"))
+
+
 @register("op4_order_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_report(read_table(spark, sf_dir, "documents"))
