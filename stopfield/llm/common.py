@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopfield.session import checkpoint_folder
 
-__all__ = ["WORD", "keyed", "landed", "read_table", "shuffle_width", "utf8"]
+__all__ = ["WORD", "drop_landed", "keyed", "landed", "read_table", "shuffle_width", "utf8"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: the longest run of characters that are none of space, tab and the line breaks U+000A to U+000D."""
@@ -37,12 +38,38 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def landed(df: DataFrame) -> DataFrame:
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def landed(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """The rows written once as a table in the folder that ``spark.checkpoint.dir`` names, and read from there.
 
-    Cuts the lineage without computing the rows twice; executors share the folder, so a lost one costs nothing. The cluster empties it.
+    Cuts the lineage without computing the rows twice; executors share the folder, so a lost one costs nothing. The shuffle files of the
+    write go when it ends, as nothing reads them again. The cluster empties the folder.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def drop_landed(df: DataFrame) -> None:
+    """Delete a landed table that no later step reads."""
+    path = _PATHS.pop(id(df))
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

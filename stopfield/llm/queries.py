@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import bpe, hamming_search, html_extract, line_dedup, mixing, order_minhash, quality, simhash_dedup, url_filter
+from stopfield.llm import bpe, hamming_search, html_extract, line_dedup, mixing, order_minhash, quality, simhash_dedup, suffix_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(read_table(spark, sf_dir, "documents"))
+
+
 @register("op2_line_dedup", line_dedup.SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated_lines(read_table(spark, sf_dir, "documents"))
