@@ -374,8 +374,7 @@ def decoded(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     return tokens.select(id_col, F.col(ids_col).alias("ids")).mapInArrow(run, f"{id_col} {kind}, text string")
 
 
-def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the text decoded from them, in one pass."""
+def _digested(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     tables, kind = _shipped(docs, vocabulary), dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,11 +384,27 @@ def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         for batch in batches:
             for a, b, texts in _slices(batch, 1):
                 counts, of_ids, of_texts = [], [], []
-                for path in automaton.encode([t or "" for t in texts]):
+                paths = automaton.encode([t or "" for t in texts])
+                for path in paths:
                     ids = path.tolist()
                     counts.append(len(ids))
                     of_ids.append(sha(",".join(map(names.__getitem__, ids)).encode()))
                     of_texts.append(sha(automaton.decode(ids).encode()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+                if with_ids:
+                    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(paths).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the text decoded from them, in one pass."""
+    return _digested(docs, vocabulary, id_col, text_col, with_ids=False)
+
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def token_rows(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``token_digests`` with the ids."""
+    return _digested(docs, vocabulary, id_col, text_col, with_ids=True)

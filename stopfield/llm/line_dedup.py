@@ -17,10 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stopfield.llm.common import keyed
+from stopfield.llm.common import keyed, utf8
 
 WINDOW = 3
+REMOVED = "__removed_lines"
+"""The column that ``rewritten`` adds."""
 
 
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -81,6 +84,37 @@ def deduplicated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return rebuilt.select(F.col("d").alias("doc_id"), "text", "n_lines", "n_removed", "n_spans")
 
 
+def _rewrite(size: int, text_at: int, schema: T.StructType):
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            starts = columns.pop()
+            texts, removed = columns[text_at].to_pylist(), []
+            for i, s in enumerate(starts):
+                gone = 0
+                if s.is_valid and texts[i] is not None:
+                    texts[i], _, gone, _ = cut_lines(texts[i], np.asarray(s.values), size)
+                removed.append(gone)
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names)
+
+    return run
+
+
+def rewritten(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs`` (doc_id, text and whatever else, kept) with the text left in ``text`` and the number of removed lines in ``REMOVED``."""
+    text_at = docs.columns.index("text")
+    fields = [T.StructField(f"c{i}", T.StringType() if i == text_at else f.dataType) for i, f in enumerate(docs.schema.fields)]
+    text = utf8(F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text, F.lit(1)).alias("h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    later = later_places(docs, size).withColumnsRenamed({"d": "ld", "h": "lh"})
+    joined = rows.join(later, F.col("d").eqNullSafe(F.col("ld")) & (F.col("h") == F.col("lh")), "left").select(*[f.name for f in fields], "starts")
+    schema = T.StructType([*fields, T.StructField(REMOVED, T.LongType())])
+    return joined.mapInArrow(_rewrite(size, text_at, schema), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], REMOVED)
+
+
 SQL = r"""
 WITH lined AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents

@@ -74,17 +74,11 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MO
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_TIMES, seed: str = SEED) -> DataFrame:
     """The rows of the mix: each document as often as it is taken, all columns of ``docs`` kept."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    taken = copies(docs, weights, most, seed, keep=others)
-    names = {"doc_id", "source", "size", "source_size", "target", "copies"}
-    if names & set(others):  # columns of the input that share a name with a column of the mix are carried under another one
-        renamed = docs.select("doc_id", "source", *[F.col(c).alias(f"in_{i}") for i, c in enumerate(others)], F.col("text"))
-        taken = copies(renamed, weights, most, seed, keep=[f"in_{i}" for i in range(len(others))])
-        back = {c: f"in_{i}" for i, c in enumerate(others)}
-    else:
-        back = {c: c for c in others}
+    carried = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]  # no name of the input meets one of the mix
+    rows = docs.select("doc_id", "source", "text", *carried)
+    taken = copies(rows, weights, most, seed, keep=[f"in_{i}" for i in range(len(docs.columns))])
     repeated = taken.filter(F.col("copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])
+    return repeated.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

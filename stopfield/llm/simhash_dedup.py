@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopfield.llm.common import landed
+from stopfield.llm.common import landed, utf8
 from stopfield.llm.components import components
 from stopfield.llm.fingerprint import simhash
 
@@ -45,13 +45,13 @@ BATCH = 2048
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([simhash(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.array([simhash(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64))], [*batch.schema.names[1:], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_prints, f"doc_id {kind}, fp long")
+    """(doc_id, h, fp): the fingerprint of every whole text as a signed long, and the digest of the text."""
+    kind, text = dict(docs.dtypes)["doc_id"], F.col("text").cast("string")
+    return docs.select(text.alias("text"), "doc_id", F.xxhash64(utf8(text), F.lit(1)).alias("h")).mapInArrow(_prints, f"doc_id {kind}, h long, fp long")
 
 
 def _remainder(words: np.ndarray, n: int, g: int) -> np.ndarray:
@@ -141,16 +141,29 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD, codes: tuple[str
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, codes: tuple[str, ...] = DEFAULT_CODES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fp and ``component_id``, the smallest doc_id its links reach."""
+    """Per row of ``docs`` (doc_id, text): doc_id, h (digest of the text), fp and ``component_id``, the smallest doc_id its links reach;
+    ``label`` is the component's least fingerprint, one value for each component."""
     prints = landed(fingerprints(docs))
     distinct = landed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(near_links(distinct, threshold, codes))
     labelled = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "of")
-    of_print = labelled.join(least, F.col("label") == F.col("of")).select(F.col("fp").alias("p"), "component_id")
-    return prints.join(of_print, F.col("fp") == F.col("p")).select("doc_id", "fp", "component_id")
+    of_print = labelled.join(least, F.col("label") == F.col("of")).select(F.col("fp").alias("p"), "component_id", "label")
+    return prints.join(of_print, F.col("fp") == F.col("p")).select("doc_id", "h", "fp", "component_id", "label")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and whatever else, kept) without near-duplicates: of each component the row of the smallest doc_id
+    (null last), of several with that id the one of least text digest; of rows that repeat id and text any one."""
+    found = near_duplicates(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h"))
+    chosen = found.groupBy("label").agg(F.min(order).alias("o")).select(F.col("o.d").alias("od"), F.col("o.h").alias("oh")).distinct()
+    text = utf8(F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text, F.lit(1)).alias("h"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(chosen, F.col("d").eqNullSafe(F.col("od")) & (F.col("h") == F.col("oh")), "left_semi").dropDuplicates(["d", "h"])
+    return kept.select("row.*")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
-    """``near_duplicates`` with the fingerprint as 16 lower-case hexadecimal digits."""
+    """doc_id, the fingerprint as 16 lower-case hexadecimal digits, and component_id."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
