@@ -57,7 +57,7 @@ def kmers(text: str) -> tuple[np.ndarray, np.ndarray]:
         digest, power, width = points, _BASE, 1
         while width < K:
             digest = digest[:-width] * power + digest[width:]
-            power = power * power
+            power = np.uint64(int(power) ** 2 % (1 << 64))
             width *= 2
     content = _mixed(digest)
     low = np.uint64((1 << len(content).bit_length()) - 1)
