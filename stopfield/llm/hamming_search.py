@@ -47,18 +47,18 @@ def _apart(a: Column, b: Column) -> Column:
 
 
 def _met(queries: DataFrame, index: DataFrame, radius: int, s: int, segments: int) -> DataFrame:
-    """(q, code) pairs whose segment ``s`` differs in exactly ``radius`` bits and that no earlier step has met."""
+    """(q, code) pairs whose segment ``s`` differs in exactly ``radius`` bits, that no earlier step has met and that are not farther than the
+    k-th verified distance so far (``bound`` of the query)."""
     width = BITS // segments
     masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))
     mask = F.explode(F.split(F.lit(masks), ",").cast("array<long>"))
-    probes = queries.select("q", mask.alias("mask")).select("q", _segment(F.col("q"), s, width).bitwiseXOR(F.col("mask")).alias("probe"))
-    hits = probes.join(index.filter(F.col("s") == s), F.col("probe") == F.col("value")).select("q", "code", "first", "n")
-    new = F.lit(True)
+    probes = queries.select("q", "bound", mask.alias("mask")).select("q", "bound", _segment(F.col("q"), s, width).bitwiseXOR(F.col("mask")).alias("probe"))
+    new = _apart(F.col("q"), F.col("code")) <= F.col("bound")
     for other in range(segments):
         if other != s:
             apart = _apart(_segment(F.col("q"), other, width), _segment(F.col("code"), other, width))
             new = new & ((apart > radius) if other < s else (apart >= radius))
-    return hits.filter(new)
+    return probes.join(index.filter(F.col("s") == s), (F.col("probe") == F.col("value")) & new).select("q", "code", "first", "n")
 
 
 def nearest_codes(items: DataFrame, queries: DataFrame, k: int = TOP, segments: int = SEGMENTS) -> DataFrame:
@@ -70,7 +70,7 @@ def nearest_codes(items: DataFrame, queries: DataFrame, k: int = TOP, segments:
     total = items.count()
     spread = entries.select("code", F.get("ids", F.lit(0)).alias("first"), F.size("ids").alias("n"), F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("code"), s, width).alias("value")) for s in range(segments)])).alias("x"))
     index = landed(spread.select("code", "first", "n", "x.s", "x.value"))
-    active = landed(queries.select(F.col("code").alias("q")).distinct())
+    active = landed(queries.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)))
     best = None
     by_distance = Window.partitionBy("q").orderBy("distance", "first", "code")
     steps = [(r, [*range(segments)]) for r in range(WHOLE)] + [(r, [s]) for r in range(WHOLE, width + 1) for s in range(segments)]
@@ -82,8 +82,9 @@ def nearest_codes(items: DataFrame, queries: DataFrame, k: int = TOP, segments:
         best = landed(both.withColumn("nth", F.row_number().over(by_distance)).filter(F.col("nth") <= keep).drop("nth"))
         so_far = best.withColumn("sum", F.sum("n").over(by_distance.rowsBetween(Window.unboundedPreceding, 0)))
         sure = so_far.groupBy("q").agg(F.min(F.when(F.col("sum") >= keep, F.col("distance"))).alias("kth"), F.max("sum").alias("found"))
-        done = sure.filter((F.col("kth") <= covered) | (F.col("found") >= total)).select(F.col("q").alias("d"))
-        active = landed(active.join(done, F.col("q") == F.col("d"), "left_anti"))
+        sure = sure.select(F.col("q").alias("d"), F.coalesce("kth", F.lit(BITS)).alias("kth"), (F.coalesce(F.col("kth") <= covered, F.lit(False)) | (F.col("found") >= total)).alias("done"))
+        open_ones = active.join(sure, F.col("q") == F.col("d"), "left").filter(~F.coalesce("done", F.lit(False)))
+        active = landed(open_ones.select("q", F.coalesce("kth", F.lit(BITS)).alias("bound")))
         if active.isEmpty():
             break
     wide = best.join(entries.withColumnRenamed("code", "of"), F.col("code") == F.col("of")).select("q", "distance", F.explode("ids").alias("id"))
