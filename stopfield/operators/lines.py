@@ -1,94 +1,104 @@
-"""Positions of stops along a drawn line. One row holds one route: its line and its stops are short arrays."""
+"""Positions of stops along drawn lines, as tables: pieces of lines with the kilometre they start at, and how near each stop is to each piece.
+
+Points are vectors on the unit sphere, so distances need no local projection. Positions are kilometres along the line.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopfield.functions.geo import haversine_km
+from stopfield.functions.geo import EARTH_KM
 from stopfield.functions.numeric import let
 
-# Degrees within which a second pass of the line counts as near, km by which it must differ, km per degree.
-NEAR_DEGREES, AMBIGUOUS_KM, KM_PER_DEGREE = 1e-4, 0.1, 111.195
+# Fixed values of the rule: a pass of the line within this of the nearest one competes with it; places farther apart than this differ.
+NEAR_KM, AMBIGUOUS_KM = 0.0111195, 0.1
 
 
-def _segments(line: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.size(line) - 2),
-        lambda i: let(
-            F.struct(F.element_at(line, i + 1).alias("a"), F.element_at(line, i + 2).alias("b")),
-            lambda s: F.struct(
-                i.alias("i"), s["a"]["lon"].alias("x"), s["a"]["lat"].alias("y"), (s["b"]["lon"] - s["a"]["lon"]).alias("dx"), (s["b"]["lat"] - s["a"]["lat"]).alias("dy"),
-                haversine_km(s["a"]["lon"], s["a"]["lat"], s["b"]["lon"], s["b"]["lat"]).alias("km"),
-            ),
-        ),
-    )
+def _vector(lon: Column, lat: Column) -> Column:
+    x, y = F.radians(lon), F.radians(lat)
+    return F.struct((F.cos(y) * F.cos(x)).alias("x"), (F.cos(y) * F.sin(x)).alias("y"), F.sin(y).alias("z"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
-def _fraction(seg: Column, p: Column) -> Column:
-    len2 = seg["dx"] * seg["dx"] + seg["dy"] * seg["dy"]
-    raw = ((p["lon"] - seg["x"]) * seg["dx"] + (p["lat"] - seg["y"]) * seg["dy"]) / F.when(len2 > 0, len2)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+def _minus(a: Column, b: Column) -> Column:
+    return F.struct(*[(a[c] - b[c]).alias(c) for c in ("x", "y", "z")])
 
 
-def _candidate(seg: Column, p: Column, start: Column) -> Column:
-    """(squared distance, position) of a stop on a segment, not before ``start``; a stop on the line is at distance 0."""
-    t = _fraction(seg, p)
-    t = F.when(seg["i"] == F.floor(start), F.greatest(t, start - F.floor(start))).otherwise(t)
+def line_pieces(routes: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """(key, piece, a, way, km, long): start and direction vector of every straight piece, the kilometre it starts at and its length.
 
-    def at(t):
-        ex, ey = seg["x"] + t * seg["dx"] - p["lon"], seg["y"] + t * seg["dy"] - p["lat"]
-        d2 = ex * ex + ey * ey
-        return F.struct(F.when(d2 < 1e-16, 0.0).otherwise(d2).alias("d2"), (seg["i"] + t).alias("pos"))
+    The running sum is over the pieces of one line.
+    """
+    points = routes.select(key, F.posexplode(line).alias("piece", "p")).select(key, "piece", _vector(F.col("p.lon"), F.col("p.lat")).alias("a"))
+    along = Window.partitionBy(key).orderBy("piece")
+    pairs = points.withColumn("b", F.lead("a").over(along)).filter(F.col("b").isNotNull())
+    ways = pairs.select(key, "piece", "a", _minus(F.col("b"), F.col("a")).alias("way"))
+    chord = F.sqrt(_dot(F.col("way"), F.col("way")))
+    length = F.lit(2 * EARTH_KM) * F.asin(F.least(chord / 2, F.lit(1.0)))
+    before = F.coalesce(F.sum("long").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return ways.withColumn("long", length).withColumn("km", before)
+
+
+def _reaches(routes: DataFrame, key: str, line: str, stops: str) -> DataFrame:
+    """Per stop of a route: ``reach``, for each piece in order its start and end kilometre, ``foot``, the kilometre nearest to the stop, and ``off``, so that
+    the squared distance at a kilometre is off + (kilometre - foot)^2."""
+    asked = routes.select(key, F.posexplode(stops).alias("nth", "s")).select(key, "nth", _vector(F.col("s.lon"), F.col("s.lat")).alias("p"))
+    both = asked.join(line_pieces(routes, key, line), key)
+    to = _minus(F.col("p"), F.col("a"))
+    size = _dot(F.col("way"), F.col("way"))
+    share = F.when(size > 0, _dot(to, F.col("way")) / size).otherwise(0.0)
+    # distances in kilometres: chords of these lengths are as long as their arcs to a millionth
+    both = both.withColumn("share", share).withColumn("side", (_dot(to, to) - F.col("share") * F.col("share") * size) * (EARTH_KM * EARTH_KM))
+    flat = both.select(
+        key, "nth", F.struct("piece", "km", (F.col("km") + F.col("long")).alias("to"), (F.col("km") + F.col("share") * F.col("long")).alias("foot"), F.greatest("side", F.lit(0.0)).alias("off")).alias("r"),
+    )
+    return flat.groupBy(key, "nth").agg(F.array_sort(F.collect_list("r")).alias("reach"))
 
-    return let(t, at)
 
+def _nearest(reach: Column, start: Column) -> Column:
+    """(squared distance, kilometre) of the nearest place of the line that is not before ``start``; the first of equals."""
 
-def _km_at(segs: Column, pos: Column) -> Column:
-    done = F.aggregate(F.filter(segs, lambda s: s["i"] < F.floor(pos)), F.lit(0.0), lambda acc, s: acc + s["km"])
-    part = F.coalesce(F.try_element_at(segs, (F.floor(pos) + 1).cast("int"))["km"], F.lit(0.0)) * (pos - F.floor(pos))
-    return done + part
+    def place(r):
+        at = F.greatest(F.least(r["foot"], r["to"]), r["km"], start)
+        away = at - r["foot"]
+        return F.struct(F.round(r["off"] + away * away, 9).alias("d"), at.alias("at"))  # a pass over the same place ties with it
 
+    return F.array_min(F.transform(F.filter(reach, lambda r: r["to"] >= start), place))
 
-def stop_positions(routes: DataFrame, line: str = "line", stops: str = "stops") -> DataFrame:
-    """Adds ``km``: the distance along the line of every stop in order, each at or after the one before it.
 
-    ``line``: array of (lon, lat); ``stops``: array of structs with lon and lat.
+def stop_positions(routes: DataFrame, key: str = "route", line: str = "line", stops: str = "stops") -> DataFrame:
+    """Adds ``km``: the distance along the line of every stop in order, each at or after the one before it, and ``ambiguous``: the line
+    passes some stop nearly as close at a place over ``AMBIGUOUS_KM`` from its position.
+
+    ``line``: array of (lon, lat); ``stops``: array of structs with lon and lat; ``key`` is unique. A line of one point has no position (null).
+    The fold over a route's stops sees, for each, its list of pieces.
     """
-    start = F.struct(F.lit(0.0).alias("pos"), F.array().cast("array<double>").alias("out"))
-
-    def place(acc, p):
-        ahead = F.filter(F.col("_segs"), lambda s: s["i"] >= F.floor(acc["pos"]))
-        best = F.array_min(F.transform(ahead, lambda s: _candidate(s, p, acc["pos"])))
-        return let(F.coalesce(best["pos"], acc["pos"]), lambda pos: F.struct(pos.alias("pos"), F.array_append(acc["out"], pos).alias("out")))
-
-    rows = routes.withColumn("_segs", _segments(F.col(line)))
-    rows = rows.withColumn("_pos", F.aggregate(stops, start, place, lambda acc: acc["out"]))
-    return rows.withColumn("km", F.transform("_pos", lambda pos: _km_at(F.col("_segs"), pos))).drop("_pos", "_segs")
-
-
-def ambiguous_line(routes: DataFrame, line: str = "line", stops: str = "stops", km: str = "km") -> DataFrame:
-    """Adds ``ambiguous``: the line passes some stop at a place other than its in-order position, so nearest-point snapping may go wrong."""
-    lats = F.transform(line, lambda p: p["lat"])
-    mean = F.aggregate(lats, F.lit(0.0), lambda acc, v: acc + v) / F.size(line)
-    rows = routes.withColumn("_kx", F.cos(F.radians(mean))).withColumn("_plain", _segments(F.col(line)))
-    flat = lambda s: F.sqrt(F.pow(s["dx"] * F.col("_kx"), F.lit(2)) + s["dy"] * s["dy"]) * KM_PER_DEGREE
-    rows = rows.withColumn("_segs", F.transform("_plain", lambda s: s.withField("km", flat(s))))
-    whole = F.aggregate("_segs", F.lit(0.0), lambda acc, s: acc + s["km"])
-    last = F.element_at(km, -1)
-    rows = rows.withColumn("_scale", F.when(last > 0, whole / F.greatest(last, F.lit(1e-9))).otherwise(1.0))
-
-    def passes(p):
-        def measure(s):
-            return let(_fraction(s, p), lambda t: F.struct(
-                F.sqrt(F.pow((s["x"] + t * s["dx"] - p["lon"]) * F.col("_kx"), F.lit(2)) + F.pow(s["y"] + t * s["dy"] - p["lat"], F.lit(2))).alias("d"), (s["i"] + t).alias("pos")))
-        return F.transform("_segs", measure)
-
-    def doubtful(p, k):
-        def check(all_):
-            least = F.array_min(F.transform(all_, lambda c: c["d"]))
-            return F.exists(all_, lambda c: (c["d"] <= least + NEAR_DEGREES) & (F.abs(_km_at(F.col("_segs"), c["pos"]) - k * F.col("_scale")) > AMBIGUOUS_KM))
-        return let(passes(p), check)
-
-    pairs = F.arrays_zip(F.col(stops).alias("p"), F.col(km).alias("k"))
-    return rows.withColumn("ambiguous", F.exists(pairs, lambda z: doubtful(z["p"], z["k"]))).drop("_kx", "_plain", "_segs", "_scale")
+    per_route = _reaches(routes, key, line, stops).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "reach"))).alias("asked"))
+    start = F.array().cast("array<double>")
+
+    def follow(done, s):
+        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0))
+        return F.array_append(done, F.coalesce(_nearest(s["reach"], last)["at"], last))
+
+    placed = per_route.withColumn("km", F.aggregate("asked", start, follow))
+
+    def doubtful(s, km):
+        least = F.array_min(F.transform(s["reach"], lambda r: _gap(r)))
+        return let(least, lambda m: F.exists(s["reach"], lambda r: (_gap(r) <= m + NEAR_KM) & (F.abs(_held(r) - km) > AMBIGUOUS_KM)))
+
+    unsure = F.exists(F.arrays_zip(F.col("asked").alias("s"), F.col("km").alias("k")), lambda z: doubtful(z["s"], z["k"]))
+    return routes.join(placed.select(key, "km", unsure.alias("ambiguous")), key, "left")
+
+
+def _held(r: Column) -> Column:
+    """The kilometre of a piece that is nearest to the stop."""
+    return F.greatest(F.least(r["foot"], r["to"]), r["km"])
+
+
+def _gap(r: Column) -> Column:
+    away = _held(r) - r["foot"]
+    return F.sqrt(r["off"] + away * away)

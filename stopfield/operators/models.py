@@ -18,42 +18,56 @@ from stopfield.operators.stats import weighted_moments
 from stopfield.session import cut_lineage
 
 
-def logistic_pooled(rows: DataFrame, features: Sequence[str], y: str, n: str, weight: str | None = None, rounds: int = 25) -> tuple[float, list[float]]:
-    """Weighted binomial regression of y successes in n on features: (intercept, slopes)."""
+def logistic_pooled(rows: DataFrame, features: Sequence[str], y: str, n: str, weight: str | None = None, rounds: int = 200) -> tuple[float, list[float]]:
+    """Weighted binomial regression of y successes in n on features: (intercept, slopes). Raises if ``rounds`` steps do not converge."""
     w = F.col(n) * (F.lit(1.0) if weight is None else F.col(weight))
     ready = rows.filter(F.col(n) > 0).select(*features, (F.col(y) / F.col(n)).alias("_share"), w.alias("_w")).filter("_w > 0")
     vector = VectorAssembler(inputCols=list(features), outputCol="_x").transform(ready)
     fit = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_share", weightCol="_w", maxIter=rounds, tol=1e-10).fit(vector)
+    if fit.summary.numIterations >= rounds:
+        raise ArithmeticError(f"no fit after {rounds} steps")
     return float(fit.intercept), [float(v) for v in fit.coefficients]
 
 
-def binomial_loss(y: Column, n: Column, eta: Column) -> Column:
-    """Negative log-likelihood of one row (without the constant), stable for large logits."""
-    return -(y * eta - n * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))))
+# Fixed values of the rule: bounds of an intercept and of one step, and the slope change at which the fit ends.
+INTERCEPTS, LONGEST_STEP, SLOPE_TOLERANCE = (-25.0, 5.0), 2.0, 1e-7
+STEPS = 200
+"""Newton steps after which a fit counts as failed. It raises then, as it does for data without a finite optimum."""
 
 
-def logistic_by_group(rows: DataFrame, group: str, f: str, y: str, n: str, rounds: int = 25, tolerance: float = 1e-7) -> tuple[DataFrame, float]:
-    """One slope with an intercept per group: ((group, a), b), by alternating Newton steps; the rows are summed per group each round.
+def logistic_by_group(rows: DataFrame, group: str, f: str, y: str, n: str, tolerance: float = SLOPE_TOLERANCE) -> tuple[DataFrame, float]:
+    """One slope with an intercept per group: ((group, a), b), by joint Newton steps on the slope and all intercepts.
 
-    The intercept table has one row per group; its lineage is cut every round. Steps are clipped to [-2, 2] and intercepts to [-25, 5].
+    Rows are summed once per (group, f). A step is one aggregate per group and one over the groups: the slope's step follows from the sums in
+    which every group's intercept is already eliminated, then each intercept's from its own. Intercepts are written each step.
     """
-    data = rows.filter(F.col(n) > 0).select(group, F.col(f).cast("double").alias("_f"), F.col(y).cast("double").alias("_y"), F.col(n).cast("double").alias("_n"))
+    sums = rows.filter(F.col(n) > 0).groupBy(group, F.col(f).cast("double").alias("_f")).agg(F.sum(F.col(y).cast("double")).alias("_y"), F.sum(F.col(n).cast("double")).alias("_n"))
+    data = cut_lineage(sums)
     total = data.agg(F.sum("_y").alias("y"), F.sum("_n").alias("n")).first()
     start = float(np.log((total["y"] + 0.5) / (total["n"] - total["y"] + 0.5)))
     a, b = data.select(group).distinct().withColumn("a", F.lit(start)), 0.0
-    for _ in range(rounds):
+    for _ in range(STEPS):
         p = 1 / (1 + F.exp(-(F.col("a") + F.lit(b) * F.col("_f"))))
-        w = F.greatest(F.col("_n") * p * (1 - p), F.lit(1e-12))
-        per = salted_join(data, a, [group], "inner").groupBy(group, "a").agg(F.sum(F.col("_y") - F.col("_n") * p).alias("_r"), F.sum(w).alias("_w"))
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("_r") / F.greatest(F.col("_w"), F.lit(1e-6))))
-        a = cut_lineage(per.select(group, F.greatest(F.lit(-25.0), F.least(F.lit(5.0), F.col("a") + step)).alias("a")))
-        s = salted_join(data, a, [group], "inner").agg(
-            F.sum((F.col("_y") - F.col("_n") * p) * F.col("_f")).alias("g"), F.sum(w * F.col("_f") * F.col("_f")).alias("h")).first()
-        change = s["g"] / (s["h"] + 1e-9)
+        spread = F.col("_n") * p * (1 - p)
+        left = F.col("_y") - F.col("_n") * p
+        joined = data.join(a, group).select(group, "a", "_f", left.alias("_r"), spread.alias("_w"))
+        per = cut_lineage(joined.groupBy(group, "a").agg(
+            F.sum("_r").alias("_r1"), F.sum("_w").alias("_w1"), F.sum(F.col("_w") * F.col("_f")).alias("_c1"), F.sum(F.col("_r") * F.col("_f")).alias("_g1"), F.sum(F.col("_w") * F.col("_f") * F.col("_f")).alias("_h1")))
+        # a group without spread left (all or none succeed) has no part in the slope's step
+        own = F.when(F.col("_w1") > 0, F.col("_c1") / F.col("_w1")).otherwise(0.0)
+        whole = per.agg(F.sum(F.col("_g1") - own * F.col("_r1")).alias("g"), F.sum(F.col("_h1") - own * F.col("_c1")).alias("h")).first()
+        change = whole["g"] / whole["h"] if whole["h"] and whole["h"] > 0 else 0.0
+        change = max(-LONGEST_STEP, min(LONGEST_STEP, change))
+        step = F.when(F.col("_w1") > 0, (F.col("_r1") - F.col("_c1") * F.lit(change)) / F.col("_w1")).otherwise(F.signum("_r1") * LONGEST_STEP)
+        step = F.greatest(F.lit(-LONGEST_STEP), F.least(F.lit(LONGEST_STEP), step))
+        moved = F.greatest(F.lit(INTERCEPTS[0]), F.least(F.lit(INTERCEPTS[1]), F.col("a") + step))
+        a = per.select(group, moved.alias("a"), F.abs(moved - F.col("a")).alias("_d"))
         b += change
-        if abs(change) < tolerance:
-            break
-    return a, b
+        farthest = a.agg(F.max("_d")).first()[0]
+        a = a.select(group, "a")
+        if abs(change) < tolerance and (farthest or 0.0) < max(tolerance, 1e-6):
+            return a, b
+    raise ArithmeticError(f"no fit after {STEPS} steps; the last one moved the slope by {change:g}")
 
 
 def two_part(score: Column, trials: Column, alphas: Sequence[float], slope: float, any_part: tuple[float, float, float]) -> tuple[list[Column], Column]:
@@ -70,7 +84,8 @@ def two_part(score: Column, trials: Column, alphas: Sequence[float], slope: floa
 def search_curves(
     items: DataFrame, profiles: DataFrame, start: ScoreCurves, moves: Mapping[str, Sequence[float]], loss, rounds: int = 3, by: Sequence[str] = ()
 ) -> tuple[ScoreCurves, DataFrame]:
-    """Curve parameters with the smallest loss, from shrinking coordinate steps.
+    """Curve parameters with the smallest loss, from coordinate steps that are halved every round; ``rounds`` is the resolution of the search
+    (relative steps down to the first ones / 2^(rounds - 1)), not a limit of an iteration.
 
     ``moves``: parameter -> relative steps; every round scores all candidates of the round in one job. ``loss(scores)`` takes (cell, by, set, los)
     and returns (set, loss). Returns the best curves and the losses of the last round.
@@ -128,17 +143,17 @@ def mediation(df: DataFrame, outcome: str, mediator: str, controls: Sequence[str
     return df.sparkSession.createDataFrame([(float(full[0]), r2, r2_controls)], "coefficient double, r2_with double, r2_controls double")
 
 
-def non_negative(gram: np.ndarray, target: np.ndarray, sweeps: int = 2000) -> np.ndarray:
-    """Non-negative least squares from its normal equations by coordinate steps."""
+def non_negative(gram: np.ndarray, target: np.ndarray, sweeps: int = 100_000) -> np.ndarray:
+    """Non-negative least squares from its normal equations by coordinate steps. Raises if the sweeps do not settle."""
     x = np.zeros(len(target))
     for _ in range(sweeps):
         before = x.copy()
         for i in range(len(x)):
             if gram[i, i] > 0:
                 x[i] = max(0.0, x[i] + (target[i] - gram[i] @ x) / gram[i, i])
-        if np.abs(x - before).max() < 1e-12:
-            break
-    return x
+        if np.abs(x - before).max() <= 1e-12 * max(1.0, np.abs(x).max()):
+            return x
+    raise ArithmeticError("the non-negative fit does not settle")
 
 
 def band_effects(units: DataFrame, cluster: str, features: Sequence[str], outcome: str, weight: str, replicates: int = 30, seed: int = 0) -> DataFrame:

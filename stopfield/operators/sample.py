@@ -86,14 +86,14 @@ def group_sample(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFra
     return out.withColumn("w", F.col("_n") / F.least(F.col("_n"), F.lit(n))).select(*df.columns, "w")
 
 
-def inclusion(df: DataFrame, raw: str, share: float, rounds: int = 50) -> tuple[DataFrame, float]:
+def inclusion(df: DataFrame, raw: str, share: float) -> tuple[DataFrame, float]:
     """``pi`` = min(1, c x raw) with c such that the sum of pi is ``share`` of the rows.
 
     Rows that reach 1 leave the balance; each round is one aggregate of two numbers and the rounds end when no further row saturates.
     """
     target = share * df.count()
     c, certain = 0.0, -1
-    for _ in range(rounds):
+    while True:  # every round but the last one adds a row that saturates
         full = F.col(raw) * c >= 1
         row = df.agg(F.count_if(full).alias("n"), F.coalesce(F.sum(F.when(~full, F.col(raw))), F.lit(0.0)).alias("s")).first()
         if row["n"] == certain or not row["s"] > 0:
@@ -105,11 +105,12 @@ def inclusion(df: DataFrame, raw: str, share: float, rounds: int = 50) -> tuple[
 
 def systematic_sample(df: DataFrame, groups: Sequence[str], order: str, key: str, weight: str, start: float) -> DataFrame:
     """Rows at which the running sum of ``pi`` plus a start in [0, 1) passes an integer, and all rows of pi 1; ``w`` = weight / pi."""
-    run = running_sum(df, groups, order, key, "pi", "_cum")
-    after = F.col("_cum") + F.lit(start)
-    hit = F.floor(after + 1e-9) > F.floor(after - F.col("pi") + 1e-9)
+    exact = df.withColumn("_pi", F.round(F.col("pi"), 12).cast("decimal(38,12)"))  # sums of decimals do not drift
+    run = running_sum(exact, groups, order, key, "_pi", "_cum")
+    after = F.col("_cum") + F.lit(start).cast("decimal(38,12)")
+    hit = F.floor(after) > F.floor(after - F.col("_pi"))
     picked = run.filter(hit | (F.col("pi") >= 1))
-    return picked.withColumn("w", F.col(weight) / F.col("pi")).drop("_cum")
+    return picked.withColumn("w", F.col(weight) / F.col("pi")).drop("_cum", "_pi")
 
 
 def share_bin(share: Column) -> Column:

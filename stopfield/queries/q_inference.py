@@ -121,12 +121,12 @@ def _pairs(t):
 
 TESTS = f"""
     u AS ({RUNS}), p AS (SELECT b.run, b.county, a.num AS na, b.num AS nb, b.den FROM u a JOIN u b ON a.county = b.county AND a.run = 0 AND b.run > 0),
-    d AS (SELECT run, sum(na-nb)/sum(den) AS difference FROM p GROUP BY 1), w AS (SELECT n_nationkey AS county, rep, {_pois(U("n_nationkey::VARCHAR || '/' || rep::VARCHAR", 0))} AS w FROM nation, range(0,400) k(rep)),
+    d AS (SELECT run, sum(na-nb)/sum(den) AS difference FROM p GROUP BY 1), w AS (SELECT n_nationkey AS county, rep, {_pois(U("n_nationkey::VARCHAR || '/' || rep::VARCHAR", 0))} AS w FROM nation, range(0,4000) k(rep)),
     b AS (SELECT run, rep, sum(w*(na-nb))/nullif(sum(w*den),0) AS d FROM p JOIN w USING (county) GROUP BY 1,2), t AS (SELECT run, difference, p_value FROM d JOIN (SELECT run, avg((coalesce(d,0) <= 0)::INT) AS p_value FROM b GROUP BY 1) USING (run))"""
 
 
 def _tests(t):
-    return I.paired_bootstrap(_pairs(t), ["run"], "county", "a", "num", "den", replicates=400)
+    return I.paired_bootstrap(_pairs(t), ["run"], "county", "a", "num", "den", replicates=4000)
 
 
 @query("paired_bootstrap_tests", "I7 I6", f"WITH {TESTS} SELECT run, round(difference,9) AS difference, round(p_value,6) AS p_value FROM t")
@@ -220,7 +220,7 @@ def _(t):
 @query("logistic_by_metro", "M1")
 def _(t):
     u = t.unit.filter("population > 0").select("county", (F.col("los") / 100).alias("f"), "dem", "population")
-    a, b = Mo.logistic_by_group(u, "county", "f", "dem", "population", rounds=8)
+    a, b = Mo.logistic_by_group(u, "county", "f", "dem", "population")
     return a.select("county", r(F.col("a"), 5).alias("intercept"), F.lit(round(b, 5)).alias("slope"))
 
 

@@ -124,7 +124,7 @@ def _(t):
     line = F.array(pt(k % 7 * 0.01, k * 0), pt(k % 7 * 0.01 + 0.1, k % 5 * 0.01), pt(k % 7 * 0.01 + 0.2, k % 3 * 0.02), pt(k % 7 * 0.01 + 0.1, k % 5 * 0.01 + 0.03), pt(k % 7 * 0.01 + 0.3, k % 4 * 0.01))
     stops = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(i.alias("stop"), (F.lit(-90.0) + k % 7 * 0.01 + i * 0.06).alias("lon"), (F.lit(35.0) + k % 3 * 0.01).alias("lat")))
     rows = t.part.select(k.alias("route"), line.alias("line"), stops.alias("stops"))
-    out = L.ambiguous_line(L.stop_positions(rows))
+    out = L.stop_positions(rows)
     return out.select("route", F.array_join(F.transform("km", lambda v: F.round(v, 3).cast("string")), ",").alias("km"), "ambiguous")
 
 

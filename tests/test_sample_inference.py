@@ -74,7 +74,7 @@ def test_logistic_by_group_finds_the_planted_slope(spark):
         for _ in range(200):
             f = rng.uniform(0, 1)
             rows.append((g, float(f), float(rng.binomial(200, 1 / (1 + np.exp(-(a + 1.5 * f))))), 200.0))
-    a, b = models.logistic_by_group(spark.createDataFrame(rows, "g int, f double, y double, n double"), "g", "f", "y", "n", rounds=15)
+    a, b = models.logistic_by_group(spark.createDataFrame(rows, "g int, f double, y double, n double"), "g", "f", "y", "n")
     got = {r["g"]: r["a"] for r in a.collect()}
     assert abs(b - 1.5) < 0.08 and all(abs(got[g] - v) < 0.08 for g, v in enumerate((-2.0, -1.0, 0.5)))
     slope = models.logistic_pooled(spark.createDataFrame([r for r in rows if r[0] == 1], "g int, f double, y double, n double"), ["f"], "y", "n")[1][0]

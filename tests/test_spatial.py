@@ -165,33 +165,47 @@ def test_bounded_walk_against_dijkstra(spark):
     assert got == want
 
 
-def in_order(line, stops):
-    """Each stop at its nearest place on the line at or after the previous one, as (segment + fraction)."""
-    out, start = [], 0.0
-    for x, y in stops:
-        cand = []
-        for i in range(int(start), len(line) - 1):
-            (x1, y1), (x2, y2) = line[i], line[i + 1]
-            t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
-            t = max(t, start - i) if i == int(start) else t
-            d2 = (x1 + t * (x2 - x1) - x) ** 2 + (y1 + t * (y2 - y1) - y) ** 2
-            cand.append((0.0 if d2 < 1e-16 else d2, i + t))
-        start = min(cand)[1] if cand else start
-        out.append(start)
+def vectors(points):
+    out = []
+    for lon, lat in points:
+        x, y = math.radians(lon), math.radians(lat)
+        out.append((math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y)))
     return out
 
 
-def test_stops_keep_their_order_on_an_out_and_back_line(spark):
-    line = [(0.0, 0.0), (0.1, 0.0), (0.2, 0.0), (0.1, 0.0), (0.0, 0.0)]
-    stops = [(0.05, 0.001), (0.15, 0.001), (0.15, 0.001), (0.02, 0.001)]
+def walked(line, stops, steps=4000):
+    """Stops in order along a line that is cut into many points: the nearest point not before the last stop's."""
+    pts, km, at = [], [], 0.0
+    for (x1, y1), (x2, y2) in zip(line, line[1:]):
+        (a, b) = vectors([(x1, y1), (x2, y2)])
+        length = 2 * 6371.0 * math.asin(math.dist(a, b) / 2)
+        for i in range(steps + 1):
+            pts.append(tuple(p + (q - p) * i / steps for p, q in zip(a, b)))
+            km.append(at + length * i / steps)
+        at += length
+    first, out, unsure = 0, [], False
+    for s in vectors(stops):
+        dist = [6371.0 * math.dist(p, s) for p in pts]
+        first = min(range(first, len(pts)), key=lambda i: (round(dist[i], 9), i))
+        out.append(km[first])
+        least = min(dist)
+        unsure = unsure or any(d <= least + 0.5 * lines.NEAR_KM and abs(k - km[first]) > 2 * lines.AMBIGUOUS_KM for d, k in zip(dist, km))
+    return out, unsure
+
+
+def test_stops_keep_their_order_along_lines(spark):
     at = lambda p: F.struct(F.lit(p[0]).alias("lon"), F.lit(p[1]).alias("lat"))
-    df = spark.range(1).select(F.array(*map(at, line)).alias("line"), F.array(*map(at, stops)).alias("stops"))
-    out = lines.ambiguous_line(lines.stop_positions(df)).first()
-    per = 0.1 * grid.METRES_PER_DEGREE / 1000
-    assert all(abs(k - p * per) < 1e-6 for k, p in zip(out["km"], in_order(line, stops)))
-    assert out["ambiguous"]
-    straight = spark.range(1).select(F.array(*map(at, [(0.0, 0.0), (0.1, 0.0), (0.2, 0.0)])).alias("line"), F.array(*map(at, [(0.0, 0.0), (0.2, 0.0)])).alias("stops"))
-    assert not lines.ambiguous_line(lines.stop_positions(straight)).first()["ambiguous"]
+    cases = [
+        ([(0.0, 0.0), (0.1, 0.0), (0.2, 0.0), (0.1, 0.0), (0.0, 0.0)], [(0.05, 0.001), (0.15, 0.001), (0.15, 0.001), (0.02, 0.001)]),
+        ([(0.0, 47.0), (0.1, 47.0), (0.2, 47.05)], [(0.0, 47.0), (0.11, 47.0), (0.2, 47.06)]),
+        ([(5.0, 60.0), (5.0, 60.1), (5.2, 60.1), (5.2, 60.0)], [(5.01, 60.05), (5.1, 60.09), (5.19, 60.05), (5.3, 59.9)]),
+    ]
+    for line, stops in cases:
+        df = spark.range(1).select(F.lit(1).alias("route"), F.array(*map(at, line)).alias("line"), F.array(*map(at, stops)).alias("stops"))
+        out = lines.stop_positions(df).first()
+        want, unsure = walked(line, stops)
+        assert all(abs(k - w) < 0.01 for k, w in zip(out["km"], want)) and len(out["km"]) == len(want)
+        assert out["ambiguous"] == unsure
 
 
 def test_cell_walk_goes_by_the_nearer_end(spark):
