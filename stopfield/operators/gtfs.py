@@ -46,12 +46,20 @@ def fingerprint(*columns: Column) -> Column:
     return F.concat_ws("-", F.count("*").cast("string"), part(1).cast("string"), part(14).cast("string"))
 
 
+def qualified(table: DataFrame, *ids: str) -> DataFrame:
+    """The table with its ids made unique over all feeds: ``feed`` joined with the id. Null ids stay null."""
+    return table.withColumns({c: F.when(F.col(c).isNotNull(), F.concat_ws(":", F.col("feed").cast("string"), F.col(c).cast("string"))) for c in ids})
+
+
 def active_services(calendar: DataFrame, exceptions: DataFrame, first=None, last=None) -> DataFrame:
-    """(service, date) pairs: the weekday flags inside each date range, plus added dates, minus removed ones, clipped to [first, last]."""
+    """(feed, service, date): the weekday flags inside each date range, plus added dates, minus removed ones, clipped to [first, last].
+
+    Both tables carry ``feed``: feeds use the same service ids for different days.
+    """
     start = F.col("start_date") if first is None else F.greatest("start_date", F.lit(first).cast("date"))
     end = F.col("end_date") if last is None else F.least("end_date", F.lit(last).cast("date"))
     ranged = calendar.withColumn("_s", start).withColumn("_e", end).filter("_s <= _e")
-    days = ranged.select("service", *clock.WEEKDAYS, F.explode(clock.date_range(F.col("_s"), F.col("_e"))).alias("date"))
+    days = ranged.select("feed", "service", *clock.WEEKDAYS, F.explode(clock.date_range(F.col("_s"), F.col("_e"))).alias("date"))
     runs = F.element_at(F.array(*[F.col(d) for d in clock.WEEKDAYS]), F.weekday("date") + 1) == 1
     within = F.lit(True)
     if first is not None:
@@ -59,15 +67,15 @@ def active_services(calendar: DataFrame, exceptions: DataFrame, first=None, last
     if last is not None:
         within = within & (F.col("date") <= F.lit(last).cast("date"))
     changes = exceptions.filter(within)
-    added = changes.filter("exception_type = 1").select("service", "date")
-    removed = changes.filter("exception_type = 2").select("service", "date")
-    return days.filter(runs).select("service", "date").union(added).distinct().join(removed, ["service", "date"], "left_anti")
+    added = changes.filter("exception_type = 1").select("feed", "service", "date")
+    removed = changes.filter("exception_type = 2").select("feed", "service", "date")
+    return days.filter(runs).select("feed", "service", "date").union(added).distinct().join(removed, ["feed", "service", "date"], "left_anti")
 
 
 def trips_per_day(active: DataFrame, trips: DataFrame) -> DataFrame:
     """Trips of every feed on every date; trips are counted per service before the dates multiply them."""
     per_service = trips.groupBy("feed", "service").agg(F.count("*").alias("_n"))
-    return active.join(per_service, "service").groupBy("feed", "date").agg(F.sum("_n").alias("trips"))
+    return active.join(per_service, ["feed", "service"]).groupBy("feed", "date").agg(F.sum("_n").alias("trips"))
 
 
 def day_volume(counts: DataFrame) -> DataFrame:
@@ -103,7 +111,7 @@ def scoring_day(counts: DataFrame, shared, day_type: str = "weekday") -> DataFra
 
 def trips_on_scoring_day(trips: DataFrame, active: DataFrame, days: DataFrame) -> DataFrame:
     """All feeds' trips of their own scoring day in one job."""
-    services = days.join(active, F.col("day") == F.col("date")).select("feed", "service", "day", "fallback")
+    services = days.withColumnRenamed("day", "date").join(active, ["feed", "date"]).select("feed", "service", F.col("date").alias("day"), "fallback")
     return salted_join(trips, services, ["feed", "service"], "inner")
 
 

@@ -17,7 +17,7 @@ from stopfield.session import cut_lineage
 
 @dataclass(frozen=True)
 class Feeds:
-    """Timetable tables of all feeds together.
+    """Timetable tables of all feeds together; trip and stop ids are unique over all feeds (:func:`stopfield.operators.gtfs.qualified`).
 
     ``trips``: (trip, feed, route, service, direction); ``calls``: (trip, seq, stop, sec); ``stops``: (stop, station, lon, lat);
     ``routes``: (feed, route, mode); ``calendar`` and ``exceptions`` as in :func:`stopfield.operators.gtfs.active_services`.

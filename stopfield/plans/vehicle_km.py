@@ -17,10 +17,10 @@ def vehicle_km(
 ) -> DataFrame:
     """Per area: runs of the day's trips times the length of their segments whose middle lies in the area, and the trips seen.
 
-    Trips are cut to the day first, so neither segments nor areas are joined for trips that do not run.
+    Trip and stop ids are unique over all feeds (``gtfs.qualified`` makes them so). Trips are cut to the day first, so neither segments nor areas are joined for trips that do not run.
     """
-    today = active_services(calendar, exceptions, day, day).select("service")
-    running = runs_per_trip(trips.join(today, "service", "left_semi"), frequencies).select("trip", "runs")
+    today = active_services(calendar, exceptions, day, day).select("feed", "service")
+    running = runs_per_trip(trips.join(today, ["feed", "service"], "left_semi"), frequencies).select("trip", "runs")
     at = salted_join(calls.join(running.select("trip"), "trip", "left_semi"), stops.select("stop", "lon", "lat"), ["stop"], "inner")
     w = Window.partitionBy("trip").orderBy("seq")
     nxt = at.withColumn("x2", F.lead("lon").over(w)).withColumn("y2", F.lead("lat").over(w)).filter("x2 is not null")

@@ -17,7 +17,7 @@ def _counts(t):
     return G.trips_per_day(G.active_services(t.calendar, t.exception), t.trip)
 
 
-@query("active_services", "C1", "SELECT service, date FROM v_active")
+@query("active_services", "C1", "SELECT feed, service, date FROM v_active")
 def _(t):
     return G.active_services(t.calendar, t.exception)
 
@@ -55,7 +55,7 @@ DAYS = """
 
 
 @query("feeds_split_by_day", "C5", DAYS + """
-    SELECT t.feed, day, fallback, count(*) AS trips, count(DISTINCT route) AS routes FROM v_trip t JOIN days ON t.feed = days.feed JOIN v_active a ON a.service = t.service AND a.date = day GROUP BY 1,2,3""")
+    SELECT t.feed, day, fallback, count(*) AS trips, count(DISTINCT route) AS routes FROM v_trip t JOIN days ON t.feed = days.feed JOIN v_active a ON a.feed = t.feed AND a.service = t.service AND a.date = day GROUP BY 1,2,3""")
 def _(t):
     active = G.active_services(t.calendar, t.exception)
     days = G.scoring_day(G.trips_per_day(active, t.trip), "2024-01-10")

@@ -389,7 +389,7 @@ def _(t):
 
 
 @query("vehicle_km_by_area", "A29 W6", f"""
-    WITH a AS (SELECT service FROM v_active WHERE date = DATE '2024-01-10'), t AS (SELECT trip, coalesce(n,1) AS runs FROM v_trip JOIN a USING (service) LEFT JOIN (SELECT trip, sum(("end"-start)//headway) AS n FROM v_frequency GROUP BY 1) USING (trip)),
+    WITH a AS (SELECT feed, service FROM v_active WHERE date = DATE '2024-01-10'), t AS (SELECT trip, coalesce(n,1) AS runs FROM v_trip JOIN a USING (feed, service) LEFT JOIN (SELECT trip, sum(("end"-start)//headway) AS n FROM v_frequency GROUP BY 1) USING (trip)),
     s AS (SELECT trip, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM v_stop_time JOIN v_station ON stop = station WINDOW w AS (PARTITION BY trip ORDER BY seq)),
     m AS (SELECT trip, (x1+x2)/2 AS lon, (y1+y2)/2 AS lat, {sql_haversine('x1','y1','x2','y2')} AS km FROM s WHERE x2 IS NOT NULL)
     SELECT area, round(sum(km*runs),2) AS vehicle_km, count(DISTINCT trip) AS trips FROM m JOIN t USING (trip) JOIN v_area ON {IN_AREA} GROUP BY 1""")

@@ -179,30 +179,29 @@ class Tables:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        """One service per nation: weekday flags and a date range around January 2024."""
-        k = F.col("n_nationkey")
-        bits = (k * 37 + 31) % 128
+        """A service per nation in each of eight feeds, which use the same service ids for other days: flags and a range around January 2024."""
+        k, feed = F.col("n_nationkey"), F.col("feed")
+        bits = (k * 37 + 31 + feed * 13) % 128
         flag = lambda i, n: F.shiftright(bits, i).bitwiseAND(F.lit(1)).alias(n)
         names = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-        start = F.date_add(F.lit("2024-01-01").cast("date"), (k % 6).cast("int"))
-        return self.read("nation").select(
-            k.cast("long").alias("service"), *[flag(i, n) for i, n in enumerate(names)], start.alias("start_date"),
+        start = F.date_add(F.lit("2024-01-01").cast("date"), ((k + feed) % 6).cast("int"))
+        feeds = self.read("nation").withColumn("feed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+        return feeds.select(
+            "feed", k.cast("long").alias("service"), *[flag(i, n).cast("int").alias(n) for i, n in enumerate(names)], start.alias("start_date"),
             F.date_add(start, (F.lit(14) + k % 11).cast("int")).alias("end_date"),
         )
 
     @cached_property
     def exception(self) -> DataFrame:
-        """Calendar exceptions: 1 adds a service on a date, 2 removes it."""
-        e = self.read("events").filter("event_type in ('purchase', 'error') and user_id % 6 = 0")
-        return e.groupBy((F.col("user_id") % 25).alias("service"), F.to_date("ts").alias("date")).agg(
-            F.min(F.when(F.col("event_type") == "purchase", 1).otherwise(2)).alias("exception_type")
-        )
+        """Calendar exceptions out of all events: 1 adds a service on a date, 2 removes it, other numbers change nothing."""
+        keys = ((F.col("user_id") % 8).alias("feed"), (F.col("user_id") % 25).alias("service"), F.to_date("ts").alias("date"))
+        return self.read("events").groupBy(*keys).agg((F.sum("event_id") % 5).cast("int").alias("exception_type"))
 
     @cached_property
     def frequency(self) -> DataFrame:
         k = F.col("o_orderkey")
         start = k % 18 * 3600
-        return self.read("orders").filter("o_orderkey % 3 = 0").select(
+        return self.read("orders").select(
             k.alias("trip"), start.alias("start"), (start + (k % 4 + 1) * 1800).alias("end"), (F.lit(300) + k % 12 * 75).alias("headway")
         )
 
@@ -329,23 +328,22 @@ SQL_VIEWS: dict[str, str] = {
         SELECT trip, seq, stop, ((trip*37)%72000 + seq*300 + wait*5)::INT AS sec FROM (
           SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_suppkey) AS stop, min(l_quantity)::INT AS wait FROM lineitem GROUP BY 1,2)""",
     "v_calendar": """
-        SELECT n_nationkey::BIGINT AS service, b&1 AS monday, (b>>1)&1 AS tuesday, (b>>2)&1 AS wednesday, (b>>3)&1 AS thursday, (b>>4)&1 AS friday, (b>>5)&1 AS saturday, (b>>6)&1 AS sunday,
-               DATE '2024-01-01' + n_nationkey%6 AS start_date, DATE '2024-01-01' + n_nationkey%6 + 14 + n_nationkey%11 AS end_date
-        FROM (SELECT *, (n_nationkey*37+31)%128 AS b FROM nation)""",
+        SELECT feed, n_nationkey::BIGINT AS service, b&1 AS monday, (b>>1)&1 AS tuesday, (b>>2)&1 AS wednesday, (b>>3)&1 AS thursday, (b>>4)&1 AS friday, (b>>5)&1 AS saturday, (b>>6)&1 AS sunday,
+               DATE '2024-01-01' + ((n_nationkey+feed)%6)::INT AS start_date, DATE '2024-01-01' + ((n_nationkey+feed)%6)::INT + 14 + n_nationkey%11 AS end_date
+        FROM (SELECT *, (n_nationkey*37+31+feed*13)%128 AS b FROM nation, range(8) f(feed))""",
     "v_exception": """
-        SELECT user_id%25 AS service, ts::DATE AS date, min(CASE WHEN event_type='purchase' THEN 1 ELSE 2 END) AS exception_type
-        FROM events WHERE event_type IN ('purchase','error') AND user_id%6=0 GROUP BY 1,2""",
+        SELECT user_id%8 AS feed, user_id%25 AS service, ts::DATE AS date, (sum(event_id)%5)::INT AS exception_type FROM events GROUP BY 1,2,3""",
     "v_frequency": """
         SELECT o_orderkey AS trip, o_orderkey%18*3600 AS start, o_orderkey%18*3600 + (o_orderkey%4+1)*1800 AS "end", 300 + o_orderkey%12*75 AS headway
-        FROM orders WHERE o_orderkey%3=0""",
+        FROM orders""",
     "v_active": """
-        SELECT service, date FROM (
-          SELECT service, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY))::DATE AS date, monday, tuesday, wednesday, thursday, friday, saturday, sunday FROM v_calendar)
+        SELECT feed, service, date FROM (
+          SELECT feed, service, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY))::DATE AS date, monday, tuesday, wednesday, thursday, friday, saturday, sunday FROM v_calendar)
         WHERE CASE isodow(date) WHEN 1 THEN monday WHEN 2 THEN tuesday WHEN 3 THEN wednesday WHEN 4 THEN thursday WHEN 5 THEN friday WHEN 6 THEN saturday ELSE sunday END = 1
-        UNION SELECT service, date FROM v_exception WHERE exception_type = 1
-        EXCEPT SELECT service, date FROM v_exception WHERE exception_type = 2""",
+        UNION SELECT feed, service, date FROM v_exception WHERE exception_type = 1
+        EXCEPT SELECT feed, service, date FROM v_exception WHERE exception_type = 2""",
     "v_day_count": """
-        SELECT feed, date, sum(n)::BIGINT AS trips FROM v_active JOIN (SELECT feed, service, count(*) AS n FROM v_trip GROUP BY 1,2) USING (service) GROUP BY 1,2""",
+        SELECT feed, date, sum(n)::BIGINT AS trips FROM v_active JOIN (SELECT feed, service, count(*) AS n FROM v_trip GROUP BY 1,2) USING (feed, service) GROUP BY 1,2""",
     "v_item": """
         SELECT u.id AS cell, county, population, jobs, w AS station, ((h*13+w*7)%2500)::DOUBLE AS dist FROM v_flow JOIN v_unit u ON h = u.id""",
     "v_pattern": """

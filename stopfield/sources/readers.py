@@ -37,27 +37,36 @@ def load_first(names: Sequence[str], **options) -> DataFrame:
     raise LookupError(f"no source of {list(names)} has rows")
 
 
+_FEED_OF_PATH = r"([^/]+)/[^/]+$"
+
+
 def feed_table(spark: SparkSession, folder: str, table: str, feeds: Sequence[str] = ("*",)) -> DataFrame:
-    """One text table of many feeds laid out as ``folder/<feed>/<table>.txt``, every column text, with ``feed`` from the path.
+    """One text table of many feeds laid out as ``folder/<feed>/<table>.txt``, every column text and by name, with ``feed`` from the path.
 
-    Byte-order marks, padded headers and ragged rows are tolerated; feeds with other headers must be read in separate calls and united by name.
+    Byte-order marks, padded headers and ragged rows are tolerated. Headers differ between feeds in order and content: files are grouped by their
+    header line, each distinct header is one read, and the reads are united by name; what a feed lacks is null. The driver sees one row per
+    distinct header with its files, as it does when it lists them. Finding the headers takes one pass over the lines.
     """
     paths = [f"{folder}/{f}/{table}.txt" for f in feeds]
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(paths)
-    feed = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    named = raw.select("*", feed.alias("feed"))
-    return trim_table(named)
-
-
-def feed_tables(spark: SparkSession, folder: str, table: str, feeds: Sequence[str]) -> DataFrame:
-    """A text table of feeds whose headers differ, united by column name."""
+    first = spark.read.format("text").option("wholetext", False).load(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    # the header is the first line of a file's first block
+    header = first.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    clean = F.regexp_replace("header", "^\ufeff|\\r$", "")
     out = None
-    for f in feeds:
-        one = feed_table(spark, folder, table, [f])
+    for row in header.groupBy(clean.alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect():
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(row["files"])
+        one = trim_table(raw.select("*", F.regexp_extract(F.col("_metadata.file_path"), _FEED_OF_PATH, 1).alias("feed")))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no {table}.txt under {folder}")
     return out
 
 
+def feed_tables(spark: SparkSession, folder: str, table: str, feeds: Sequence[str]) -> DataFrame:
+    """``feed_table`` of named feeds."""
+    return feed_table(spark, folder, table, feeds)
+
+
 def parquet_columns(spark: SparkSession, path: str, wanted: Mapping[str, str]) -> DataFrame:
     """The wanted columns (name -> type) of a parquet table; a column the files lack is null. NaN becomes null."""
     df = spark.read.parquet(path)
@@ -133,7 +142,7 @@ def metro_members(sheet: DataFrame, kind: str, name: str, parts: Sequence[str],
 def feed_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Content mark per feed folder from its text files: (feed, files, mark). Files are hashed one by one, marks added up."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/*/")
-    feed, name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
+    feed, name = F.regexp_extract("path", _FEED_OF_PATH, 1), F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(feed.alias("feed"), name.alias("name"), F.sha2("content", 256).alias("sha")).groupBy("feed").agg(F.count("*").alias("files"), fingerprint(F.col("name"), F.col("sha")).alias("mark"))
 
 

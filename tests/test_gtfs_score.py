@@ -9,13 +9,13 @@ from stopfield.operators import gtfs, match, score, timetable
 
 
 def calendar(spark):
-    return spark.createDataFrame([("wd", 1, 1, 1, 1, 1, 0, 0, "2026-10-01", "2026-10-15"), ("sa", 0, 0, 0, 0, 0, 1, 0, "2026-10-01", "2026-10-15")],
-                                 "service string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, s string, e string").select(
+    return spark.createDataFrame([("f", "wd", 1, 1, 1, 1, 1, 0, 0, "2026-10-01", "2026-10-15"), ("f", "sa", 0, 0, 0, 0, 0, 1, 0, "2026-10-01", "2026-10-15")],
+                                 "feed string, service string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, s string, e string").select(
         "*", F.to_date("s").alias("start_date"), F.to_date("e").alias("end_date"))
 
 
 def test_calendar_exceptions(spark):
-    ex = spark.createDataFrame([("wd", "2026-10-07", 2), ("wd", "2026-10-10", 1), ("new", "2026-11-01", 1)], "service string, d string, exception_type int").select("service", F.to_date("d").alias("date"), "exception_type")
+    ex = spark.createDataFrame([("f", "wd", "2026-10-07", 2), ("f", "wd", "2026-10-10", 1), ("f", "new", "2026-11-01", 1)], "feed string, service string, d string, exception_type int").select("feed", "service", F.to_date("d").alias("date"), "exception_type")
     got = {(r["service"], str(r["date"])) for r in gtfs.active_services(calendar(spark), ex).collect()}
     assert ("wd", "2026-10-07") not in got and ("wd", "2026-10-10") in got and ("new", "2026-11-01") in got and ("sa", "2026-10-10") in got
     assert ("wd", "2026-10-08") in got and ("wd", "2026-10-11") not in got
@@ -23,6 +23,20 @@ def test_calendar_exceptions(spark):
     assert {r["service"] for r in one} == {"wd", "sa"}
 
 
+def test_one_service_id_in_two_feeds(spark):
+    flags = "monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int"
+    cal = spark.createDataFrame([("a", "WK", *[1] * 7, "2026-01-01", "2026-01-05"), ("b", "WK", *[1] * 7, "2026-02-05", "2026-02-06")], f"feed string, service string, {flags}, s string, e string")
+    cal = cal.select("*", F.to_date("s").alias("start_date"), F.to_date("e").alias("end_date"))
+    ex = spark.createDataFrame([("a", "WK", "2026-01-03", 2)], "feed string, service string, d string, exception_type int").select("feed", "service", F.to_date("d").alias("date"), "exception_type")
+    active = gtfs.active_services(cal, ex)
+    got = {(r["feed"], str(r["date"])) for r in active.collect()}
+    assert got == {("a", f"2026-01-0{i}") for i in (1, 2, 4, 5)} | {("b", "2026-02-05"), ("b", "2026-02-06")}
+    trips = spark.createDataFrame([("a", "WK", 1), ("a", "WK", 2), ("b", "WK", 1)], "feed string, service string, trip int")
+    counts = {(r["feed"], str(r["date"])): r["trips"] for r in gtfs.trips_per_day(active, trips).collect()}
+    assert counts[("a", "2026-01-01")] == 2 and counts[("b", "2026-02-05")] == 1 and len(counts) == 6
+    assert {r["trip"] for r in gtfs.qualified(trips, "trip").collect()} == {"a:1", "a:2", "b:1"}
+
+
 def test_hourly_trips_have_their_headway(spark):
     secs = [8 * 3600 + i * 3600 for i in range(8)]
     df = spark.createDataFrame([("a", s) for s in secs + secs], "stop string, sec int")   # published twice: counts once

@@ -24,6 +24,14 @@ def test_feed_tables_tolerate_marks_padding_and_ragged_rows(spark, tmp_path):
     assert set(got) == {"1", "2", "9"} and got["1"]["stop_name"] == "First" and got["9"]["feed"] == "b" and got["9"]["stop_lon"] is None and got["2"]["stop_lon"] is None
 
 
+def test_feeds_whose_headers_are_in_another_order(spark, tmp_path):
+    write(f"{tmp_path}/a/stops.txt", "stop_id,stop_name,stop_lat,stop_lon\n1,Alpha,41.0,-3.7\n")
+    write(f"{tmp_path}/b/stops.txt", "stop_lon,stop_lat,stop_id,stop_name\n9,-3.5,7,Beta\n")
+    write(f"{tmp_path}/c/stops.txt", "stop_id,stop_name,stop_lat,stop_lon\r\n3,Gamma,42.0,-3.8\r\n")
+    got = {r["feed"]: (r["stop_id"], r["stop_name"], r["stop_lat"], r["stop_lon"]) for r in readers.feed_table(spark, str(tmp_path), "stops").collect()}
+    assert got == {"a": ("1", "Alpha", "41.0", "-3.7"), "b": ("7", "Beta", "-3.5", "9"), "c": ("3", "Gamma", "42.0", "-3.8")}
+
+
 def test_flows_from_compressed_csv(spark, rows, tmp_path):
     write(f"{tmp_path}/x_od.csv.gz", "w_geocode,h_geocode,S000,other\n360610001001000,360470002002000,3,1\n360610001001001,360470002002009,4,1\n", True)
     assert rows(readers.od_flows(spark, str(tmp_path))) == [("360470002002", "360610001001", 7)]
