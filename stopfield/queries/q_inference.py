@@ -217,7 +217,18 @@ def _(t):
     return t.spark.createDataFrame([(a, b[0])], "intercept double, slope double").select(r(F.col("intercept"), 4).alias("intercept"), r(F.col("slope"), 4).alias("slope"))
 
 
-@query("logistic_by_metro", "M1")
+def _newton_by_group(rounds=20):
+    parts = ["u AS (SELECT county, los/100 AS f, dem AS y, population AS n FROM v_unit WHERE population > 0)",
+             "k0 AS (SELECT DISTINCT county, (SELECT ln((sum(y)+0.5)/(sum(n)-sum(y)+0.5)) FROM u) AS a, 0.0::DOUBLE AS b FROM u)"]
+    for i in range(rounds):
+        parts.append(f"s{i} AS (SELECT county, any_value(a) AS a, any_value(b) AS b, sum(y-n*p) AS r, sum(n*p*(1-p)) AS w, sum(n*p*(1-p)*f) AS c, sum((y-n*p)*f) AS g, sum(n*p*(1-p)*f*f) AS h"
+                     f" FROM (SELECT *, 1/(1+exp(-(a+b*f))) AS p FROM u JOIN k{i} USING (county)) GROUP BY 1)")
+        parts.append(f"d{i} AS (SELECT sum(g-c*r/w)/sum(h-c*c/w) AS change FROM s{i})")
+        parts.append(f"k{i+1} AS (SELECT county, a + greatest(-2, least(2, (r-c*change)/w)) AS a, b + change AS b FROM s{i}, d{i})")
+    return "WITH " + ", ".join(parts) + f" SELECT county, round(a,5) AS intercept, round(b,5) AS slope FROM k{rounds}"
+
+
+@query("logistic_by_metro", "M1", _newton_by_group())
 def _(t):
     u = t.unit.filter("population > 0").select("county", (F.col("los") / 100).alias("f"), "dem", "population")
     a, b = Mo.logistic_by_group(u, "county", "f", "dem", "population")
@@ -240,7 +251,24 @@ def _profiles(t):
     return K.pattern_slots(t.pattern, [F.col("h"), F.col("route"), F.col("direction")], 3)
 
 
-@query("curve_parameter_search", "M4 K12")
+def _search_sql(start=1.5, steps=(0.4, 0.2)):
+    """Two rounds over one parameter; the second one starts at the best of the first with half the steps."""
+    moves = [(f"walk_power:{sign * s / 2**r:+.4f}", sign * s / 2**r, r) for r in range(2) for s in steps for sign in (1, -1)]
+    names = lambda r: ", ".join(["('stay', 0.0::DOUBLE)", *[f"('{n}', {v!r}::DOUBLE)" for n, v, at in moves if at == r]])
+    parts = [
+        """p AS (SELECT cell, value*pow(1+dist/(CASE mode WHEN 'bus' THEN 500.0 WHEN 'tram' THEN 700.0 ELSE 900.0 END), 1.5) AS base,
+           1+dist/(CASE mode WHEN 'bus' THEN 500.0 WHEN 'tram' THEN 700.0 ELSE 900.0 END) AS k FROM v_scored_item WHERE slot < 3)""",
+        f"b0 AS (SELECT {start}::DOUBLE AS power)",
+    ]
+    for r in range(2):
+        parts.append(f"m{r} AS (SELECT st, power*(1+move) AS power FROM b{r}, (VALUES {names(r)}) x(st, move))")
+        parts.append(f"s{r} AS (SELECT cell, st, any_value(power) AS power, 100*max(base*pow(k, -power)) AS los FROM p, m{r} GROUP BY 1, 2)")
+        parts.append(f"l{r} AS (SELECT st, any_value(power) AS power, sum(population*pow(s.los/100-dem/population,2))/sum(population) AS loss FROM s{r} s JOIN v_unit u ON cell = id WHERE population > 0 GROUP BY 1)")
+        parts.append(f"b{r+1} AS (SELECT arg_min(power, row(loss, st)) AS power FROM l{r})")
+    return "WITH " + ", ".join(parts) + " SELECT st AS \"set\", round(loss, 6) AS loss, round(b2.power, 6) AS walk_power FROM l1, b2"
+
+
+@query("curve_parameter_search", "M4 K12", _search_sql())
 def _(t):
     best, losses = Mo.search_curves(t.item, _profiles(t), DEFAULT, {"walk_power": [0.4, 0.2]}, _fit_loss(t), rounds=2)
     return losses.select("set", r(F.col("loss")).alias("loss"), F.lit(round(best.walk_power, 6)).alias("walk_power"))
@@ -314,11 +342,11 @@ def _(t):
 
 
 @query("urban_patches", "A53 Q7", f"""
-    WITH RECURSIVE d AS (SELECT DISTINCT (o_orderkey*7919)%900 % 30 AS x, ((o_orderkey*7919)%900)//30 AS y FROM orders WHERE (o_orderkey*31)%101 < 90 AND ((o_orderkey*7919)%900*13)%10 < 6),
+    WITH RECURSIVE d AS (SELECT DISTINCT (c_custkey*7)%10 + 12*((c_custkey//50)%100) AS x, (c_custkey//10*3 + c_custkey*c_custkey)%10 + 12*((c_custkey//50)//100) AS y FROM customer),
     r AS (SELECT x, y, y*1000+x AS label FROM d UNION SELECT d.x, d.y, r.label FROM r JOIN d ON abs(r.x-d.x)+abs(r.y-d.y) = 1 WHERE r.label < d.y*1000+d.x)
     SELECT (({FINE}::BIGINT)<<52)|((1000+label//1000)<<26)|(1000+label%1000) AS label, count(*) AS cells, count(*)::DOUBLE AS amount FROM (SELECT x, y, min(label) AS label FROM r GROUP BY 1,2) GROUP BY 1 HAVING count(*) >= 3""")
 def _(t):
-    k = F.col("o_orderkey") * 7919 % 900
-    d = t.orders.filter("(o_orderkey * 31) % 101 < 90").select(k.alias("k")).filter("(k * 13) % 10 < 6").distinct()
-    cells = d.select(grid.pack(FINE, F.lit(1000) + F.floor(F.col("k") / 30), F.lit(1000) + F.col("k") % 30).alias("cell"), F.lit(1.0).alias("density"), F.lit(1.0).alias("amount"))
+    k = F.col("c_custkey")
+    d = t.customer.withColumn("b", F.floor(k / 50)).select((k * 7 % 10 + F.col("b") % 100 * 12).alias("x"), ((F.floor(k / 10) * 3 + k * k) % 10 + F.floor(F.col("b") / 100) * 12).alias("y")).distinct()
+    cells = d.select(grid.pack(FINE, F.lit(1000) + F.col("y"), F.lit(1000) + F.col("x")).alias("cell"), F.lit(1.0).alias("density"), F.lit(1.0).alias("amount"))
     return Nw.urban_patches(cells, FINE, "density", "amount", 1.0, 3.0)

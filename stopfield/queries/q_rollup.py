@@ -50,12 +50,12 @@ def _(t):
 
 @query("coarse_los_from_children", "A3", f"""
     WITH c AS (SELECT {sql_parent('cell', FINE, 9)} AS cell, sum(coalesce(los,0)*population) AS lp, sum(population) AS p, avg(coalesce(los,0)) AS m
-               FROM v_fine_cell WHERE county < 20 GROUP BY 1),
+               FROM v_fine_cell GROUP BY 1),
     k AS (SELECT {sql_parent('cell', FINE, 9)} AS cell, sum(population)*1.5 AS population FROM v_fine_cell GROUP BY 1)
     SELECT cell, k.population, round(coalesce(lp/nullif(greatest(k.population, coalesce(p,0)),0), m, 0), 6) AS los FROM k LEFT JOIN c USING (cell)""")
 def _(t):
     coarse = t.fine_cell.groupBy(grid.parent(F.col("cell"), FINE, 9).alias("cell")).agg((F.sum("population") * 1.5).alias("population"))
-    out = R.coarse_from_children(t.fine_cell.filter("county < 20"), coarse, FINE, 9)
+    out = R.coarse_from_children(t.fine_cell, coarse, FINE, 9)
     return out.select("cell", "population", r(F.col("los")).alias("los"))
 
 

@@ -117,7 +117,36 @@ def _(t):
     return Sk.region_index(t.unit, "state", {"county": "county"}, names, km)
 
 
-@query("stops_along_lines", "G9 G10")
+def _along_lines() -> str:
+    """Vectors of points and pieces as in the operator; the stops follow one another, so each has its own step."""
+    vector = "cos(radians(lat))*cos(radians(lon)) AS {0}x, cos(radians(lat))*sin(radians(lon)) AS {0}y, sin(radians(lat)) AS {0}z"
+    dot = lambda a, b: f"({a}x*{b}x + {a}y*{b}y + {a}z*{b}z)"
+    parts = [
+        """p AS (SELECT p_partkey AS route, unnest(range(5)) AS piece, unnest([0.0, 0.1, 0.2, 0.1, 0.3]::DOUBLE[]) + p_partkey%7*0.01::DOUBLE - 90.0 AS lon,
+           35.0 + unnest([0.0, p_partkey%5*0.01::DOUBLE, p_partkey%3*0.02::DOUBLE, p_partkey%5*0.01::DOUBLE + 0.03, p_partkey%4*0.01::DOUBLE]) AS lat FROM part)""",
+        f"v AS (SELECT route, piece, {vector.format('a')} FROM p)",
+        "w AS (SELECT *, lead(ax) OVER o - ax AS wx, lead(ay) OVER o - ay AS wy, lead(az) OVER o - az AS wz FROM v WINDOW o AS (PARTITION BY route ORDER BY piece))",
+        f"l AS (SELECT *, {dot('w', 'w')} AS size, 2*6371.0*asin(least(sqrt({dot('w', 'w')})/2, 1)) AS long FROM w WHERE wx IS NOT NULL)",
+        "m AS (SELECT *, coalesce(sum(long) OVER (PARTITION BY route ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS km FROM l)",
+        "q AS (SELECT p_partkey AS route, unnest(range(5)) AS nth, -90.0 + p_partkey%7*0.01::DOUBLE + unnest(range(5))*0.06::DOUBLE AS lon, 35.0 + p_partkey%3*0.01::DOUBLE AS lat FROM part)",
+        f"s AS (SELECT route, nth, {vector.format('p')} FROM q)",
+        "t AS (SELECT *, px-ax AS tx, py-ay AS ty, pz-az AS tz FROM m JOIN s USING (route))",
+        f"u AS (SELECT *, CASE WHEN size > 0 THEN {dot('t', 'w')}/size ELSE 0 END AS share FROM t)",
+        f"r AS (SELECT route, nth, piece, km, km+long AS stop, km+share*long AS foot, greatest(({dot('t', 't')} - share*share*size)*(6371.0*6371.0), 0) AS off FROM u)",
+        "k0 AS (SELECT DISTINCT route, 0.0::DOUBLE AS spot, []::DOUBLE[] AS list FROM r)",
+    ]
+    for i in range(5):
+        parts.append(f"""c{i} AS (SELECT r.route, greatest(least(foot, stop), km, spot) AS here, round(off + pow(greatest(least(foot, stop), km, spot) - foot, 2), 9) AS d
+            FROM r JOIN k{i} USING (route) WHERE nth = {i} AND stop >= spot)""")
+        parts.append(f"""k{i+1} AS (SELECT route, coalesce(n.spot, k{i}.spot) AS spot, list_append(list, coalesce(n.spot, k{i}.spot)) AS list
+            FROM k{i} LEFT JOIN (SELECT route, arg_min(here, row(d, here)) AS spot FROM c{i} GROUP BY 1) n USING (route))""")
+    parts.append("g AS (SELECT *, greatest(least(foot, stop), km) AS held, sqrt(off + pow(greatest(least(foot, stop), km) - foot, 2)) AS gap FROM r)")
+    parts.append("h AS (SELECT *, min(gap) OVER (PARTITION BY route, nth) AS least_gap FROM g)")
+    parts.append("a AS (SELECT route, bool_or(gap <= least_gap + 0.0111195 AND abs(held - list[nth+1]) > 0.1) AS ambiguous FROM h JOIN k5 USING (route) GROUP BY 1)")
+    return "WITH " + ", ".join(parts) + " SELECT route, array_to_string(list_transform(list, lambda x: round(x, 3)::VARCHAR), ',') AS km, ambiguous FROM k5 JOIN a USING (route)"
+
+
+@query("stops_along_lines", "G9 G10", _along_lines())
 def _(t):
     k = F.col("p_partkey")
     pt = lambda x, y: F.struct((F.lit(-90.0) + x).alias("lon"), (F.lit(35.0) + y).alias("lat"))

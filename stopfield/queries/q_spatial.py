@@ -162,10 +162,10 @@ def _(t):
 
 
 @query("overlay_covered_shares", "J14", f"""
-    WITH {OVERLAY}, k AS (SELECT DISTINCT {sql_cell('lon', 'lat', 8)} AS cell FROM v_place WHERE county < 10)
+    WITH {OVERLAY}, k AS (SELECT DISTINCT {sql_cell('lon', 'lat', 8)} AS cell FROM v_place)
     SELECT area, h.cell, round(n/sum(n) OVER (PARTITION BY area),9) AS share FROM h JOIN k ON h.cell = k.cell""")
 def _(t):
-    cells = t.place.filter("county < 10").select(grid.cell(F.col("lon"), F.col("lat"), 8).alias("cell")).distinct()
+    cells = t.place.select(grid.cell(F.col("lon"), F.col("lat"), 8).alias("cell")).distinct()
     out = X.overlay_shares(t.area, "area", 8, 3, grid_cells=cells, covered=True)
     return out.select("area", "cell", r(F.col("share"), 9).alias("share"))
 
@@ -208,11 +208,11 @@ def _(t):
 
 
 @query("density_across_levels", "J25", f"""
-    WITH c AS (SELECT * FROM v_fine_cell WHERE county%3 = 0), a AS (SELECT cell AS k, avg(population) AS v FROM c GROUP BY 1), b AS (SELECT {sql_parent('cell', FINE, 10)} AS k, avg(population) AS v FROM c GROUP BY 1),
+    WITH c AS (SELECT {sql_cell('lon', 'lat', FINE)} AS cell, max(county)::DOUBLE AS population FROM v_station GROUP BY 1), a AS (SELECT cell AS k, avg(population) AS v FROM c GROUP BY 1), b AS (SELECT {sql_parent('cell', FINE, 10)} AS k, avg(population) AS v FROM c GROUP BY 1),
     d AS (SELECT {sql_parent('cell', FINE, 8)} AS k, avg(population) AS v FROM c GROUP BY 1), p AS (SELECT id, {sql_cell('lon', 'lat', FINE)} AS cell FROM v_place)
     SELECT id, round(coalesce(a.v, b.v, d.v, -1), 6) AS population FROM p LEFT JOIN a ON a.k = cell LEFT JOIN b ON b.k = {sql_parent('cell', FINE, 10)} LEFT JOIN d ON d.k = {sql_parent('cell', FINE, 8)}""")
 def _(t):
-    cells = t.fine_cell.filter("county % 3 = 0")
+    cells = t.station.groupBy(grid.cell(F.col("lon"), F.col("lat"), FINE).alias("cell")).agg(F.max("county").cast("double").alias("population"))
     far = t.place.select("id", F.lit(-1.0).alias("population"))
     return X.fill_from_levels(t.place.select("id", "lon", "lat"), "id", cells, "population", [FINE, 10, 8], FINE, far).withColumn("population", r(F.col("population")))
 
@@ -221,13 +221,13 @@ CX, CY = sql_centre("cell", FINE)
 
 
 @query("zero_score_polygons_filled", "J26", f"""
-    WITH c AS (SELECT cell, los, {CX} AS lon, {CY} AS lat FROM v_fine_cell WHERE los > 0 AND county < 2), a AS (SELECT *, CASE WHEN area%2 = 0 THEN 0.0 ELSE 5.0 END AS los0 FROM v_area),
+    WITH c AS (SELECT cell, los, {CX} AS lon, {CY} AS lat FROM v_fine_cell WHERE los > 0), a AS (SELECT *, CASE WHEN area%2 = 0 THEN 0.0 ELSE 5.0 END AS los0 FROM v_area),
     i AS (SELECT area, avg(los) AS v FROM a JOIN c ON los0 = 0 AND {IN_AREA} GROUP BY 1),
     f AS (SELECT a.area, arg_min(los, row({flat('(west+1)','(south+1)','lon','lat')}, cell)) AS v FROM a JOIN c ON los0 = 0 AND {flat('(west+1)','(south+1)','lon','lat')} <= 200000 WHERE a.area NOT IN (SELECT area FROM i) GROUP BY 1)
     SELECT area, round(coalesce(nullif(los0,0), i.v, f.v, los0),6) AS los FROM a LEFT JOIN i USING (area) LEFT JOIN f USING (area)""")
 def _(t):
     areas = t.area.select("area", "ring", F.when(F.col("area") % 2 == 0, 0.0).otherwise(5.0).alias("los"))
-    out = X.fill_zero(areas, "area", t.fine_cell.filter("county < 2"), BASE, FINE, 200_000.0, LAT0)
+    out = X.fill_zero(areas, "area", t.fine_cell, BASE, FINE, 200_000.0, LAT0)
     return out.select("area", r(F.col("los")).alias("los"))
 
 

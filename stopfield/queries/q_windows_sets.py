@@ -147,17 +147,17 @@ def _(t):
 
 @query("semi_anti_split", "J3", f"""
     WITH c AS (SELECT DISTINCT {sql_cell('x1', 'y1', FINE)} AS cell FROM v_edge WHERE los > 60)
-    SELECT cell, population, cell IN (SELECT cell FROM c) AS on_street FROM v_fine_cell WHERE cell IN (SELECT cell FROM c) OR population > 8""")
+    SELECT cell, population, cell IN (SELECT cell FROM c) AS on_street FROM v_fine_cell WHERE cell IN (SELECT cell FROM c) OR population > 0""")
 def _(t):
     street = t.edge.filter("los > 60").select(grid.cell(F.col("x1"), F.col("y1"), FINE).alias("cell"))
     c = t.fine_cell.select("cell", "population")
-    on, off = c.join(street, "cell", "left_semi"), c.join(street, "cell", "left_anti").filter("population > 8")
+    on, off = c.join(street, "cell", "left_semi"), c.join(street, "cell", "left_anti").filter("population > 0")
     return on.withColumn("on_street", F.lit(True)).unionByName(off.withColumn("on_street", F.lit(False)))
 
 
 @query("coarse_cells_not_covered", "J4", f"""
-    SELECT DISTINCT {sql_cell('x1', 'y1', 8)} AS cell FROM v_edge WHERE {sql_cell('x1', 'y1', 8)} NOT IN (SELECT {sql_parent('cell', FINE, 8)} FROM v_fine_cell WHERE county < 4)""")
+    SELECT DISTINCT {sql_cell('x1', 'y1', 8)} AS cell FROM v_edge WHERE {sql_cell('x1', 'y1', 8)} NOT IN (SELECT {sql_parent('cell', FINE, 8)} FROM v_fine_cell)""")
 def _(t):
-    covered = t.fine_cell.filter("county < 4").select(grid.parent(F.col("cell"), FINE, 8).alias("cell"))
+    covered = t.fine_cell.select(grid.parent(F.col("cell"), FINE, 8).alias("cell"))
     coarse = t.edge.select(grid.cell(F.col("x1"), F.col("y1"), 8).alias("cell")).distinct()
     return coarse.join(covered, "cell", "left_anti")
