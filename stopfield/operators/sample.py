@@ -27,7 +27,7 @@ def sample_per_group(df: DataFrame, by: Sequence[str], key: str, size: Column, s
     The digest of the last kept row is found by counting in buckets, so a group of any size is sampled without sorting it.
     """
     rows = df.withColumn("_u", uniform(F.col(key), seed))
-    cut = values_at(rows, by, "_u", F.lit(1.0), [size], fineness=4096).select(*by, F.col("_value").alias("_cut"))
+    cut = values_at(rows, by, "_u", F.lit(1.0), [size]).select(*by, F.col("_value").alias("_cut"))
     joined = salted_join(rows, cut, by, "inner") if by else rows.crossJoin(F.broadcast(cut))
     return joined.filter(F.col("_u") <= F.col("_cut")).select(*df.columns)
 

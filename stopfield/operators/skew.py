@@ -40,25 +40,50 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep:
     return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, *[F.col(f"_best.row.{c}").alias(c) for c in keep])
 
 
-def order_bucket(value: Column, fineness: int = 1024) -> Column:
-    """A long that never falls when the value rises; values within about 1/fineness of each other (relative) share it."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * fineness).cast("long")
+STRETCHES, PER_STRETCH = 64, 256
 
 
-def _distinct_values(df: DataFrame, by: Sequence[str], value: str, weight: Column, fineness: int) -> DataFrame:
+def stretch_edges(df: DataFrame, value: Column, stretches: int = STRETCHES) -> list[float]:
+    """Distinct values that cut the rows into about equal stretches: one pass with a sketch of fixed size, at most ``stretches`` + 1 numbers."""
+    v = value.cast("double")
+    probs = [i / stretches for i in range(stretches + 1)]
+    found = df.filter(v.isNotNull() & ~F.isnan(v)).agg(F.percentile_approx(v, probs, 10_000)).first()[0]
+    return sorted(set(found or ()))
+
+
+def order_bucket(df: DataFrame, value: Column, stretches: int = STRETCHES, parts: int = PER_STRETCH) -> Column:
+    """A long that never falls when the value rises, with bounds taken from the values of ``df``.
+
+    The rows' own quantiles cut them into equal stretches, each of which is cut into ``parts`` of equal width: wherever the values lie, and however
+    close, no bucket holds much more than its share. The quantiles are taken here, in a job of their own, so every use sees the same.
+    """
+    v, edges = value.cast("double"), stretch_edges(df, value, stretches)
+
+    def cut(low: int, high: int) -> Column:
+        if high - low == 1:
+            width = edges[high] - edges[low]
+            inside = F.floor((v - F.lit(edges[low])) * F.lit(parts / width)) if width > 0 and parts / width < float("inf") else F.lit(0)
+            return F.lit(low * parts).cast("long") + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))
+        middle = (low + high) // 2
+        return F.when(v < F.lit(edges[middle]), cut(low, middle)).otherwise(cut(middle, high))
+
+    return (cut(0, len(edges) - 1) if len(edges) > 1 else F.lit(0)).cast("long")
+
+
+def _distinct_values(df: DataFrame, by: Sequence[str], value: str, weight: Column) -> DataFrame:
     """Total weight of every (group, value): equal values of a hot group collapse before the shuffle."""
-    return df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w")).withColumn("_b", order_bucket(F.col("_v"), fineness))
+    return df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w")).withColumn("_b", order_bucket(df.select(F.col(value).alias("_v")), F.col("_v")))
 
 
 def values_at(
-    df: DataFrame, by: Sequence[str], value: str, weight: Column, targets: Sequence[Column], fineness: int = 1024
+    df: DataFrame, by: Sequence[str], value: str, weight: Column, targets: Sequence[Column]
 ) -> DataFrame:
     """Value at which the cumulative weight of a group first reaches each target.
 
     ``targets`` are columns of ``_total``, the weight of the group. Returns the group keys, ``_i`` (index of the target), ``_total`` and
     ``_value``. Two passes: the running sum over buckets finds the bucket, then only that bucket is put in order.
     """
-    distinct = _distinct_values(df, by, value, weight, fineness)
+    distinct = _distinct_values(df, by, value, weight)
     buckets = distinct.groupBy(*by, "_b").agg(F.sum("_w").alias("_bw"))
     ordered = Window.partitionBy(*by).orderBy("_b")
     whole = Window.partitionBy(*by)
@@ -120,9 +145,9 @@ def median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -
     return exact_quantiles(df, by, value, [0.5]).select(*by, F.col("value").alias(name))
 
 
-def counts_below(df: DataFrame, by: Sequence[str], value: str, fineness: int = 1024) -> DataFrame:
+def counts_below(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Per (group, distinct value): its count, how many rows lie below it and the group's size."""
-    distinct = _distinct_values(df, by, value, F.lit(1).cast("long"), fineness)
+    distinct = _distinct_values(df, by, value, F.lit(1).cast("long"))
     buckets = distinct.groupBy(*by, "_b").agg(F.sum("_w").alias("_bw"))
     ordered = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_offset", F.coalesce(F.sum("_bw").over(ordered), F.lit(0))).withColumn(
@@ -138,7 +163,7 @@ def counts_below(df: DataFrame, by: Sequence[str], value: str, fineness: int = 1
     )
 
 
-def rank_within(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False, fineness: int = 1024) -> DataFrame:
+def rank_within(df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False) -> DataFrame:
     """``rank()`` of every row within its group, missing values last, without putting a group in one task.
 
     The rank of a value is 1 + the rows before it; it is found on the distinct values and joined back.
@@ -146,7 +171,7 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str, name: str, descend
     v = F.col(value).cast("double")
     rows = df.withColumn("_k", F.when(~F.isnan(v), -v if descending else v))
     known = rows.filter(F.col("_k").isNotNull())
-    below = counts_below(known, by, "_k", fineness).select(*by, "_k", (F.col("below") + 1).alias(name))
+    below = counts_below(known, by, "_k").select(*by, "_k", (F.col("below") + 1).alias(name))
     keys = [*by, "_k"]
     placed = salted_join(known, below, keys, "inner", salts=4).drop("_k")
     sizes = df.groupBy(*by).agg(F.count_if(v.isNotNull() & ~F.isnan(v)).alias("_n"))
@@ -156,14 +181,14 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str, name: str, descend
 
 
 def running_sum(
-    df: DataFrame, groups: Sequence[str], order: str, tie: str, weight: str, name: str, fineness: int = 1024
+    df: DataFrame, groups: Sequence[str], order: str, tie: str, weight: str, name: str
 ) -> DataFrame:
     """Running sum of ``weight`` over the whole table ordered by ``groups``, then ``order``, then the md5 of the unique key ``tie``.
 
     Offsets are found level by level: groups, buckets of the order column, distinct values in a bucket, 256 slices of equal values. The only
     rows ever sorted together are one slice of one value, so neither a hot group nor a hot value ends up in one task.
     """
-    rows = df.withColumn("_b", order_bucket(F.col(order).cast("double"), fineness)).withColumn(
+    rows = df.withColumn("_b", order_bucket(df, F.col(order))).withColumn(
         "_s", F.substring(F.md5(F.col(tie).cast("string")), 1, 2)
     )
     value = [*groups, "_b", order]

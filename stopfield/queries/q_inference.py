@@ -343,8 +343,8 @@ def _(t):
 
 @query("urban_patches", "A53 Q7", f"""
     WITH RECURSIVE d AS (SELECT DISTINCT (c_custkey*7)%10 + 12*((c_custkey//50)%100) AS x, (c_custkey//10*3 + c_custkey*c_custkey)%10 + 12*((c_custkey//50)//100) AS y FROM customer),
-    r AS (SELECT x, y, y*1000+x AS label FROM d UNION SELECT d.x, d.y, r.label FROM r JOIN d ON abs(r.x-d.x)+abs(r.y-d.y) = 1 WHERE r.label < d.y*1000+d.x)
-    SELECT (({FINE}::BIGINT)<<52)|((1000+label//1000)<<26)|(1000+label%1000) AS label, count(*) AS cells, count(*)::DOUBLE AS amount FROM (SELECT x, y, min(label) AS label FROM r GROUP BY 1,2) GROUP BY 1 HAVING count(*) >= 3""")
+    r AS (SELECT x, y, y*100000+x AS label FROM d UNION SELECT d.x, d.y, r.label FROM r JOIN d ON abs(r.x-d.x)+abs(r.y-d.y) = 1 WHERE r.label < d.y*100000+d.x)
+    SELECT (({FINE}::BIGINT)<<52)|((1000+label//100000)<<26)|(1000+label%100000) AS label, count(*) AS cells, count(*)::DOUBLE AS amount FROM (SELECT x, y, min(label) AS label FROM r GROUP BY 1,2) GROUP BY 1 HAVING count(*) >= 3""")
 def _(t):
     k = F.col("c_custkey")
     d = t.customer.withColumn("b", F.floor(k / 50)).select((k * 7 % 10 + F.col("b") % 100 * 12).alias("x"), ((F.floor(k / 10) * 3 + k * k) % 10 + F.floor(F.col("b") / 100) * 12).alias("y")).distinct()

@@ -85,3 +85,23 @@ def test_results_do_not_depend_on_partitioning(spark, rows):
     a = skew.running_sum(df.repartition(7), ["g"], "v", "id", "w", "c")
     b = skew.running_sum(df.coalesce(1), ["g"], "v", "id", "w", "c")
     assert rows(a, "id", "c") == rows(b, "id", "c")
+
+
+def test_buckets_follow_the_data(spark):
+    """Narrow columns spread over many buckets, and buckets keep the order."""
+    base = spark.range(100_000)
+    columns = {
+        "rate": F.col("id") / 1e8, "second": F.lit(1_700_000_000.0) + F.col("id") % 86_400, "latitude": F.lit(41.3) + F.col("id") / 1e6, "count": F.col("id").cast("double"),
+        "skewed": F.pow(F.lit(1.0002), F.col("id")),
+    }
+    for name, value in columns.items():
+        df = base.select(value.alias("v"))
+        marked = df.withColumn("b", skew.order_bucket(df, F.col("v")))
+        assert marked.select("b").distinct().count() >= 500, name
+        sizes = marked.groupBy("b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        assert max(r["n"] for r in sizes) < 4_000, name
+        assert all(a["hi"] <= b["lo"] for a, b in zip(sizes, sizes[1:])), name
+    same = base.select(F.lit(2.5).alias("v"))
+    assert same.withColumn("b", skew.order_bucket(same, F.col("v"))).select("b").distinct().count() == 1
+    none = same.filter("v < 0")
+    assert none.withColumn("b", skew.order_bucket(none, F.col("v"))).count() == 0
