@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopfield.operators.rollup import positive
-from stopfield.operators.skew import salted_join, with_grand_totals, with_totals
+from stopfield.operators.skew import skewed_join, with_grand_totals, with_totals
 
 
 def apportion(
@@ -20,7 +20,7 @@ def apportion(
     """
     whole = with_totals(members, [key], {"_w": F.sum(weight), "_n": F.count("*")})
     frac = F.coalesce(F.col(weight) / positive(F.col("_w")), 1.0 / F.col("_n"))
-    joined = salted_join(whole, source.select(key, *[F.col(c).alias(f"_s_{c}") for c in [*amounts, *copies]]), [key])
+    joined = skewed_join(whole, source.select(key, *[F.col(c).alias(f"_s_{c}") for c in [*amounts, *copies]]), [key])
     out = [(F.col(f"_s_{c}") * frac).alias(c) for c in amounts] + [F.col(f"_s_{c}").alias(c) for c in copies]
     return joined.select(*members.columns, *out)
 
@@ -112,7 +112,7 @@ def rake(df: DataFrame, control: DataFrame, key: str, columns: Sequence[str], lo
     """
     have = {f"_h_{c}": F.sum(c) for c in columns}
     want = control.select(key, *[F.col(c).alias(f"_w_{c}") for c in columns])
-    rows = salted_join(with_totals(df, [key], have), want, [key])
+    rows = skewed_join(with_totals(df, [key], have), want, [key])
     scaled = {}
     for c in columns:
         raw = F.coalesce(F.col(f"_w_{c}") / positive(F.col(f"_h_{c}")), F.lit(1.0))

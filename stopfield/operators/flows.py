@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions.geo import haversine_km
 from stopfield.operators.rollup import positive, weighted_mean
-from stopfield.operators.skew import salted_join, with_totals
+from stopfield.operators.skew import skewed_join, with_totals
 
 # Midpoints in minutes of the twelve travel-time bins, and the range of a tract factor that is believed.
 BIN_MINUTES = (2.5, 7.0, 12.0, 17.0, 22.0, 27.0, 32.0, 37.0, 42.0, 52.0, 74.5, 105.0)
@@ -35,7 +35,7 @@ def commute_minutes(groups: DataFrame, tracts: DataFrame, bins: Sequence[str], t
     mean = g.groupBy("tract").agg((F.sum(F.col("_m") * n) / positive(F.sum(total))).alias("_t")).join(tracts, "tract", "left")
     factor = F.col("tract_mean") / positive(F.col("_t"))
     mean = mean.select("tract", F.when((factor > TRACT_FACTOR[0]) & (factor < TRACT_FACTOR[1]), factor).alias("_f"))
-    out = salted_join(g, mean, ["tract"])
+    out = skewed_join(g, mean, ["tract"])
     return out.select("geoid", F.when(F.col(total) > 0, F.col("_m") * F.coalesce("_f", F.lit(1.0))).alias("minutes"))
 
 
@@ -47,7 +47,7 @@ def flow_times(flows: DataFrame, places: DataFrame, longest: float = LONGEST_KM)
     """
     home = places.select(F.col("id").alias("h"), F.col("lon").alias("_hx"), F.col("lat").alias("_hy"), F.col("minutes").alias("_res"))
     work = places.select(F.col("id").alias("w"), F.col("lon").alias("_wx"), F.col("lat").alias("_wy"))
-    both = salted_join(salted_join(flows, home, ["h"], "inner"), work, ["w"], "inner")
+    both = skewed_join(skewed_join(flows, home, ["h"], "inner"), work, ["w"], "inner")
     both = both.withColumn("km", haversine_km(F.col("_hx"), F.col("_hy"), F.col("_wx"), F.col("_wy"))).filter(F.col("km") <= longest)
     both = both.withColumn("km", F.greatest("km", F.lit(SHORTEST_KM))).withColumn("_g", START_MINUTES + F.col("km") / KM_PER_MINUTE)
     mean = with_totals(both, ["h"], {"_bar": weighted_mean(F.col("_g"), F.col("n").cast("double"))})
@@ -68,7 +68,7 @@ def other_end(flows: DataFrame, values: DataFrame, key: str, value: str) -> Data
     v = values.select(F.col(key).alias("_k"), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     out = []
     for here, there, name in (("h", "w", "at_work"), ("w", "h", "at_home")):
-        far = salted_join(flows.withColumn("_k", F.col(there)), v, ["_k"], "inner")
+        far = skewed_join(flows.withColumn("_k", F.col(there)), v, ["_k"], "inner")
         out.append(far.groupBy(F.col(here).alias(key)).agg((F.sum(F.col("n") * F.col("_v")) / positive(F.sum("n"))).alias(name), F.sum("n").alias(f"{name}_n")))
     return out[0].join(out[1], key, "full_outer")
 

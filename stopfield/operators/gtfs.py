@@ -11,7 +11,7 @@ from stopfield.functions import clock, grid
 from stopfield.functions.geo import haversine_km
 from stopfield.operators.columns import route_kinds, route_mode
 from stopfield.operators.rollup import positive
-from stopfield.operators.skew import first_row, salted_join
+from stopfield.operators.skew import first_row, skewed_join
 
 # The daily window of all headways and speeds, and the accepted volume of a day against the usual one.
 DAY_WINDOW = (6 * 3600, 22 * 3600)
@@ -112,7 +112,7 @@ def scoring_day(counts: DataFrame, shared, day_type: str = "weekday") -> DataFra
 def trips_on_scoring_day(trips: DataFrame, active: DataFrame, days: DataFrame) -> DataFrame:
     """All feeds' trips of their own scoring day in one job."""
     services = days.withColumnRenamed("day", "date").join(active, ["feed", "date"]).select("feed", "service", F.col("date").alias("day"), "fallback")
-    return salted_join(trips, services, ["feed", "service"], "inner")
+    return skewed_join(trips, services, ["feed", "service"], "inner")
 
 
 def feed_audit(counts: DataFrame, picked: DataFrame, today) -> DataFrame:
@@ -173,7 +173,7 @@ def headways(calls: DataFrame, by: Sequence[str], window: tuple[int, int] = DAY_
 
 def along_trip(calls: DataFrame, stops: DataFrame) -> DataFrame:
     """Calls with the metres and seconds from the first call of their trip. A trip is a short, naturally bounded sequence."""
-    at = salted_join(calls, stops.select("stop", "lon", "lat"), ["stop"], "inner")
+    at = skewed_join(calls, stops.select("stop", "lon", "lat"), ["stop"], "inner")
     w = Window.partitionBy("trip").orderBy("seq")
     step = haversine_km(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")) * 1000
     stepped = at.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn("_t", F.coalesce(F.col("sec") - F.lag("sec").over(w), F.lit(0)))
@@ -198,7 +198,7 @@ def scoring_modes(routes: DataFrame, agency_modes: DataFrame) -> DataFrame:
     own = route_mode(F.col("route_type"))
     types = routes.groupBy("feed").agg(F.count_distinct("route_type").alias("_types"))
     modes = agency_modes.groupBy("feed").agg(F.count_distinct("mode_name").alias("_modes"), F.max("mode_name").alias("_name"))
-    joined = salted_join(salted_join(routes, types, ["feed"]), modes, ["feed"])
+    joined = skewed_join(skewed_join(routes, types, ["feed"]), modes, ["feed"])
     default = F.when(F.col("_modes") == 1, _lookup(F.col("_name"), AGENCY_MODES, F.lit(None).cast("string")))
     contradiction = (F.col("_types") > 1) & default.isNotNull()
     rapid = F.col("route_type").try_cast("int") == 702
@@ -318,7 +318,7 @@ def route_names(stops: DataFrame, routes: DataFrame) -> DataFrame:
     anywhere = routes.groupBy("route").agg(F.min_by("name", "feed").alias("_any"))
     items = stops.select("stop", "feed", F.posexplode(F.split("route_ids", ";")).alias("_p", "_raw"))
     items = items.withColumn("route", F.regexp_replace(F.trim("_raw"), r"_file_\d+$", "")).filter("route <> ''")
-    named = salted_join(salted_join(items, own, ["feed", "route"]), anywhere, ["route"])
+    named = skewed_join(skewed_join(items, own, ["feed", "route"]), anywhere, ["route"])
     named = named.withColumn("_name", F.coalesce("_own", "_any", "route"))
     once = named.groupBy("stop", "_name").agg(F.min("_p").alias("_p"))
     lists = once.groupBy("stop").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_name"))), lambda x: x["_name"]).alias("_l"))

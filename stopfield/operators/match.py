@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopfield.functions import text
-from stopfield.operators.skew import first_row, salted_join
+from stopfield.operators.skew import first_row, skewed_join
 
 # Smallest accepted token similarity and how far below the best a candidate may lie.
 MIN_SCORE, NEAR_BEST = 0.5, 0.1
@@ -29,7 +29,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens:
     rarity = both.groupBy("_k").agg(F.count("*").alias("_f"))
 
     def prefix(df, key):
-        each = salted_join(df.select(key, F.col(tokens).alias("_all"), F.explode(tokens).alias("_k")), rarity, ["_k"], "inner")
+        each = skewed_join(df.select(key, F.col(tokens).alias("_all"), F.explode(tokens).alias("_k")), rarity, ["_k"], "inner")
         # the tokens of one name: a short list
         ranked = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_f", "_k"))).alias("_r"), F.first("_all").alias("_all"))
         n = F.size("_r")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stopfield.functions.curves import ScoreCurves
 from stopfield.operators.inference import bootstrap_weights
 from stopfield.operators.score import rescore
-from stopfield.operators.skew import salted_join
+from stopfield.operators.skew import skewed_join
 from stopfield.operators.stats import weighted_moments
 from stopfield.session import cut_lineage
 

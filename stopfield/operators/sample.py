@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stopfield.functions.hashing import bucket, uniform
 from stopfield.functions.numeric import bin_of
 from stopfield.operators.rollup import positive
-from stopfield.operators.skew import exact_quantiles, running_sum, salted_join, values_at, with_grand_totals, with_totals
+from stopfield.operators.skew import exact_quantiles, running_sum, skewed_join, values_at, with_grand_totals, with_totals
 from stopfield.operators.windows import top_k
 from stopfield.session import cut_lineage
 
@@ -28,7 +28,7 @@ def sample_per_group(df: DataFrame, by: Sequence[str], key: str, size: Column, s
     """
     rows = df.withColumn("_u", uniform(F.col(key), seed))
     cut = values_at(rows, by, "_u", F.lit(1.0), [size]).select(*by, F.col("_value").alias("_cut"))
-    joined = salted_join(rows, cut, by, "inner") if by else rows.crossJoin(F.broadcast(cut))
+    joined = skewed_join(rows, cut, by, "inner") if by else rows.crossJoin(F.broadcast(cut))
     return joined.filter(F.col("_u") <= F.col("_cut")).select(*df.columns)
 
 
@@ -55,7 +55,7 @@ def stratified_sample(df: DataFrame, key: str, population: str, score: str, coun
     full = rows.groupBy("stratum").agg(F.sum(population).alias("_f"))
     part = picked.groupBy("stratum").agg(F.sum(population).alias("_s"))
     scale = full.join(part, "stratum").select("stratum", F.coalesce(F.col("_f") / positive(F.col("_s")), F.lit(1.0)).alias("_k"))
-    out = salted_join(picked, scale, ["stratum"], "inner")
+    out = skewed_join(picked, scale, ["stratum"], "inner")
     size = picked.agg(F.count("*").alias("_m"))
     out = out.crossJoin(F.broadcast(size))
     scaled = {c: F.col(c) * F.col("_k") for c in counts}
@@ -82,7 +82,7 @@ def group_sample(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFra
     """At most ``n`` rows of every group with weight N / n; n is a small constant, so the top-K path keeps map output short."""
     picked = top_k(df.withColumn("_u", uniform(F.col(key), seed)), [by], [F.col("_u")], n).drop("_u")
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    out = salted_join(picked, sizes, [by], "inner")
+    out = skewed_join(picked, sizes, [by], "inner")
     return out.withColumn("w", F.col("_n") / F.least(F.col("_n"), F.lit(n))).select(*df.columns, "w")
 
 
@@ -124,4 +124,4 @@ def group_folds(df: DataFrame, group: str, size: str, k: int = 5, spread: int =
     ranked = biggest.agg(F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("s"), F.col(group).alias("g")))).alias("_l")).select(F.posexplode("_l").alias("_p", "_x"))
     top = ranked.select(F.col("_x.g").alias(group), (F.col("_p") % k).alias("_top"))
     folds = groups.join(F.broadcast(top), group, "left").select(group, F.coalesce("_top", bucket(F.col(group), seed, k)).alias("fold"))
-    return salted_join(df, folds, [group], "inner")
+    return skewed_join(df, folds, [group], "inner")

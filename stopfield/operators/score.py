@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stopfield.functions.curves import DEFAULT, ScoreCurves
 from stopfield.operators.gtfs import DAY_WINDOW, headways
 from stopfield.operators.rollup import positive, weighted_mean
-from stopfield.operators.skew import first_row, salted_join, weighted_quantiles, with_totals
+from stopfield.operators.skew import first_row, skewed_join, weighted_quantiles, with_totals
 from stopfield.operators.windows import top_k
 
 # The mode tiers, most inclusive first, and the width of a speed step in km/h.
@@ -97,7 +97,7 @@ def best_subset(route_headways: DataFrame, speeds: DataFrame, curves: ScoreCurve
     fields = ["ti", "tier", "headway", "speed", "min_speed", "mode_score", "speed_score", "frequency_score", "score"]
     best = first_row(scored, ["station"], [-F.col("score"), F.col("ti"), F.col("min_speed")], fields)
     members = F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for _, ms in TIERS]), F.col("ti") + 1)
-    kept = salted_join(routes.select("station", "route", "mode", "step"), best.select("station", "ti", "min_speed"), ["station"], "inner")
+    kept = skewed_join(routes.select("station", "route", "mode", "step"), best.select("station", "ti", "min_speed"), ["station"], "inner")
     kept = kept.filter((F.col("step").isNull() | (F.col("step") >= F.col("min_speed"))) & F.array_contains(members, F.col("mode")))
     lists = kept.groupBy("station").agg(F.sort_array(F.collect_list(F.col("route").cast("string"))).alias("route_ids"))
     return best.drop("ti").join(lists, "station")
@@ -110,7 +110,7 @@ def pattern_slots(patterns: DataFrame, order: Sequence[Column], slots: int) -> D
 
 def item_values(items: DataFrame, profiles: DataFrame, curves: ScoreCurves = DEFAULT) -> DataFrame:
     """Walks joined to the patterns of their station, each with its value (score x walk decay)."""
-    rows = salted_join(items, profiles.select("station", "slot", "mode", "h", "v"), ["station"], "inner")
+    rows = skewed_join(items, profiles.select("station", "slot", "mode", "h", "v"), ["station"], "inner")
     return rows.withColumn("value", curves.value(F.col("dist"), F.col("mode"), F.col("h"), F.col("v")))
 
 
@@ -146,7 +146,7 @@ def unit_access(cells: DataFrame, unit: str, columns: Sequence[str], weight: str
 def destination_access(cells: DataFrame, flows: DataFrame, unit: str, score: str) -> DataFrame:
     """Job-weighted access of every work unit, carried to the home units by their commuters. ``flows``: (h, w, n)."""
     work = unit_access(cells, unit, [score], "jobs").select(F.col(unit).alias("w"), F.col(score).alias("_a"))
-    joined = salted_join(flows, work, ["w"], "inner")
+    joined = skewed_join(flows, work, ["w"], "inner")
     return joined.groupBy("h").agg(weighted_mean(F.col("_a"), F.col("n").cast("double")).alias("destination"))
 
 
@@ -163,7 +163,7 @@ def scaled_summary(scaled: DataFrame, score: str, weight: str) -> DataFrame:
 
 def rescore(items: DataFrame, profiles: DataFrame, sets: Mapping[str, ScoreCurves], keep: Sequence[str] = ()) -> DataFrame:
     """Cell scores under many parameter sets: one aggregate column per set in a single pass, then (cell, set, los) rows."""
-    rows = salted_join(items, profiles.select("station", "slot", "mode", "h", "v"), ["station"], "inner")
+    rows = skewed_join(items, profiles.select("station", "slot", "mode", "h", "v"), ["station"], "inner")
     value = lambda c: c.value(F.col("dist"), F.col("mode"), F.col("h"), F.col("v"))
     wide = rows.groupBy("cell", *keep).agg(*[(100 * F.max(value(c))).alias(f"_{i}") for i, c in enumerate(sets.values())])
     pairs = F.array(*[F.struct(F.lit(n).alias("set"), F.col(f"_{i}").alias("los")) for i, n in enumerate(sets)])
@@ -280,7 +280,7 @@ def best_subset_merged(calls: DataFrame, curves: ScoreCurves = DEFAULT, window:
     # speed steps of a station's tier: a short list that its calls are matched to
     cuts = slots.groupBy("station", "ti").agg(F.sort_array(F.collect_set("step")).alias("_cuts"))
     cuts = cuts.withColumn("_cuts", F.when(F.size("_cuts") > 0, F.col("_cuts")).otherwise(F.array(F.lit(0.0))))
-    each = salted_join(slots, cuts, ["station", "ti"], "inner").withColumn("_keep", F.filter("_cuts", lambda c: F.col("step").isNull() | (c <= F.col("step"))))
+    each = skewed_join(slots, cuts, ["station", "ti"], "inner").withColumn("_keep", F.filter("_cuts", lambda c: F.col("step").isNull() | (c <= F.col("step"))))
     each = each.select("station", "ti", "tier", "direction", "sec", "d", "t", F.explode("_keep").alias("min_speed"))
     key = ["station", "ti", "tier", "min_speed"]
     merged = each.groupBy(*key, "direction", "sec").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))

@@ -1,6 +1,6 @@
 """Building blocks that stay balanced when one key holds a large part of all rows.
 
-* totals of a group are aggregated with a map-side partial step and joined back on (key, salt);
+* totals of a group are aggregated with a map-side partial step and joined back; adaptive execution splits hot keys of the join;
 * the best row of a key is an aggregate over a struct, never a sorted group;
 * order statistics and running sums work on buckets of the order column: bucket totals are small, only one bucket at a time is sorted.
 """
@@ -12,20 +12,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 
+def skewed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where a key of ``big`` may be hot.
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join on ``keys`` with the rows of a hot key of ``big`` spread over ``salts`` partitions; ``small`` is repeated that often."""
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    An equality join that adaptive execution splits where it measures a hot key (``session.tune`` switches that on, also where the split costs
+    another shuffle). Nothing is repeated for keys that are not hot.
+    """
+    return big.join(small, list(keys), how)
 
 
-def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column], salts: int = SALTS) -> DataFrame:
+def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Every row with aggregates of its group (what a window over an unordered partition gives, without gathering the group)."""
     sums = df.groupBy(*keys).agg(*[c.alias(name) for name, c in totals.items()])
-    return salted_join(df, sums, keys, "left", salts)
+    return skewed_join(df, sums, keys, "left")
 
 
 def with_grand_totals(df: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
@@ -173,10 +173,10 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str, name: str, descend
     known = rows.filter(F.col("_k").isNotNull())
     below = counts_below(known, by, "_k").select(*by, "_k", (F.col("below") + 1).alias(name))
     keys = [*by, "_k"]
-    placed = salted_join(known, below, keys, "inner", salts=4).drop("_k")
+    placed = skewed_join(known, below, keys, "inner").drop("_k")
     sizes = df.groupBy(*by).agg(F.count_if(v.isNotNull() & ~F.isnan(v)).alias("_n"))
     missing = rows.filter(F.col("_k").isNull()).drop("_k")
-    missing = salted_join(missing, sizes, by) if by else missing.crossJoin(F.broadcast(sizes))
+    missing = skewed_join(missing, sizes, by) if by else missing.crossJoin(F.broadcast(sizes))
     return placed.unionByName(missing.withColumn(name, F.col("_n") + 1).drop("_n"))
 
 

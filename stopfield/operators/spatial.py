@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions import grid
 from stopfield.functions.geo import crossing_inside, plane_metres, plane_x, plane_y, ring_centroid
-from stopfield.operators.skew import first_row, salted_join
+from stopfield.operators.skew import first_row, skewed_join
 
 
 def with_plane(df: DataFrame, lat0: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -56,12 +56,21 @@ def _refine(pairs: DataFrame, points: DataFrame, features: DataFrame, side: floa
     return pairs.join(p, "p").join(f, ["f", *by]).select(F.col("p2").alias("p"), F.col("f2").alias("f"), *by)
 
 
+def _whole_extent(points: DataFrame, features: DataFrame, bits: int) -> tuple[float, int]:
+    """A distance that no pair exceeds, and the number of refinements down to squares of about one feature. One row is collected."""
+    both = points.select("_x", "_y", F.lit(0).alias("_n")).unionByName(features.select("_x", "_y", F.lit(1).alias("_n")))
+    e = both.agg(F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_y").alias("c"), F.max("_y").alias("d"), F.sum("_n").alias("n")).first()
+    if e["a"] is None:
+        return 1.0, 1
+    return math.hypot(e["b"] - e["a"], e["d"] - e["c"]) + 1.0, max(2, math.ceil(math.log2(max(2, e["n"])) / 2 / bits) + 1)
+
+
 def nearest(
     points: DataFrame,
     features: DataFrame,
     point: str,
     feature: str,
-    cap: float,
+    cap: float | None,
     lat0: float,
     by: Sequence[str] = (),
     levels: int = 2,
@@ -69,12 +78,14 @@ def nearest(
 ) -> DataFrame:
     """Nearest feature within ``cap`` metres of every point, per value of the feature columns ``by``: (point, by, feature, dist).
 
-    Exact; the smallest feature id wins ties; points without a feature in reach are absent. A search without a cap is one whose cap is the
-    extent of the data and whose ``levels`` is larger.
+    Exact; the smallest feature id wins ties; points without a feature in reach are absent. Without a cap (None) every point has its nearest
+    feature: the search starts at the extent of the data and goes down until a square holds few features if they are spread evenly.
     """
     p = with_plane(points, lat0).select(point, "_x", "_y")
     where = p.select("_x", "_y").distinct()
     f = with_plane(features, lat0).groupBy(*by, "_x", "_y").agg(F.min(feature).alias(feature))
+    if cap is None:
+        cap, levels = _whole_extent(where, f, bits)
     side = float(cap)
     pairs = _first_pairs(where, f, side, by)
     for _ in range(levels):
@@ -183,7 +194,7 @@ def polyfill(polygons: DataFrame, key: str, res: int, ring: str = "ring") -> Dat
 def within(points: DataFrame, polygons: DataFrame, key: str, res: int, ring: str = "ring") -> DataFrame:
     """Points with every polygon that holds them. Points are matched to cover cells; only cells on a rim test their few edges."""
     cells = cover(polygons, key, res, ring)
-    joined = salted_join(points.withColumn("cell_", grid.cell(F.col("lon"), F.col("lat"), res)), cells.withColumnRenamed("cell", "cell_"), ["cell_"], "inner", salts=8)
+    joined = skewed_join(points.withColumn("cell_", grid.cell(F.col("lon"), F.col("lat"), res)), cells.withColumnRenamed("cell", "cell_"), ["cell_"], "inner")
     hit = F.col("edges").isNull() | crossing_inside(F.col("edges"), F.col("lon"), F.col("lat"))
     return joined.filter(hit).select(*points.columns, key)
 
@@ -210,13 +221,13 @@ def overlay_shares(polygons: DataFrame, key: str, res: int, depth: int, ring: st
         hits = hits.join(grid_cells.select("cell"), "cell", "left_semi")
         if covered:
             whole = hits.groupBy(key).agg(F.sum("_n").alias("_t"))
-    return salted_join(hits, whole, [key], "inner").select(key, "cell", (F.col("_n") / F.col("_t")).alias("share"))
+    return skewed_join(hits, whole, [key], "inner").select(key, "cell", (F.col("_n") / F.col("_t")).alias("share"))
 
 
 def overlay(polygons: DataFrame, key: str, amounts: Sequence[str], res: int, depth: int, ring: str = "ring") -> DataFrame:
     """Amounts of polygons carried to cells by area."""
     shares = overlay_shares(polygons, key, res, depth, ring)
-    rows = salted_join(shares, polygons.select(key, *amounts), [key], "inner")
+    rows = skewed_join(shares, polygons.select(key, *amounts), [key], "inner")
     return rows.groupBy("cell").agg(*[F.sum(F.col(a) * F.col("share")).alias(a) for a in amounts])
 
 

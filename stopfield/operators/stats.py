@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions.numeric import bin_of, t_two_sided
 from stopfield.operators.rollup import positive, weighted_mean
-from stopfield.operators.skew import exact_quantiles, salted_join, weighted_quantiles
+from stopfield.operators.skew import exact_quantiles, skewed_join, weighted_quantiles
 
 # The share of a group in per cent is measured on these eleven bins of the score.
 SCORE_EDGES = (1e-7, 10, 20, 30, 40, 50, 60, 70, 80, 90)
@@ -44,7 +44,7 @@ def regression(df: DataFrame, by: Sequence[str], x: str, y: str, weight: str | N
         (F.sum(F.col("_w") * F.col("_x")) / positive(F.sum("_w"))).alias("_mx"),
         (F.sum(F.col("_w") * F.col("_y")) / positive(F.sum("_w"))).alias("_my"),
     )
-    both = salted_join(rows, means, by, "inner") if by else rows.crossJoin(F.broadcast(means))
+    both = skewed_join(rows, means, by, "inner") if by else rows.crossJoin(F.broadcast(means))
     dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
     moments = both.groupBy(*by).agg(
         F.max("n").alias("n"),
@@ -88,7 +88,7 @@ def median_split(df: DataFrame, by: Sequence[str], split: str, score: str, weigh
         cut = weighted_median(rows, by, split, weight)
     else:
         cut = exact_quantiles(rows, by, split, [0.5]).select(*by, F.col("value").alias("median"))
-    joined = salted_join(rows, cut, by) if by else rows.crossJoin(F.broadcast(cut))
+    joined = skewed_join(rows, cut, by) if by else rows.crossJoin(F.broadcast(cut))
     low = F.col(split) <= F.col("median")
     high = ~F.coalesce(low, F.lit(False))
     s = F.col(score).cast("double")
@@ -186,7 +186,7 @@ def density_fit(df: DataFrame, by: Sequence[str], density: str, score: str) -> D
 def equity_flag(df: DataFrame, thresholds: DataFrame, by: Sequence[str], density: str, score: str, gate: float = 1000.0) -> DataFrame:
     """``flag``: more_housing above one std of the fit, more_transit below one std where density passes the gate."""
     t = thresholds.select(*by, "slope", "intercept", "std")
-    rows = salted_join(df, t, by) if by else df.crossJoin(F.broadcast(t))
+    rows = skewed_join(df, t, by) if by else df.crossJoin(F.broadcast(t))
     residual = F.col(score) - (F.col("slope") * F.ln(F.when(F.col(density) > 0, F.col(density))) + F.col("intercept"))
     flag = F.when(residual > F.col("std"), "more_housing").when(
         (residual < -F.col("std")) & (F.col(density) > gate), "more_transit"
@@ -204,7 +204,7 @@ def priority_flags(df: DataFrame, by: Sequence[str], density: str, score: str, w
     rows = df.filter(usable)
     size = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     whole = weighted_median(rows, by, density, weight, "_all").join(size, list(by))
-    halves = salted_join(rows, whole, by).withColumn("_half", F.col(density) > F.col("_all"))
+    halves = skewed_join(rows, whole, by).withColumn("_half", F.col(density) > F.col("_all"))
     # both measures of both halves share the passes of one median
     pairs = F.array(*[F.struct(F.lit(n).alias("_m"), F.col(c).cast("double").alias("_x")) for n, c in (("d", density), ("s", score))])
     cuts = weighted_median(halves.select(*by, "_half", weight, F.inline(pairs)), [*by, "_half", "_m"], "_x", weight, "_cut")
@@ -213,7 +213,7 @@ def priority_flags(df: DataFrame, by: Sequence[str], density: str, score: str, w
         pick(True, "d").alias("_ad"), pick(False, "d").alias("_bd"), pick(True, "s").alias("_as"), pick(False, "s").alias("_bs")
     )
     limits = whole.join(four, list(by), "left")
-    out = salted_join(df, limits, by)
+    out = skewed_join(df, limits, by)
     d, s = F.col(density), F.col(score)
     valid = usable & (F.col("_n") >= 4)
     transit = valid & (d > F.col("_all")) & (d > F.col("_ad")) & (s < F.col("_bs"))
@@ -244,7 +244,7 @@ def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, by: Seq
     w = F.col(weight)
     means = [(F.sum(w * F.col(c)) / positive(F.sum(w))).alias(f"m_{i}") for i, c in enumerate(columns)]
     first = df.groupBy(*by).agg(F.sum(w).alias("w"), *means)
-    rows = salted_join(df, first, by, "inner") if by else df.crossJoin(F.broadcast(first))
+    rows = skewed_join(df, first, by, "inner") if by else df.crossJoin(F.broadcast(first))
     cross = []
     for i, a in enumerate(columns):
         for j in range(i, len(columns)):

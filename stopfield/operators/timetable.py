@@ -12,7 +12,7 @@ from stopfield.functions.geo import haversine_km
 from stopfield.functions.hashing import uniform
 from stopfield.operators.gtfs import fingerprint
 from stopfield.operators.rollup import positive
-from stopfield.operators.skew import first_row, salted_join
+from stopfield.operators.skew import first_row, skewed_join
 
 # Shares of a fleet in maintenance and in reserve, layover, and the limits of a fleet headway in minutes.
 MAINTENANCE, RESERVE, LAYOVER, HEADWAY_LIMITS = 0.08, 0.09, 0.10, (2.0, 60.0)
@@ -117,7 +117,7 @@ def calibrate_speeds(segments: DataFrame, targets: Mapping[str, float], rounds:
     for zone, value in targets.items():
         goal = goal.when(F.col("zone") == zone, F.lit(float(value)))
     for _ in range(rounds):
-        rows = salted_join(segments, ks, ["zone"], "inner")
+        rows = skewed_join(segments, ks, ["zone"], "inner")
         k = lambda s: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * s
         time = lambda s: F.sum(F.col("km") / F.greatest(F.lit(SPEED_LIMITS[0]), F.least(F.lit(SPEED_LIMITS[1]), F.col("kmh") * k(s))))
         sums = rows.groupBy("zone").agg(F.sum("km").alias("_km"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[time(s).alias(f"_t{i}") for i, s in enumerate(at)])
@@ -148,9 +148,9 @@ def calibrate_headways(windows: DataFrame, fleets: DataFrame, instant: int = 8 *
     for _ in range(rounds):
         floor = F.greatest(F.col("_k"), F.lit(SMALLEST_K))
         h = F.least(F.greatest(F.col("_raw") * floor, F.col("least")), F.lit(high))
-        rows = salted_join(free, ks, ["city"], "inner")
+        rows = skewed_join(free, ks, ["city"], "inner")
         ks = rows.groupBy("city").agg(F.max("_need").alias("_need"), (F.max(floor) * F.sum(load(h)) / F.max("_need")).alias("_k"))
-    out = salted_join(windows, ks.select("city", F.col("_k").alias("k")), ["city"])
+    out = skewed_join(windows, ks.select("city", F.col("_k").alias("k")), ["city"])
     new = F.least(F.greatest(raw * F.coalesce("k", F.lit(1.0)), F.col("least")), F.lit(high))
     return out.withColumn("new_headway", F.rint(F.when(F.col("free"), new).otherwise(F.col("headway"))).cast("long"))
 

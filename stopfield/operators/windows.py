@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopfield.operators.skew import counts_below, first_row, rank_within, salted_join
+from stopfield.operators.skew import counts_below, first_row, rank_within, skewed_join
 
 def _descending(c: str) -> Column:
     """Key that puts large numbers first and missing ones last when sorted upwards."""
@@ -75,7 +75,7 @@ def percentile_of(df: DataFrame, by: Sequence[str], column: str, name: str = "pe
     """``percent_rank`` of every row in its group."""
     below = counts_below(df.filter(F.col(column).isNotNull()), by, column)
     share = below.select(*by, column, F.when(F.col("size") > 1, F.col("below") / (F.col("size") - 1)).otherwise(0.0).alias(name))
-    return salted_join(df, share, [*by, column], salts=4)
+    return skewed_join(df, share, [*by, column])
 
 
 def percentile_from_table(df: DataFrame, table: DataFrame, column: str, name: str = "percentile") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopfield.operators import gtfs as G
 from stopfield.operators.score import best_subset
-from stopfield.operators.skew import salted_join
+from stopfield.operators.skew import skewed_join
 from stopfield.operators.windows import merge_by_location
 from stopfield.plans.params import StudyParams
 from stopfield.session import cut_lineage
@@ -47,7 +47,7 @@ def score_stations(feeds: Feeds, shared_day: str, params: StudyParams = StudyPar
     trips = day_trips(feeds, shared_day, params).select("trip", "feed", "route", "direction")
     calls = feeds.calls.join(trips, "trip")  # a trip is a short list of calls
     along = G.along_trip(calls, feeds.stops).select("trip", "seq", "stop", "sec", "feed", "route", "direction", "metres", "seconds")
-    placed = cut_lineage(salted_join(along, feeds.stops.select("stop", "station"), ["stop"], "inner"))
+    placed = cut_lineage(skewed_join(along, feeds.stops.select("stop", "station"), ["stop"], "inner"))
     placed = placed.withColumn("route", F.concat_ws(":", "feed", "route"))
     window = (params.day_start, params.day_end)
     headway = G.headways(placed, ["station", "route", "direction"], window)
@@ -57,7 +57,7 @@ def score_stations(feeds: Feeds, shared_day: str, params: StudyParams = StudyPar
     rides = inside.select("station", "route", "trip").distinct().join(whole, "trip")
     speed = rides.groupBy("station", "route").agg(F.sum("_m").alias("distance"), F.sum("_s").alias("time"))
     modes = feeds.routes.select(F.concat_ws(":", "feed", "route").alias("route"), "mode").dropDuplicates(["route"])
-    return best_subset(headway.select("station", "route", "direction", "headway"), salted_join(speed, modes, ["route"]), params.curves)
+    return best_subset(headway.select("station", "route", "direction", "headway"), skewed_join(speed, modes, ["route"]), params.curves)
 
 
 def scored_stops(feeds: Feeds, shared_day: str, params: StudyParams = StudyParams()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions.geo import haversine_km
 from stopfield.operators.gtfs import active_services, runs_per_trip
-from stopfield.operators.skew import salted_join
+from stopfield.operators.skew import skewed_join
 from stopfield.operators.spatial import within
 
 
@@ -21,7 +21,7 @@ def vehicle_km(
     """
     today = active_services(calendar, exceptions, day, day).select("feed", "service")
     running = runs_per_trip(trips.join(today, ["feed", "service"], "left_semi"), frequencies).select("trip", "runs")
-    at = salted_join(calls.join(running.select("trip"), "trip", "left_semi"), stops.select("stop", "lon", "lat"), ["stop"], "inner")
+    at = skewed_join(calls.join(running.select("trip"), "trip", "left_semi"), stops.select("stop", "lon", "lat"), ["stop"], "inner")
     w = Window.partitionBy("trip").orderBy("seq")
     nxt = at.withColumn("x2", F.lead("lon").over(w)).withColumn("y2", F.lead("lat").over(w)).filter("x2 is not null")
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("x2"), F.col("y2"))

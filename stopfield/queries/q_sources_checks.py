@@ -12,7 +12,7 @@ from stopfield.operators import rollup as R
 from stopfield.operators import stats as S
 from stopfield.operators.skew import first_row
 from stopfield.queries.registry import query
-from stopfield.queries.views import COARSE, FINE, sql_area, sql_cell, sql_centre
+from stopfield.queries.views import COARSE, FINE, sql_area, sql_cell, sql_centre, sql_col, sql_row
 from stopfield.sources import readers as Rd
 from stopfield.sources import sinks as Sk
 
@@ -164,12 +164,21 @@ def _levels(t):
     return {FINE: fine, COARSE: R.roll_to_parent(c, FINE, COARSE, rules), 6: R.roll_to_parent(c.filter("county <> 7"), FINE, 6, rules)}
 
 
-@query("level_totals_agree", "Q1", "SELECT 6 AS res, a || ' differs from the finest level' AS problem FROM (VALUES ('population'), ('jobs')) k(a)")
+@query("level_totals_agree", "Q1", f"""
+    WITH t AS (SELECT {FINE} AS res, sum(population) AS population, sum(jobs) AS jobs FROM v_fine_cell UNION ALL SELECT {COARSE}, sum(population), sum(jobs) FROM v_fine_cell
+      UNION ALL SELECT 6, sum(population), sum(jobs) FROM v_fine_cell WHERE county <> 7),
+    k AS (SELECT res, unnest(['population', 'jobs']) AS a, unnest([population, jobs]) AS v FROM t), f AS (SELECT a, v AS finest FROM k WHERE res = {FINE})
+    SELECT res, a || ' differs from the finest level' AS problem FROM k JOIN f USING (a) WHERE finest <> 0 AND abs(v - finest) > 0.002*abs(finest) + 1
+    UNION ALL SELECT {FINE}, count(*)::VARCHAR || ' cells without score' FROM v_fine_cell WHERE los IS NULL HAVING count(*) > 0
+    UNION ALL SELECT {FINE}, 'score outside 0-100' FROM v_fine_cell WHERE los < 0 OR los > 100 HAVING count(*) > 0""")
 def _(t):
     return Q.level_problems(_levels(t), ["population", "jobs"])
 
 
-@query("estimates_match_census", "Q2", "SELECT 'b' AS \"column\", 'total differs from the census' AS problem UNION ALL SELECT 'c', 'missing'")
+@query("estimates_match_census", "Q2", """
+    WITH s AS (SELECT sum(population) AS census, sum(population*1.001) AS a, sum(population*1.1) AS b FROM v_unit), k AS (SELECT census, unnest(['a', 'b']) AS c, unnest([a, b]) AS v FROM s)
+    SELECT c AS "column", 'total differs from the census' AS problem FROM k WHERE abs(v - census) > 0.002*census
+    UNION ALL SELECT 'c', 'missing' WHERE 'c' NOT IN (SELECT c FROM k)""")
 def _(t):
     df = t.unit.select(F.col("population").alias("census"), (F.col("population") * 1.001).alias("a"), (F.col("population") * 1.1).alias("b"))
     return Q.estimate_problems(df, "census", ["a", "b"], ["c"])
@@ -191,7 +200,11 @@ def _(t):
     return Q.share_problems(df, ["los_share", "half_share"], ["income"])
 
 
-@query("underserved_patches", "Q7 A53")
+@query("underserved_patches", "Q7 A53", f"""
+    WITH RECURSIVE c AS (SELECT {sql_cell('lon', 'lat', 9)} AS cell, sum(population) AS population, max(los) AS los FROM v_unit GROUP BY 1),
+    p AS (SELECT cell, {sql_row('cell')} AS y, {sql_col('cell')} AS x, population FROM c WHERE population >= 10 AND coalesce(los, 0) <= 80),
+    r AS (SELECT cell, x, y, cell AS label FROM p UNION SELECT p.cell, p.x, p.y, r.label FROM r JOIN p ON abs(r.x-p.x) + abs(r.y-p.y) = 1 WHERE r.label < p.cell)
+    SELECT label, count(*) AS cells, sum(population) AS population FROM (SELECT cell, min(label) AS label FROM r GROUP BY 1) JOIN p USING (cell) GROUP BY 1 HAVING sum(population) >= 30""")
 def _(t):
     c = t.unit.withColumn("cell", grid.cell(F.col("lon"), F.col("lat"), 9)).groupBy("cell").agg(F.sum("population").alias("population"), F.max("los").alias("los"))
     c = c.withColumn("density", F.col("population"))

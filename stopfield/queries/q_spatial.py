@@ -64,7 +64,7 @@ def _(t):
 
 
 def nearest_sql(cap, where="", by=""):
-    return f"""WITH d AS (SELECT p.id, s.station, {by + ',' if by else ''} {flat('p.lon','p.lat','s.lon','s.lat')} AS dist FROM v_place p JOIN v_station s ON {flat('p.lon','p.lat','s.lon','s.lat')} <= {cap} {where})
+    return f"""WITH d AS (SELECT p.id, s.station, {by + ',' if by else ''} {flat('p.lon','p.lat','s.lon','s.lat')} AS dist FROM v_place p JOIN v_station s ON {flat('p.lon','p.lat','s.lon','s.lat') + f' <= {cap}' if cap else 'true'} {where})
     SELECT id, {by + ',' if by else ''} arg_min(station, row(dist, station)) AS station, round(min(dist),3) AS dist FROM d GROUP BY id {',' + by if by else ''}"""
 
 
@@ -73,17 +73,17 @@ def _(t):
     return X.nearest(t.place, t.station, "id", "station", 60000.0, LAT0).withColumn("dist", r(F.col("dist"), 3))
 
 
-@query("nearest_station_uncapped", "J8", nearest_sql(4000000))
+@query("nearest_station_uncapped", "J8", nearest_sql(None))
 def _(t):
-    return X.nearest(t.place, t.station, "id", "station", 4_000_000.0, LAT0, levels=3).withColumn("dist", r(F.col("dist"), 3))
+    return X.nearest(t.place, t.station, "id", "station", None, LAT0).withColumn("dist", r(F.col("dist"), 3))
 
 
 @query("nearest_station_per_mode", "J9", f"""
-    WITH n AS ({nearest_sql(300000, by='mode')}), own AS (SELECT DISTINCT h AS id, w AS station FROM v_flow), k AS (SELECT median(net/straight) AS detour FROM (
+    WITH n AS ({nearest_sql(None, by='mode')}), own AS (SELECT DISTINCT h AS id, w AS station FROM v_flow), k AS (SELECT median(net/straight) AS detour FROM (
       SELECT ((h*13+w*7)%2500)::DOUBLE*90 AS net, {flat('p.lon','p.lat','s.lon','s.lat')} AS straight FROM v_flow JOIN v_place p ON h = p.id JOIN v_station s ON w = s.station) WHERE net > 100 AND straight > 50)
     SELECT n.id, n.mode, n.station, round(dist*detour, 2) AS dist FROM n CROSS JOIN k WHERE (n.id, n.station) NOT IN (SELECT (id, station) FROM own)""".replace("round(min(dist),3)", "min(dist)"))
 def _(t):
-    near = X.nearest(t.place, t.station, "id", "station", 300_000.0, LAT0, by=["mode"])
+    near = X.nearest(t.place, t.station, "id", "station", None, LAT0, by=["mode"])
     own = t.flow.select(F.col("h").alias("id"), F.col("w").alias("station"))
     p = t.place.select(F.col("id").alias("h"), F.col("lon").alias("a"), F.col("lat").alias("b"))
     s = t.station.select(F.col("station").alias("w"), F.col("lon").alias("c"), F.col("lat").alias("d"))

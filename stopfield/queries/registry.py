@@ -32,6 +32,8 @@ def with_views(body: str) -> str:
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n].strip()})" for n in order)
     if not ctes:
         return body
+    if body[:15].lower() == "with recursive ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stopfield.operators.skew import salted_join
+from stopfield.operators.skew import skewed_join
 
 CHUNK_ROWS = 20_000
 
@@ -47,7 +47,7 @@ def column_chunks(df: DataFrame, key: str, row: str, digits: int = 2, chunk_rows
     """
     clean = rounded(df, digits)
     sizes = clean.groupBy(key).agg(F.ceil(F.count("*") / F.lit(chunk_rows)).alias("_parts"))
-    placed = salted_join(clean, sizes, [key], "inner").withColumn("part", F.pmod(F.xxhash64(F.col(row)), F.col("_parts")).cast("int")).drop("_parts")
+    placed = skewed_join(clean, sizes, [key], "inner").withColumn("part", F.pmod(F.xxhash64(F.col(row)), F.col("_parts")).cast("int")).drop("_parts")
     fields = [c for c in df.columns if c != key]
     lists = placed.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("_row"), *fields))).alias("_l"))
 

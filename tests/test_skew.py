@@ -14,17 +14,20 @@ def hot(spark, n=6000):
     )
 
 
-def test_salted_join_spreads_a_hot_key(spark):
-    df = hot(spark).withColumn("g", F.lit("hot"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_a_hot_key_is_split(spark):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
-        out = skew.salted_join(df, spark.createDataFrame([("hot", 1)], "g string, t int"), ["g"], "inner")
-        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
-        assert sum(sizes) == 6000 and max(sizes) < 0.5 * 6000
+        rest = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.md5(F.col("id").cast("string")).alias("x")).repartition(8)
+        small = spark.range(30_000).select(F.col("id").cast("string").alias("g"), F.lit(2).alias("t")).union(spark.sql("SELECT 'hot', 1"))
+        out = skew.skewed_join(rest, small, ["g"], "inner")
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("x")).collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 0.5 * 30_000
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_totals_match_a_window(spark, rows):
