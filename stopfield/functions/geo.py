@@ -35,13 +35,6 @@ def plane_metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column, lat0: f
     return F.sqrt(dx * dx + dy * dy)
 
 
-def segment_metres(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Distance of a point to a segment, all in plane metres."""
-    t = segment_fraction(px, py, ax, ay, bx, by)
-    dx, dy = px - (ax + t * (bx - ax)), py - (ay + t * (by - ay))
-    return F.sqrt(dx * dx + dy * dy)
-
-
 def segment_fraction(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Where along a segment (0 to 1) the nearest position to a point lies."""
     vx, vy = bx - ax, by - ay

@@ -92,11 +92,6 @@ def map_report(df: DataFrame, percent: str, share: str, positive: str, protect:
     return df.agg(F.array(*aggs).alias("r")).select(F.inline("r"))
 
 
-def drop_empty(df: DataFrame, report: DataFrame) -> DataFrame:
-    """Without the columns a report marks as empty (a list bounded by the width of the schema)."""
-    return df.drop(*[r["column"] for r in report.filter("dropped").select("column").collect()])
-
-
 def rule_of(name: str) -> str:
     """"mean" for averages, shares and densities, "sum" for amounts, by the name."""
     low = name.lower()

@@ -194,9 +194,9 @@ def dedupe_trips(trips: DataFrame, calls: DataFrame, same: Sequence[str]) -> Dat
 
 
 def scoring_modes(routes: DataFrame, agency_modes: DataFrame) -> DataFrame:
-    """bus, tram or rail of every route: the agency's single mode unless the feed's route types contradict it; rapid bus is always tram."""
+    """bus, tram or rail of every route: the agency's single mode unless the feed's route types contradict it (a missing type is one of its own); rapid bus is always tram."""
     own = route_mode(F.col("route_type"))
-    types = routes.groupBy("feed").agg(F.count_distinct("route_type").alias("_types"))
+    types = routes.groupBy("feed").agg(F.count_distinct(F.coalesce("route_type", F.lit("none"))).alias("_types"))
     modes = agency_modes.groupBy("feed").agg(F.count_distinct("mode_name").alias("_modes"), F.max("mode_name").alias("_name"))
     joined = skewed_join(skewed_join(routes, types, ["feed"]), modes, ["feed"])
     default = F.when(F.col("_modes") == 1, _lookup(F.col("_name"), AGENCY_MODES, F.lit(None).cast("string")))
@@ -266,9 +266,10 @@ def changed_areas(now: DataFrame, before: DataFrame, area: str) -> DataFrame:
 def stop_table(stops: DataFrame, stations: DataFrame, stop_routes: DataFrame) -> DataFrame:
     """Every real stop with its station's scores and its own routes, once per (stop, place). ``stop_routes`` has (stop, route) pairs."""
     lists = stop_routes.select("stop", "route").distinct().groupBy("stop").agg(F.sort_array(F.collect_list("route")).alias("routes"))
-    return (
-        stops.join(stations, "station", "left").join(lists, "stop", "left").dropDuplicates(["stop", "lon", "lat"])
-    )
+    joined = stops.join(stations, "station", "left").join(lists, "stop", "left")
+    rest = [c for c in joined.columns if c not in ("stop", "lon", "lat")]
+    # of several stations at one stop and place the least id
+    return first_row(joined, ["stop", "lon", "lat"], [F.col("station")], rest).select(*joined.columns)
 
 
 def feed_marks(stops: DataFrame, routes: DataFrame) -> DataFrame:

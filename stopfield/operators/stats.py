@@ -229,16 +229,6 @@ def quantile_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     return exact_quantiles(long, [*by, "column"], "value", [i / (points - 1) for i in range(points)])
 
 
-def service_summary(df: DataFrame, regions: Sequence[str], los: str = "los", served_above: float = 0.0) -> DataFrame:
-    """Per region and for the whole (null key): residents, weighted score and share of residents with access, in one pass."""
-    people = F.coalesce(F.col("population"), F.lit(0.0))
-    return df.rollup(*regions).agg(
-        F.sum(people).alias("population"),
-        weighted_mean(F.col(los), people).alias("los"),
-        (F.sum(F.when(F.col(los) > served_above, people).otherwise(0.0)) / positive(F.sum(people))).alias("served_share"),
-    )
-
-
 def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, by: Sequence[str] = ()) -> DataFrame:
     """Weighted means and all cross moments about them, as columns ``m_i`` and ``c_i_j`` (i <= j) and the weight ``w``."""
     w = F.col(weight)

@@ -177,11 +177,3 @@ def route_lines(routes: DataFrame, trips: DataFrame, shapes: DataFrame) -> DataF
     used = trips.select("feed", "route", "shape").distinct().join(routes.select("feed", "route"), ["feed", "route"], "left_semi")
     joined = used.join(lines, ["feed", "shape"])
     return first_row(joined, ["feed", "route", "mark"], [F.col("shape")], ["shape", "points"])
-
-
-def line_texts(lines: DataFrame, shapes: DataFrame) -> DataFrame:
-    """The kept lines as "lon lat,lon lat,..." in point order, for the sink."""
-    pts = shapes.join(lines.select("feed", "shape").distinct(), ["feed", "shape"], "left_semi").groupBy("feed", "shape").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("_p"))
-    text = F.array_join(F.transform("_p", lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ",")
-    return lines.join(pts.select("feed", "shape", text.alias("line")), ["feed", "shape"])

@@ -41,12 +41,6 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, s
     return out.withColumn(slot, F.col("_n") - 1).drop("_n") if slot else out.drop("_n")
 
 
-def slot_list(df: DataFrame, keys: Sequence[str], distance: str, item: str, k: int) -> DataFrame:
-    """Per key an array of the k nearest (distance, item), nearest first."""
-    near = top_k(df, keys, [F.col(distance), F.col(item)], k)
-    return near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(distance, item))).alias("items"))
-
-
 def far_slots(candidates: DataFrame, k: int) -> DataFrame:
     """(cell, station, group, rank, dist): duplicates of a station in a group give their nearest row, then slots by rank and distance."""
     single = candidates.groupBy("cell", "station", "group").agg(F.min(F.struct("dist", "rank")).alias("m"))

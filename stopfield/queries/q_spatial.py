@@ -38,7 +38,6 @@ def segment(lon, lat):
     return f"sqrt(pow({px(lon)}-({px('x1')}+{tt}*{vx}),2)+pow({py(lat)}-({py('y1')}+{tt}*{vy}),2))"
 
 
-IN_AREA = "lon > west AND lon <= east AND lat > south AND lat <= north"
 # half-open sides as the crossing-number test sees them: west edge in, east edge out; south in, north out
 IN_AREA = "lon >= west AND lon < east AND lat >= south AND lat < north"
 
@@ -248,10 +247,8 @@ def _(t):
 
 @query("feeds_touching_area", "J30", f"SELECT DISTINCT area, county AS feed FROM v_area JOIN v_place ON {IN_AREA}")
 def _(t):
-    boxes = t.place.groupBy("county").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
-    areas = t.area.select("area", "ring")
-    near = t.place.select("county", "lon", "lat").join(boxes.filter("w < 180 and s < 90").select("county"), "county", "left_semi")
-    return X.within(near, areas, "area", BASE).select("area", F.col("county").alias("feed")).distinct()
+    # stops meet areas on cells, which prunes as boxes of feeds and areas would
+    return X.within(t.place.select("county", "lon", "lat"), t.area.select("area", "ring"), "area", BASE).select("area", F.col("county").alias("feed")).distinct()
 
 
 @query("block_cells_matched", "J33 C13", f"""

@@ -60,7 +60,7 @@ def column_chunks(df: DataFrame, key: str, row: str, digits: int = 2, chunk_rows
 
 def write_chunks(chunks: DataFrame, key: str, path: str) -> None:
     """Chunks as compressed text, one folder per group."""
-    chunks.select(key, F.col("chunk").alias("value")).write.mode("overwrite").partitionBy(key).option("compression", "gzip").text(path)
+    chunks.select(key, F.col("chunk").alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).option("compression", "gzip").text(path)
 
 
 def read_chunks(chunks: DataFrame, column: str, schema: T.StructType) -> DataFrame:
@@ -90,7 +90,7 @@ def square_index(squares: DataFrame) -> DataFrame:
 
 
 def write_squares(squares: DataFrame, path: str) -> None:
-    squares.write.mode("overwrite").partitionBy("chunk").json(path)
+    squares.repartition("chunk").write.mode("overwrite").partitionBy("chunk").json(path)
 
 
 def region_index(cells: DataFrame, region: str, levels: Mapping[str, str], names: DataFrame, vehicle_km: DataFrame) -> DataFrame:
