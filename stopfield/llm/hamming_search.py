@@ -1,7 +1,7 @@
 """Exact top-k search on binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into segments, and an index lists the codes by the value of each. A query probes the index with all values that differ from
-its own segment in r bits, for growing r, one segment after the other. When segments 0..s have been probed up to r bits and the others up
+its own segment in r bits, for growing r, segment after segment. When segments 0..s have been probed up to r bits and the others up
 to r - 1, every code within segments x r + s bits has been met: if a code were missed it would differ in more than r bits in each of the first
 ones and in at least r in the others. A query ends when its k-th verified distance is that small. No distance is guessed and no list is cut.
 
@@ -15,7 +15,6 @@ empty tables give an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ BITS = 64
 SEGMENTS = 4
 TOP = 10
 WHOLE = 3
-"""Radii below this are probed in all segments before the results are looked at; from here on one segment at a time."""
+"""Radii below this are probed in all segments before the results are looked at; from here on two segments at a time."""
 EVERY = 50
 
 
@@ -50,9 +49,9 @@ def _met(queries: DataFrame, index: DataFrame, radius: int, s: int, segments: in
     """(q, code) pairs whose segment ``s`` differs in exactly ``radius`` bits, that no earlier step has met and that are not farther than the
     k-th verified distance so far (``bound`` of the query)."""
     width = BITS // segments
-    masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))
-    mask = F.explode(F.split(F.lit(masks), ",").cast("array<long>"))
-    probes = queries.select("q", "bound", mask.alias("mask")).select("q", "bound", _segment(F.col("q"), s, width).bitwiseXOR(F.col("mask")).alias("probe"))
+    # one row with the C(width, radius) values of that weight
+    masks = queries.sparkSession.range(0, 1 << width, 1, 1).filter(F.bit_count("id") == radius).agg(F.collect_list("id").alias("masks"))
+    probes = queries.crossJoin(F.broadcast(masks)).select("q", "bound", F.explode("masks").alias("mask")).select("q", "bound", _segment(F.col("q"), s, width).bitwiseXOR(F.col("mask")).alias("probe"))
     new = _apart(F.col("q"), F.col("code")) <= F.col("bound")
     for other in range(segments):
         if other != s:
@@ -73,7 +72,7 @@ def nearest_codes(items: DataFrame, queries: DataFrame, k: int = TOP, segments:
     active = landed(queries.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)))
     best = None
     by_distance = Window.partitionBy("q").orderBy("distance", "first", "code")
-    steps = [(r, [*range(segments)]) for r in range(WHOLE)] + [(r, [s]) for r in range(WHOLE, width + 1) for s in range(segments)]
+    steps = [(r, [*range(segments)]) for r in range(WHOLE)] + [(r, [*range(s, min(s + 2, segments))]) for r in range(WHOLE, width + 1) for s in range(0, segments, 2)]
     for radius, probed in steps:
         covered = segments * radius + probed[-1]
         met = reduce(DataFrame.unionByName, [_met(active, index, radius, s, segments) for s in probed])
