@@ -21,20 +21,21 @@ MEAN = "sum(income_median*population)/nullif(sum(CASE WHEN income_median IS NOT
 
 
 def rounded(df, keys):
+    """Rounded columns. Means of cents can lie halfway between two roundings, where the order of a sum decides; the nudge takes them off it."""
     digits = {"population": 3, "jobs": 5}
-    return df.select(*keys, *[r(F.col(c), digits.get(c, 6)).alias(c) for c in df.columns if c not in keys])
+    return df.select(*keys, *[r(F.col(c) if c in digits else F.col(c) + 1e-9, digits.get(c, 6)).alias(c) for c in df.columns if c not in keys])
 
 
 @query("rollup_to_parent", "A1 A2 G1 G2", f"""
-    SELECT {sql_parent('cell', FINE, COARSE)} AS cell, round({LOS}, 6) AS los, round(sum(population), 3) AS population, round(sum(jobs), 5) AS jobs,
-           round({MEAN}, 6) AS income_median FROM v_fine_cell GROUP BY 1""")
+    SELECT {sql_parent('cell', FINE, COARSE)} AS cell, round({LOS} + 1e-9, 6) AS los, round(sum(population), 3) AS population, round(sum(jobs), 5) AS jobs,
+           round({MEAN} + 1e-9, 6) AS income_median FROM v_fine_cell GROUP BY 1""")
 def _(t):
     return rounded(R.roll_to_parent(t.fine_cell, FINE, COARSE, RULES), ["cell"])
 
 
 @query("rollup_all_levels", "A1 A5 J25", " UNION ALL ".join(
-    f"SELECT {to} AS res, {sql_parent('cell', FINE, to)} AS cell, round({LOS}, 6) AS los, round(sum(population), 3) AS population, round(sum(jobs), 5) AS jobs,"
-    f" round({MEAN}, 6) AS income_median FROM v_fine_cell GROUP BY 2" for to in (10, 8, 6)))
+    f"SELECT {to} AS res, {sql_parent('cell', FINE, to)} AS cell, round({LOS} + 1e-9, 6) AS los, round(sum(population), 3) AS population, round(sum(jobs), 5) AS jobs,"
+    f" round({MEAN} + 1e-9, 6) AS income_median FROM v_fine_cell GROUP BY 2" for to in (10, 8, 6)))
 def _(t):
     return rounded(R.roll_levels(t.fine_cell, FINE, [10, 8, 6], RULES), ["res", "cell"])
 
@@ -150,7 +151,7 @@ def _(t):
 
 @query("border_duplicates_merged", "O8 A18", f"""
     WITH two AS (SELECT * FROM v_fine_cell UNION ALL SELECT * FROM v_fine_cell WHERE county % 4 = 0)
-    SELECT cell, round({LOS}, 6) AS los, round(sum(population), 3) AS population, round(sum(jobs), 5) AS jobs, round({MEAN}, 6) AS income_median FROM two GROUP BY 1""")
+    SELECT cell, round({LOS} + 1e-9, 6) AS los, round(sum(population), 3) AS population, round(sum(jobs), 5) AS jobs, round({MEAN} + 1e-9, 6) AS income_median FROM two GROUP BY 1""")
 def _(t):
     two = t.fine_cell.unionByName(t.fine_cell.filter("county % 4 = 0"))
     return rounded(R.roll_to_parent(two, FINE, FINE, RULES), ["cell"])
