@@ -208,6 +208,16 @@ def test_stops_keep_their_order_along_lines(spark):
         assert out["ambiguous"] == unsure
 
 
+def test_a_long_path_is_walked_to_its_end(spark):
+    n = 45
+    edges = spark.createDataFrame([(i, i + 1, 5.0) for i in range(n)], "src int, dst int, w double")
+    starts = spark.createDataFrame([(1, 0, 0.0)], "station int, node int, dist double")
+    got = {r["node"]: r["dist"] for r in network.bounded_walk(edges, starts, 5.0 * n).collect()}
+    assert got == {i: 5.0 * i for i in range(n + 1)}
+    with pytest.raises(ValueError):
+        network.bounded_walk(edges.selectExpr("src", "dst", "-w AS w"), starts, 10.0)
+
+
 def test_cell_walk_goes_by_the_nearer_end(spark):
     x1, x2, y = 2.0, 2.01, 41.0
     length = (x2 - x1) * grid.METRES_PER_DEGREE * math.cos(math.radians(LAT0))
