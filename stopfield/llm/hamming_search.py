@@ -57,7 +57,8 @@ def _met(queries: DataFrame, index: DataFrame, radius: int, s: int, segments: in
         if other != s:
             apart = _apart(_segment(F.col("q"), other, width), _segment(F.col("code"), other, width))
             new = new & ((apart > radius) if other < s else (apart >= radius))
-    return probes.join(index.filter(F.col("s") == s), (F.col("probe") == F.col("value")) & new).select("q", "code", "first", "n")
+    # a merge join: the probes look small to the planner, which cannot see how many values a query makes, and must not be broadcast
+    return probes.hint("merge").join(index.filter(F.col("s") == s), (F.col("probe") == F.col("value")) & new).select("q", "code", "first", "n")
 
 
 def nearest_codes(items: DataFrame, queries: DataFrame, k: int = TOP, segments: int = SEGMENTS) -> DataFrame:
