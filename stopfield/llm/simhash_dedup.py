@@ -152,10 +152,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, codes: tuple[st
     return prints.join(of_print, F.col("fp") == F.col("p")).select("doc_id", "h", "fp", "component_id", "label")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and whatever else, kept) without near-duplicates: of each component the row of the smallest doc_id
-    (null last), of several with that id the one of least text digest; of rows that repeat id and text any one."""
-    found = near_duplicates(docs)
+    (null last), of several with that id the one of least text digest; of rows that repeat id and text any one. ``found`` names the
+    component of each row (doc_id, h, label); without it, that of ``near_duplicates``."""
+    found = near_duplicates(docs) if found is None else found
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h"))
     chosen = found.groupBy("label").agg(F.min(order).alias("o")).select(F.col("o.d").alias("od"), F.col("o.h").alias("oh")).distinct()
     text = utf8(F.col("text").cast("string"))
