@@ -31,16 +31,18 @@ from stopfield.llm.url_filter import host_and_path
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 MAIN = frozenset(("article", "main"))
+UNNAMED = MAIN | {"html", "body"}
 OTHER = frozenset("nav header footer aside form button dialog menu".split())
 OTHER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer "
@@ -49,18 +51,44 @@ OTHER_NAMES = frozenset(
 )
 
 
-def _is_other(name: str, rest: str, in_main: bool) -> bool:
+def _names_other(token: str) -> bool:
+    """Whether all parts of a name are in the list: ``cookie-notice`` is a notice, ``has-sidebar`` and ``comments-open`` say something else."""
+    parts = _NAME_PART.findall(token)
+    return bool(parts) and all(part.lower() in OTHER_NAMES for part in parts)
+
+
+def _is_other(name: str, rest: str, in_main: bool, by_name: bool) -> bool:
     if name in OTHER and not (name == "header" and in_main):
         return True
     if not rest.strip(" /"):
         return False
-    if _HIDDEN.search(rest):
-        return True
-    return any(part.lower() in OTHER_NAMES for values in _NAMED.findall(rest) for value in values for part in _NAME_PART.findall(value))
+    for attribute, *values in _ATTRIBUTE.findall(rest):
+        attribute, value = attribute.lower(), "".join(values)
+        if attribute == "hidden" or attribute == "aria-hidden" and value.strip().lower() == "true" or attribute == "style" and _NOT_SHOWN.search(value):
+            return True
+        if by_name and (attribute in ("class", "id", "role") and any(map(_names_other, value.split())) or attribute == "aria-label" and _names_other(value)):
+            return True
+    return False
 
 
 def text_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """The lines of a page in order: the text, whether it stands in named main text, whether in something named as none."""
+    """The lines of a page in order: the text, whether it stands in named main text, whether in something named as none.
+
+    The names of ``html``, ``body``, ``main``, ``article`` and of what a ``main`` stands in do not count; those of what an ``article`` stands in
+    do not count if no named main text were left.
+    """
+    lines, around = _lines(page, frozenset())
+    if around["main"]:
+        lines, _ = _lines(page, frozenset(around["main"]))
+    if (around["main"] or around["article"]) and not any(main and not other for _, main, other in lines):
+        lines, _ = _lines(page, frozenset(around["main"] | around["article"]))
+    return lines
+
+
+def _lines(page: str, free: frozenset[int]) -> tuple[list[tuple[str, bool, bool]], dict[str, set[int]]]:
+    """The lines, where the names of elements that start at ``free`` do not count; and the starts of elements around main elements whose names count."""
+    around: dict[str, set[int]] = {name: set() for name in MAIN}
+    starts: list[int | None] = []
     lines: list[tuple[str, bool, bool]] = []
     buffer: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
@@ -89,19 +117,24 @@ def text_lines(page: str) -> list[tuple[str, bool, bool]]:
         if not token["close"]:
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            other_now = other or _is_other(name, token["rest"], main)
+                starts.pop()
+            if name in MAIN:
+                around[name].update(x for x in starts if x is not None)
+            by_name = name not in UNNAMED and token.start() not in free
+            other_now = other or _is_other(name, token["rest"], main, by_name)
+            starts.append(token.start() if by_name and other_now and not _is_other(name, token["rest"], main, False) else None)
             stack.append((name, main, other))
             main, other = main or (name in MAIN and not other_now), other_now
         else:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
                 _, main, other = stack[depth]
-                del stack[depth:]
+                del stack[depth:], starts[depth:]
     if at < len(page):
         rest = page[at:]
         buffer.append(rest if re.match(r"</?[a-zA-Z]", rest) is None else "")
     end_line()
-    return lines
+    return lines, around
 
 
 def _rows(a: list[int], b: list[int]) -> Iterator[int]:

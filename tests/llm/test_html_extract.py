@@ -62,3 +62,19 @@ def test_odd_pages(spark):
 def test_a_hot_host_over_many_partitions(spark):
     rows = [(i, f"http://a/{i:04d}", f"<div>Same</div><p>body {i}</p>") for i in range(400)]
     assert texts(frame(spark, rows).repartition(11)) == {i: f"body {i}" for i in range(400)}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><article class="post comments-open"><p>one</p></article></body>',
+        '<body class="sidebar"><main class="widget"><p>one</p></main></body>',
+        '<div id="page" class="no-menu"><article><p>one</p></article></div>',
+        '<div class="widget"><main><p>one</p></main></div><div class="menu">x</div>',
+        '<div class="widget"><article><p>one</p></article></div>',
+        '<article><p title="the hidden valley">one</p><div class="cookie-notice">x</div><p hidden>x</p><p aria-hidden="true">x</p><p style="display: none">x</p></article>',
+        '<article><svg viewBox="0"/><p>one</p><svg><text>x</text></svg></article>',
+    ],
+)
+def test_names_that_do_not_make_main_text_other(page):
+    assert extract.main_text(extract.text_lines(page), None) == "one"
