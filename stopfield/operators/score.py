@@ -18,7 +18,6 @@ TIERS = (("bus", ("bus", "tram", "rail")), ("tram", ("tram", "rail")), ("rail",
 SPEED_STEP = 2.0
 # Best headway within 400 m gives the service class 0 (no stop) to 4 (under 15 minutes).
 CLASS_RADIUS = 400.0
-# Score bands and mode groups of the stations reached beyond walking distance.
 
 
 def combined_headway(rows: DataFrame, by: Sequence[str], direction: str, headway: str) -> DataFrame:
