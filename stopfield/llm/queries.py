@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import bpe, hamming_search, html_extract, line_dedup, mixing, order_minhash, quality, simhash_dedup, suffix_dedup, url_filter
+from stopfield.llm import bpe, hamming_search, html_extract, line_dedup, mixing, order_minhash, periodic_runs, quality, simhash_dedup, suffix_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), rules)
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(read_table(spark, sf_dir, "documents"))
