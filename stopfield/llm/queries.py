@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import bpe, hamming_search, html_extract, line_dedup, mixing, order_minhash, periodic_runs, quality, simhash_dedup, suffix_dedup, url_filter
+from stopfield.llm import bpe, hamming_search, html_extract, language_id, line_dedup, mixing, order_minhash, periodic_runs, quality, simhash_dedup, suffix_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), rules)
 
 
+@register("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(read_table(spark, sf_dir, "documents"))
+
+
 @register("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(read_table(spark, sf_dir, "documents"))
