@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopfield.llm import bpe, hamming_search, html_extract, language_id, line_dedup, mixing, order_minhash, periodic_runs, quality, simhash_dedup, suffix_dedup, url_filter
+from stopfield.llm import bpe, conversation_repair, hamming_search, html_extract, language_id, line_dedup, mixing, order_minhash, periodic_runs, quality, simhash_dedup, suffix_dedup, url_filter
 from stopfield.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(read_table(spark, sf_dir, "documents"))
 
 
+@register("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(conversations), conversations)
+
+
 @register("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(read_table(spark, sf_dir, "documents"))
