@@ -1,142 +1,23 @@
 """Spatial joins on cells: containment, nearest, radius sums, line reach, overlay. Every join is an equality on a cell, never all pairs.
 
-Distances are metres on the plane about a latitude ``lat0`` that the caller gives (the region's own), so the bounds between squares used for
-pruning are exact. Nearest and radius searches descend a quadtree on both sides at once: pairs of squares are refined and pruned until only
-neighbouring small squares remain, so a crowded square costs its own refinement and not the product of its points.
+Distances to a line are metres on the plane about the segment's own middle latitude; nearest and radius searches (``search``) use the sphere itself.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopfield.functions import grid
 from stopfield.functions.geo import crossing_inside, plane_metres, plane_x, plane_y, ring_centroid
+from stopfield.operators.search import nearest, radius_sums
 from stopfield.operators.skew import first_row, skewed_join
 
 
-def with_plane(df: DataFrame, lat0: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    return df.withColumn("_x", plane_x(F.col(lon), lat0)).withColumn("_y", plane_y(F.col(lat)))
-
-
-def _square(side: float) -> Column:
-    """Square of the plane at a side length, as (i, j)."""
-    return F.struct(F.floor(F.col("_x") / side).alias("i"), F.floor(F.col("_y") / side).alias("j"))
-
-
-def _gap(a: Column, b: Column) -> Column:
-    """Free squares between two indices on one axis."""
-    return F.greatest(F.abs(a - b) - 1, F.lit(0))
-
-
-def _bounds(side: float) -> tuple[Column, Column]:
-    """Smallest and largest distance between points of the squares p and f."""
-    di, dj = F.col("p.i") - F.col("f.i"), F.col("p.j") - F.col("f.j")
-    gi, gj = _gap(F.col("p.i"), F.col("f.i")), _gap(F.col("p.j"), F.col("f.j"))
-    low = F.lit(side) * F.sqrt((gi * gi + gj * gj).cast("double"))
-    mi, mj = F.abs(di) + 1, F.abs(dj) + 1
-    return low, F.lit(side) * F.sqrt((mi * mi + mj * mj).cast("double"))
-
-
-def _first_pairs(points: DataFrame, features: DataFrame, side: float, by: Sequence[str]) -> DataFrame:
-    """Pairs of touching squares that hold points and features."""
-    p = points.select(_square(side).alias("p")).distinct()
-    f = features.select(_square(side).alias("f"), *by).distinct()
-    ring = [F.struct((F.col("p.i") + a).alias("i"), (F.col("p.j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    return p.select("p", F.explode(F.array(*ring)).alias("f")).join(f, "f")
-
-
-def _refine(pairs: DataFrame, points: DataFrame, features: DataFrame, side: float, finer: float, by: Sequence[str]) -> DataFrame:
-    """Pairs of the smaller occupied squares inside each pair."""
-    p = points.select(_square(side).alias("p"), _square(finer).alias("p2")).distinct()
-    f = features.select(_square(side).alias("f"), _square(finer).alias("f2"), *by).distinct()
-    return pairs.join(p, "p").join(f, ["f", *by]).select(F.col("p2").alias("p"), F.col("f2").alias("f"), *by)
-
-
-def _whole_extent(points: DataFrame, features: DataFrame, bits: int) -> tuple[float, int]:
-    """A distance that no pair exceeds, and the number of refinements down to squares of about one feature. One row is collected."""
-    both = points.select("_x", "_y", F.lit(0).alias("_n")).unionByName(features.select("_x", "_y", F.lit(1).alias("_n")))
-    e = both.agg(F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_y").alias("c"), F.max("_y").alias("d"), F.sum("_n").alias("n")).first()
-    if e["a"] is None:
-        return 1.0, 1
-    return math.hypot(e["b"] - e["a"], e["d"] - e["c"]) + 1.0, max(2, math.ceil(math.log2(max(2, e["n"])) / 2 / bits) + 1)
-
-
-def nearest(
-    points: DataFrame,
-    features: DataFrame,
-    point: str,
-    feature: str,
-    cap: float | None,
-    lat0: float,
-    by: Sequence[str] = (),
-    levels: int = 2,
-    bits: int = 3,
-) -> DataFrame:
-    """Nearest feature within ``cap`` metres of every point, per value of the feature columns ``by``: (point, by, feature, dist).
-
-    Exact; the smallest feature id wins ties; points without a feature in reach are absent. Without a cap (None) every point has its nearest
-    feature: the search starts at the extent of the data and goes down until a square holds few features if they are spread evenly.
-    """
-    p = with_plane(points, lat0).select(point, "_x", "_y")
-    where = p.select("_x", "_y").distinct()
-    f = with_plane(features, lat0).groupBy(*by, "_x", "_y").agg(F.min(feature).alias(feature))
-    if cap is None:
-        cap, levels = _whole_extent(where, f, bits)
-    side = float(cap)
-    pairs = _first_pairs(where, f, side, by)
-    for _ in range(levels):
-        finer = side / (1 << bits)
-        low, high = _bounds(finer)
-        refined = _refine(pairs, where, f, side, finer, by).withColumn("_low", low).filter(F.col("_low") <= cap)
-        # at most (2 * 2**bits + 1)**2 squares are within reach of one square, so this window is over a bounded group
-        best = F.min(high).over(Window.partitionBy("p", *by))
-        pairs = refined.withColumn("_best", best).filter(F.col("_low") <= F.col("_best")).select("p", "f", *by)
-        side = finer
-    left = where.withColumn("p", _square(side))
-    right = f.select(F.col("_x").alias("_fx"), F.col("_y").alias("_fy"), *by, feature, _square(side).alias("f"))
-    d = F.sqrt(F.pow(F.col("_x") - F.col("_fx"), F.lit(2)) + F.pow(F.col("_y") - F.col("_fy"), F.lit(2)))
-    near = pairs.join(left, "p").join(right, ["f", *by]).withColumn("dist", d).filter(F.col("dist") <= cap)
-    best = near.groupBy("_x", "_y", *by).agg(F.min(F.struct("dist", feature)).alias("_m"))
-    found = best.select("_x", "_y", *by, F.col(f"_m.{feature}").alias(feature), F.col("_m.dist").alias("dist"))
-    return p.join(found, ["_x", "_y"]).select(point, *by, feature, "dist")
-
-
-def radius_sums(
-    points: DataFrame, features: DataFrame, point: str, values: Sequence[str], radius: float, lat0: float, levels: int = 2, bits: int = 2
-) -> DataFrame:
-    """Sums of feature values within ``radius`` metres of every point (0 where there is none): (point, values).
-
-    Squares wholly inside the circle of every point of a square add their subtotal at once; only the rim is compared point by point.
-    """
-    p = with_plane(points, lat0).select(point, "_x", "_y")
-    where = p.select("_x", "_y").distinct()
-    f = with_plane(features, lat0).groupBy("_x", "_y").agg(*[F.sum(v).alias(v) for v in values])
-    side = float(radius)
-    pairs = _first_pairs(where, f, side, ())
-    gains = []
-    for _ in range(levels):
-        finer = side / (1 << bits)
-        low, high = _bounds(finer)
-        refined = _refine(pairs, where, f, side, finer, ()).withColumn("_in", high <= radius).filter(low <= radius)
-        subtotal = f.groupBy(_square(finer).alias("f")).agg(*[F.sum(v).alias(v) for v in values])
-        gain = refined.filter("_in").join(subtotal, "f").groupBy("p").agg(*[F.sum(v).alias(v) for v in values])
-        gains.append((finer, gain))
-        pairs = refined.filter(~F.col("_in")).select("p", "f")
-        side = finer
-    right = f.select(F.col("_x").alias("_fx"), F.col("_y").alias("_fy"), *values, _square(side).alias("f"))
-    d2 = F.pow(F.col("_x") - F.col("_fx"), F.lit(2)) + F.pow(F.col("_y") - F.col("_fy"), F.lit(2))
-    rim = pairs.join(where.withColumn("p", _square(side)), "p").join(right, "f").filter(F.sqrt(d2) <= radius)
-    parts = rim.select("_x", "_y", *values)
-    for finer, gain in gains:
-        parts = parts.unionByName(where.withColumn("p", _square(finer)).join(gain, "p").select("_x", "_y", *values))
-    sums = parts.groupBy("_x", "_y").agg(*[F.sum(v).alias(v) for v in values])
-    return p.join(sums, ["_x", "_y"], "left").select(point, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
-
-
 # --- polygons -------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -265,10 +146,15 @@ def _with_distance(df: DataFrame, x: Column, y: Column) -> DataFrame:
     return out.withColumn("dist", F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))).drop("_px", "_py", "_dx", "_dy")
 
 
-SEGMENT = ["_ax", "_ay", "_vx", "_vy", "_len2"]
+SEGMENT = ["_k", "_ax", "_ay", "_vx", "_vy", "_len2"]
 
 
-def line_cells(edges: DataFrame, keep: Sequence[str], res: int, metres: float, lat0: float) -> DataFrame:
+def _east(lon: Column) -> Column:
+    """Metres east on the plane about the latitude whose cosine is ``_k``."""
+    return lon * grid.METRES_PER_DEGREE * F.col("_k")
+
+
+def line_cells(edges: DataFrame, keep: Sequence[str], res: int, metres: float) -> DataFrame:
     """Every cell that can hold a point within ``metres`` of a segment (x1, y1)-(x2, y2), each pair once: (keep, segment, cell, fraction, dist).
 
     ``dist`` and ``fraction`` are those of the cell's centre. A segment is cut in pieces a few cells long and the boxes of the pieces are
@@ -276,11 +162,11 @@ def line_cells(edges: DataFrame, keep: Sequence[str], res: int, metres: float, l
     """
     s = grid.side_degrees(res)
     up = metres / grid.METRES_PER_DEGREE
-    across = up / math.cos(math.radians(lat0))
     longest = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     n = F.greatest(F.lit(1), F.ceil(longest / (PIECE_CELLS * s)).cast("int"))
-    ax, ay, bx, by = plane_x(F.col("x1"), lat0), plane_y(F.col("y1")), plane_x(F.col("x2"), lat0), plane_y(F.col("y2"))
-    ready = edges.select(*keep, "x1", "y1", "x2", "y2", n.alias("_n"), ax.alias("_ax"), ay.alias("_ay"), (bx - ax).alias("_vx"), (by - ay).alias("_vy"))
+    own = edges.select(*keep, "x1", "y1", "x2", "y2", n.alias("_n"), F.cos(F.radians((F.col("y1") + F.col("y2")) / 2)).alias("_k"))
+    ax, ay, bx, by = _east(F.col("x1")), plane_y(F.col("y1")), _east(F.col("x2")), plane_y(F.col("y2"))
+    ready = own.select("*", ax.alias("_ax"), ay.alias("_ay"), (bx - ax).alias("_vx"), (by - ay).alias("_vy"))
     len2 = F.col("_vx") * F.col("_vx") + F.col("_vy") * F.col("_vy")
     ready = ready.withColumn("_len2", F.when(len2 > 0, len2)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
@@ -290,63 +176,63 @@ def line_cells(edges: DataFrame, keep: Sequence[str], res: int, metres: float, l
         margin = margin + s  # a centre that projects on this piece may lie up to a cell beyond the reach of its points
         return F.sequence(F.floor((F.least(p, q) - margin + 180.0) / s), F.floor((F.greatest(p, q) + margin + 180.0) / s))
 
-    boxes = ready.select(*keep, *SEGMENT, "_n", "_i", span("y1", "y2", up).alias("_rs"), span("x1", "x2", across).alias("_cs"))
+    boxes = ready.select(*keep, *SEGMENT, "_n", "_i", span("y1", "y2", up).alias("_rs"), span("x1", "x2", F.lit(up) / F.col("_k")).alias("_cs"))
     cells = boxes.withColumn("_r", F.explode("_rs")).withColumn("_c", F.explode("_cs")).drop("_rs", "_cs")
-    x, y = plane_x((F.col("_c") + 0.5) * s - 180.0, lat0), plane_y((F.col("_r") + 0.5) * s - 180.0)
+    x, y = _east((F.col("_c") + 0.5) * s - 180.0), plane_y((F.col("_r") + 0.5) * s - 180.0)
     placed = _with_distance(cells, x, y).filter(F.col("dist") <= metres + grid.side_metres(res))
     home = F.least(F.floor(F.col("fraction") * F.col("_n")), F.col("_n") - 1) == F.col("_i")
     return placed.filter(home).select(*keep, *SEGMENT, grid.pack(res, F.col("_r"), F.col("_c")).alias("cell"), "fraction", "dist")
 
 
-def cells_near_lines(edges: DataFrame, keep: Sequence[str], res: int, metres: float, lat0: float) -> DataFrame:
+def cells_near_lines(edges: DataFrame, keep: Sequence[str], res: int, metres: float) -> DataFrame:
     """(keep, cell, dist) for the cells whose centre is within ``metres`` of a segment."""
-    return line_cells(edges, keep, res, metres, lat0).filter(F.col("dist") <= metres).select(*keep, "cell", "dist")
+    return line_cells(edges, keep, res, metres).filter(F.col("dist") <= metres).select(*keep, "cell", "dist")
 
 
-def street_cells(edges: DataFrame, res: int, metres: float, lat0: float) -> DataFrame:
+def street_cells(edges: DataFrame, res: int, metres: float) -> DataFrame:
     """Cells whose centre lies within ``metres`` of any street, in one pass without keeping the pairs."""
-    return cells_near_lines(edges, [], res, metres, lat0).select("cell").distinct()
+    return cells_near_lines(edges, [], res, metres).select("cell").distinct()
 
 
-def lines_to_cells(edges: DataFrame, value: str, res: int, reach: float, fallback: float, lat0: float, agg=F.max) -> DataFrame:
+def lines_to_cells(edges: DataFrame, value: str, res: int, reach: float, fallback: float, agg=F.max) -> DataFrame:
     """Aggregate of the values of all lines within ``reach`` of a cell's centre, else the value of the nearest line within ``fallback``.
 
     ``agg`` is any aggregate of a column (max, mean, sum); equal nearest lines give the larger value.
     """
-    pairs = cells_near_lines(edges, [value], res, max(reach, fallback), lat0)
+    pairs = cells_near_lines(edges, [value], res, max(reach, fallback))
     v, d = F.col(value), F.col("dist")
     near = F.min(F.struct(d.alias("d"), (-v).alias("v")))
     out = pairs.groupBy("cell").agg(agg(F.when(d <= reach, v)).alias("_a"), near.alias("_n"))
     return out.select("cell", F.coalesce("_a", -F.col("_n.v")).alias(value))
 
 
-def _point_lines(points: DataFrame, edges: DataFrame, point: str, line: str, metres: float, lat0: float) -> DataFrame:
+def _point_lines(points: DataFrame, edges: DataFrame, point: str, line: str, metres: float) -> DataFrame:
     res = grid.resolution_for(metres)
-    c = line_cells(edges, [line], res, metres, lat0).drop("fraction", "dist").withColumnRenamed("cell", "_cell")
-    at = points.select(point, plane_x(F.col("lon"), lat0).alias("_qx"), plane_y(F.col("lat")).alias("_qy"), grid.cell(F.col("lon"), F.col("lat"), res).alias("_cell"))
+    c = line_cells(edges, [line], res, metres).drop("fraction", "dist").withColumnRenamed("cell", "_cell")
+    at = points.select(point, F.col("lon").alias("_qx"), plane_y(F.col("lat")).alias("_qy"), grid.cell(F.col("lon"), F.col("lat"), res).alias("_cell"))
     rows = at.join(c, "_cell")  # both sides are large: a hot cell is split by the adaptive skew join
-    return _with_distance(rows, F.col("_qx"), F.col("_qy")).filter(F.col("dist") <= metres)
+    return _with_distance(rows, _east(F.col("_qx")), F.col("_qy")).filter(F.col("dist") <= metres)
 
 
-def points_near_lines(points: DataFrame, edges: DataFrame, point: str, line: str, metres: float, lat0: float) -> DataFrame:
+def points_near_lines(points: DataFrame, edges: DataFrame, point: str, line: str, metres: float) -> DataFrame:
     """(point, line, dist) for points within ``metres`` of a segment."""
-    return _point_lines(points, edges, point, line, metres, lat0).groupBy(point, line).agg(F.min("dist").alias("dist"))
+    return _point_lines(points, edges, point, line, metres).groupBy(point, line).agg(F.min("dist").alias("dist"))
 
 
-def snap_to_lines(points: DataFrame, edges: DataFrame, point: str, line: str, metres: float, lat0: float) -> DataFrame:
+def snap_to_lines(points: DataFrame, edges: DataFrame, point: str, line: str, metres: float) -> DataFrame:
     """Nearest line of every point within reach: (point, line, dist, fraction along it)."""
-    rows = _point_lines(points, edges, point, line, metres, lat0)
+    rows = _point_lines(points, edges, point, line, metres)
     return first_row(rows, [point], [F.col("dist"), F.col(line)], [line, "dist", "fraction"])
 
 
-def within_buffer(points: DataFrame, polygons: DataFrame, point: str, key: str, metres: float, res: int, lat0: float, ring: str = "ring") -> DataFrame:
+def within_buffer(points: DataFrame, polygons: DataFrame, point: str, key: str, metres: float, res: int, ring: str = "ring") -> DataFrame:
     """(point, key) for points inside a polygon or within ``metres`` of its rim."""
     inside = within(points.select(point, "lon", "lat"), polygons, key, res, ring).select(point, key)
-    rim = points_near_lines(points, polygon_edges(polygons, key, ring), point, key, metres, lat0).select(point, key)
+    rim = points_near_lines(points, polygon_edges(polygons, key, ring), point, key, metres).select(point, key)
     return inside.union(rim).distinct()
 
 
-def neighbours(polygons: DataFrame, key: str, degrees: float, res: int, lat0: float, ring: str = "ring") -> DataFrame:
+def neighbours(polygons: DataFrame, key: str, degrees: float, res: int, ring: str = "ring") -> DataFrame:
     """Pairs of regions closer than ``degrees``: a rim point of one, taken densely, lies in or near the other."""
     metres = degrees * grid.METRES_PER_DEGREE
     e = polygon_edges(polygons, key, ring)
@@ -355,27 +241,62 @@ def neighbours(polygons: DataFrame, key: str, degrees: float, res: int, lat0: fl
     t = F.col("_i") / F.col("_n")
     at = dots.select(F.col(key).alias("_own"), (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("lon"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("lat")).distinct()
     at = at.withColumn("_pt", F.struct("_own", "lon", "lat"))
-    hits = within_buffer(at, polygons, "_pt", key, metres, res, lat0, ring).select(F.col("_pt._own").alias("a"), F.col(key).alias("b")).filter("a <> b")
+    hits = within_buffer(at, polygons, "_pt", key, metres, res, ring).select(F.col("_pt._own").alias("a"), F.col(key).alias("b")).filter("a <> b")
     return hits.union(hits.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 # --- cells ----------------------------------------------------------------------------------------------------------------------------------
 
 
-def neighbourhood_density(cells: DataFrame, res: int, kilometres: Sequence[float], lat0: float, value: str = "population") -> DataFrame:
-    """Value per km2 within each radius of every cell's centre, counting cells by their centres. Rows are one per cell, so no key is hot."""
-    wide = max(kilometres) * 1000
-    side, narrow = grid.side_metres(res), grid.side_metres(res) * math.cos(math.radians(lat0))
-    rows, cols = int(wide // side), int(wide // narrow)
-    offsets = [(i, j) for i in range(-rows, rows + 1) for j in range(-cols, cols + 1) if (i * side) ** 2 + (j * narrow) ** 2 <= wide * wide]
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(((i * side) ** 2 + (j * narrow) ** 2) ** 0.5).alias("d")) for i, j in offsets])
-    spread = cells.select(F.col("cell").alias("_from"), F.col(value).alias("_v"), F.inline(near))
-    target = grid.pack(res, grid.row(F.col("_from")) + F.col("i"), grid.col(F.col("_from")) + F.col("j"))
-    sums = spread.groupBy(target.alias("cell")).agg(*[F.sum(F.when(F.col("d") <= km * 1000, F.col("_v"))).alias(f"_k{n}") for n, km in enumerate(kilometres)])
-    counts = [sum(1 for i, j in offsets if (i * side) ** 2 + (j * narrow) ** 2 <= (km * 1000) ** 2) for km in kilometres]
-    area = side * narrow / 1e6
-    out = [(F.coalesce(F.col(f"_k{n}"), F.lit(0.0)) / (c * area)).alias(f"density_{km:g}km") for n, (km, c) in enumerate(zip(kilometres, counts))]
-    return cells.join(sums, "cell", "left").select("cell", *out)
+TILE = 256
+"""Rows and columns of a tile at least; a wider reach takes tiles as large as itself. Changes no result."""
+
+
+def _disc_sums(res: int, reaches: Sequence[float]):
+    """Sums around the tile's own cells, from prefix sums along the rows: two look-ups for each row in reach."""
+    side = grid.side_metres(res)
+
+    def run(tile: pa.Table) -> pa.Table:
+        row, col, value, own = (tile.column(c).to_numpy() for c in ("_r", "_c", "_v", "_own"))
+        key = (row << grid.BITS + 1) | col
+        order = np.argsort(key, kind="stable")
+        key, before = key[order], np.concatenate([[0.0], np.cumsum(value[order])])
+        r, c = row[own], col[own]
+        narrow = side * np.cos(np.radians((r + 0.5) * grid.side_degrees(res) - 180.0))
+        out = {"cell": pa.array(tile.column("cell").to_numpy()[own])}
+        for n, reach in enumerate(reaches):
+            total, cells = np.zeros(len(r)), np.zeros(len(r), np.int64)
+            for i in range(-int(reach // side), int(reach // side) + 1):
+                w = np.floor(np.sqrt(reach * reach - (i * side) ** 2) / narrow).astype(np.int64)
+                line = (r + i) << grid.BITS + 1
+                low, high = np.searchsorted(key, line | np.maximum(c - w, 0)), np.searchsorted(key, line | (c + w), side="right")
+                total += before[high] - before[low]
+                cells += 2 * w + 1
+            out[f"_k{n}"] = pa.array(total / (cells * side * narrow / 1e6))
+        return pa.table(out)
+
+    return run
+
+
+def neighbourhood_density(cells: DataFrame, res: int, kilometres: Sequence[float], value: str = "population") -> DataFrame:
+    """Value per km2 within each radius of every cell's centre, counting cells by their centres, on the plane about the cell's own latitude.
+
+    Cells go to the tiles whose own cells they can reach, one to four of them in most cases; a tile with its margin is a bounded group. In it
+    each radius costs two look-ups a row in prefix sums, so neither the plan nor the rows shuffled grow with the cells in a circle.
+    """
+    reaches = [km * 1000.0 for km in kilometres]
+    s, side = grid.side_degrees(res), grid.side_metres(res)
+    rows = int(max(reaches) // side)
+    size = max(TILE, rows)
+    here = cells.select("cell", grid.row(F.col("cell")).alias("_r"), grid.col(F.col("cell")).alias("_c"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
+    poleward = F.least(F.abs((F.col("_r") + 0.5) * s - 180.0) + rows * s, F.lit(89.0))
+    wide = F.ceil(F.lit(max(reaches)) / (F.cos(F.radians(poleward)) * side))
+    tiles = lambda c, w: F.explode(F.sequence(F.floor((c - w) / size), F.floor((c + w) / size)))
+    spread = here.withColumn("_tr", tiles(F.col("_r"), F.lit(rows))).withColumn("_tc", tiles(F.col("_c"), wide))
+    spread = spread.withColumn("_own", (F.floor(F.col("_r") / size) == F.col("_tr")) & (F.floor(F.col("_c") / size) == F.col("_tc")))
+    names = ", ".join(f"_k{n} double" for n in range(len(reaches)))
+    sums = spread.groupBy("_tr", "_tc").applyInArrow(_disc_sums(res, reaches), f"cell long, {names}")
+    return sums.select("cell", *[F.col(f"_k{n}").alias(f"density_{km:g}km") for n, km in enumerate(kilometres)])
 
 
 def fill_from_levels(units: DataFrame, key: str, cells: DataFrame, value: str, levels: Sequence[int], res: int, far: DataFrame | None = None) -> DataFrame:
@@ -392,13 +313,13 @@ def fill_from_levels(units: DataFrame, key: str, cells: DataFrame, value: str, l
     return out.select(key, F.coalesce(*parts).alias(value))
 
 
-def fill_zero(polygons: DataFrame, key: str, cells: DataFrame, res: int, cell_res: int, metres: float, lat0: float, ring: str = "ring") -> DataFrame:
+def fill_zero(polygons: DataFrame, key: str, cells: DataFrame, res: int, cell_res: int, metres: float, ring: str = "ring") -> DataFrame:
     """Polygons without a positive score take the mean of the scored cells inside, else the nearest scored cell within reach."""
     scored = cells.filter("los > 0").select("cell", "los", grid.centre_lon(F.col("cell"), cell_res).alias("lon"), grid.centre_lat(F.col("cell"), cell_res).alias("lat"))
     empty = polygons.filter(~F.coalesce(F.col("los") > 0, F.lit(False)))
     inside = within(scored, empty.select(key, ring), key, res, ring).groupBy(key).agg(F.avg("los").alias("_in"))
     rest = representative_points(empty.join(inside, key, "left_anti"), key, ring)
-    close = nearest(rest, scored, key, "cell", metres, lat0).join(scored.select("cell", F.col("los").alias("_near")), "cell").select(key, "_near")
+    close = nearest(rest, scored, key, "cell", metres).join(scored.select("cell", F.col("los").alias("_near")), "cell").select(key, "_near")
     out = polygons.join(inside, key, "left").join(close, key, "left")
     keep = F.when(F.col("los") > 0, F.col("los"))
     return out.withColumn("los", F.coalesce(keep, "_in", "_near", "los")).drop("_in", "_near")
@@ -411,7 +332,7 @@ def job_centres(units: DataFrame, group: str, near_jobs: str) -> DataFrame:
 
 def dense_squares(points: DataFrame, side: float, lat0: float) -> DataFrame:
     """Squares of ``side`` metres with their 3 x 3 smoothed number of points: (i, j, smooth)."""
-    p = with_plane(points, lat0).groupBy(F.floor(F.col("_x") / side).alias("i"), F.floor(F.col("_y") / side).alias("j")).agg(F.count("*").alias("n"))
+    p = points.groupBy(F.floor(plane_x(F.col("lon"), lat0) / side).alias("i"), F.floor(plane_y(F.col("lat")) / side).alias("j")).agg(F.count("*").alias("n"))
     ring = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     return p.select("i", "j", "n", F.inline(ring)).groupBy((F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j")).agg(F.sum("n").alias("smooth"))
 

@@ -15,7 +15,7 @@ from stopfield.operators.spatial import lines_to_cells, nearest, street_cells
 STREET_METRES, MOVE_METRES, REACH_METRES = 125.0, 300.0, 10.0
 
 
-def move_roadless(cells: DataFrame, street: DataFrame, amounts: Sequence[str], res: int, cap: float, lat0: float) -> DataFrame:
+def move_roadless(cells: DataFrame, street: DataFrame, amounts: Sequence[str], res: int, cap: float) -> DataFrame:
     """Street cells with the amounts of the inhabited cells without a street added to their nearest one within ``cap``.
 
     Donors beyond the cap leave the table; compare totals before and after to log them.
@@ -23,19 +23,19 @@ def move_roadless(cells: DataFrame, street: DataFrame, amounts: Sequence[str], r
     at = lambda df: df.select("cell", grid.centre_lon(F.col("cell"), res).alias("lon"), grid.centre_lat(F.col("cell"), res).alias("lat"))
     kept = cells.join(street.select("cell"), "cell", "left_semi")
     donors = cells.join(street.select("cell"), "cell", "left_anti").filter(F.col(amounts[0]) > 0)
-    moves = nearest(at(donors), at(kept).withColumnRenamed("cell", "recipient"), "cell", "recipient", cap, lat0)
+    moves = nearest(at(donors), at(kept).withColumnRenamed("cell", "recipient"), "cell", "recipient", cap)
     return redistribute(kept.unionByName(donors), moves.select(F.col("cell").alias("donor"), "recipient"), amounts).join(street.select("cell"), "cell", "left_semi")
 
 
-def street_grid(edges: DataFrame, people: DataFrame, res: int, lat0: float, reach: float | None = None) -> DataFrame:
+def street_grid(edges: DataFrame, people: DataFrame, res: int, reach: float | None = None) -> DataFrame:
     """(cell, los, population): cells near a street with the best score of the lines in reach and the people moved onto them.
 
     ``edges``: segments with ``los``; ``people``: (cell, population) at the same resolution.
     """
-    near = street_cells(edges, res, STREET_METRES, lat0)
+    near = street_cells(edges, res, STREET_METRES)
     side = grid.side_metres(res)
     reach = side / 2 + REACH_METRES if reach is None else reach
-    scores = lines_to_cells(edges, "los", res, reach, max(5 * side, STREET_METRES + side), lat0)
+    scores = lines_to_cells(edges, "los", res, reach, max(5 * side, STREET_METRES + side))
     cells = people.unionByName(near.join(people, "cell", "left_anti").withColumn("population", F.lit(0.0)))
-    moved = move_roadless(cells, near, ["population"], res, MOVE_METRES, lat0)
+    moved = move_roadless(cells, near, ["population"], res, MOVE_METRES)
     return moved.join(scores, "cell", "left").withColumn("los", F.coalesce("los", F.lit(0.0)))

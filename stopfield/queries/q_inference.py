@@ -337,7 +337,7 @@ def _(t):
     cells = t.fine_cell.select("cell")
     streets = t.edge.select("edge", (F.col("edge") % 900).alias("u"), ((F.col("edge") * 7 + 1) % 900).alias("v"), F.lit(300.0).alias("w"), "x1", "y1", "x2", "y2")
     walks = t.supplier.select(F.col("s_suppkey").alias("station"), (F.col("s_suppkey") * 9 % 900).alias("node"), F.lit(10.0).alias("dist"))
-    out = Nw.cell_walks(cells, streets, walks, FINE, 6000.0, 37.5)
+    out = Nw.cell_walks(cells, streets, walks, FINE, 6000.0)
     return out.groupBy("station").agg(F.count("*").alias("cells"), r(F.min("dist"), 2).alias("nearest"))
 
 

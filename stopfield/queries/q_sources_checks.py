@@ -251,6 +251,6 @@ def _(t):
     from stopfield.plans.street_grid import move_roadless
 
     street = t.edge.filter("los > 50").select(grid.cell(F.col("x1"), F.col("y1"), FINE).alias("cell")).distinct()
-    return move_roadless(t.fine_cell.select("cell", "population"), street, ["population"], FINE, 40_000.0, 37.5)
+    return move_roadless(t.fine_cell.select("cell", "population"), street, ["population"], FINE, 40_000.0)
 
 

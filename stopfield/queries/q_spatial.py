@@ -27,15 +27,17 @@ def py(c):
     return f"(({c})*{METRE}::DOUBLE)"
 
 
-def flat(x1, y1, x2, y2):
-    return f"sqrt(pow({px(x1)}-{px(x2)},2)+pow({py(y1)}-{py(y2)},2))"
+def arc(x1, y1, x2, y2):
+    """Great-circle metres, as SQL."""
+    return f"({sql_haversine(x1, y1, x2, y2)}*1000)"
 
 
-def segment(lon, lat):
-    """Point to segment (x1, y1, x2, y2) in metres, as SQL."""
-    vx, vy = f"({px('x2')}-{px('x1')})", f"({py('y2')}-{py('y1')})"
-    tt = f"greatest(0.0, least(1.0, coalesce((({px(lon)}-{px('x1')})*{vx}+({py(lat)}-{py('y1')})*{vy})/nullif({vx}*{vx}+{vy}*{vy},0),0)))"
-    return f"sqrt(pow({px(lon)}-({px('x1')}+{tt}*{vx}),2)+pow({py(lat)}-({py('y1')}+{tt}*{vy}),2))"
+def segment(lon, lat, x1="x1", y1="y1", x2="x2", y2="y2"):
+    """Point to segment in metres on the plane about the segment's middle latitude, as SQL."""
+    px = lambda c: f"(({c})*{METRE}::DOUBLE*cos(radians((({y1})+({y2}))/2)))"
+    vx, vy = f"({px(x2)}-{px(x1)})", f"({py(y2)}-{py(y1)})"
+    tt = f"greatest(0.0, least(1.0, coalesce((({px(lon)}-{px(x1)})*{vx}+({py(lat)}-{py(y1)})*{vy})/nullif({vx}*{vx}+{vy}*{vy},0),0)))"
+    return f"sqrt(pow({px(lon)}-({px(x1)}+{tt}*{vx}),2)+pow({py(lat)}-({py(y1)}+{tt}*{vy}),2))"
 
 
 # half-open sides as the crossing-number test sees them: west edge in, east edge out; south in, north out
@@ -63,50 +65,50 @@ def _(t):
 
 
 def nearest_sql(cap, where="", by=""):
-    return f"""WITH d AS (SELECT p.id, s.station, {by + ',' if by else ''} {flat('p.lon','p.lat','s.lon','s.lat')} AS dist FROM v_place p JOIN v_station s ON {flat('p.lon','p.lat','s.lon','s.lat') + f' <= {cap}' if cap else 'true'} {where})
+    return f"""WITH d AS (SELECT p.id, s.station, {by + ',' if by else ''} {arc('p.lon','p.lat','s.lon','s.lat')} AS dist FROM v_place p JOIN v_station s ON {arc('p.lon','p.lat','s.lon','s.lat') + f' <= {cap}' if cap else 'true'} {where})
     SELECT id, {by + ',' if by else ''} arg_min(station, row(dist, station)) AS station, round(min(dist),3) AS dist FROM d GROUP BY id {',' + by if by else ''}"""
 
 
 @query("nearest_station_capped", "J7 O4", nearest_sql(60000))
 def _(t):
-    return X.nearest(t.place, t.station, "id", "station", 60000.0, LAT0).withColumn("dist", r(F.col("dist"), 3))
+    return X.nearest(t.place, t.station, "id", "station", 60000.0).withColumn("dist", r(F.col("dist"), 3))
 
 
 @query("nearest_station_uncapped", "J8", nearest_sql(None))
 def _(t):
-    return X.nearest(t.place, t.station, "id", "station", None, LAT0).withColumn("dist", r(F.col("dist"), 3))
+    return X.nearest(t.place, t.station, "id", "station", None).withColumn("dist", r(F.col("dist"), 3))
 
 
 @query("nearest_station_per_mode", "J9", f"""
     WITH n AS ({nearest_sql(None, by='mode')}), own AS (SELECT DISTINCT h AS id, w AS station FROM v_flow), k AS (SELECT median(net/straight) AS detour FROM (
-      SELECT ((h*13+w*7)%2500)::DOUBLE*90 AS net, {flat('p.lon','p.lat','s.lon','s.lat')} AS straight FROM v_flow JOIN v_place p ON h = p.id JOIN v_station s ON w = s.station) WHERE net > 100 AND straight > 50)
+      SELECT ((h*13+w*7)%2500)::DOUBLE*90 AS net, {arc('p.lon','p.lat','s.lon','s.lat')} AS straight FROM v_flow JOIN v_place p ON h = p.id JOIN v_station s ON w = s.station) WHERE net > 100 AND straight > 50)
     SELECT n.id, n.mode, n.station, round(dist*detour, 2) AS dist FROM n CROSS JOIN k WHERE (n.id, n.station) NOT IN (SELECT (id, station) FROM own)""".replace("round(min(dist),3)", "min(dist)"))
 def _(t):
-    near = X.nearest(t.place, t.station, "id", "station", None, LAT0, by=["mode"])
+    near = X.nearest(t.place, t.station, "id", "station", None, by=["mode"])
     own = t.flow.select(F.col("h").alias("id"), F.col("w").alias("station"))
     p = t.place.select(F.col("id").alias("h"), F.col("lon").alias("a"), F.col("lat").alias("b"))
     s = t.station.select(F.col("station").alias("w"), F.col("lon").alias("c"), F.col("lat").alias("d"))
     pairs = t.flow.join(p, "h").join(s, "w").select(
-        ((F.col("h") * 13 + F.col("w") * 7) % 2500 * 90.0).alias("net"), geo.plane_metres(F.col("a"), F.col("b"), F.col("c"), F.col("d"), LAT0).alias("straight"))
+        ((F.col("h") * 13 + F.col("w") * 7) % 2500 * 90.0).alias("net"), geo.plane_metres(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("straight"))
     detour = median(pairs.filter("net > 100 and straight > 50").select(F.try_divide("net", "straight").alias("k")), [], "k", "detour")
     fresh = near.join(own, ["id", "station"], "left_anti").crossJoin(F.broadcast(detour))
     return fresh.select("id", "mode", "station", r(F.col("dist") * F.col("detour"), 2).alias("dist"))
 
 
 @query("jobs_within_radius", "J10", f"""
-    SELECT a.id, round(sum(b.jobs),5) AS jobs FROM v_unit a JOIN v_unit b ON {flat('a.lon','a.lat','b.lon','b.lat')} <= 80000 GROUP BY 1""")
+    SELECT a.id, round(sum(b.jobs),5) AS jobs FROM v_unit a JOIN v_unit b ON {arc('a.lon','a.lat','b.lon','b.lat')} <= 80000 GROUP BY 1""")
 def _(t):
-    return X.radius_sums(t.unit, t.unit, "id", ["jobs"], 80_000.0, LAT0).select("id", r(F.col("jobs"), 5).alias("jobs"))
+    return X.radius_sums(t.unit, t.unit, "id", ["jobs"], 80_000.0).select("id", r(F.col("jobs"), 5).alias("jobs"))
 
 
 @query("stops_as_evidence", "J11", f"""
-    SELECT n.area, count(c.id) AS within_far, count(c.id) FILTER (WHERE {flat('(n.west+1)','(n.south+1)','c.lon','c.lat')} <= 50000) AS within_near,
-           count(c.id) FILTER (WHERE c.segment LIKE '%B%') AS name_hits FROM v_area n LEFT JOIN v_place c ON {flat('(n.west+1)','(n.south+1)','c.lon','c.lat')} <= 150000 GROUP BY 1""")
+    SELECT n.area, count(c.id) AS within_far, count(c.id) FILTER (WHERE {arc('(n.west+1)','(n.south+1)','c.lon','c.lat')} <= 50000) AS within_near,
+           count(c.id) FILTER (WHERE c.segment LIKE '%B%') AS name_hits FROM v_area n LEFT JOIN v_place c ON {arc('(n.west+1)','(n.south+1)','c.lon','c.lat')} <= 150000 GROUP BY 1""")
 def _(t):
     centres = t.area.select("area", (F.col("west") + 1).alias("lon"), (F.col("south") + 1).alias("lat"))
     stops = t.place.select("lon", "lat", F.lit(1).alias("n"), F.col("segment").contains("B").cast("int").alias("hit"))
-    far = X.radius_sums(centres, stops, "area", ["n", "hit"], 150_000.0, LAT0)
-    near = X.radius_sums(centres, stops, "area", ["n"], 50_000.0, LAT0)
+    far = X.radius_sums(centres, stops, "area", ["n", "hit"], 150_000.0)
+    near = X.radius_sums(centres, stops, "area", ["n"], 50_000.0)
     return far.select("area", F.col("n").alias("within_far"), F.col("hit").alias("name_hits")).join(near.select("area", F.col("n").alias("within_near")), "area")
 
 
@@ -119,19 +121,19 @@ LINE_CELLS = f"""
 
 @query("street_cells", "J12 G8", f"WITH {LINE_CELLS} SELECT DISTINCT cell FROM n WHERE dist <= 8000")
 def _(t):
-    return X.street_cells(t.edge, FINE, 8000.0, LAT0)
+    return X.street_cells(t.edge, FINE, 8000.0)
 
 
 @query("line_values_to_cells", "J13 U1 A18", f"""
     WITH {LINE_CELLS} SELECT cell, round(coalesce(max(los) FILTER (WHERE dist <= 5000), -min(row(dist, -los))[2]),6) AS los FROM n WHERE dist <= 9000 GROUP BY 1""")
 def _(t):
-    return X.lines_to_cells(t.edge, "los", FINE, 5000.0, 9000.0, LAT0).withColumn("los", r(F.col("los")))
+    return X.lines_to_cells(t.edge, "los", FINE, 5000.0, 9000.0).withColumn("los", r(F.col("los")))
 
 
 @query("line_means_to_cells", "U1 J13", f"""
     WITH {LINE_CELLS} SELECT cell, round(coalesce(avg(los) FILTER (WHERE dist <= 5000), -min(row(dist, -los))[2]),6) AS los FROM n WHERE dist <= 9000 GROUP BY 1""")
 def _(t):
-    return X.lines_to_cells(t.edge, "los", FINE, 5000.0, 9000.0, LAT0, agg=F.avg).withColumn("los", r(F.col("los")))
+    return X.lines_to_cells(t.edge, "los", FINE, 5000.0, 9000.0, agg=F.avg).withColumn("los", r(F.col("los")))
 
 
 SIDE8, SIDE12 = repr(360 / 2**8), repr(360 / 2**12)
@@ -200,10 +202,10 @@ def _(t):
 
 
 @query("stops_within_buffer", "J17", f"""
-    SELECT area, id FROM v_area JOIN v_place ON ({IN_AREA}) OR sqrt(pow({px('greatest(west-lon, lon-east, 0)')},2) + pow({py('greatest(south-lat, lat-north, 0)')},2)) <= 20000
-      AND NOT (lon > west AND lon < east AND lat > south AND lat < north)""")
+    SELECT area, id FROM v_area JOIN v_place ON ({IN_AREA}) OR least({segment('lon','lat','west','south','east','south')}, {segment('lon','lat','east','south','east','north')},
+      {segment('lon','lat','east','north','west','north')}, {segment('lon','lat','west','north','west','south')}) <= 20000""")
 def _(t):
-    return X.within_buffer(t.place, t.area, "id", "area", 20_000.0, BASE, LAT0).select("area", "id")
+    return X.within_buffer(t.place, t.area, "id", "area", 20_000.0, BASE).select("area", "id")
 
 
 @query("density_across_levels", "J25", f"""
@@ -222,11 +224,11 @@ CX, CY = sql_centre("cell", FINE)
 @query("zero_score_polygons_filled", "J26", f"""
     WITH c AS (SELECT cell, los, {CX} AS lon, {CY} AS lat FROM v_fine_cell WHERE los > 0), a AS (SELECT *, CASE WHEN area%2 = 0 THEN 0.0 ELSE 5.0 END AS los0 FROM v_area),
     i AS (SELECT area, avg(los) AS v FROM a JOIN c ON los0 = 0 AND {IN_AREA} GROUP BY 1),
-    f AS (SELECT a.area, arg_min(los, row({flat('(west+1)','(south+1)','lon','lat')}, cell)) AS v FROM a JOIN c ON los0 = 0 AND {flat('(west+1)','(south+1)','lon','lat')} <= 200000 WHERE a.area NOT IN (SELECT area FROM i) GROUP BY 1)
+    f AS (SELECT a.area, arg_min(los, row({arc('(west+1)','(south+1)','lon','lat')}, cell)) AS v FROM a JOIN c ON los0 = 0 AND {arc('(west+1)','(south+1)','lon','lat')} <= 200000 WHERE a.area NOT IN (SELECT area FROM i) GROUP BY 1)
     SELECT area, round(coalesce(nullif(los0,0), i.v, f.v, los0),6) AS los FROM a LEFT JOIN i USING (area) LEFT JOIN f USING (area)""")
 def _(t):
     areas = t.area.select("area", "ring", F.when(F.col("area") % 2 == 0, 0.0).otherwise(5.0).alias("los"))
-    out = X.fill_zero(areas, "area", t.fine_cell, BASE, FINE, 200_000.0, LAT0)
+    out = X.fill_zero(areas, "area", t.fine_cell, BASE, FINE, 200_000.0)
     return out.select("area", r(F.col("los")).alias("los"))
 
 
@@ -235,7 +237,7 @@ def _(t):
       AND sqrt(pow(greatest(a.west-b.east, b.west-a.east, 0),2)+pow(greatest(a.south-b.north, b.south-a.north, 0),2)) < 0.05
       AND NOT (a.west > b.west AND a.east < b.east AND a.south > b.south AND a.north < b.north)""")
 def _(t):
-    return X.neighbours(t.area, "area", 0.05, BASE, LAT0)
+    return X.neighbours(t.area, "area", 0.05, BASE)
 
 
 @query("neighbour_feeds_inside", "J29 J30", f"""
@@ -273,27 +275,28 @@ def _(t):
 
 
 @query("metro_job_centres", "A33", f"""
-    WITH j AS (SELECT a.id, a.county, a.lon, a.lat, sum(b.jobs) AS near FROM v_unit a JOIN v_unit b ON {flat('a.lon','a.lat','b.lon','b.lat')} <= 40000 GROUP BY 1,2,3,4),
+    WITH j AS (SELECT a.id, a.county, a.lon, a.lat, sum(b.jobs) AS near FROM v_unit a JOIN v_unit b ON {arc('a.lon','a.lat','b.lon','b.lat')} <= 40000 GROUP BY 1,2,3,4),
     c AS (SELECT county, arg_max(lon, row(round(near,4), -id)) AS clon, arg_max(lat, row(round(near,4), -id)) AS clat FROM j GROUP BY 1)
     SELECT id, round({sql_haversine('j.lon','j.lat','clon','clat')},4) AS km FROM j JOIN c USING (county)""")
 def _(t):
-    near = X.radius_sums(t.unit, t.unit, "id", ["jobs"], 40_000.0, LAT0).select("id", r(F.col("jobs"), 4).alias("near"))
+    near = X.radius_sums(t.unit, t.unit, "id", ["jobs"], 40_000.0).select("id", r(F.col("jobs"), 4).alias("near"))
     u = t.unit.select("id", "county", "lon", "lat").join(near, "id")
     c = X.job_centres(u, "county", "near").select("county", F.col("lon").alias("clon"), F.col("lat").alias("clat"))
     return u.join(c, "county").select("id", r(geo.haversine_km(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat")), 4).alias("km"))
 
 
-_S, _N = grid.side_metres(FINE), grid.side_metres(FINE) * 0.7933533402912352
-_OFF = lambda km: f"sqrt(pow(i*{_S!r},2)+pow(j*{_N!r},2)) <= {km * 1000}"
+_S = repr(grid.side_metres(FINE))
+_NARROW = f"({_S}*cos(radians({CY})))"
+_OFF = lambda km: f"sqrt(pow(i*{_S}::DOUBLE,2)+pow(j*narrow,2)) <= {km * 1000}"
 
 
 @query("neighbourhood_density", "A35 G3", f"""
-    WITH o AS (SELECT i, j FROM range(-10,11) a(i), range(-10,11) b(j)), s AS (SELECT (({FINE}::BIGINT)<<52) | (({sql_row('cell')}+i)<<26) | ({sql_col('cell')}+j) AS cell, population, i, j FROM v_fine_cell, o WHERE {_OFF(60)}),
-    g AS (SELECT cell, sum(population) FILTER (WHERE {_OFF(20)}) AS a, sum(population) AS b FROM s GROUP BY 1),
-    n AS (SELECT count(*) FILTER (WHERE {_OFF(20)}) AS na, count(*) FILTER (WHERE {_OFF(60)}) AS nb FROM o)
-    SELECT cell, round(a/(na*{_S * _N / 1e6!r}),9) AS density_20km, round(b/(nb*{_S * _N / 1e6!r}),9) AS density_60km FROM v_fine_cell JOIN g USING (cell), n""")
+    WITH c AS (SELECT cell, {sql_row('cell')} AS rw, {sql_col('cell')} AS cl, {_NARROW} AS narrow FROM v_fine_cell), o AS (SELECT i, j FROM range(-10,11) a(i), range(-12,13) b(j)),
+    s AS (SELECT cell, i, j, narrow, (({FINE}::BIGINT)<<52) | ((rw+i)<<26) | (cl+j) AS other FROM c, o WHERE {_OFF(60)})
+    SELECT s.cell, round(coalesce(sum(population) FILTER (WHERE {_OFF(20)}),0)/(count(*) FILTER (WHERE {_OFF(20)})*({_S}*max(narrow)/1e6)),9) AS density_20km, round(coalesce(sum(population),0)/(count(*)*({_S}*max(narrow)/1e6)),9) AS density_60km
+    FROM s LEFT JOIN v_fine_cell f ON f.cell = s.other GROUP BY 1""")
 def _(t):
-    out = X.neighbourhood_density(t.fine_cell, FINE, [20.0, 60.0], LAT0)
+    out = X.neighbourhood_density(t.fine_cell, FINE, [20.0, 60.0])
     return out.select("cell", r(F.col("density_20km"), 9).alias("density_20km"), r(F.col("density_60km"), 9).alias("density_60km"))
 
 

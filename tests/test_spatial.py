@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopfield.functions import grid
-from stopfield.operators import lines, network, spatial
+from stopfield.operators import lines, network, search, spatial
 from stopfield.plans.street_grid import move_roadless
 
 LAT0 = 41.0
@@ -27,38 +27,90 @@ def crowd(seed, n, hot=True):
     return out
 
 
-@pytest.mark.parametrize("levels,bits,cap", [(2, 3, 3000.0), (0, 2, 1500.0), (4, 2, 40000.0)])
-def test_nearest_against_brute_force(spark, levels, bits, cap):
-    pts, feats = crowd(1, 150), crowd(2, 90)
-    p = spark.createDataFrame(pts, "id int, lon double, lat double")
-    f = spark.createDataFrame(feats, "fid int, lon double, lat double")
-    got = {r["id"]: (r["fid"], round(r["dist"], 6)) for r in spatial.nearest(p, f, "id", "fid", cap, LAT0, levels=levels, bits=bits).collect()}
+def metres(x1, y1, x2, y2):
+    h = math.sin(math.radians(y2 - y1) / 2) ** 2 + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * math.sin(math.radians(x2 - x1) / 2) ** 2
+    return 2 * grid.EARTH_M * math.asin(math.sqrt(min(1.0, h)))
+
+
+def wide(seed, n):
+    """Places from 25 to 50 degrees north, a third of them in one small square."""
+    rnd = random.Random(seed)
+    return [(i, -80 + rnd.random() * 1e-3, 47.6 + rnd.random() * 1e-3) if i % 3 == 0 else (i, rnd.uniform(-125, -65), rnd.uniform(25, 50)) for i in range(n)]
+
+
+@pytest.mark.parametrize("places,cap", [(crowd, 3000.0), (crowd, 40000.0), (crowd, None), (wide, 150_000.0), (wide, None)])
+def test_nearest_against_brute_force(spark, places, cap):
+    pts, feats = places(1, 150), places(2, 90)
+    p = spark.createDataFrame([*pts, (999, None, 3.0)], "id int, lon double, lat double")
+    f = spark.createDataFrame([*feats, (999, None, None)], "fid int, lon double, lat double")
+    got = {r["id"]: (r["fid"], r["dist"]) for r in spatial.nearest(p, f, "id", "fid", cap).collect()}
     want = {}
     for i, x, y in pts:
-        px, py = plane(x, y)
-        d, k = min((math.hypot(px - plane(a, b)[0], py - plane(a, b)[1]), k) for k, a, b in feats)
-        if d <= cap:
-            want[i] = (k, round(d, 6))
+        d, k = min((metres(x, y, a, b), k) for k, a, b in feats)
+        if cap is None or d <= cap:
+            want[i] = (k, d)
     assert set(got) == set(want) and all(abs(got[i][1] - want[i][1]) < 1e-5 for i in want)
+    assert sum(got[i][0] == want[i][0] for i in want) >= len(want) - 1
 
 
 def test_one_far_feature_is_found(spark):
     p = spark.createDataFrame(crowd(3, 10, False), "id int, lon double, lat double")
     f = spark.createDataFrame([(7, 12.0, 45.0)], "fid int, lon double, lat double")
-    out = spatial.nearest(p, f, "id", "fid", 5_000_000.0, LAT0, levels=4).collect()
-    assert len(out) == 10 and {r["fid"] for r in out} == {7}
+    assert {r["fid"] for r in spatial.nearest(p, f, "id", "fid", 5_000_000.0).collect()} == {7}
+    assert spatial.nearest(p, f.limit(0), "id", "fid", None).collect() == spatial.nearest(p.limit(0), f, "id", "fid", 9.0).collect() == []
 
 
-@pytest.mark.parametrize("levels", [0, 1, 3])
-def test_radius_sums_against_brute_force(spark, levels):
-    pts, feats = crowd(4, 120), crowd(5, 160)
+@pytest.mark.parametrize("places,radius", [(crowd, 4000.0), (crowd, 30.0), (wide, 400_000.0)])
+def test_radius_sums_against_brute_force(spark, places, radius):
+    pts, feats = places(4, 120), places(5, 160)
     p = spark.createDataFrame(pts, "id int, lon double, lat double")
     f = spark.createDataFrame([(*t, float(t[0] % 5)) for t in feats], "fid int, lon double, lat double, v double")
-    got = {r["id"]: r["v"] for r in spatial.radius_sums(p, f, "id", ["v"], 4000.0, LAT0, levels=levels).collect()}
+    got = {r["id"]: r["v"] for r in spatial.radius_sums(p, f, "id", ["v"], radius).collect()}
     for i, x, y in pts:
-        px, py = plane(x, y)
-        want = sum(k % 5 for k, a, b in feats if math.hypot(px - plane(a, b)[0], py - plane(a, b)[1]) <= 4000)
-        assert abs(got[i] - want) < 1e-9
+        assert abs(got[i] - sum(k % 5 for k, a, b in feats if metres(x, y, a, b) <= radius)) < 1e-9
+
+
+def test_a_crowded_square_costs_no_more_pairs_than_a_spread_set(spark):
+    n = 20_000
+    rnd = lambda s: F.rand(s)
+    even = spark.range(n).select("id", (rnd(1) * 5 - 90).alias("lon"), (rnd(2) * 5 + 40).alias("lat")).cache()
+    tight = spark.range(n).select("id", (rnd(1) * 1e-4 - 90).alias("lon"), (rnd(2) * 1e-4 + 40).alias("lat")).cache()
+    lone = spark.createDataFrame([(-1, -88.0, 42.0)], "id long, lon double, lat double")
+
+    def compared(df):
+        where = search._placed(df, []).distinct()
+        return sum(
+            pairs.join(where.groupBy(search._cube(side).alias("p")).agg(F.count("*").alias("a")), "p").join(where.groupBy(search._cube(side).alias("f")).agg(F.count("*").alias("b")), "f").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+            for side, pairs in search.nearest_pairs(where, where, 50_000.0)
+        )
+
+    a, b = compared(even) / n, compared(tight.union(lone)) / n
+    assert a < 400 and b < 400, (a, b)
+
+
+@pytest.mark.parametrize("res,km,tile", [(14, [3.0, 9.0], 256), (14, [9.0], 2), (18, [1.0], 64)])
+def test_neighbourhood_density_against_brute_force(spark, monkeypatch, res, km, tile):
+    rnd = random.Random(6)
+    base = grid.side_degrees(res)
+    monkeypatch.setattr(spatial, "TILE", tile)
+    rows = {(int((180 + 47.6) / base) + rnd.randint(0, 14), int((180 - 122) / base) + rnd.randint(0, 14)): float(rnd.randint(0, 9)) for _ in range(90)}
+    cells = spark.createDataFrame([(a, b, v) for (a, b), v in rows.items()], "a long, b long, population double").select(grid.pack(res, F.col("a"), F.col("b")).alias("cell"), "population")
+    got = {(r.a, r.b): r for r in spatial.neighbourhood_density(cells, res, km).select(grid.row(F.col("cell")).alias("a"), grid.col(F.col("cell")).alias("b"), "*").collect()}
+    assert set(got) == set(rows)
+    side = grid.side_metres(res)
+    for (a, b) in rows:
+        narrow = side * math.cos(math.radians((a + 0.5) * base - 180))
+        for k in km:
+            most = int(k * 1000 / narrow) + 2
+            near = [(i, j) for i in range(-most, most + 1) for j in range(-most, most + 1) if (i * side) ** 2 + (j * narrow) ** 2 <= (k * 1000) ** 2]
+            want = sum(rows.get((a + i, b + j), 0.0) for i, j in near) / (len(near) * side * narrow / 1e6)
+            assert abs(got[a, b][f"density_{k:g}km"] - want) < 1e-9 * max(1, want)
+
+
+def test_density_plan_does_not_grow_with_the_radius(spark):
+    cells = spark.range(300).select(grid.cell(F.lit(2.0) + F.col("id") * 0.0004, F.lit(41.0), 20).alias("cell"), F.lit(1.0).alias("population"))
+    plans = [len(spatial.neighbourhood_density(cells, 20, [k])._jdf.queryExecution().executedPlan().toString()) for k in (0.2, 5.0)]
+    assert abs(plans[0] - plans[1]) < 200 and spatial.neighbourhood_density(cells, 20, [5.0]).count() == cells.distinct().count()
 
 
 STAR = [(2.0, 41.0), (2.3, 41.05), (2.5, 41.4), (2.2, 41.2), (1.9, 41.5), (2.05, 41.2), (2.0, 41.0)]
@@ -101,7 +153,7 @@ def test_lines_to_cells_against_brute_force(spark):
     edges = [(i, (x := rnd.uniform(2.0, 2.05)), (y := rnd.uniform(41.0, 41.05)), x + rnd.uniform(-0.02, 0.02), y + rnd.uniform(-0.02, 0.02), float(10 * (i + 1))) for i in range(12)]
     e = spark.createDataFrame(edges, "edge int, x1 double, y1 double, x2 double, y2 double, los double")
     res, reach, far = 17, 150.0, 600.0
-    got = {r["cell"]: r["los"] for r in spatial.lines_to_cells(e, "los", res, reach, far, LAT0).collect()}
+    got = {r["cell"]: r["los"] for r in spatial.lines_to_cells(e, "los", res, reach, far).collect()}
 
     def distance(px, py, edge):
         ax, ay = plane(edge[1], edge[2])
@@ -129,7 +181,7 @@ def test_roadless_people_move_within_the_cap_only(spark, rows):
     cell = lambda i: (16 << 52) | (40000 << 26) | (33000 + i)
     pop = spark.createDataFrame([(cell(0), 10.0), (cell(1), 20.0), (cell(2), 0.0), (cell(3), 5.0), (cell(40), 30.0)], "cell long, population double")
     street = spark.createDataFrame([(cell(0),), (cell(1),), (cell(1),)], "cell long").distinct()
-    out = move_roadless(pop, street, ["population"], 16, 2.6 * side * grid.METRES_PER_DEGREE, 40.0)
+    out = move_roadless(pop, street, ["population"], 16, 2.6 * side * grid.METRES_PER_DEGREE)
     assert rows(out) == sorted([(cell(0), 10.0), (cell(1), 25.0)], key=str)
 
 
@@ -227,6 +279,6 @@ def test_cell_walk_goes_by_the_nearer_end(spark):
     at = cell.select(grid.centre_lon(F.col("cell"), 20).alias("x"), grid.centre_lat(F.col("cell"), 20).alias("y")).first()
     px, py = plane(at["x"], at["y"])
     off, along = abs(py - plane(x1, y)[1]), px - plane(x1, y)[0]
-    got = network.cell_walks(cell, street, walks, 20, 2000.0, LAT0).collect()
+    got = network.cell_walks(cell, street, walks, 20, 2000.0).collect()
     assert len(got) == 1 and got[0]["station"] == 7
     assert abs(got[0]["dist"] - (off + min(along + 100, length - along + 50))) < 1e-3
