@@ -115,8 +115,22 @@ def trips_on_scoring_day(trips: DataFrame, active: DataFrame, days: DataFrame) -
     return skewed_join(trips, services, ["feed", "service"], "inner")
 
 
-def feed_audit(counts: DataFrame, picked: DataFrame, today) -> DataFrame:
-    """Per feed: trips on the picked date, on the busiest and the median working day, calendar limits and a verdict text."""
+HORIZON_DAYS = 400
+"""A calendar that ends before, or begins after, so many days from today is another time's."""
+
+
+def stops_served(trips: DataFrame, calls: DataFrame, first: int = 6 * 3600, last: int = 22 * 3600) -> DataFrame:
+    """(feed, stops, served): stops that the trips (feed, trip) call at, and those with a departure in the window of seconds."""
+    at = skewed_join(calls.select("trip", "stop", "sec"), trips.select("feed", "trip"), ["trip"], "inner")
+    each = at.groupBy("feed", "stop").agg(F.max(((F.col("sec") >= first) & (F.col("sec") < last)).cast("int")).alias("_in"))
+    return each.groupBy("feed").agg(F.count("*").alias("stops"), F.sum("_in").alias("served"))
+
+
+def feed_audit(counts: DataFrame, picked: DataFrame, today, served: DataFrame | None = None, horizon: int = HORIZON_DAYS) -> DataFrame:
+    """Per feed: trips on the picked date, on the busiest and the median working day, calendar limits and a verdict text.
+
+    ``served`` (feed, stops, served) tells whether any stop has service in the window of the day; without it that is not looked at.
+    """
     work = counts.filter(clock.day_type(F.col("date")) == "weekday")
     # one number per working day of the calendar: a short list per feed
     stats = work.groupBy("feed").agg(F.max("trips").alias("busiest"), F.sort_array(F.collect_list("trips")).alias("_v"))
@@ -126,11 +140,16 @@ def feed_audit(counts: DataFrame, picked: DataFrame, today) -> DataFrame:
     trips = F.coalesce("trips", F.lit(0))
     ratio = trips / positive(F.col("busiest"))
     now = F.lit(today).cast("date")
+    rows = rows.join(served.select("feed", "stops", "served"), "feed", "left") if served is not None else rows.withColumns({"stops": F.lit(0), "served": F.lit(0)})
+    beyond = (F.col("last") < F.date_sub(now, horizon)) | (F.col("first") > F.date_add(now, horizon))
     problems = F.array(
-        F.when(clock.day_type(F.col("picked")) != "weekday", "picked date is a weekend"),
-        F.when(F.col("trips").isNull(), "picked date is not a working day in the window"),
-        F.when(F.col("last") < now, F.concat(F.lit("STALE: service ended "), F.col("last").cast("string"))),
-        F.when(ratio < 0.8, F.concat(F.lit("only "), F.round(100 * ratio, 0).cast("int").cast("string"), F.lit("% of the busiest working day's trips"))),
+        F.when(clock.day_type(F.col("picked")) != "weekday", "weekend date"),
+        F.when(F.col("trips").isNull(), "no working-day service on the date"),
+        F.when(F.col("last") < now, F.concat(F.lit("service over since "), F.col("last").cast("string"))),
+        F.when((F.col("picked") < F.col("first")) | (F.col("picked") > F.col("last")), "date not within the calendar"),
+        F.when(ratio < 0.8, F.concat(F.round(100 * ratio, 0).cast("int").cast("string"), F.lit("% of the trips of the busiest working day"))),
+        F.when((F.col("stops") > 0) & (F.col("served") == 0), "no stop served between 06:00 and 22:00"),
+        F.when(beyond, "calendar of another period"),
     )
     text = F.array_join(problems, "; ")
     return rows.select(
@@ -284,6 +303,56 @@ def keep_first_tier(feeds: DataFrame, marks: DataFrame) -> DataFrame:
     return first_row(feeds.join(marks, "feed"), ["mark"], [F.col("tier"), F.col("feed")], feeds.columns).select(*feeds.columns)
 
 
+COPY_SHARE = 0.9
+"""Of the smaller feed's stops so many are shared with the larger one, at least, if one is a copy of the other."""
+
+
+def overlapping_feeds(stops: DataFrame, share: float = COPY_SHARE) -> DataFrame:
+    """(small, large, shared): pairs of feeds where at least ``share`` of the stops of the one with fewer are also the other's.
+
+    The feed with fewer stops can miss few of them, so one of its rarest stops (as many as it may miss, and one more) is the other's: only these
+    are joined, and only pairs that meet there are counted in full. Feeds with equal sets should be one feed before (``copied_feeds`` sees to it).
+    """
+    own = stops.select("feed", "stop").distinct()
+    sizes = own.groupBy("feed").agg(F.count("*").alias("_n"))
+    rarity = own.groupBy("stop").agg(F.count("*").alias("_f"))
+    each = skewed_join(own, rarity, ["stop"], "inner").join(sizes, "feed")
+    may_miss = F.col("_n") - F.ceil(F.col("_n") * share - F.lit(1e-9))
+    place = F.row_number().over(Window.partitionBy("feed").orderBy("_f", "stop"))  # the stops of one feed
+    rare = each.withColumn("_p", place).filter(F.col("_p") <= may_miss + 1).select(F.col("feed").alias("small"), F.col("_n").alias("_ns"), "stop")
+    other = each.select(F.col("feed").alias("large"), F.col("_n").alias("_nl"), "stop")
+    order = (F.col("_ns") < F.col("_nl")) | ((F.col("_ns") == F.col("_nl")) & (F.col("small") < F.col("large")))
+    met = rare.join(other, "stop").filter(order).select("small", "large", "_ns").distinct()
+    shared = met.join(own.withColumnRenamed("feed", "small"), "small").join(own.withColumnRenamed("feed", "large"), ["large", "stop"], "left_semi")
+    counted = shared.groupBy("small", "large", "_ns").agg(F.count("*").alias("shared"))
+    return counted.filter(F.col("shared") >= F.col("_ns") * share - 1e-9).select("small", "large", "shared")
+
+
+def copied_feeds(feeds: DataFrame, stops: DataFrame, routes: DataFrame, operators: DataFrame, share: float = COPY_SHARE) -> DataFrame:
+    """(feed, kept, reason): feeds that copy one of an earlier tier (then smaller id), with the earliest feed they copy.
+
+    A copy has the same stops and routes, the same operators (of feeds that name any), or nearly all stops of the smaller one in common. Feeds with
+    equal marks are compared with the earliest of them only, so a thousand copies are a thousand rows and not a million pairs.
+    """
+    marks = feed_marks(stops, routes).select("feed", F.concat(F.lit("c"), "mark").alias("mark"))
+    names = operators.filter(F.col("operator").isNotNull()).select("feed", "operator").distinct().groupBy("feed").agg(fingerprint(F.col("operator")).alias("mark"))
+    both = marks.select("feed", "mark", F.lit("content").alias("reason")).unionByName(names.select("feed", F.concat(F.lit("o"), "mark").alias("mark"), F.lit("operators").alias("reason")))
+    placed = both.join(feeds.select("feed", "tier"), "feed")
+    first = placed.groupBy("mark").agg(F.min(F.struct("tier", "feed")).alias("_b"))
+    equal = skewed_join(placed, first, ["mark"], "inner").filter(F.col("_b.feed") != F.col("feed")).select("feed", F.col("_b").alias("_k"), "reason")
+    distinct = feeds.select("feed", "tier").join(equal.filter("reason = 'content'").select("feed"), "feed", "left_anti")
+    pairs = overlapping_feeds(stops.join(distinct.select("feed"), "feed", "left_semi"), share)
+    a, b = distinct.select(F.col("feed").alias("small"), F.struct("tier", "feed").alias("_s")), distinct.select(F.col("feed").alias("large"), F.struct("tier", "feed").alias("_l"))
+    near = pairs.join(a, "small").join(b, "large").select(F.greatest("_s", "_l")["feed"].alias("feed"), F.least("_s", "_l").alias("_k"), F.lit("overlap").alias("reason"))
+    every = equal.unionByName(near)
+    return every.groupBy("feed").agg(F.min(F.struct("_k", "reason")).alias("_m")).select("feed", F.col("_m._k.feed").alias("kept"), F.col("_m.reason").alias("reason"))
+
+
+def keep_local_feeds(feeds: DataFrame, copies: DataFrame) -> DataFrame:
+    """Feeds that copy no earlier one: the more local source wins."""
+    return feeds.join(copies.select("feed"), "feed", "left_anti")
+
+
 def feed_boxes(stops: DataFrame) -> DataFrame:
     return stops.groupBy("feed").agg(
         F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.count("*").alias("stops")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions import text
 from stopfield.operators.skew import first_row, skewed_join
+from stopfield.operators.windows import top_k
 
 # Smallest accepted token similarity and how far below the best a candidate may lie.
 MIN_SCORE, NEAR_BEST = 0.5, 0.1
@@ -110,6 +111,34 @@ def similarity(a: Column, b: Column) -> Column:
     return F.greatest(text.jaccard(text.tokens(a), text.tokens(b)), 0.8 * F.coalesce(ratio, F.lit(0.0)))
 
 
+FINEST_BOX, COARSEST_BOX = 14, 1
+
+
+def box_candidates(places: DataFrame, boxes: DataFrame, top: int | None = None) -> DataFrame:
+    """Boxes that hold a place, most similar name first: (place, entry, similarity, rank from 1), of each place the first ``top``.
+
+    ``places`` (place, name, lon, lat); ``boxes`` (entry, name, west, south, east, north), an entry may have several. A box is listed under the at
+    most four cells it touches at the resolution whose cells are as large as the box; a place looks its own cell up at each of these resolutions,
+    so a place and a box that share no cell never meet.
+    """
+    size = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    level = F.greatest(F.lit(COARSEST_BOX), F.least(F.lit(FINEST_BOX), F.floor(F.log2(F.lit(360.0) / F.greatest(size, F.lit(1e-9)))))).cast("int")
+    step = lambda r: F.lit(360.0) / F.pow(F.lit(2.0), r)
+    index = lambda c, r: F.floor((c + 180.0) / step(r))
+    span = lambda a, b: F.explode(F.sequence(index(F.col(a), F.col("_r")), index(F.col(b), F.col("_r"))))
+    valid = boxes.filter((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))).withColumn("_r", level)
+    listed = valid.withColumn("_i", span("west", "east")).withColumn("_j", span("south", "north")).withColumnRenamed("name", "_entry_name")
+    levels = F.explode(F.sequence(F.lit(COARSEST_BOX), F.lit(FINEST_BOX))).alias("_r")
+    at = places.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("place", "name", "lon", "lat", levels)
+    at = at.withColumn("_i", index(F.col("lon"), F.col("_r"))).withColumn("_j", index(F.col("lat"), F.col("_r")))
+    held = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    met = skewed_join(at, listed, ["_r", "_i", "_j"], "inner").filter(held)
+    scored = met.select("place", "entry", F.coalesce(similarity(F.col("name"), F.col("_entry_name")), F.lit(0.0)).alias("similarity")).groupBy("place", "entry").agg(F.max("similarity").alias("similarity"))
+    if top is None:
+        return scored
+    return top_k(scored, ["place"], [F.round("similarity", 9).desc(), F.col("entry")], top, slot="rank").withColumn("rank", F.col("rank") + 1)
+
+
 def verified(similar: Column, trips: Column, far: Column, near: Column, hits: Column) -> Column:
     return (similar >= MIN_SIMILARITY) & (trips > 0) & (far >= FAR_STOPS) & ((hits > 0) | (near >= NEAR_STOPS))
 

@@ -1,7 +1,7 @@
 """Nearest features and sums within a radius, by descending cubes of the unit sphere on both sides at once.
 
 Positions are taken as vectors on the sphere, so every distance is the great-circle one and no latitude has to be chosen; a chord grows with its arc,
-and the chords between two cubes have exact bounds. Pairs of cubes that can still matter are cut further, in rounds landed in the shared folder,
+and the chords between two cubes have exact bounds. Pairs of cubes that can still matter are cut further, in rounds landed in the shared folder (as both sets of places are, once),
 while the feature cube holds more than ``FEW`` different places. A crowded square is cut until it is no longer crowded, an empty region never; a
 point is compared with a bounded number of features wherever it lies.
 """
@@ -18,13 +18,13 @@ from stopfield.functions.geo import haversine_km
 from stopfield.functions.grid import EARTH_M
 from stopfield.session import cut_lineage
 
-FEW = 8
+FEW = 16
 """A feature cube of so many places or fewer is compared place by place."""
 LEAST_SIDE = 1e-3
 """Metres; cubes are not cut below."""
 SLACK = 1e-3
 """Metres by which bounds give way to rounding; the distance itself decides."""
-BITS = 2
+BITS = 3
 AXES = ("_x", "_y", "_z")
 
 
@@ -95,9 +95,9 @@ def nearest(points: DataFrame, features: DataFrame, point: str, feature: str, ca
     point has its nearest feature.
     """
     p = _placed(points, [point])
-    where = p.drop(point).distinct()
+    where = cut_lineage(p.drop(point).distinct())
     f = _placed(features, [*by, feature])
-    places = f.groupBy(*by, "lon", "lat", *AXES).agg(F.min(feature).alias(feature))
+    places = cut_lineage(f.groupBy(*by, "lon", "lat", *AXES).agg(F.min(feature).alias(feature)))
     right = places.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), *AXES, *by, feature)
     compared = None
     for side, pairs in nearest_pairs(where, places, cap, by):
@@ -116,8 +116,8 @@ def radius_sums(points: DataFrame, features: DataFrame, point: str, values: Sequ
     Cubes wholly within reach of every place of a cube add their subtotal at once; only the rim is cut further and compared.
     """
     p = points.select(point, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    where = _placed(p, []).distinct()
-    places = _placed(features, values).groupBy("lon", "lat", *AXES).agg(*[F.sum(v).alias(v) for v in values])
+    where = cut_lineage(_placed(p, []).distinct())
+    places = cut_lineage(_placed(features, values).groupBy("lon", "lat", *AXES).agg(*[F.sum(v).alias(v) for v in values]))
     reach = side = chord(radius)
     pairs, parts = _start(where, places, side, ()), []
     right = places.withColumnRenamed("lon", "_lon").withColumnRenamed("lat", "_lat")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopfield.functions import grid
-from stopfield.functions.geo import crossing_inside, plane_metres, plane_x, plane_y, ring_centroid
+from stopfield.functions.geo import crossing_inside, haversine_km, plane_metres, plane_x, plane_y, ring_centroid
 from stopfield.operators.search import nearest, radius_sums
 from stopfield.operators.skew import first_row, skewed_join
 
@@ -225,6 +225,49 @@ def snap_to_lines(points: DataFrame, edges: DataFrame, point: str, line: str, me
     return first_row(rows, [point], [F.col("dist"), F.col(line)], [line, "dist", "fraction"])
 
 
+def lines_inside(lines: DataFrame, keep: Sequence[str], polygons: DataFrame, key: str, res: int, ring: str = "ring") -> DataFrame:
+    """Great-circle kilometres of each line inside each polygon: (keep, key, km), summed over the segments (x1, y1)-(x2, y2) of a line.
+
+    Segments are cut where they cross the grid. A piece in a cell that the polygon holds counts whole; on a rim cell the crossings with the edges
+    of the cell's row cut it once more, and the parts inside by the even-odd rule count. Parts of neighbouring polygons add up to the whole.
+    """
+    s = grid.side_degrees(res)
+    length = haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    whole = lines.select(*keep, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], length.alias("_km")).filter(F.col("_km") > 0)
+
+    def crossings(a: str, b: str) -> Column:
+        low, high = F.floor((F.least(a, b) + 180.0) / s) + 1, F.ceil((F.greatest(a, b) + 180.0) / s) - 1
+        at = F.transform(F.sequence(low, high), lambda i: (i * s - 180.0 - F.col(a)) / (F.col(b) - F.col(a)))
+        return F.when((high >= low) & (F.col(a) != F.col(b)), at).otherwise(F.array().cast("array<double>"))
+
+    cuts = F.array_distinct(F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.concat(crossings("x1", "x2"), crossings("y1", "y2")), lambda t: (t > 0) & (t < 1)))))
+    parts = F.transform(F.sequence(F.lit(1), F.size("_ts") - 1), lambda i: F.struct(F.element_at("_ts", i).alias("t0"), F.element_at("_ts", i + 1).alias("t1")))
+    pieces = whole.withColumn("_ts", cuts).select(*keep, "x1", "y1", "x2", "y2", "_km", F.inline(parts))
+    on = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
+    middle = (F.col("t0") + F.col("t1")) / 2
+    placed = pieces.withColumn("_cell", grid.cell(on("x1", "x2", middle), on("y1", "y2", middle), res))
+    met = skewed_join(placed, cover(polygons, key, res, ring).withColumnRenamed("cell", "_cell"), ["_cell"], "inner")
+    vx, vy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+
+    def crossing(e: Column) -> Column:
+        ex, ey = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        across = vx * ey - vy * ex
+        t = ((e["x1"] - F.col("x1")) * ey - (e["y1"] - F.col("y1")) * ex) / F.when(across != 0, across)
+        u = ((e["x1"] - F.col("x1")) * vy - (e["y1"] - F.col("y1")) * vx) / F.when(across != 0, across)
+        return F.when((u >= 0) & (u < 1) & (t > F.col("t0")) & (t < F.col("t1")), t)
+
+    borders = F.array_distinct(F.array_sort(F.concat(F.array("t0", "t1"), F.array_compact(F.transform("edges", crossing)))))
+    inside = F.aggregate(
+        F.sequence(F.lit(1), F.size("_bs") - 1), F.lit(0.0),
+        lambda acc, i: acc + F.when(
+            crossing_inside(F.col("edges"), on("x1", "x2", (F.element_at("_bs", i) + F.element_at("_bs", i + 1)) / 2), on("y1", "y2", (F.element_at("_bs", i) + F.element_at("_bs", i + 1)) / 2)),
+            F.element_at("_bs", i + 1) - F.element_at("_bs", i),
+        ).otherwise(0.0),
+    )
+    share = F.when(F.col("edges").isNull(), F.col("t1") - F.col("t0")).otherwise(inside)
+    return met.withColumn("_bs", borders).groupBy(*keep, key).agg(F.sum(F.col("_km") * share).alias("km")).filter("km > 0")
+
+
 def within_buffer(points: DataFrame, polygons: DataFrame, point: str, key: str, metres: float, res: int, ring: str = "ring") -> DataFrame:
     """(point, key) for points inside a polygon or within ``metres`` of its rim."""
     inside = within(points.select(point, "lon", "lat"), polygons, key, res, ring).select(point, key)
@@ -299,18 +342,20 @@ def neighbourhood_density(cells: DataFrame, res: int, kilometres: Sequence[float
     return sums.select("cell", *[F.col(f"_k{n}").alias(f"density_{km:g}km") for n, km in enumerate(kilometres)])
 
 
-def fill_from_levels(units: DataFrame, key: str, cells: DataFrame, value: str, levels: Sequence[int], res: int, far: DataFrame | None = None) -> DataFrame:
-    """Value of the finest resolution that has one at the unit's point: (key, value); what is left takes ``far`` (key, value)."""
-    at = units.withColumn("_c", grid.cell(F.col("lon"), F.col("lat"), res))
-    out, parts = at, []
+def fill_from_levels(units: DataFrame, key: str, cells: DataFrame, value: str, levels: Sequence[int], res: int, last: int) -> DataFrame:
+    """Value of the finest of ``levels`` that has one at the unit's point: (key, value); what no level covers takes the nearest cell of level ``last``.
+
+    Cells of a level have the mean of their finest cells (resolution ``res``) that have a value. Only units without a value are searched for.
+    """
+    known = cells.filter(F.col(value).isNotNull())
+    means = {level: known.groupBy(grid.parent(F.col("cell"), res, level).alias(f"_c{level}")).agg(F.avg(value).alias(f"_v{level}")) for level in {*levels, last}}
+    out = units.withColumn("_c", grid.cell(F.col("lon"), F.col("lat"), res))
     for level in levels:
-        mean = cells.groupBy(grid.parent(F.col("cell"), res, level).alias(f"_c{level}")).agg(F.avg(value).alias(f"_v{level}"))
-        out = out.withColumn(f"_c{level}", grid.parent(F.col("_c"), res, level)).join(mean, f"_c{level}", "left")
-        parts.append(F.col(f"_v{level}"))
-    if far is not None:
-        out = out.join(far.select(key, F.col(value).alias("_far")), key, "left")
-        parts.append(F.col("_far"))
-    return out.select(key, F.coalesce(*parts).alias(value))
+        out = out.withColumn(f"_c{level}", grid.parent(F.col("_c"), res, level)).join(means[level], f"_c{level}", "left")
+    found = out.select(key, "lon", "lat", F.coalesce(*[F.col(f"_v{level}") for level in levels]).alias(value))
+    at = means[last].select(F.col(f"_c{last}").alias("_cell"), grid.centre_lon(F.col(f"_c{last}"), last).alias("lon"), grid.centre_lat(F.col(f"_c{last}"), last).alias("lat"), F.col(f"_v{last}").alias("_far"))
+    near = nearest(found.filter(F.col(value).isNull()), at, key, "_cell", None).join(at.select("_cell", "_far"), "_cell").select(key, "_far")
+    return found.join(near, key, "left").select(key, F.coalesce(value, "_far").alias(value))
 
 
 def fill_zero(polygons: DataFrame, key: str, cells: DataFrame, res: int, cell_res: int, metres: float, ring: str = "ring") -> DataFrame:

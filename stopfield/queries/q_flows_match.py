@@ -184,6 +184,19 @@ def _(t):
     return p.select("id", r(F.col("s")).alias("similarity"), M.verified(F.col("s"), i % 3, i % 11, i % 7, i % 2).alias("verified"))
 
 
+@query("feed_candidates_in_boxes", "J21", f"""
+    WITH a AS (SELECT id AS place, {_named_sql('id', 0)} AS a, lon, lat FROM v_place), b AS (SELECT p_partkey AS entry, {_named_sql('p_partkey', 2)} AS b, -100.0+p_partkey*3%20 AS w, 30.0+p_partkey*5%15 AS s, CASE WHEN p_partkey%50 = 0 THEN 9.0 ELSE 0.25 + p_partkey%3 END AS d FROM part),
+    q AS (SELECT place, entry, a, b, {TOKENS.format(n='a')} AS ta, {TOKENS.format(n='b')} AS tb FROM a JOIN b ON lon BETWEEN w AND w+d AND lat BETWEEN s AND s+d),
+    z AS (SELECT place, entry, greatest(coalesce({JACCARD.format(a='ta', b='tb')},0), 0.8*(1-levenshtein(lower(a),lower(b))::DOUBLE/greatest(length(a),length(b)))) AS similarity FROM q),
+    k AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY round(similarity,9) DESC, entry) AS rank FROM z) SELECT place, entry, round(similarity,6) AS similarity, rank::INT AS rank FROM k WHERE rank <= 3""")
+def _(t):
+    places = t.place.select(F.col("id").alias("place"), _named(F.col("id"), 0).alias("name"), "lon", "lat")
+    k = F.col("p_partkey")
+    west, south, side = F.lit(-100.0) + k * 3 % 20, F.lit(30.0) + k * 5 % 15, F.when(k % 50 == 0, 9.0).otherwise(F.lit(0.25) + k % 3)
+    boxes = t.part.select(k.alias("entry"), _named(k, 2).alias("name"), west.alias("west"), south.alias("south"), (west + side).alias("east"), (south + side).alias("north"))
+    return M.box_candidates(places, boxes, 3).withColumn("similarity", r(F.col("similarity")))
+
+
 @query("survey_names_to_codes", "J22 F6", """
     WITH s AS (SELECT DISTINCT CASE p_partkey%4 WHEN 0 THEN 'Pláce ' || (p_partkey%70)::VARCHAR WHEN 1 THEN 'Nowhere/Place ' || (p_partkey%70)::VARCHAR WHEN 2 THEN 'Old Town' ELSE 'Ghost ' || (p_partkey%9)::VARCHAR END AS name FROM part),
     k AS (SELECT 'place ' || (id%60)::VARCHAR AS k, arg_max(id, row(population, -id)) AS code FROM v_unit GROUP BY 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stopfield.functions.curves import DEFAULT
+from stopfield.operators import access as A
 from stopfield.operators import score as K
 from stopfield.operators import stats as S
 from stopfield.operators.rollup import weighted_mean
@@ -153,6 +154,27 @@ def _(t):
     return K.rescore(_items(t), _profiles(t), SETS).select("cell", "set", r(F.col("los")).alias("los"))
 
 
+CAPS = [1, 2, 4, 8]
+_CAP_SETS = ["default", "steep_walk"]
+_CAP_FOLD = ", ".join(
+    f"count(*) FILTER (WHERE {w}) AS n{t}, min(h) FILTER (WHERE {w}) AS h{t}, max(v) FILTER (WHERE {w}) AS v{t}, max(m) FILTER (WHERE {w}) AS m{t}, min(dist) FILTER (WHERE {w}) AS d{t}, count(DISTINCT m) FILTER (WHERE {w}) AS k{t}, max(s0) FILTER (WHERE {w}) AS s0{t}, max(s1) FILTER (WHERE {w}) AS s1{t}"
+    for t, w in (("_all", "true"), ("", "k <= cap"))
+)
+
+
+@query("cell_cap_metrics", "A49", f"""
+    WITH i AS (SELECT cell, station, min(dist) AS dist, min(h) AS h, max(v) AS v, max(CASE mode WHEN 'bus' THEN 0 WHEN 'tram' THEN 1 ELSE 2 END) AS m, max(100*{_SQL_SETS['default']}) AS s0, max(100*{_SQL_SETS['steep_walk']}) AS s1 FROM v_scored_item GROUP BY 1,2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY dist, station) AS k FROM i), w AS (SELECT cap, cell, {_CAP_FOLD} FROM r, (SELECT unnest({CAPS}) AS cap) GROUP BY 1,2),
+    x AS (SELECT *, n_all > n AS cut, s0_all - s0 AS l0, s1_all - s1 AS l1 FROM w)
+    SELECT cap::INT AS cap, count(*) AS cells, round(avg(cut::INT),6) AS cut_share, round(coalesce(sum(n) FILTER (WHERE cut)/sum(n_all) FILTER (WHERE cut),1),6) AS stations_kept, round(sum(k)/sum(k_all),6) AS modes_kept,
+      round(coalesce(avg((d <= greatest(1.15*d_all, d_all+50))::INT) FILTER (WHERE cut),1),6) AS nearest_close, round(coalesce(avg((h = h_all)::INT) FILTER (WHERE cut),1),6) AS headway_kept, round(coalesce(avg((h <= 1.15*h_all)::INT) FILTER (WHERE cut),1),6) AS headway_close,
+      round(coalesce(avg((v = v_all)::INT) FILTER (WHERE cut),1),6) AS speed_kept, round(coalesce(avg((v >= 0.9*v_all)::INT) FILTER (WHERE cut),1),6) AS speed_close, round(coalesce(avg((m = m_all)::INT) FILTER (WHERE cut),1),6) AS best_mode_kept,
+      round(avg(((l0 <= 0.01)::INT + (l1 <= 0.01)::INT)/2.0),6) AS winner_kept, round(avg(((l0 <= 1)::INT + (l1 <= 1)::INT)/2.0),6) AS within_one_point, round(avg((l0+l1)/2),6) AS mean_error FROM x GROUP BY 1""")
+def _(t):
+    out = A.cell_cap_metrics(t.item, _profiles(t), CAPS, {n: SETS[n] for n in _CAP_SETS}, ["bus", "tram", "rail"])
+    return out.select("cap", "cells", *[r(F.col(c)).alias(c) for c in out.columns if c not in ("cap", "cells")])
+
+
 FACTORS = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stopfield.functions import geo, grid
+from stopfield.operators import access as A
 from stopfield.operators import spatial as X
 from stopfield.operators.skew import median
 from stopfield.queries.registry import query
@@ -89,12 +90,28 @@ def _(t):
     p = t.place.select(F.col("id").alias("h"), F.col("lon").alias("a"), F.col("lat").alias("b"))
     s = t.station.select(F.col("station").alias("w"), F.col("lon").alias("c"), F.col("lat").alias("d"))
     pairs = t.flow.join(p, "h").join(s, "w").select(
-        ((F.col("h") * 13 + F.col("w") * 7) % 2500 * 90.0).alias("net"), geo.plane_metres(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("straight"))
+        ((F.col("h") * 13 + F.col("w") * 7) % 2500 * 90.0).alias("net"), (geo.haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")) * 1000).alias("straight"))
     detour = median(pairs.filter("net > 100 and straight > 50").select(F.try_divide("net", "straight").alias("k")), [], "k", "detour")
     fresh = near.join(own, ["id", "station"], "left_anti").crossJoin(F.broadcast(detour))
     return fresh.select("id", "mode", "station", r(F.col("dist") * F.col("detour"), 2).alias("dist"))
 
 
+BANDS = [(20.0, 40.0), (40.0, 50.0), (50.0, 1000.0)]
+
+
+@query("far_stations_per_band", "J9", f"""
+    WITH g AS (SELECT station, 60 - min(headway) AS score FROM v_route_service GROUP BY 1), k AS (SELECT coalesce(median(dist/{arc('p.lon','p.lat','s.lon','s.lat')}), 1.3) AS detour FROM v_item i JOIN v_place p ON p.id = cell JOIN v_station s ON s.station = i.station
+      WHERE dist > 100 AND {arc('p.lon','p.lat','s.lon','s.lat')} > 50),
+    b AS (SELECT s.*, CASE WHEN score >= 20 AND score < 40 THEN 0 WHEN score >= 40 AND score < 50 THEN 1 WHEN score >= 50 AND score < 1000 THEN 2 END AS band FROM v_station s JOIN g USING (station)),
+    d AS (SELECT p.id AS cell, band, b.station, {arc('p.lon','p.lat','b.lon','b.lat')} AS dist FROM v_place p, b WHERE band IS NOT NULL),
+    n AS (SELECT cell, band, arg_min(station, row(dist, station)) AS station, min(dist) AS dist FROM d GROUP BY 1,2)
+    SELECT n.cell, band, n.station, round(dist*detour, 2) AS dist FROM n, k WHERE dist*detour <= 3000 AND (n.cell, n.station) NOT IN (SELECT (cell, station) FROM v_item)""")
+def _(t):
+    score = t.route_service.groupBy("station").agg((60 - F.min("headway")).alias("score"))
+    cells = t.place.select(F.col("id").alias("cell"), "lon", "lat")
+    return A.far_items(cells, t.station.join(score, "station"), t.item, "score", BANDS, 3000.0).withColumn("dist", r(F.col("dist"), 2))
+
+
 @query("jobs_within_radius", "J10", f"""
     SELECT a.id, round(sum(b.jobs),5) AS jobs FROM v_unit a JOIN v_unit b ON {arc('a.lon','a.lat','b.lon','b.lat')} <= 80000 GROUP BY 1""")
 def _(t):
@@ -208,14 +225,18 @@ def _(t):
     return X.within_buffer(t.place, t.area, "id", "area", 20_000.0, BASE).select("area", "id")
 
 
+C9X, C9Y = sql_centre("cell", 9)
+
+
 @query("density_across_levels", "J25", f"""
     WITH c AS (SELECT {sql_cell('lon', 'lat', FINE)} AS cell, max(county)::DOUBLE AS population FROM v_station GROUP BY 1), a AS (SELECT cell AS k, avg(population) AS v FROM c GROUP BY 1), b AS (SELECT {sql_parent('cell', FINE, 10)} AS k, avg(population) AS v FROM c GROUP BY 1),
-    d AS (SELECT {sql_parent('cell', FINE, 8)} AS k, avg(population) AS v FROM c GROUP BY 1), p AS (SELECT id, {sql_cell('lon', 'lat', FINE)} AS cell FROM v_place)
-    SELECT id, round(coalesce(a.v, b.v, d.v, -1), 6) AS population FROM p LEFT JOIN a ON a.k = cell LEFT JOIN b ON b.k = {sql_parent('cell', FINE, 10)} LEFT JOIN d ON d.k = {sql_parent('cell', FINE, 8)}""")
+    d AS (SELECT {sql_parent('cell', FINE, 8)} AS k, avg(population) AS v FROM c GROUP BY 1), e AS (SELECT {sql_parent('cell', FINE, 9)} AS cell, avg(population) AS v FROM c GROUP BY 1), p AS (SELECT id, lon, lat, {sql_cell('lon', 'lat', FINE)} AS cell FROM v_place),
+    f AS (SELECT p.id, coalesce(a.v, b.v, d.v) AS v, lon, lat FROM p LEFT JOIN a ON a.k = cell LEFT JOIN b ON b.k = {sql_parent('cell', FINE, 10)} LEFT JOIN d ON d.k = {sql_parent('cell', FINE, 8)}),
+    n AS (SELECT f.id, arg_min(e.v, row({arc('lon','lat',C9X,C9Y)}, cell)) AS far FROM f, e WHERE f.v IS NULL GROUP BY 1)
+    SELECT f.id, round(coalesce(f.v, far), 6) AS population FROM f LEFT JOIN n USING (id)""")
 def _(t):
     cells = t.station.groupBy(grid.cell(F.col("lon"), F.col("lat"), FINE).alias("cell")).agg(F.max("county").cast("double").alias("population"))
-    far = t.place.select("id", F.lit(-1.0).alias("population"))
-    return X.fill_from_levels(t.place.select("id", "lon", "lat"), "id", cells, "population", [FINE, 10, 8], FINE, far).withColumn("population", r(F.col("population")))
+    return X.fill_from_levels(t.place.select("id", "lon", "lat"), "id", cells, "population", [FINE, 10, 8], FINE, 9).withColumn("population", r(F.col("population")))
 
 
 CX, CY = sql_centre("cell", FINE)
@@ -388,12 +409,27 @@ def _(t):
     return e.select("edge", F.size("p").alias("points"), r(F.col("p")[1]["lon"], 9).alias("second_lon"), r(F.col("p")[1]["lat"], 9).alias("second_lat"))
 
 
+def _clip(a, b, low, high, end):
+    """Where a segment from a to b enters (end least) or leaves (end greatest) the strip between low and high, as SQL; outside a strip it runs along: never."""
+    at = f"{end}(({low}-{a})/({b}-{a}), ({high}-{a})/({b}-{a}))"
+    beside = ("2.0", "-1.0") if end == "least" else ("-1.0", "2.0")
+    return f"CASE WHEN {a} = {b} THEN CASE WHEN {a} >= {low} AND {a} < {high} THEN {beside[1]} ELSE {beside[0]} END ELSE {at} END"
+
+
 @query("vehicle_km_by_area", "A29 W6", f"""
-    WITH a AS (SELECT feed, service FROM v_active WHERE date = DATE '2024-01-10'), t AS (SELECT trip, coalesce(n,1) AS runs FROM v_trip JOIN a USING (feed, service) LEFT JOIN (SELECT trip, sum(("end"-start)//headway) AS n FROM v_frequency GROUP BY 1) USING (trip)),
-    s AS (SELECT trip, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM v_stop_time JOIN v_station ON stop = station WINDOW w AS (PARTITION BY trip ORDER BY seq)),
-    m AS (SELECT trip, (x1+x2)/2 AS lon, (y1+y2)/2 AS lat, {sql_haversine('x1','y1','x2','y2')} AS km FROM s WHERE x2 IS NOT NULL)
-    SELECT area, round(sum(km*runs),2) AS vehicle_km, count(DISTINCT trip) AS trips FROM m JOIN t USING (trip) JOIN v_area ON {IN_AREA} GROUP BY 1""")
+    WITH a AS (SELECT feed, service FROM v_active WHERE date = DATE '2024-01-10'), t AS (SELECT trip, o_custkey AS shape, coalesce(n,1) AS runs FROM v_trip JOIN orders ON o_orderkey = trip JOIN a USING (feed, service) LEFT JOIN (SELECT trip, sum(("end"-start)//headway) AS n FROM v_frequency GROUP BY 1) USING (trip)),
+    h AS (SELECT id AS shape, seq, lon + [0.0,0.7,1.9,1.1][seq] AS lon, lat + [0.0,0.2,-0.4,0.9][seq] AS lat FROM v_place, range(1,5) x(seq)),
+    l AS (SELECT trip, trip%3 <> 0 AND shape IN (SELECT id FROM v_place) AS drawn, shape FROM t), pt AS (SELECT trip, seq, lon, lat FROM l JOIN h USING (shape) WHERE drawn UNION ALL SELECT trip, seq, lon, lat FROM l JOIN v_stop_time USING (trip) JOIN v_station ON stop = station WHERE NOT drawn),
+    s AS (SELECT trip, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM pt WINDOW w AS (PARTITION BY trip ORDER BY seq)),
+    m AS (SELECT trip, area, {sql_haversine('x1','y1','x2','y2')} * greatest(0.0, least(1.0, {_clip('x1','x2','west','east','greatest')}, {_clip('y1','y2','south','north','greatest')})
+       - greatest(0.0, {_clip('x1','x2','west','east','least')}, {_clip('y1','y2','south','north','least')})) AS km FROM s, v_area WHERE x2 IS NOT NULL),
+    k AS (SELECT trip, area, sum(km) AS km FROM m GROUP BY 1,2 HAVING sum(km) > 1e-9)
+    SELECT area, round(sum(km*runs),2) AS vehicle_km, count(*) AS trips FROM k JOIN t USING (trip) GROUP BY 1""")
 def _(t):
     from stopfield.plans.vehicle_km import vehicle_km
 
-    return vehicle_km(t.trip, t.stop_time, t.station.withColumnRenamed("station", "stop"), t.frequency, t.calendar, t.exception, "2024-01-10", t.area, "area", BASE).withColumn("vehicle_km", r(F.col("vehicle_km"), 2))
+    trips = t.trip.join(t.orders.select(F.col("o_orderkey").alias("trip"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("shape")), "trip")
+    bend = F.inline(F.array(*[F.struct(F.lit(i + 1).alias("seq"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate([(0.0, 0.0), (0.7, 0.2), (1.9, -0.4), (1.1, 0.9)])]))
+    shapes = t.place.select(F.col("id").alias("shape"), "lon", "lat", bend).select("shape", "seq", (F.col("lon") + F.col("a")).alias("lon"), (F.col("lat") + F.col("b")).alias("lat"))
+    out = vehicle_km(trips, t.stop_time, t.station.withColumnRenamed("station", "stop"), t.frequency, t.calendar, t.exception, "2024-01-10", t.area, "area", BASE, shapes)
+    return out.withColumn("vehicle_km", r(F.col("vehicle_km"), 2))
