@@ -89,13 +89,15 @@ def group_sample(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFra
 def inclusion(df: DataFrame, raw: str, share: float) -> tuple[DataFrame, float]:
     """``pi`` = min(1, c x raw) with c such that the sum of pi is ``share`` of the rows.
 
-    Rows that reach 1 leave the balance; each round is one aggregate of two numbers and the rounds end when no further row saturates.
+    Rows that reach 1 leave the balance; each round is one aggregate of two numbers and the rounds end when no further row saturates. The table is
+    read once: what the rounds read is its distinct values of ``raw`` with their counts, landed in the shared folder.
     """
-    target = share * df.count()
+    values = cut_lineage(df.groupBy(F.col(raw).alias("v")).agg(F.count("*").alias("n")))
+    target = share * (values.agg(F.sum("n")).first()[0] or 0)
     c, certain = 0.0, -1
     while True:  # every round but the last one adds a row that saturates
-        full = F.col(raw) * c >= 1
-        row = df.agg(F.count_if(full).alias("n"), F.coalesce(F.sum(F.when(~full, F.col(raw))), F.lit(0.0)).alias("s")).first()
+        full = F.col("v") * c >= 1
+        row = values.agg(F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~full, F.col("v") * F.col("n"))), F.lit(0.0)).alias("s")).first()
         if row["n"] == certain or not row["s"] > 0:
             break
         certain = row["n"]

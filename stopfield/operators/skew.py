@@ -2,7 +2,8 @@
 
 * totals of a group are aggregated with a map-side partial step and joined back; adaptive execution splits hot keys of the join;
 * the best row of a key is an aggregate over a struct, never a sorted group;
-* order statistics and running sums work on buckets of the order column: bucket totals are small, only one bucket at a time is sorted.
+* order statistics and running sums work on buckets of the order column, with bounds from its quantiles in the same plan: bucket totals are small,
+  only one bucket at a time is sorted.
 """
 
 from __future__ import annotations
@@ -40,39 +41,29 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep:
     return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, *[F.col(f"_best.row.{c}").alias(c) for c in keep])
 
 
-STRETCHES, PER_STRETCH = 64, 256
+BUCKETS = 4096
+"""Buckets of an order column; their bounds are that many quantiles of its values."""
 
 
-def stretch_edges(df: DataFrame, value: Column, stretches: int = STRETCHES) -> list[float]:
-    """Distinct values that cut the rows into about equal stretches: one pass with a sketch of fixed size, at most ``stretches`` + 1 numbers."""
-    v = value.cast("double")
-    probs = [i / stretches for i in range(stretches + 1)]
-    found = df.filter(v.isNotNull() & ~F.isnan(v)).agg(F.percentile_approx(v, probs, 10_000)).first()[0]
-    return sorted(set(found or ()))
+def with_order_bucket(df: DataFrame, value: str, weight: str, name: str = "_b", buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with a long ``name`` that never falls when ``value`` rises, from bounds that are quantiles of the values of ``df``.
 
-
-def order_bucket(df: DataFrame, value: Column, stretches: int = STRETCHES, parts: int = PER_STRETCH) -> Column:
-    """A long that never falls when the value rises, with bounds taken from the values of ``df``.
-
-    The rows' own quantiles cut them into equal stretches, each of which is cut into ``parts`` of equal width: wherever the values lie, and however
-    close, no bucket holds much more than its share. The quantiles are taken here, in a job of their own, so every use sees the same.
+    The bounds are one row with an array of at most ``buckets`` + 1 numbers (a sketch of fixed size), broadcast and searched by halving. They are
+    part of the plan, no job of their own: ``df`` should be an aggregate whose last step is its shuffle, and ``weight`` another of its columns, so
+    that both sides read one exchange. Each bucket holds about its share of the rows, whatever the values' tail; equal values share a bucket.
     """
-    v, edges = value.cast("double"), stretch_edges(df, value, stretches)
-
-    def cut(low: int, high: int) -> Column:
-        if high - low == 1:
-            width = edges[high] - edges[low]
-            inside = F.floor((v - F.lit(edges[low])) * F.lit(parts / width)) if width > 0 and parts / width < float("inf") else F.lit(0)
-            return F.lit(low * parts).cast("long") + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))
-        middle = (low + high) // 2
-        return F.when(v < F.lit(edges[middle]), cut(low, middle)).otherwise(cut(middle, high))
-
-    return (cut(0, len(edges) - 1) if len(edges) > 1 else F.lit(0)).cast("long")
+    v = F.col(value).cast("double")
+    known = F.when(~F.isnan(v) & F.col(weight).isNotNull(), v)
+    probs = [i / buckets for i in range(buckets + 1)]
+    edges = df.agg(F.array_distinct(F.percentile_approx(known, probs, 10 * buckets)).alias("_edges"))
+    steps = F.array(*[F.lit(1 << i) for i in range(buckets.bit_length(), -1, -1)])
+    reach = lambda at, step: F.when(F.get("_edges", at + step - 1) <= v, at + step).otherwise(at)
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.aggregate(steps, F.lit(0), reach).cast("long")).drop("_edges")
 
 
 def _distinct_values(df: DataFrame, by: Sequence[str], value: str, weight: Column) -> DataFrame:
     """Total weight of every (group, value): equal values of a hot group collapse before the shuffle."""
-    return df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w")).withColumn("_b", order_bucket(df.select(F.col(value).alias("_v")), F.col("_v")))
+    return with_order_bucket(df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w")), "_v", "_w")
 
 
 def values_at(
@@ -188,11 +179,9 @@ def running_sum(
     Offsets are found level by level: groups, buckets of the order column, distinct values in a bucket, 256 slices of equal values. The only
     rows ever sorted together are one slice of one value, so neither a hot group nor a hot value ends up in one task.
     """
-    rows = df.withColumn("_b", order_bucket(df, F.col(order))).withColumn(
-        "_s", F.substring(F.md5(F.col(tie).cast("string")), 1, 2)
-    )
+    rows = df.withColumn("_s", F.substring(F.md5(F.col(tie).cast("string")), 1, 2))
     value = [*groups, "_b", order]
-    slices = rows.groupBy(*value, "_s").agg(F.sum(weight).alias("_sw"))
+    slices = with_order_bucket(rows.groupBy(*groups, order, "_s").agg(F.sum(weight).alias("_sw")), order, "_sw")
     values = slices.groupBy(*value).agg(F.sum("_sw").alias("_vw"))
     buckets = values.groupBy(*groups, "_b").agg(F.sum("_vw").alias("_bw"))
     totals = buckets.groupBy(*groups).agg(F.sum("_bw").alias("_gw"))
@@ -209,11 +198,11 @@ def running_sum(
         *groups, "_b", (F.col("_go") + F.col("_bo")).alias("_o1")
     )
     offsets = slices.join(values, value).join(upper, [*groups, "_b"]).select(
-        *value, "_s", (F.col("_o1") + F.col("_vo") + F.col("_so")).alias("_o")
+        *groups, order, "_s", (F.col("_o1") + F.col("_vo") + F.col("_so")).alias("_o")
     )
-    inside = Window.partitionBy(*value, "_s").orderBy(F.md5(F.col(tie).cast("string"))).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*groups, order, "_s").orderBy(F.md5(F.col(tie).cast("string"))).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(offsets, [*value, "_s"]).withColumn(name, F.col("_o") + F.sum(weight).over(inside)).select(*df.columns, name)
+        rows.join(offsets, [*groups, order, "_s"]).withColumn(name, F.col("_o") + F.sum(weight).over(inside)).select(*df.columns, name)
     )
 
 
