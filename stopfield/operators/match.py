@@ -45,21 +45,54 @@ def similar_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens:
     return once.select(lid, rid, text.jaccard(F.col("_a"), F.col("_b")).alias("score")).filter(F.col("score") >= minimum - 1e-12)
 
 
+BOX = ("west", "south", "east", "north")
+FINEST_BOX, COARSEST_BOX = 14, 1
+"""Levels of the grid that boxes are listed at: cells of 360 / 2^level degrees."""
+
+
+def box_level(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The finest level whose cells are at least as large as the box, which therefore touches four of them at most."""
+    size = F.greatest(east - west, north - south, F.lit(1e-9))
+    return F.greatest(F.lit(COARSEST_BOX), F.least(F.lit(FINEST_BOX), F.floor(F.log2(F.lit(360.0) / size)))).cast("int")
+
+
+def _cell_index(c: Column, level: Column) -> Column:
+    return F.floor((c + 180.0) * F.pow(F.lit(2.0), level) / 360.0)
+
+
+def place_keys(df: DataFrame) -> DataFrame:
+    """Rows with ``_key`` and ``_own``: their state, and the cells of their box at its own level (``_own``) and at all coarser ones.
+
+    Of two boxes that overlap the smaller one lies, at the larger one's level, in a cell that the larger one lists as its own.
+    """
+    own = box_level(*[F.col(c) for c in BOX])
+    cells = df.filter((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))).withColumn("_level", own)
+    span = lambda low, high, level: F.sequence(_cell_index(F.col(low), level), _cell_index(F.col(high), level))
+    cells = cells.withColumn("_at", F.explode(F.sequence(F.lit(COARSEST_BOX), F.col("_level"))))
+    cells = cells.withColumn("_i", F.explode(span("west", "east", F.col("_at")))).withColumn("_j", F.explode(span("south", "north", F.col("_at"))))
+    boxed = cells.select(*df.columns, F.concat_ws(":", "_at", "_i", "_j").alias("_key"), (F.col("_at") == F.col("_level")).alias("_own"))
+    return boxed.unionByName(df.filter(F.col("state").isNotNull()).select("*", F.concat(F.lit("state:"), F.lower("state")).alias("_key"), F.lit(True).alias("_own")))
+
+
 def catalogue_matches(broken: DataFrame, catalogue: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Catalogue rows for every broken feed: (feed, entry, score, forced).
 
     ``broken``: (feed, name, state, west, south, east, north); ``catalogue``: (entry, provider, state, status, box). Candidates are active, of
-    the same state or overlapping its box, similar enough and within ``NEAR_BEST`` of the best; an override replaces all of them.
+    the same state or overlapping its box, similar enough and within ``NEAR_BEST`` of the best; an override replaces all of them. Different sets of
+    words are compared, once each; rows then meet only where their sets are similar and they share a state or a cell of their boxes.
     """
-    l = broken.withColumn("_tk", text.tokens(F.col("name")))
-    r = catalogue.filter("status = 'active'").withColumn("_tk", text.tokens(F.col("provider")))
-    pairs = similar_pairs(l, r, "feed", "entry", "_tk")
-    box = ("west", "south", "east", "north")
-    a = broken.select("feed", F.col("state").alias("_sa"), *[F.col(c).alias(f"_a{c}") for c in box])
-    b = catalogue.select("entry", F.col("state").alias("_sb"), *[F.col(c).alias(f"_b{c}") for c in box])
-    placed = pairs.join(a, "feed").join(b, "entry")
+    words = lambda c: F.array_sort(F.array_distinct(text.tokens(F.col(c))))
+    named = lambda df, c, name: df.withColumn("_tk", words(c)).withColumn(name, F.md5(F.array_join("_tk", " ")))
+    l = named(broken.select("feed", "name", "state", *BOX), "name", "_sl")
+    r = named(catalogue.filter("status = 'active'").select("entry", "provider", "state", *BOX), "provider", "_sr")
+    sets = similar_pairs(l.select("_sl", "_tk").dropDuplicates(["_sl"]), r.select("_sr", "_tk").dropDuplicates(["_sr"]), "_sl", "_sr", "_tk")
+    left = skewed_join(place_keys(l.drop("name", "_tk")), sets, ["_sl"], "inner").drop("_sl")
+    right = place_keys(r.drop("provider", "_tk"))
+    for c in ("state", *BOX, "_own"):
+        left, right = left.withColumnRenamed(c, f"_a{c}"), right.withColumnRenamed(c, f"_b{c}")
     overlap = (F.col("_beast") >= F.col("_awest")) & (F.col("_bwest") <= F.col("_aeast")) & (F.col("_bnorth") >= F.col("_asouth")) & (F.col("_bsouth") <= F.col("_anorth"))
-    near = placed.filter((F.lower("_sa") == F.lower("_sb")) | overlap).select("feed", "entry", "score")
+    met = skewed_join(left, right, ["_sr", "_key"], "inner").filter((F.col("_a_own") | F.col("_b_own")) & (F.col("_key").startswith("state:") | overlap))
+    near = met.select("feed", "entry", "score").distinct()
     best = near.groupBy("feed").agg(F.max("score").alias("_best"))
     found = near.join(best, "feed").filter(F.col("score") >= F.greatest(F.lit(MIN_SCORE), F.col("_best") - NEAR_BEST)).select("feed", "entry", "score", F.lit(False).alias("forced"))
     if overrides is None:
@@ -111,9 +144,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.greatest(text.jaccard(text.tokens(a), text.tokens(b)), 0.8 * F.coalesce(ratio, F.lit(0.0)))
 
 
-FINEST_BOX, COARSEST_BOX = 14, 1
-
-
 def box_candidates(places: DataFrame, boxes: DataFrame, top: int | None = None) -> DataFrame:
     """Boxes that hold a place, most similar name first: (place, entry, similarity, rank from 1), of each place the first ``top``.
 
@@ -121,12 +151,9 @@ def box_candidates(places: DataFrame, boxes: DataFrame, top: int | None = None)
     most four cells it touches at the resolution whose cells are as large as the box; a place looks its own cell up at each of these resolutions,
     so a place and a box that share no cell never meet.
     """
-    size = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
-    level = F.greatest(F.lit(COARSEST_BOX), F.least(F.lit(FINEST_BOX), F.floor(F.log2(F.lit(360.0) / F.greatest(size, F.lit(1e-9)))))).cast("int")
-    step = lambda r: F.lit(360.0) / F.pow(F.lit(2.0), r)
-    index = lambda c, r: F.floor((c + 180.0) / step(r))
+    index = _cell_index
     span = lambda a, b: F.explode(F.sequence(index(F.col(a), F.col("_r")), index(F.col(b), F.col("_r"))))
-    valid = boxes.filter((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))).withColumn("_r", level)
+    valid = boxes.filter((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))).withColumn("_r", box_level(*[F.col(c) for c in BOX]))
     listed = valid.withColumn("_i", span("west", "east")).withColumn("_j", span("south", "north")).withColumnRenamed("name", "_entry_name")
     levels = F.explode(F.sequence(F.lit(COARSEST_BOX), F.lit(FINEST_BOX))).alias("_r")
     at = places.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("place", "name", "lon", "lat", levels)

@@ -45,6 +45,11 @@ BUCKETS = 4096
 """Buckets of an order column; their bounds are that many quantiles of its values."""
 
 
+def numbers(values: Sequence[float]) -> Column:
+    """A constant array of doubles as one expression, however long."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def with_order_bucket(df: DataFrame, value: str, weight: str, name: str = "_b", buckets: int = BUCKETS) -> DataFrame:
     """``df`` with a long ``name`` that never falls when ``value`` rises, from bounds that are quantiles of the values of ``df``.
 
@@ -54,7 +59,7 @@ def with_order_bucket(df: DataFrame, value: str, weight: str, name: str = "_b",
     """
     v = F.col(value).cast("double")
     known = F.when(~F.isnan(v) & F.col(weight).isNotNull(), v)
-    probs = [i / buckets for i in range(buckets + 1)]
+    probs = numbers([i / buckets for i in range(buckets + 1)])
     edges = df.agg(F.array_distinct(F.percentile_approx(known, probs, 10 * buckets)).alias("_edges"))
     steps = F.array(*[F.lit(1 << i) for i in range(buckets.bit_length(), -1, -1)])
     reach = lambda at, step: F.when(F.get("_edges", at + step - 1) <= v, at + step).otherwise(at)
@@ -67,11 +72,11 @@ def _distinct_values(df: DataFrame, by: Sequence[str], value: str, weight: Colum
 
 
 def values_at(
-    df: DataFrame, by: Sequence[str], value: str, weight: Column, targets: Sequence[Column]
+    df: DataFrame, by: Sequence[str], value: str, weight: Column, targets: Sequence[Column] | Column
 ) -> DataFrame:
     """Value at which the cumulative weight of a group first reaches each target.
 
-    ``targets`` are columns of ``_total``, the weight of the group. Returns the group keys, ``_i`` (index of the target), ``_total`` and
+    ``targets`` are columns of ``_total``, the weight of the group, or one array of them. Returns the group keys, ``_i`` (index of the target), ``_total`` and
     ``_value``. Two passes: the running sum over buckets finds the bucket, then only that bucket is put in order.
     """
     distinct = _distinct_values(df, by, value, weight)
@@ -84,7 +89,8 @@ def values_at(
         .withColumn("_last", F.max("_b").over(whole) == F.col("_b"))
         .withColumn("_before", F.lag("_cum").over(ordered))
     )
-    goals = F.array(*[F.struct(F.lit(i).alias("i"), t.cast("double").alias("goal")) for i, t in enumerate(targets)])
+    goals = targets if isinstance(targets, Column) else F.array(*[t.cast("double") for t in targets])
+    goals = F.transform(goals, lambda goal, i: F.struct(i.alias("i"), goal.alias("goal")))
     reached = buckets.filter(F.col("_total") > 0).withColumn(
         "_goal",
         F.explode(
@@ -118,11 +124,10 @@ def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Quantiles with linear interpolation between neighbours, one row per group and probability (``q``, ``value``)."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    rank = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    targets = [F.floor(r) + 1 for r in rank] + [F.ceil(r) + 1 for r in rank]
-    at = values_at(rows, by, value, F.lit(1.0), targets)
-    n = len(probs)
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), (F.col("_i") % n + 1).cast("int"))
+    each, n = numbers(probs), len(probs)
+    rank = lambda ends: F.transform(each, lambda p: (ends(p * (F.col("_total") - 1)) + 1).cast("double"))
+    at = values_at(rows, by, value, F.lit(1.0), F.concat(rank(F.floor), rank(F.ceil)))
+    prob = F.element_at(each, (F.col("_i") % n + 1).cast("int"))
     pairs = at.withColumn("q", prob).groupBy(*by, "q").agg(
         F.first("_total").alias("_total"),
         F.max(F.when(F.col("_i") < n, F.col("_value"))).alias("_low"),
