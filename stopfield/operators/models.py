@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -105,6 +105,94 @@ def search_curves(
     return best, table
 
 
+# Fixed values of the simplex: reflection, expansion, contractions and shrinking.
+_STEPS = (1.0, 2.0, 0.5, -0.5)
+_SHRINK = 0.5
+
+
+def simplex_search(
+    evaluate: Callable[[list[np.ndarray]], Sequence[float]], start: Sequence[float], starts: int = 1, spread: float = 0.8, seed: int = 0,
+    first_step: float = 0.25, tolerance: float = 1e-6, most_rounds: int = 1000,
+) -> list[tuple[float, np.ndarray]]:
+    """Minima found from ``starts`` simplexes moved side by side: (value, place) of each start, the given one first.
+
+    Other starts move every number by a normal step of deviation ``spread``. Each round asks for all places that any simplex may go to (reflected,
+    expanded, contracted twice, and shrunk) as one table of candidates, so a round is one call of ``evaluate`` whatever the number of starts. A
+    simplex is done when its values and corners agree within ``tolerance``; the search raises if one never is.
+    """
+    d, rng = len(start), np.random.default_rng(seed)
+    origins = [np.asarray(start, float)] + [np.asarray(start, float) + rng.normal(0, spread, d) for _ in range(starts - 1)]
+    corners = [np.vstack([o, o + first_step * np.eye(d)]) for o in origins]
+    flat = list(evaluate([c for simplex in corners for c in simplex]))
+    values = [np.array(flat[i * (d + 1) : (i + 1) * (d + 1)], float) for i in range(starts)]
+
+    def done(i: int) -> bool:
+        return values[i].max() - values[i].min() <= tolerance and np.abs(corners[i] - corners[i][0]).max() <= max(tolerance, 1e-9) ** 0.5
+
+    for _ in range(most_rounds):
+        moving = [i for i in range(starts) if not done(i)]
+        if not moving:
+            break
+        asked: list[np.ndarray] = []
+        for i in moving:
+            order = np.argsort(values[i], kind="stable")
+            corners[i], values[i] = corners[i][order], values[i][order]
+            middle, worst = corners[i][:-1].mean(axis=0), corners[i][-1]
+            asked += [middle + s * (middle - worst) for s in _STEPS] + [corners[i][0] + _SHRINK * (c - corners[i][0]) for c in corners[i][1:]]
+        found = np.asarray(evaluate(asked), float)
+        width = len(_STEPS) + d
+        for k, i in enumerate(moving):
+            places, got = asked[k * width : (k + 1) * width], found[k * width : (k + 1) * width]
+            reflected, expanded, outside, inside = got[:4]
+            if reflected < values[i][0]:
+                take = 1 if expanded < reflected else 0
+            elif reflected < values[i][-2]:
+                take = 0
+            elif reflected < values[i][-1] and outside <= reflected:
+                take = 2
+            elif inside < values[i][-1]:
+                take = 3
+            else:
+                corners[i][1:], values[i][1:] = places[4:], got[4:]
+                continue
+            corners[i][-1], values[i][-1] = places[take], got[take]
+    else:
+        raise RuntimeError(f"simplexes {[i for i in range(starts) if not done(i)]} did not settle in {most_rounds} rounds")
+    best = [int(np.argmin(v)) for v in values]
+    return [(float(values[i][b]), corners[i][b].copy()) for i, b in enumerate(best)]
+
+
+def fit_curves(
+    items: DataFrame, profiles: DataFrame, start: ScoreCurves, names: Sequence[str], loss, starts: int = 1, spread: float = 0.8, seed: int = 0, tolerance: float = 1e-6
+) -> tuple[ScoreCurves, list[tuple[float, dict[str, float]]]]:
+    """Score curves of the least loss over several positive parameters at once, from several starts: the best curves, and loss and values by start.
+
+    ``names`` are parameters of ``ScoreCurves``, ``mode:bus`` one of its tables; they are searched by their logarithms. ``loss`` is that of
+    ``search_curves``. A round scores all candidates of all starts in one job; only one number a candidate comes back.
+    """
+
+    def value(curves: ScoreCurves, name: str) -> float:
+        table, _, key = name.partition(":")
+        return getattr(curves, table)[key] if key else getattr(curves, table)
+
+    def curves_at(place: np.ndarray) -> ScoreCurves:
+        out = start
+        for name, v in zip(names, np.exp(place)):
+            table, _, key = name.partition(":")
+            out = out.with_(**{table: {**getattr(out, table), key: float(v)} if key else float(v)})
+        return out
+
+    items, profiles = cut_lineage(items), cut_lineage(profiles)  # read by every round
+
+    def evaluate(places: list[np.ndarray]) -> list[float]:
+        table = loss(rescore(items, profiles, {f"{i:05d}": curves_at(p) for i, p in enumerate(places)}))
+        return [r["loss"] for r in table.groupBy("set").agg(F.sum("loss").alias("loss")).orderBy("set").collect()]
+
+    runs = simplex_search(evaluate, [np.log(value(start, n)) for n in names], starts, spread, seed, tolerance=tolerance)
+    best = min(runs, key=lambda r: r[0])
+    return curves_at(best[1]), [(v, {n: float(x) for n, x in zip(names, np.exp(p))}) for v, p in runs]
+
+
 def best_set_per_group(losses: DataFrame, group: str, national: str) -> DataFrame:
     """Per group its own best parameter set next to the national one: (group, best, best_loss, national_loss)."""
     best = losses.groupBy(group).agg(F.min(F.struct("loss", "set")).alias("_b"), F.max(F.when(F.col("set") == national, F.col("loss"))).alias("national_loss"))

@@ -13,6 +13,7 @@ from stopfield.operators import sample as Sa
 from stopfield.operators import score as K
 from stopfield.queries.registry import query
 from stopfield.queries.views import FINE
+from stopfield.session import cut_lineage
 
 
 def r(c, digits=6):
@@ -274,6 +275,18 @@ def _(t):
     return losses.select("set", r(F.col("loss")).alias("loss"), F.lit(round(best.walk_power, 6)).alias("walk_power"))
 
 
+@query("curve_fit_from_several_starts", "M4 K12")
+def _(t):
+    # the shares are those of known curves, so the best fit can be read off the result
+    truth = DEFAULT.with_(walk_power=2.2, mode={**DEFAULT.mode, "tram": 0.5})
+    items, profiles = t.item.select("cell", "station", "dist"), _profiles(t)
+    aim = cut_lineage(K.rescore(items, profiles, {"truth": truth}).select("cell", F.col("los").alias("aim")))
+    loss = lambda scores: scores.join(aim, "cell").groupBy("set").agg(F.avg(F.pow(F.col("los") - F.col("aim"), F.lit(2))).alias("loss"))
+    best, runs = Mo.fit_curves(items, profiles, DEFAULT, ["walk_power", "mode:tram"], loss, starts=2, spread=0.2, tolerance=0.05)
+    rows = [(i, round(v, 1), round(p["walk_power"], 1), round(p["mode:tram"], 1)) for i, (v, p) in enumerate(runs)]
+    return t.spark.createDataFrame(rows, "start int, loss double, walk_power double, tram double")
+
+
 SETS = {"national": DEFAULT, "steep": DEFAULT.with_(walk_power=2.5), "flat": DEFAULT.with_(walk_power=0.5)}
 
 

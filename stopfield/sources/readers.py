@@ -54,7 +54,7 @@ def feed_table(spark: SparkSession, folder: str, table: str, feeds: Sequence[str
     clean = F.regexp_replace("header", "^\ufeff|\\r$", "")
     out = None
     for row in header.groupBy(clean.alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect():
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(row["files"])
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(row["files"])
         one = trim_table(raw.select("*", F.regexp_extract(F.col("_metadata.file_path"), _FEED_OF_PATH, 1).alias("feed")))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:

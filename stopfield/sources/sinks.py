@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stopfield.functions import clock
 from stopfield.operators.skew import skewed_join
+from stopfield.sources.feed_files import FeedFiles
 
 CHUNK_ROWS = 20_000
 
@@ -23,10 +25,36 @@ def overwrite_layer(df: DataFrame, path: str, partitions: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
-def feed_sink(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Timetable tables as CSV folders with headers, one folder per table; large tables stay in several files."""
+def feed_sink(tables: Mapping[str, DataFrame], folder: str, order: Mapping[str, Sequence[str]] | None = None) -> None:
+    """Timetable tables (name -> rows with ``feed``) as ``<folder>/<feed>/<name>.txt``, which ``readers.feed_table`` reads back.
+
+    Each table replaces the files of the feeds it holds, all or none; ``order`` names the columns that rows of a table are sorted by within a feed.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        df.sparkSession.dataSource.register(FeedFiles)
+        rows = df.repartition("feed").sortWithinPartitions("feed", *(order or {}).get(name, ()))
+        rows.write.format("feed_files").option("folder", folder).option("table", name).mode("append").save()
+
+
+def built_feed(routes: DataFrame, stops: DataFrame, windows: DataFrame, calls: DataFrame, first_day: str, last_day: str, service: str = "ALL") -> dict[str, DataFrame]:
+    """Feed tables of assumed services that run every day of a range, by table name.
+
+    ``routes`` (feed, route, agency, name, type), ``stops`` (feed, stop, name, lon, lat), ``windows`` (feed, trip, start, end, headway: seconds),
+    ``calls`` (feed, trip, route, direction, seq, stop, sec). Trips are the calls' own; clock times go past 24 hours.
+    """
+    at = lambda c: clock.text(F.col(c))
+    day = lambda d: F.lit(d.replace("-", ""))
+    feeds = routes.select("feed").distinct()
+    trips = calls.select("feed", "trip", "route", "direction").distinct()
+    return {
+        "agency": routes.select("feed", F.col("agency").alias("agency_id"), F.col("agency").alias("agency_name")).distinct(),
+        "calendar": feeds.select("feed", F.lit(service).alias("service_id"), *[F.lit(1).alias(d) for d in clock.WEEKDAYS], day(first_day).alias("start_date"), day(last_day).alias("end_date")),
+        "stops": stops.select("feed", F.col("stop").alias("stop_id"), F.col("name").alias("stop_name"), F.round("lat", 6).alias("stop_lat"), F.round("lon", 6).alias("stop_lon")),
+        "routes": routes.select("feed", F.col("route").alias("route_id"), F.col("agency").alias("agency_id"), F.col("name").alias("route_short_name"), F.col("type").alias("route_type")),
+        "trips": trips.select("feed", F.col("route").alias("route_id"), F.lit(service).alias("service_id"), F.col("trip").alias("trip_id"), F.col("direction").alias("direction_id")),
+        "stop_times": calls.select("feed", F.col("trip").alias("trip_id"), at("sec").alias("arrival_time"), at("sec").alias("departure_time"), F.col("stop").alias("stop_id"), F.col("seq").alias("stop_sequence")),
+        "frequencies": windows.select("feed", F.col("trip").alias("trip_id"), at("start").alias("start_time"), at("end").alias("end_time"), F.col("headway").alias("headway_secs"), F.lit(0).alias("exact_times")),
+    }
 
 
 def rounded(df: DataFrame, digits: int = 2) -> DataFrame:

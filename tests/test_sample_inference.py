@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from stopfield.functions.curves import DEFAULT
 from stopfield.operators import inference, models, sample
+from stopfield.operators.score import rescore
 
 
 def units(spark, n=900):
@@ -100,3 +103,30 @@ def test_curve_search_moves_towards_the_planted_decay(spark):
     loss = lambda s: s.join(truth, "cell").groupBy("set").agg(F.avg(F.pow(F.col("los") - F.col("t"), F.lit(2))).alias("loss"))
     best, _ = models.search_curves(items, profiles, DEFAULT, {"walk_power": [0.4, 0.2]}, loss, rounds=2)
     assert abs(best.walk_power - 2.1) < 1e-9
+
+
+def test_simplexes_find_a_planted_minimum_side_by_side():
+    calls = []
+
+    def valley(places):
+        calls.append(len(places))
+        return [100 * (y - x * x) ** 2 + (1 - x) ** 2 + (z + 2) ** 2 for x, y, z in places]
+
+    runs = models.simplex_search(valley, [-1.0, 1.5, 0.0], starts=4, seed=3, tolerance=1e-10)
+    assert len(runs) == 4 and all(v < 1e-6 for v, _ in runs)
+    assert all(np.allclose(p, [1, 1, -2], atol=1e-2) for _, p in runs)
+    assert calls[0] == 16 and max(calls[1:]) <= 4 * 7 and len(calls) < 400
+    with pytest.raises(RuntimeError):
+        models.simplex_search(valley, [-1.0, 1.5, 0.0], tolerance=1e-10, most_rounds=5)
+
+
+def test_planted_curves_of_three_parameters_are_found(spark):
+    rnd = random.Random(2)
+    items = spark.createDataFrame([(c, s, float(rnd.randint(0, 2500))) for c in range(60) for s in rnd.sample(range(30), 3)], "cell int, station int, dist double").cache()
+    profiles = spark.createDataFrame([(s, 0, ["bus", "tram", "rail"][s % 3], float(rnd.randint(2, 60)), float(rnd.randint(8, 50))) for s in range(30)], "station int, slot int, mode string, h double, v double").cache()
+    truth = DEFAULT.with_(walk_power=2.2, walk_scale={**DEFAULT.walk_scale, "bus": 800.0}, mode={**DEFAULT.mode, "tram": 0.5})
+    aim = rescore(items, profiles, {"truth": truth}).select("cell", F.col("los").alias("aim")).cache()
+    loss = lambda scores: scores.join(aim, "cell").groupBy("set").agg(F.avg(F.pow(F.col("los") - F.col("aim"), F.lit(2))).alias("loss"))
+    best, runs = models.fit_curves(items, profiles, DEFAULT, ["walk_power", "walk_scale:bus", "mode:tram"], loss, starts=2, spread=0.2, tolerance=1e-2)
+    assert abs(best.walk_power - 2.2) < 0.2 and abs(best.walk_scale["bus"] - 800) < 120 and abs(best.mode["tram"] - 0.5) < 0.05
+    assert min(v for v, _ in runs) < 0.05 and len(runs) == 2

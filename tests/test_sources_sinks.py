@@ -2,6 +2,8 @@ import gzip
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +70,8 @@ def test_chunks_round_trip_through_files(spark, rows, tmp_path):
 
 
 def test_feed_sink_and_fingerprints(spark, tmp_path):
-    sinks.feed_sink({"stops": spark.createDataFrame([("1", "A")], "stop_id string, stop_name string")}, f"{tmp_path}/out")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/out/stops").columns == ["stop_id", "stop_name"]
+    sinks.feed_sink({"stops": spark.createDataFrame([("f", "1", "A")], "feed string, stop_id string, stop_name string")}, f"{tmp_path}/out")
+    assert os.listdir(f"{tmp_path}/out/f") == ["stops.txt"] and open(f"{tmp_path}/out/f/stops.txt").read() == "stop_id,stop_name\n1,A\n"
     for feed, text in (("a", "x"), ("b", "x"), ("c", "y")):
         write(f"{tmp_path}/feeds/{feed}/stops.txt", text)
     marks = {r["feed"]: r["mark"] for r in readers.feed_fingerprints(spark, f"{tmp_path}/feeds").collect()}
@@ -132,3 +134,30 @@ def test_params_are_immutable():
 
     p = dataclasses.replace(StudyParams(), min_density_km2=50.0)
     assert p.min_density_km2 == 50.0 and StudyParams().min_density_km2 == 10.0
+
+
+def test_a_feed_is_read_back_as_written(spark, rows, tmp_path):
+    out = f"{tmp_path}/feeds"
+    stops = spark.createDataFrame([(f"f{i % 5}", f"s{i}", None if i == 3 else 'Plaça "Major", 1' if i == 7 else f"Stop {i}", 2.0 + i / 100, 41.0) for i in range(60)], "feed string, stop string, name string, lon double, lat double")
+    routes = spark.createDataFrame([(f"f{i}", "r", "Town", "R1", 3) for i in range(5)], "feed string, route string, agency string, name string, type int")
+    calls = spark.createDataFrame([(f"f{i % 5}", f"t{i}", "r", i % 2, k + 1, f"s{(i + k) % 60}", 86_000 + 600 * k) for i in range(20) for k in range(3)], "feed string, trip string, route string, direction int, seq int, stop string, sec int")
+    windows = spark.createDataFrame([("f0", "t0", 21_600, 93_600, 600)], "feed string, trip string, start int, end int, headway int")
+    tables = sinks.built_feed(routes, stops, windows, calls, "2026-01-01", "2027-12-31")
+    for _ in range(2):  # a second run replaces the first
+        sinks.feed_sink(tables, out, {"stop_times": ["trip_id", "stop_sequence"]})
+    assert sorted(os.listdir(out)) == [f"f{i}" for i in range(5)]
+    assert sorted(os.listdir(f"{out}/f0")) == ["agency.txt", "calendar.txt", "frequencies.txt", "routes.txt", "stop_times.txt", "stops.txt", "trips.txt"]
+    assert not os.path.exists(f"{out}/f1/frequencies.txt")
+    for name, df in tables.items():
+        back = readers.feed_table(spark, out, name)
+        assert rows(back.select(*df.columns)) == rows(df.select(*[F.col(c).cast("string") for c in df.columns])), name
+    times = readers.feed_table(spark, out, "stop_times").filter("feed = 'f0' AND trip_id = 't0'").collect()
+    assert [(r.stop_sequence, r.departure_time) for r in times] == [("1", "23:53:20"), ("2", "24:03:20"), ("3", "24:13:20")]
+
+
+def test_a_failed_feed_write_leaves_nothing(spark, tmp_path):
+    bad = spark.createDataFrame([("a", "1"), ("b/c", "2")], "feed string, stop_id string")
+    with pytest.raises(Exception, match="no folder can be named"):
+        sinks.feed_sink({"stops": bad}, f"{tmp_path}/out")
+    left = [f for _, _, names in os.walk(f"{tmp_path}/out") for f in names]
+    assert left == []
