@@ -7,8 +7,8 @@ import pytest
 import __spark_entry__ as contract
 import corpus_pipeline
 from stopfield.llm import line_dedup, queries
-from stopfield.llm.fingerprint import simhash
 from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_shingle_copies import groups_of
 from tools import compare
 
 SF = "/root/testdata/sf0.001"
@@ -45,13 +45,8 @@ def test_stages_one_after_the_other(spark):
     assert {r.doc_id: r.text for r in lined.collect()} == want and all(r.n_chars == len(r.text) for r in lined.collect())
 
     alone = stages[2](spark, lined, SF).cache()
-    prints = {r.doc_id: simhash(r.text) for r in lined.collect()}
-    groups: dict[int, int] = {}
-    for d in sorted(prints):
-        near = {groups[x] for x in groups if bin(prints[x] ^ prints[d]).count("1") <= 3}
-        groups[d] = min(near, default=d)
-        groups = {x: groups[d] if g in near else g for x, g in groups.items()}
-    assert {r.doc_id for r in alone.collect()} == set(groups.values())
+    groups = groups_of([(r.doc_id, r.text) for r in lined.collect()])  # every pair by its five-word Jaccard similarity
+    assert {r.doc_id for r in alone.collect()} == set(groups.values()) and len(set(groups.values())) < len(groups)
 
     mixed = stages[3](spark, alone, SF)
     assert mixed.columns == docs.columns and set(r.doc_id for r in mixed.collect()) <= {r.doc_id for r in alone.collect()}

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from stopfield.llm import shingle_copies
 from stopfield.llm.fingerprint import simhash
@@ -44,6 +46,31 @@ def test_groups_against_brute_force(spark, docs_of, monkeypatch):
     assert 20 < len(set(want.values())) < 120
 
 
+def test_parities_never_differ_more_than_the_sets():
+    rng = random.Random(4)
+    for _ in range(40):
+        a = {rng.randrange(-(2**63), 2**63) for _ in range(rng.randint(1, 900))}
+        b = {g for g in a if rng.random() < 0.8} | {rng.randrange(-(2**63), 2**63) for _ in range(rng.randint(0, 90))}
+        one, two = (shingle_copies.parities(np.unique(np.array(sorted(x), np.int64))) for x in (a, b))
+        assert len(one) == shingle_copies.CELLS // 64 and int(np.bitwise_count((one ^ two).view(np.uint64)).sum()) <= len(a ^ b)
+
+
+def test_a_large_group_without_links_and_one_with(spark, docs_of):
+    """Copies of one text, each with its own changed words: with many changes no pair is linked, with few all are."""
+    rng = random.Random(12)
+    rows = []
+    for changes in (1, 9):
+        words = [f"v{changes}x{rng.randrange(3000)}" for _ in range(200)]
+        for _ in range(60):
+            copy = list(words)
+            for k in rng.sample(range(200), changes):
+                copy[k] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    want, got = groups_of(rows), {r.doc_id: r.label for r in shingle_copies.near_copies(docs_of(rows)).collect()}
+    assert len({got[d] for d in range(60)}) == len({want[d] for d in range(60)}) == 1
+    assert all((want[a] == want[b]) == (got[a] == got[b]) for a in want for b in want)
+
+
 def test_stage_drops_pairs_of_five_word_similarity_at_0_8_that_fingerprints_keep(spark, docs_of):
     rng = random.Random(8)
     words = [f"w{rng.randrange(5000)}" for _ in range(99)]
