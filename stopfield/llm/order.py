@@ -2,67 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stopfield.llm.common import shuffle_width
+from stopfield.llm.common import landed, shuffle_width
 
-PER_BUCKET = 20
+PER_BUCKET = 4
 """Keys sampled for each bucket when its bounds are chosen; the bounds decide where rows are worked on, never what comes out."""
 
 
-def _literal(row: tuple, schema: T.StructType) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema)])
-
-
-def _bucket(key: Column, bounds: list[tuple], schema: T.StructType) -> Column:
-    """Number of bounds that are at most the key: by a list of every n-th bound first, then by the bounds of that stretch."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    lists = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    count = lambda values: F.size(F.filter(F.array(*[_literal(v, schema) for v in values]), lambda b: b <= key))
-    coarse = count([part[0] for part in lists])
-    fine = F.coalesce(*[F.when(coarse == i + 1, count(part)) for i, part in enumerate(lists)], F.lit(0))
-    return F.greatest(coarse - 1, F.lit(0)) * step + fine
+def _bounds(only: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """One row with an array of less than ``parts`` keys that cut the order into like buckets, from a sample by key digest."""
+    one_in = max(1, only.count() // (parts * PER_BUCKET))
+    sample = only.filter(F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(one_in)) == 0)
+    seen = sample.agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("k"))
+    n = F.size("k")
+    nth = F.transform(F.sequence(F.lit(1), F.lit(max(1, parts - 1))), lambda i: F.element_at("k", (F.floor(n * i / parts) + 1).cast("int")))
+    cut = F.when(n >= parts, F.array_distinct(nth)).when(n > 1, F.slice("k", F.lit(2), n)).otherwise(F.slice("k", F.lit(1), F.lit(0)))
+    return seen.select(cut.alias("_bounds"))
 
 
 def in_order(df: DataFrame, keys: list[str], before: bool = False, after: bool = False, wrap: bool = False) -> DataFrame:
-    """``df`` cut into buckets of the order of ``keys`` (no nulls), with ``bucket`` and ``copy``, sorted by bucket and keys in each partition.
+    """``df`` cut into buckets of the order of ``keys`` (no nulls), with ``bucket`` and ``copy``; sort by bucket and keys in each partition.
 
     Every bucket also gets a copy (``copy`` true) of the last row of the bucket before it (``before``) and of the first row of the one after
-    it (``after``); with ``wrap`` the order is a ring. A bucket's rows lie together in one partition. What the driver sees is bounded by the
-    number of buckets: a sample of keys, and first and last key of each. Rows are shuffled once.
+    it (``after``); with ``wrap`` the order is a ring. A bucket's rows lie together in one partition. There are at most four buckets for each shuffle
+    partition; their bounds and end keys are small tables in the shared folder (one row, and two rows a bucket, which is what is broadcast). The
+    driver sees one number, the plan does not grow with the buckets, and rows are shuffled once.
     """
     parts = 4 * shuffle_width(df.sparkSession)
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    only = df.select(*keys)
-    total = only.count()
-    sample = only.filter(F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(max(1, total // (parts * PER_BUCKET)))) == 0).distinct().limit(4 * parts * PER_BUCKET)
-    seen = sorted(tuple(r) for r in sample.collect())
-    bounds = [seen[len(seen) * i // parts] for i in range(1, parts)] if len(seen) >= parts else seen[1:]
-    bounds = sorted(set(bounds))
     key = F.struct(*keys)
-    placed = df.withColumn("bucket", _bucket(key, bounds, schema))
-    ends = sorted((r[0], tuple(r[1]), tuple(r[2])) for r in placed.select("bucket", *keys).groupBy("bucket").agg(F.min(key), F.max(key)).collect())
-    copies: dict[tuple, list[int]] = {}
-    for i, (_, first, last) in enumerate(ends):
-        if after and (i > 0 or wrap):
-            copies.setdefault(first, []).append(ends[i - 1][0])
-        if before and (i + 1 < len(ends) or wrap):
-            copies.setdefault(last, []).append(ends[(i + 1) % len(ends)][0])
-    if not copies:
-        return placed.withColumn("copy", F.lit(False))
-    at_end = sorted(copies)
-    slot = _bucket(key, at_end, schema)
-    spots = F.array(*[_literal(k, schema) for k in at_end])
-    targets = F.array(*[F.array(*[F.lit(b) for b in copies[k]]) for k in at_end])
-    is_end = F.get(spots, slot - 1) == key
-    sent = F.when(is_end, F.get(targets, slot - 1)).otherwise(F.array().cast("array<int>"))
+    bounds = landed(_bounds(df.select(*keys), keys, parts))
+    halves = F.array(*[F.lit(1 << i) for i in range(parts.bit_length(), -1, -1)])
+
+    def placed(rows: DataFrame) -> DataFrame:
+        reach = lambda at, step: F.when(F.get("_bounds", at + step - 1) <= key, at + step).otherwise(at)
+        return rows.crossJoin(F.broadcast(bounds)).withColumn("bucket", F.aggregate(halves, F.lit(0), reach)).drop("_bounds")
+
+    ends = placed(df.select(*keys)).groupBy("bucket").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    order = Window.orderBy("bucket")  # over one row a bucket
+    ring = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back, on = F.lag("bucket").over(order), F.lead("bucket").over(order)
+    if wrap:
+        back, on = F.coalesce(back, F.last("bucket").over(ring)), F.coalesce(on, F.first("bucket").over(ring))
+    sent = ends.select("first", "last", back.alias("back"), on.alias("on"))
+    pairs = F.array(*([F.struct(F.col("first").alias("k"), F.col("back").alias("to"))] if after else []), *([F.struct(F.col("last").alias("k"), F.col("on").alias("to"))] if before else []))
+    if not (before or after):
+        return placed(df).withColumn("copy", F.lit(False)).repartition(shuffle_width(df.sparkSession), "bucket")
+    targets = sent.select(F.inline(pairs)).filter(F.col("to").isNotNull()).groupBy("k").agg(F.collect_list("to").alias("_to"))
+    targets = landed(targets.select(*[F.col(f"k.{k}").alias(f"_k{i}") for i, k in enumerate(keys)], "_to"))
+    is_end = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    met = placed(df).join(F.broadcast(targets), is_end, "left")
     own = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("c")))
-    spread = placed.withColumn("to", F.explode(F.concat(own, F.transform(sent, lambda b: F.struct(b.alias("b"), F.lit(True).alias("c"))))))
-    out = spread.select(*df.columns, F.col("to.b").alias("bucket"), F.col("to.c").alias("copy"))
-    return out.repartition(shuffle_width(df.sparkSession), "bucket")
-
-
+    copies = F.transform(F.coalesce("_to", F.array().cast("array<int>")), lambda b: F.struct(b.alias("b"), F.lit(True).alias("c")))
+    out = met.select(*df.columns, F.explode(F.concat(own, copies)).alias("_at"))
+    return out.select(*df.columns, F.col("_at.b").alias("bucket"), F.col("_at.c").alias("copy")).repartition(shuffle_width(df.sparkSession), "bucket")
