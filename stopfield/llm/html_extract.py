@@ -4,7 +4,8 @@ Every page is paired with the page of its host whose URL path is nearest: of its
 path prefix. The text lines of both are aligned by longest common subsequence; shared lines are the site's template and are deleted.
 
 Lines come from the markup: a block element ends a line. Lines that the markup itself names as no main text (menus, headers, footers,
-sidebars, notices, adverts, forms, comments; scripts and styles have no lines) go in any case. Inside an element that the markup names as
+sidebars, notices, adverts, forms, comments; scripts and styles have no lines) go in any case, and so do inline elements with such a name: by element, by
+role, or by the first or last part of a class or id, unless another part makes it a state of the page. Inside an element that the markup names as
 the main text (``article``, ``main``) shared lines stay, since there they are the article's own: copies, quotes and first sentences that articles
 share would be lost otherwise. Without such an element, all lines outside of it that are not shared make the text.
 
@@ -42,19 +43,23 @@ _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 MAIN = frozenset(("article", "main"))
-UNNAMED = MAIN | {"html", "body"}
+UNNAMED = frozenset(("html", "body", "main"))
 OTHER = frozenset("nav header footer aside form button dialog menu".split())
+OTHER_ROLES = frozenset("alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OTHER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer "
-    "menu menubar modal nav navbar navigation navigationbar newsletter notice notices notification popup promo promotion related reply replies "
-    "respond share sharing sidebar sidebars skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising adslot banner banners breadcrumb breadcrumbs comment commentlist comments consent cookie "
+    "cookies disclaimer disqus footer masthead menu menubar modal nav navbar navigation navigationbar newsletter notice notices notification popup promo "
+    "promotion related reply replies respond share sharing sidebar sidebars skyscraper social sponsor sponsored subscribe subscription toolbar "
+    "widget widgets".split()
 )
+STATES = frozenset("has no not non with without is are open opened closed enabled disabled allowed active inactive layout template type count".split())
+"""Parts of a name that make it say something about the element (``has-sidebar``, ``comments-open``) and not what it is."""
 
 
 def _names_other(token: str) -> bool:
-    """Whether all parts of a name are in the list: ``cookie-notice`` is a notice, ``has-sidebar`` and ``comments-open`` say something else."""
-    parts = _NAME_PART.findall(token)
-    return bool(parts) and all(part.lower() in OTHER_NAMES for part in parts)
+    """Whether a name's first or last part is in the list, and no part makes it a state: ``site-footer``, ``ad-slot`` and ``cookie-bar`` are other."""
+    parts = [part.lower() for part in _NAME_PART.findall(token)]
+    return bool(parts) and (parts[0] in OTHER_NAMES or parts[-1] in OTHER_NAMES) and STATES.isdisjoint(parts)
 
 
 def _is_other(name: str, rest: str, in_main: bool, by_name: bool) -> bool:
@@ -66,7 +71,11 @@ def _is_other(name: str, rest: str, in_main: bool, by_name: bool) -> bool:
         attribute, value = attribute.lower(), "".join(values)
         if attribute == "hidden" or attribute == "aria-hidden" and value.strip().lower() == "true" or attribute == "style" and _NOT_SHOWN.search(value):
             return True
-        if by_name and (attribute in ("class", "id", "role") and any(map(_names_other, value.split())) or attribute == "aria-label" and _names_other(value)):
+        if by_name and (
+            attribute in ("class", "id") and any(map(_names_other, value.split()))
+            or attribute == "role" and not OTHER_ROLES.isdisjoint(value.lower().split())
+            or attribute == "aria-label" and _names_other(value)
+        ):
             return True
     return False
 
@@ -74,8 +83,8 @@ def _is_other(name: str, rest: str, in_main: bool, by_name: bool) -> bool:
 def text_lines(page: str) -> list[tuple[str, bool, bool]]:
     """The lines of a page in order: the text, whether it stands in named main text, whether in something named as none.
 
-    The names of ``html``, ``body``, ``main``, ``article`` and of what a ``main`` stands in do not count; those of what an ``article`` stands in
-    do not count if no named main text were left.
+    The names of ``html``, ``body``, ``main`` and of what a ``main`` stands in do not count; those of an ``article``, and of what it stands in, do
+    not count if no named main text were left (of several articles the one that is called a comment goes).
     """
     lines, around = _lines(page, frozenset())
     if around["main"]:
@@ -92,6 +101,7 @@ def _lines(page: str, free: frozenset[int]) -> tuple[list[tuple[str, bool, bool]
     lines: list[tuple[str, bool, bool]] = []
     buffer: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
+    muted: list[str] = []  # inline elements named as no main text, from the outermost on
     main = other = False
 
     def end_line() -> None:
@@ -102,7 +112,7 @@ def _lines(page: str, free: frozenset[int]) -> tuple[list[tuple[str, bool, bool]
 
     at = 0
     for token in _TOKEN.finditer(page):
-        if token.start() > at:
+        if token.start() > at and not muted:
             buffer.append(page[at : token.start()])
         at = token.end()
         name = token["name"]
@@ -110,7 +120,16 @@ def _lines(page: str, free: frozenset[int]) -> tuple[list[tuple[str, bool, bool]
             continue
         name = name.lower()
         if name in INLINE:
+            if muted:
+                if token["close"] and name in muted:
+                    while muted.pop() != name:
+                        pass
+                elif not token["close"] and name not in VOID:
+                    muted.append(name)
+            elif not token["close"] and name not in VOID and token["rest"].strip(" /") and _is_other(name, token["rest"], main, True):
+                muted.append(name)
             continue
+        muted.clear()  # a block ends what an inline element has not
         end_line()
         if name in VOID or token["rest"].endswith("/") and name not in MAIN:
             continue
@@ -118,9 +137,11 @@ def _lines(page: str, free: frozenset[int]) -> tuple[list[tuple[str, bool, bool]
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
                 starts.pop()
+            by_name = name not in UNNAMED and token.start() not in free
             if name in MAIN:
                 around[name].update(x for x in starts if x is not None)
-            by_name = name not in UNNAMED and token.start() not in free
+                if name == "article" and by_name and not other and _is_other(name, token["rest"], main, True):
+                    around[name].add(token.start())
             other_now = other or _is_other(name, token["rest"], main, by_name)
             starts.append(token.start() if by_name and other_now and not _is_other(name, token["rest"], main, False) else None)
             stack.append((name, main, other))
@@ -130,7 +151,7 @@ def _lines(page: str, free: frozenset[int]) -> tuple[list[tuple[str, bool, bool]
             if depth is not None:
                 _, main, other = stack[depth]
                 del stack[depth:], starts[depth:]
-    if at < len(page):
+    if at < len(page) and not muted:
         rest = page[at:]
         buffer.append(rest if re.match(r"</?[a-zA-Z]", rest) is None else "")
     end_line()

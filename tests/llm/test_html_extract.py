@@ -78,3 +78,54 @@ def test_a_hot_host_over_many_partitions(spark):
 )
 def test_names_that_do_not_make_main_text_other(page):
     assert extract.main_text(extract.text_lines(page), None) == "one"
+
+
+@pytest.mark.parametrize(
+    "mark", ['class="ad-slot"', 'class="ad-container"', 'class="google-ad"', 'class="adsbygoogle"', 'class="comment-list"', 'class="x comments-section"', 'class="post-comments"', 'id="disqus_thread"', 'class="cookie-bar"',
+             'class="related-posts"', 'class="newsletter-signup"', 'id="sidebar-left"', 'class="main-menu"', 'class="mainMenu"', 'role="complementary"', 'role="contentinfo"', 'role="search"', "hidden", 'style="display: none"'],
+)
+@pytest.mark.parametrize("element", ["div", "section", "span"])
+def test_what_is_named_as_other_goes(mark, element):
+    page = f"<article><p>one</p><p>two <{element} {mark}>gone <b>and</b> gone</{element}> three</p></article>"
+    assert extract.main_text(extract.text_lines(page), None).split() == ["one", "two", "three"]
+
+
+def test_top_and_foot_of_a_page_without_main_text():
+    page = '<body><div class="top-nav">N</div><p>hello</p><div class="site-footer">F</div></body>'
+    assert extract.main_text(extract.text_lines(page), None) == "hello"
+
+
+@pytest.mark.parametrize(
+    "page", ['<body class="has-sidebar no-menu"><article class="post comments-open">whole text</article></body>', '<div id="page" class="with-sidebar"><article>whole text</article></div>',
+             '<article>whole text</article><article class="comment">a reader</article>', '<article class="comment">whole text</article>', '<div class="widget"><article>whole text</article></div>',
+             '<main class="sidebar-layout"><p title="the hidden valley">whole text</p></main>', '<article>whole <span class="ad">buy</span><i>text</i></article>', '<article>whole <span class="ad">buy <p>text</p></article>'],
+)
+def test_whole_articles_stay(page):
+    assert extract.main_text(extract.text_lines(page), None) == "whole text"
+
+
+def test_a_very_long_page_and_clashing_columns(spark):
+    page = "<article>" + "".join(f"<p>line {i}</p>" for i in range(30_000)) + "</article>"
+    df = frame(spark, [(1, "http://a/x", page), (2, "http://a/y", page)]).selectExpr("*", "1 AS host", "2 AS path", "3 AS copy", "4 AS digest", "5 AS id_key", "6 AS text")
+    got = extract.extracted(df).collect()
+    assert [r.n_chars for r in got] == [len(" ".join(f"line {i}" for i in range(30_000)))] * 2
+
+
+def test_plans_are_built_at_once_for_many_partitions(spark):
+    import time
+
+    from stopfield.llm import order_minhash
+    from stopfield.llm.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8")
+    try:
+        for name in ("op4_order_minhash", "op5_html_extract"):
+            start = time.perf_counter()
+            plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert time.perf_counter() - start < 60 and len(plan) < 40_000, name
+        assert order_minhash is not None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
