@@ -198,14 +198,14 @@ def _(t):
 
 
 @query("survey_names_to_codes", "J22 F6", """
-    WITH s AS (SELECT DISTINCT CASE p_partkey%4 WHEN 0 THEN 'Pláce ' || (p_partkey%70)::VARCHAR WHEN 1 THEN 'Nowhere/Place ' || (p_partkey%70)::VARCHAR WHEN 2 THEN 'Old Town' ELSE 'Ghost ' || (p_partkey%9)::VARCHAR END AS name FROM part),
-    k AS (SELECT 'place ' || (id%60)::VARCHAR AS k, arg_max(id, row(population, -id)) AS code FROM v_unit GROUP BY 1),
+    WITH s AS (SELECT DISTINCT CASE p_partkey%4 WHEN 0 THEN 'Pláce ' || p_partkey::VARCHAR WHEN 1 THEN 'Nowhere/Place ' || p_partkey::VARCHAR WHEN 2 THEN 'Old Town' ELSE 'Ghost ' || p_partkey::VARCHAR END AS name FROM part),
+    k AS (SELECT 'place ' || id::VARCHAR AS k, arg_max(id, row(population, -id)) AS code FROM v_unit GROUP BY 1),
     m AS (SELECT name, CASE WHEN name = 'Old Town' THEN 'place 1' WHEN name LIKE 'Nowhere%' THEN lower(string_split(name,'/')[2]) ELSE replace(lower(name),'á','a') END AS k FROM s) SELECT name, code FROM m LEFT JOIN k USING (k)""")
 def _(t):
     k = F.col("p_partkey")
-    no = (k % 70).cast("string")
-    name = F.when(k % 4 == 0, F.concat(F.lit("Pláce "), no)).when(k % 4 == 1, F.concat(F.lit("Nowhere/Place "), no)).when(k % 4 == 2, "Old Town").otherwise(F.concat(F.lit("Ghost "), (k % 9).cast("string")))
-    places = t.unit.select(F.col("id").alias("code"), F.concat(F.lit("Place "), (F.col("id") % 60).cast("string")).alias("name"), "population")
+    no = k.cast("string")
+    name = F.when(k % 4 == 0, F.concat(F.lit("Pláce "), no)).when(k % 4 == 1, F.concat(F.lit("Nowhere/Place "), no)).when(k % 4 == 2, "Old Town").otherwise(F.concat(F.lit("Ghost "), no))
+    places = t.unit.select(F.col("id").alias("code"), F.concat(F.lit("Place "), F.col("id").cast("string")).alias("name"), "population")
     return M.survey_codes(t.part.select(name.alias("name")).distinct(), places, {"old town": "place 1"}).select("name", "code")
 
 
@@ -299,20 +299,19 @@ def _(t):
 
 
 def _city_windows(t):
-    k, q = F.col("l_orderkey"), F.col("l_partkey") % 400
+    q = F.col("l_partkey")
     start = F.col("l_linenumber") * 7200
-    km = (q % 40).cast("double")
-    rows = t.lineitem.groupBy((q % 10).alias("city"), q.alias("route"), start.alias("start")).agg(F.min("l_quantity").alias("lq"), F.max("l_extendedprice").alias("lp"))
+    rows = t.lineitem.groupBy(F.expr("l_partkey div 40").alias("city"), q.alias("route"), start.alias("start")).agg(F.min("l_quantity").alias("lq"), F.max("l_extendedprice").alias("lp"))
     km = (F.col("route") % 40).cast("double")
     return rows.select("city", "route", "start", (F.col("start") + 7200).alias("end"), (F.lit(300.0) + F.col("lq") * 30).alias("headway"), (F.lit(1200.0) + F.floor(F.col("lp") / 40)).alias("duration"),
                        T.step_table(km, T.CENTRE_TIERS).alias("weight"), F.lit(240.0).alias("least"), ((km <= 25) & (F.col("route") % 13 > 0)).alias("free"))
 
 
 def _calibrated(rounds=8):
-    base = """w AS (SELECT (l_partkey%400)%10 AS city, l_partkey%400 AS route, l_linenumber*7200 AS start, l_linenumber*7200+7200 AS "end", 300.0+min(l_quantity)*30 AS headway, 1200.0+floor(max(l_extendedprice)/40) AS duration,
-        CASE WHEN (l_partkey%400)%40 <= 3 THEN 0.55 WHEN (l_partkey%400)%40 <= 5 THEN 0.7 WHEN (l_partkey%400)%40 <= 12 THEN 1.0 ELSE 1.4 END::DOUBLE AS weight, ((l_partkey%400)%40 <= 25 AND (l_partkey%400)%13 > 0) AS free FROM lineitem GROUP BY 1,2,3,4,7,8),
+    base = """w AS (SELECT l_partkey//40 AS city, l_partkey AS route, l_linenumber*7200 AS start, l_linenumber*7200+7200 AS "end", 300.0+min(l_quantity)*30 AS headway, 1200.0+floor(max(l_extendedprice)/40) AS duration,
+        CASE WHEN l_partkey%40 <= 3 THEN 0.55 WHEN l_partkey%40 <= 5 THEN 0.7 WHEN l_partkey%40 <= 12 THEN 1.0 ELSE 1.4 END::DOUBLE AS weight, (l_partkey%40 <= 25 AND l_partkey%13 > 0) AS free FROM lineitem GROUP BY 1,2,3,4,7,8),
       a AS (SELECT * FROM w WHERE start <= 30600 AND "end" > 30600), f AS (SELECT city, sum(CASE WHEN free THEN duration*1.15/(headway*weight) ELSE 0 END) AS base, sum(CASE WHEN free THEN 0 ELSE duration*1.15/headway END) AS fixed FROM a GROUP BY 1),
-      k0 AS (SELECT city, greatest(80.0+city*10-fixed, 0.15*(80.0+city*10)) AS need, base/greatest(80.0+city*10-fixed, 0.15*(80.0+city*10)) AS k FROM f)"""
+      k0 AS (SELECT city, greatest(80.0+city%10*10-fixed, 0.15*(80.0+city%10*10)) AS need, base/greatest(80.0+city%10*10-fixed, 0.15*(80.0+city%10*10)) AS k FROM f)"""
     parts = [base]
     for i in range(rounds):
         parts.append(f"k{i+1} AS (SELECT a.city, any_value(need) AS need, any_value(greatest(k,0.5))*sum(duration*1.15/least(greatest(headway*weight*greatest(k,0.5),240.0),5400.0))/any_value(need) AS k FROM a JOIN k{i} ON a.city = k{i}.city WHERE free GROUP BY a.city)")
@@ -322,18 +321,18 @@ def _calibrated(rounds=8):
 @query("headway_calibration", "T5 A47", _calibrated())
 def _(t):
     w = _city_windows(t)
-    fleets = w.select("city").distinct().withColumn("target", F.lit(80.0) + F.col("city") * 10)
+    fleets = w.select("city").distinct().withColumn("target", F.lit(80.0) + F.col("city") % 10 * 10)
     out = T.calibrate_headways(w, fleets)
     return out.groupBy("city").agg(r(F.max("k")).alias("k"), F.sum("new_headway").alias("headways"), F.count("*").alias("windows"))
 
 
 @query("route_distance_medians", "A47", f"""
-    SELECT route, round(median(km),4) AS km FROM (SELECT DISTINCT l_partkey%400 AS route, l_suppkey, {sql_haversine('lon','lat','-90','37')} AS km FROM lineitem JOIN v_station ON l_suppkey = station) GROUP BY 1""")
+    SELECT route, round(median(km),4) AS km FROM (SELECT DISTINCT l_partkey AS route, l_suppkey, {sql_haversine('lon','lat','-90','37')} AS km FROM lineitem JOIN v_station ON l_suppkey = station) GROUP BY 1""")
 def _(t):
     from stopfield.functions.geo import haversine_km
     from stopfield.operators.skew import median
 
-    pairs = t.lineitem.select((F.col("l_partkey") % 400).alias("route"), F.col("l_suppkey").alias("station")).distinct().join(t.station.select("station", "lon", "lat"), "station")
+    pairs = t.lineitem.select(F.col("l_partkey").alias("route"), F.col("l_suppkey").alias("station")).distinct().join(t.station.select("station", "lon", "lat"), "station")
     km = pairs.select("route", haversine_km(F.col("lon"), F.col("lat"), F.lit(-90.0), F.lit(37.0)).alias("km"))
     return median(km, ["route"], "km", "km").select("route", r(F.col("km"), 4).alias("km"))
 
@@ -348,20 +347,20 @@ def _(t):
 
 
 @query("staggered_window_starts", "T6", """
-    SELECT trip, least(start + floor(('0x' || substr(md5('0:' || (trip%60)::VARCHAR),1,13))::BIGINT::DOUBLE/4503599627370496.0*headway)::BIGINT, "end") AS start, "end" FROM v_frequency""")
+    SELECT trip, least(start + floor(('0x' || substr(md5('0:' || (trip//40)::VARCHAR),1,13))::BIGINT::DOUBLE/4503599627370496.0*headway)::BIGINT, "end") AS start, "end" FROM v_frequency""")
 def _(t):
-    return T.stagger(t.frequency.withColumn("line", F.col("trip") % 60), "line").select("trip", "start", "end")
+    return T.stagger(t.frequency.withColumn("line", F.expr("trip div 40")), "line").select("trip", "start", "end")
 
 
 @query("route_lines", "T8", """
-    WITH s AS (SELECT o_custkey%8 AS feed, l_orderkey%200 AS shape, l_linenumber AS seq, (l_orderkey%200)%90 AS content FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1,2,3,4),
+    WITH s AS (SELECT o_custkey%8 AS feed, l_orderkey//30 AS shape, l_linenumber AS seq, (l_orderkey//30)%90 AS content FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1,2,3,4),
     l AS (SELECT feed, shape, count(*) AS points, string_agg(seq::VARCHAR || '/' || content::VARCHAR, ',' ORDER BY seq) AS mark FROM s GROUP BY 1,2 HAVING count(*) > 1),
-    u AS (SELECT DISTINCT o_custkey%8 AS feed, o_custkey%60 AS route, o_orderkey%200 AS shape FROM orders), d AS (SELECT feed, route, mark, min(shape) AS shape, any_value(points) AS points FROM u JOIN l USING (feed, shape) GROUP BY 1,2,3)
+    u AS (SELECT DISTINCT o_custkey%8 AS feed, o_custkey AS route, o_orderkey//30 AS shape FROM orders), d AS (SELECT feed, route, mark, min(shape) AS shape, any_value(points) AS points FROM u JOIN l USING (feed, shape) GROUP BY 1,2,3)
     SELECT feed, route, count(*) AS lines, sum(shape)::BIGINT AS shapes, sum(points)::BIGINT AS points FROM d GROUP BY 1,2""")
 def _(t):
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 8).alias("feed"))
-    s = t.lineitem.join(o, "l_orderkey").groupBy("feed", (F.col("l_orderkey") % 200).alias("shape"), F.col("l_linenumber").alias("seq")).agg(F.lit(1).alias("_"))
+    s = t.lineitem.join(o, "l_orderkey").groupBy("feed", F.expr("l_orderkey div 30").alias("shape"), F.col("l_linenumber").alias("seq")).agg(F.lit(1).alias("_"))
     shapes = s.select("feed", "shape", "seq", (F.col("shape") % 90 / 10.0).alias("lon"), (F.col("shape") % 90 / 20.0).alias("lat"))
-    trips = t.orders.select((F.col("o_custkey") % 8).alias("feed"), (F.col("o_custkey") % 60).alias("route"), (F.col("o_orderkey") % 200).alias("shape"))
+    trips = t.orders.select((F.col("o_custkey") % 8).alias("feed"), F.col("o_custkey").alias("route"), F.expr("o_orderkey div 30").alias("shape"))
     routes = trips.select("feed", "route").distinct()
     return T.route_lines(routes, trips, shapes).groupBy("feed", "route").agg(F.count("*").alias("lines"), F.sum("shape").alias("shapes"), F.sum("points").alias("points"))

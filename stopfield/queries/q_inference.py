@@ -331,25 +331,26 @@ def _(t):
 
 def _street(t):
     k = F.col("o_orderkey")
-    return t.orders.select((k % 900).alias("src"), ((k * 7 + 1) % 900).alias("dst"), (F.lit(50.0) + k % 400).alias("w"))
+    at = F.expr("o_orderkey div 16")
+    return t.orders.select(at.alias("src"), (at + 1 + k % 5).alias("dst"), (F.lit(150.0) + k % 400).alias("w"))
 
 
 @query("bounded_walks", "K13", """
-    WITH RECURSIVE e AS (SELECT src, dst, min(w) AS w FROM (SELECT o_orderkey%900 AS src, (o_orderkey*7+1)%900 AS dst, 50.0::DOUBLE+o_orderkey%400 AS w FROM orders UNION ALL SELECT (o_orderkey*7+1)%900, o_orderkey%900, 50.0+o_orderkey%400 FROM orders) GROUP BY 1,2),
-    r AS (SELECT s_suppkey AS station, s_suppkey*9%900 AS node, 10.0::DOUBLE AS dist FROM supplier UNION SELECT station, dst, dist+w FROM r JOIN e ON node = src WHERE dist+w <= 600)
+    WITH RECURSIVE e AS (SELECT src, dst, min(w) AS w FROM (SELECT o_orderkey//16 AS src, o_orderkey//16+1+o_orderkey%5 AS dst, 150.0::DOUBLE+o_orderkey%400 AS w FROM orders UNION ALL SELECT o_orderkey//16+1+o_orderkey%5, o_orderkey//16, 150.0+o_orderkey%400 FROM orders) GROUP BY 1,2),
+    r AS (SELECT s_suppkey AS station, s_suppkey*9 AS node, 10.0::DOUBLE AS dist FROM supplier UNION SELECT station, dst, dist+w FROM r JOIN e ON node = src WHERE dist+w <= 600)
     SELECT station, count(*) AS nodes, round(sum(dist),3) AS total FROM (SELECT station, node, min(dist) AS dist FROM r GROUP BY 1,2) GROUP BY 1""")
 def _(t):
     e = _street(t)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    starts = t.supplier.select(F.col("s_suppkey").alias("station"), (F.col("s_suppkey") * 9 % 900).alias("node"), F.lit(10.0).alias("dist"))
+    starts = t.supplier.select(F.col("s_suppkey").alias("station"), (F.col("s_suppkey") * 9).alias("node"), F.lit(10.0).alias("dist"))
     return Nw.bounded_walk(both, starts, 600.0).groupBy("station").agg(F.count("*").alias("nodes"), r(F.sum("dist"), 3).alias("total"))
 
 
 @query("cell_walks_to_stations", "K14 J7")
 def _(t):
     cells = t.fine_cell.select("cell")
-    streets = t.edge.select("edge", (F.col("edge") % 900).alias("u"), ((F.col("edge") * 7 + 1) % 900).alias("v"), F.lit(300.0).alias("w"), "x1", "y1", "x2", "y2")
-    walks = t.supplier.select(F.col("s_suppkey").alias("station"), (F.col("s_suppkey") * 9 % 900).alias("node"), F.lit(10.0).alias("dist"))
+    streets = t.edge.select("edge", F.expr("edge div 16").alias("u"), (F.expr("edge div 16") + 1 + F.col("edge") % 5).alias("v"), F.lit(300.0).alias("w"), "x1", "y1", "x2", "y2")
+    walks = t.supplier.select(F.col("s_suppkey").alias("station"), (F.col("s_suppkey") * 9).alias("node"), F.lit(10.0).alias("dist"))
     out = Nw.cell_walks(cells, streets, walks, FINE, 6000.0)
     return out.groupBy("station").agg(F.count("*").alias("cells"), r(F.min("dist"), 2).alias("nearest"))
 

@@ -51,12 +51,12 @@ def _(t):
 
 
 @query("log_factors_last_run", "S7 W3", """
-    WITH k AS (SELECT lpad((o_custkey%300)::VARCHAR,5,'0') AS county, CASE WHEN o_orderkey%2=0 THEN 'res' ELSE 'non' END AS "group", CASE WHEN o_orderkey%2=0 THEN 'population' ELSE 'jobsTotal' END AS anchor, o_orderkey AS o, o_orderkey+2000 AS total, 1000+o_orderkey%900 AS miss FROM orders)
+    WITH k AS (SELECT lpad((o_custkey%100000)::VARCHAR,5,'0') AS county, CASE WHEN o_orderkey%2=0 THEN 'res' ELSE 'non' END AS "group", CASE WHEN o_orderkey%2=0 THEN 'population' ELSE 'jobsTotal' END AS anchor, o_orderkey AS o, o_orderkey+2000 AS total, 1000+o_orderkey%900 AS miss FROM orders)
     SELECT county, "group", anchor, total::DOUBLE AS total, (total-miss)::DOUBLE AS kept, round(1+(o%500)/1000.0::DOUBLE,3) AS factor FROM (SELECT *, row_number() OVER (PARTITION BY county, "group" ORDER BY o DESC) AS n FROM k) WHERE n = 1""")
 def _(t):
     k = F.col("o_orderkey")
     number = lambda c: F.format_number(c, 0)
-    line = F.concat(F.lit("2026 [rescale] county "), F.lpad((F.col("o_custkey") % 300).cast("string"), 5, "0"), F.lit(" "), F.when(k % 2 == 0, "population").otherwise("jobsTotal"), F.lit(": "), number(1000 + k % 900),
+    line = F.concat(F.lit("2026 [rescale] county "), F.lpad((F.col("o_custkey") % 100_000).cast("string"), 5, "0"), F.lit(" "), F.when(k % 2 == 0, "population").otherwise("jobsTotal"), F.lit(": "), number(1000 + k % 900),
                     F.lit(" of "), number(k + 2000), F.lit(" (1.5%) not on an active cell -- factor "), F.format_string("%.3f", 1 + k % 500 / 1000.0), F.lit(" on 3 columns"))
     logs = t.orders.select(k.alias("o"), line.alias("line"))
     return Rd.log_factors(logs, "line", [F.col("o")])
