@@ -12,7 +12,8 @@ from stopfield.operators import network as Nw
 from stopfield.operators import sample as Sa
 from stopfield.operators import score as K
 from stopfield.queries.registry import query
-from stopfield.queries.views import FINE
+from stopfield.queries.q_spatial import along, segment
+from stopfield.queries.views import FINE, sql_centre
 from stopfield.session import cut_lineage
 
 
@@ -346,7 +347,13 @@ def _(t):
     return Nw.bounded_walk(both, starts, 600.0).groupBy("station").agg(F.count("*").alias("nodes"), r(F.sum("dist"), 3).alias("total"))
 
 
-@query("cell_walks_to_stations", "K14 J7")
+@query("cell_walks_to_stations", "K14 J7", f"""
+    WITH c AS (SELECT cell, {sql_centre('cell', FINE)[0]} AS lon, {sql_centre('cell', FINE)[1]} AS lat FROM v_fine_cell),
+    d AS (SELECT cell, edge, {segment('lon', 'lat')} AS dist, {along('lon', 'lat')} AS f FROM c JOIN v_edge ON lon BETWEEN least(x1,x2)-0.1 AND greatest(x1,x2)+0.1 AND lat BETWEEN least(y1,y2)-0.06 AND greatest(y1,y2)+0.06),
+    n AS (SELECT cell, min(row(dist, edge, f)) AS m FROM d WHERE dist <= 6000 GROUP BY 1), e AS (SELECT cell, m[1] AS dist, m[2] AS edge, m[3] AS f FROM n),
+    o AS (SELECT cell, edge//16 AS node, dist + f*300 AS off FROM e UNION ALL SELECT cell, edge//16+1+edge%5, dist + (1-f)*300 FROM e),
+    w AS (SELECT cell, s_suppkey AS station, min(off + 10) AS dist FROM o JOIN supplier ON s_suppkey*9 = node WHERE off <= 6000 AND off + 10 <= 6000 GROUP BY 1,2)
+    SELECT station, count(*) AS cells, round(min(dist), 2) AS nearest FROM w GROUP BY 1""")
 def _(t):
     cells = t.fine_cell.select("cell")
     streets = t.edge.select("edge", F.expr("edge div 16").alias("u"), (F.expr("edge div 16") + 1 + F.col("edge") % 5).alias("v"), F.lit(300.0).alias("w"), "x1", "y1", "x2", "y2")

@@ -33,11 +33,17 @@ def arc(x1, y1, x2, y2):
     return f"({sql_haversine(x1, y1, x2, y2)}*1000)"
 
 
-def segment(lon, lat, x1="x1", y1="y1", x2="x2", y2="y2"):
-    """Point to segment in metres on the plane about the segment's middle latitude, as SQL."""
+def along(lon, lat, x1="x1", y1="y1", x2="x2", y2="y2"):
+    """Where along a segment (0 to 1) a point is nearest, on the plane about the segment's middle latitude, as SQL."""
     px = lambda c: f"(({c})*{METRE}::DOUBLE*cos(radians((({y1})+({y2}))/2)))"
     vx, vy = f"({px(x2)}-{px(x1)})", f"({py(y2)}-{py(y1)})"
-    tt = f"greatest(0.0, least(1.0, coalesce((({px(lon)}-{px(x1)})*{vx}+({py(lat)}-{py(y1)})*{vy})/nullif({vx}*{vx}+{vy}*{vy},0),0)))"
+    return f"greatest(0.0, least(1.0, coalesce((({px(lon)}-{px(x1)})*{vx}+({py(lat)}-{py(y1)})*{vy})/nullif({vx}*{vx}+{vy}*{vy},0),0)))"
+
+
+def segment(lon, lat, x1="x1", y1="y1", x2="x2", y2="y2"):
+    """Point to segment in metres on the same plane, as SQL."""
+    px = lambda c: f"(({c})*{METRE}::DOUBLE*cos(radians((({y1})+({y2}))/2)))"
+    vx, vy, tt = f"({px(x2)}-{px(x1)})", f"({py(y2)}-{py(y1)})", along(lon, lat, x1, y1, x2, y2)
     return f"sqrt(pow({px(lon)}-({px(x1)}+{tt}*{vx}),2)+pow({py(lat)}-({py(y1)}+{tt}*{vy}),2))"
 
 
