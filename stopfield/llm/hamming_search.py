@@ -30,10 +30,10 @@ EVERY = 50
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, code): bit i of the code is set if element i of the vector is above zero; the first 64 elements count."""
+    """(id, code): bit i of the code is set if element i of the vector is above zero. A vector of more than 64 elements is an error."""
     bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    bits = F.transform(F.slice(vector_col, 1, BITS), bit)
-    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(F.transform(vector_col, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.when(F.size(vector_col) <= BITS, code).otherwise(F.raise_error(F.concat(F.size(vector_col).cast("string"), F.lit(f" elements; codes have {BITS} bits"))).cast("long"))
     return vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), code.alias("code"))
 
 

@@ -5,7 +5,7 @@ smallest doc_id (null first), within a document the earliest line. The lines tha
 overlapping windows cover are merged first.
 
 Defined cases: lines end at U+000A; a null text is empty and has one empty line; documents under three lines have no window and stay whole;
-windows of white space only are not looked at; rows with the same id and text count once as a place and get the same result; of two texts
+windows of empty lines and lines of spaces (U+0020) only are not looked at; rows with the same id and text count once as a place and get the same result; of two texts
 under one id the smaller digest comes first; an empty table gives an empty result; other columns of the input are not read.
 """
 

@@ -38,7 +38,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes. A target stops at ``most`` times its
     source's size and the excess is shared again by weight until none is above. That end state is one level L with target = min(cap, L x
     weight): with the sources in order of cap / weight, L is the first, which is the largest, (total - caps before) / (weights from here on) that does not pass
-    the next cap / weight. The windows run over one row per source, the list of a mixing recipe, never over documents.
+    the next cap / weight. The windows run over one row per source, the list of a mixing recipe, never over documents; they are one task, so sources that
+    are as many as documents (host names, say) should be grouped before.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))

@@ -31,3 +31,13 @@ def test_few_items_nulls_and_no_rows(spark):
     got = sorted(tuple(r) for r in hamming_search.vector_search(df).collect())
     assert got == [(0, 1, 1, 0), (0, 2, 50, 2), (50, 1, 0, 2), (50, 2, 1, 2)]
     assert hamming_search.vector_search(df.limit(0)).collect() == []
+
+
+def test_wide_vectors_are_refused_and_every_row_of_an_id_counts(spark):
+    schema = "vec_id long, embedding array<float>, id long, code long, q long, bound int, mask long"
+    wide = spark.createDataFrame([(1, [1.0] * 66, 1, 1, 1, 1, 1)], schema)
+    with pytest.raises(Exception, match="66 elements"):
+        hamming_search.vector_search(wide).collect()
+    rows = [(50, [1.0] * 64, 0, 0, 0, 0, 0)] * 2 + [(7, [1.0] * 63 + [-1.0], 0, 0, 0, 0, 0)] * 3 + [(8, [None] * 64, 0, 0, 0, 0, 0), (9, None, 0, 0, 0, 0, 0)]
+    got = hamming_search.vector_search(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.query_id, r.vec_id, r.distance) for r in sorted(got, key=lambda r: r["rank"])] == [(50, 7, 1)] * 3 + [(50, 8, 64)]  # every row counts
