@@ -32,7 +32,7 @@ TRAIN_ROWS = 20_000
 HIDDEN = 32
 FOLDS = 5
 CUT = 0.3
-PIECE = 1 << 20
+PIECE = 1 << 18
 """Bytes looked at at once: bounds memory. Longer texts are taken in pieces cut at white space."""
 
 _CLASS = np.ones(256, np.uint8)
