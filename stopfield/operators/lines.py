@@ -47,7 +47,8 @@ def _reaches(routes: DataFrame, key: str, line: str, stops: str) -> DataFrame:
     """Per stop of a route: ``reach``, for each piece in order its start and end kilometre, ``foot``, the kilometre nearest to the stop, and ``off``, so that
     the squared distance at a kilometre is off + (kilometre - foot)^2."""
     asked = routes.select(key, F.posexplode(stops).alias("nth", "s")).select(key, "nth", _vector(F.col("s.lon"), F.col("s.lat")).alias("p"))
-    both = asked.join(line_pieces(routes, key, line), key)
+    # merged, not broadcast: the planner guesses the size of unpacked lists far too low
+    both = asked.join(line_pieces(routes, key, line).hint("merge"), key)
     to = _minus(F.col("p"), F.col("a"))
     size = _dot(F.col("way"), F.col("way"))
     share = F.when(size > 0, _dot(to, F.col("way")) / size).otherwise(0.0)
@@ -91,7 +92,7 @@ def stop_positions(routes: DataFrame, key: str = "route", line: str = "line", st
         return let(least, lambda m: F.exists(s["reach"], lambda r: (_gap(r) <= m + NEAR_KM) & (F.abs(_held(r) - km) > AMBIGUOUS_KM)))
 
     unsure = F.exists(F.arrays_zip(F.col("asked").alias("s"), F.col("km").alias("k")), lambda z: doubtful(z["s"], z["k"]))
-    return routes.join(placed.select(key, "km", unsure.alias("ambiguous")), key, "left")
+    return routes.join(placed.select(key, "km", unsure.alias("ambiguous")).hint("merge"), key, "left")
 
 
 def _held(r: Column) -> Column:
