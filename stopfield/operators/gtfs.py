@@ -305,24 +305,29 @@ def keep_first_tier(feeds: DataFrame, marks: DataFrame) -> DataFrame:
 
 COPY_SHARE = 0.9
 """Of the smaller feed's stops so many are shared with the larger one, at least, if one is a copy of the other."""
+SHARED_RARE = 10
+"""Stops that two feeds must share among the smaller one's rarest ones before they are counted in full; changes no result."""
 
 
 def overlapping_feeds(stops: DataFrame, share: float = COPY_SHARE) -> DataFrame:
     """(small, large, shared): pairs of feeds where at least ``share`` of the stops of the one with fewer are also the other's.
 
-    The feed with fewer stops can miss few of them, so one of its rarest stops (as many as it may miss, and one more) is the other's: only these
-    are joined, and only pairs that meet there are counted in full. Feeds with equal sets should be one feed before (``copied_feeds`` sees to it).
+    The feed with fewer stops can miss few of them, so of its rarest stops (as many as it may miss, and ``SHARED_RARE`` more) at least
+    ``SHARED_RARE`` are the other's, or all that it must share if these are fewer: only the rarest are joined, and only pairs that meet there that
+    often are counted in full. Feeds with equal sets should be one feed before (``copied_feeds`` sees to it).
     """
     own = stops.select("feed", "stop").distinct()
     sizes = own.groupBy("feed").agg(F.count("*").alias("_n"))
     rarity = own.groupBy("stop").agg(F.count("*").alias("_f"))
     each = skewed_join(own, rarity, ["stop"], "inner").join(sizes, "feed")
-    may_miss = F.col("_n") - F.ceil(F.col("_n") * share - F.lit(1e-9))
+    must = F.ceil(F.col("_n") * share - F.lit(1e-9))
+    asked = F.greatest(F.lit(1), F.least(F.lit(SHARED_RARE), must))
     place = F.row_number().over(Window.partitionBy("feed").orderBy("_f", "stop"))  # the stops of one feed
-    rare = each.withColumn("_p", place).filter(F.col("_p") <= may_miss + 1).select(F.col("feed").alias("small"), F.col("_n").alias("_ns"), "stop")
+    rare = each.withColumn("_p", place).filter(F.col("_p") <= F.col("_n") - must + asked).select(F.col("feed").alias("small"), F.col("_n").alias("_ns"), asked.alias("_asked"), "stop")
     other = each.select(F.col("feed").alias("large"), F.col("_n").alias("_nl"), "stop")
     order = (F.col("_ns") < F.col("_nl")) | ((F.col("_ns") == F.col("_nl")) & (F.col("small") < F.col("large")))
-    met = rare.join(other, "stop").filter(order).select("small", "large", "_ns").distinct()
+    met = rare.join(other, "stop").filter(order).groupBy("small", "large", "_ns", "_asked").agg(F.count("*").alias("_met"))
+    met = met.filter(F.col("_met") >= F.col("_asked")).select("small", "large", "_ns")
     shared = met.join(own.withColumnRenamed("feed", "small"), "small").join(own.withColumnRenamed("feed", "large"), ["large", "stop"], "left_semi")
     counted = shared.groupBy("small", "large", "_ns").agg(F.count("*").alias("shared"))
     return counted.filter(F.col("shared") >= F.col("_ns") * share - 1e-9).select("small", "large", "shared")

@@ -67,6 +67,32 @@ def test_overlaps_against_all_pairs(spark):
         assert got == want
 
 
+def test_feeds_that_share_few_rare_stops_are_not_counted(spark):
+    rnd = random.Random(9)
+    sets = {f: set(rnd.sample(range(600), 120)) for f in range(40)}
+    sets[40] = set(list(sets[0])[:100])
+    sets[41] = set(list(sets[1])[:108]) | set(range(700, 712))  # 108 of 120
+    sets[42] = set(list(sets[2])[:107]) | set(range(720, 733))  # one stop too few
+    stops = spark.createDataFrame([(f, s) for f, ss in sets.items() for s in ss], "feed int, stop int")
+    found = gtfs.overlapping_feeds(stops)
+    assert {(r.small, r.large, r.shared) for r in found.collect()} == {(40, 0, 100), (1, 41, 108)}
+    assert "_met#" in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are cut before their stops are joined
+
+
+def test_boxes_of_one_name_and_place_list_their_first_entries(spark):
+    rnd = random.Random(11)
+    places = spark.createDataFrame([(i, rnd.choice(["Red Line", "Blue Bus"]), rnd.uniform(0, 4), rnd.uniform(0, 4)) for i in range(40)], "place int, name string, lon double, lat double")
+    rows = [(rnd.randrange(120), rnd.choice(["Red Line", "Blue", None]), *rnd.choice([(0.0, 0.0, 2.0, 2.0), (1.0, 1.0, 4.0, 4.0)])) for _ in range(300)]
+    boxes = spark.createDataFrame(rows, "entry int, name string, west double, south double, east double, north double")
+    every = {}
+    for r in match.box_candidates(places, boxes).collect():
+        every.setdefault(r.place, []).append((-round(r.similarity, 9), r.entry))
+    want = {(p, e, n + 1) for p, found in every.items() for n, (_, e) in enumerate(sorted(found)[:3])}
+    top = match.box_candidates(places, boxes, 3)
+    assert {(r.place, r.entry, r["rank"]) for r in top.collect()} == want
+    assert "_entries" in top._jdf.queryExecution().analyzed().toString()
+
+
 def test_many_equal_feeds_make_no_pairs(spark):
     feeds = spark.range(300).select(F.col("id").alias("feed"), F.lit(1).alias("tier"))
     stops = feeds.select("feed", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("stop"))
