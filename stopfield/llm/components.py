@@ -38,3 +38,12 @@ def components(links: DataFrame) -> DataFrame:
         before = after
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots.select("node", F.col("node").alias("label")))
+
+
+def joined_groups(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(doc_id, h, label) of the groups that the links of both tables make together; in each of them (doc_id, h, label) h decides the label."""
+    node = lambda df, side: df.select("h", F.xxhash64(F.lit(side), "label").alias(side)).distinct()
+    named = node(one, "a").join(node(other, "b"), "h")
+    labels = components(named.select("a", "b"))
+    of_text = node(one, "a").join(labels, F.col("a") == F.col("node")).select(F.col("h").alias("t"), F.col("label").alias("l"))
+    return one.join(of_text, F.col("h") == F.col("t")).select("doc_id", "h", F.col("l").alias("label"))

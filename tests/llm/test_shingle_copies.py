@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from stopfield.llm import shingle_copies
+from stopfield.llm.components import joined_groups
 from stopfield.llm.fingerprint import simhash
 
 
@@ -86,3 +87,21 @@ def test_stage_on_odd_rows(spark, odd_docs, no_docs):
     kept = corpus_pipeline.keep_one_of_near_copies(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 5, 7, 8, 9] and kept.filter("doc_id is null").count() == 1
     assert corpus_pipeline.keep_one_of_near_copies(spark, no_docs, "").collect() == []
+
+
+def test_stage_drops_texts_whose_fingerprints_alone_are_near(spark, docs_of):
+    rng = random.Random(3)
+    words = [f"w{i % 40}" for i in range(40)] * 12 + [f"u{rng.randrange(9000)}" for _ in range(50)]
+    near = next(c for c in (words[:-50] + [f"x{seed}y{i}" for i in range(20)] + words[-30:] for seed in range(4000)) if (simhash(" ".join(words)) ^ simhash(" ".join(c))).bit_count() <= 3)
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "quite another text of some words")]
+    grams = [set(shingle_copies.shingle_set(text)) for _, text in rows]
+    assert len(grams[0] & grams[1]) < 0.8 * len(grams[0] | grams[1])
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs_of(rows), "").collect()) == [1, 3]
+
+
+def test_groups_of_two_tables_are_joined(spark):
+    kind = "doc_id long, h long, label long"
+    one = spark.createDataFrame([(1, 11, 1), (2, 12, 1), (3, 13, 3), (4, 14, 4), (None, 14, 4)], kind)
+    other = spark.createDataFrame([(1, 11, 1), (2, 12, 2), (3, 13, 2), (4, 14, 4), (None, 14, 4)], kind)
+    got = {(r.doc_id, r.h): r.label for r in joined_groups(one, other).collect()}
+    assert len(got) == 5 and got[1, 11] == got[2, 12] == got[3, 13] != got[4, 14] == got[None, 14]
