@@ -127,7 +127,7 @@ JACCARD = "len(list_intersect({a},{b}))::DOUBLE/nullif(len({a})+len({b})-len(lis
 def _(t):
     a = t.supplier.select(F.col("s_suppkey").alias("l"), tokens(_named(F.col("s_suppkey"), 0)).alias("tk"))
     b = t.part.select(F.col("p_partkey").alias("r"), tokens(_named(F.col("p_partkey"), 2)).alias("tk"))
-    return M.similar_counts(a, b, "l", "tk").withColumn("score", r(F.col("score")))
+    return M.similar_counts(a, b, "l", "r", "tk").withColumn("score", r(F.col("score")))
 
 
 def _broken(t):
