@@ -110,6 +110,7 @@ def calibrate_speeds(segments: DataFrame, targets: Mapping[str, float], rounds:
     """Per zone the factor k for which the length-weighted harmonic mean of the clipped speeds meets the target: (zone, k).
 
     ``segments``: (zone, km, kmh). Every round measures all points of the interval in one aggregate and keeps the step that holds the target.
+    The interval of every zone of ``targets`` is a short list and broadcast: segments are neither shuffled nor sorted, only partial sums are.
     """
     at = [i / points for i in range(points + 1)]
     ks = segments.select("zone").distinct().withColumn("_lo", F.lit(low)).withColumn("_hi", F.lit(high))
@@ -117,7 +118,7 @@ def calibrate_speeds(segments: DataFrame, targets: Mapping[str, float], rounds:
     for zone, value in targets.items():
         goal = goal.when(F.col("zone") == zone, F.lit(float(value)))
     for _ in range(rounds):
-        rows = skewed_join(segments, ks, ["zone"], "inner")
+        rows = segments.join(F.broadcast(ks), "zone")
         k = lambda s: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * s
         time = lambda s: F.sum(F.col("km") / F.greatest(F.lit(SPEED_LIMITS[0]), F.least(F.lit(SPEED_LIMITS[1]), F.col("kmh") * k(s))))
         sums = rows.groupBy("zone").agg(F.sum("km").alias("_km"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[time(s).alias(f"_t{i}") for i, s in enumerate(at)])
