@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from stopfield.operators import match, spatial, timetable
+from stopfield.functions.curves import DEFAULT
+from stopfield.operators import match, models, score, spatial, timetable
+from stopfield.session import tune
 
 
 def plan(df, kind="optimizedPlan"):
@@ -45,3 +47,19 @@ def test_segments_of_a_zone_are_not_gathered(spark):
         assert {r.zone: round(r.k, 2) for r in out.collect()} == {"O": 0.93, "F": 1.1}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffle_sizes_are_set_only_where_the_cluster_has_none(spark):
+    first, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    other = spark.newSession()
+    tune(other)
+    assert (other.conf.get(first), other.conf.get(size)) == ("1024", "16m")
+    own = spark.newSession()
+    own.conf.set(first, "7")
+    own.conf.set(size, "5m")
+    tune(own)
+    assert (own.conf.get(first), own.conf.get(size)) == ("7", "5m")
+    many = spark.newSession()
+    many.conf.set("spark.sql.shuffle.partitions", "5000")
+    tune(many)
+    assert many.conf.get(first, None) is None
