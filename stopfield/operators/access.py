@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions.curves import ScoreCurves
 from stopfield.functions.geo import haversine_km
+from stopfield.operators.score import best_stops
 from stopfield.operators.search import nearest
 from stopfield.operators.skew import median, skewed_join
 
@@ -52,9 +53,9 @@ def cell_cap_metrics(items: DataFrame, patterns: DataFrame, caps: Sequence[int],
     under each set of curves, its shortest headway, top speed and top mode; a cell folds its stations, nearest first, into one group of maxima for
     each cap, so the items are shuffled by cell once whatever the number of caps. Stations of a cell are a short list (those within a walk).
     """
-    rows = skewed_join(items.select("cell", "station", "dist"), patterns.select("station", "mode", "h", "v"), ["station"], "inner")
+    rows = skewed_join(items.select("cell", "station", "dist"), best_stops(patterns, list(curves.values())), ["station"], "inner")
     rank_of = F.coalesce(*[F.when(F.col("mode") == m, F.lit(i)) for i, m in enumerate(modes)])
-    best = [F.max(100 * c.value(F.col("dist"), F.col("mode"), F.col("h"), F.col("v"))).alias(f"s{i}") for i, c in enumerate(curves.values())]
+    best = [F.max(100 * (F.col(f"_s{i}") * c.walk(F.col("dist"), F.col("mode")))).alias(f"s{i}") for i, c in enumerate(curves.values())]
     station = rows.groupBy("cell", "station").agg(F.min("dist").alias("dist"), F.min("h").alias("h"), F.max("v").alias("v"), F.max(rank_of).alias("m"), *best)
     ranked = station.withColumn("_k", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "station")))
 

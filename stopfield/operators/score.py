@@ -12,6 +12,7 @@ from stopfield.operators.gtfs import DAY_WINDOW, headways
 from stopfield.operators.rollup import positive, weighted_mean
 from stopfield.operators.skew import first_row, skewed_join, weighted_quantiles, with_totals
 from stopfield.operators.windows import top_k
+from stopfield.session import cut_lineage
 
 # The mode tiers, most inclusive first, and the width of a speed step in km/h.
 TIERS = (("bus", ("bus", "tram", "rail")), ("tram", ("tram", "rail")), ("rail", ("rail",)))
@@ -113,10 +114,13 @@ def item_values(items: DataFrame, profiles: DataFrame, curves: ScoreCurves = DEF
 
 
 def cell_scores(values: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Best value of every cell times 100, with the station and slot that give it (nearest, then smallest id on ties)."""
+    """Best value of every cell times 100, with the station and slot that give it (nearest, then smallest id on ties).
+
+    The best value is an aggregate of its own: where only ``los`` is read the winner is pruned and nothing is sorted.
+    """
     best = F.max(F.struct("value", (-F.col("dist")).alias("near"), (-F.col("station")).alias("st"), (-F.col("slot")).alias("sl")))
-    out = values.groupBy("cell", *keep).agg(best.alias("_b"))
-    return out.select("cell", *keep, (100 * F.col("_b.value")).alias("los"), (-F.col("_b.st")).alias("station"), (-F.col("_b.sl")).alias("slot"))
+    out = values.groupBy("cell", *keep).agg(F.max("value").alias("_v"), best.alias("_b"))
+    return out.select("cell", *keep, (100 * F.col("_v")).alias("los"), (-F.col("_b.st")).alias("station"), (-F.col("_b.sl")).alias("slot"))
 
 
 def mode_aggregates(values: DataFrame) -> DataFrame:
@@ -149,7 +153,8 @@ def destination_access(cells: DataFrame, flows: DataFrame, unit: str, score: str
 
 
 def scaled_scores(cells: DataFrame, score: str, weight: str, share: float = 0.95) -> DataFrame:
-    """100 x score over its weighted 95th percentile, at most 100."""
+    """100 x score over its weighted 95th percentile, at most 100. The cells are written once: the percentile and the rows both read them."""
+    cells = cut_lineage(cells)
     top = weighted_quantiles(cells, [], score, weight, {"_p": share})
     return cells.crossJoin(F.broadcast(top)).withColumn("scaled", F.least(100 * F.col(score) / positive(F.col("_p")), F.lit(100.0))).drop("_p")
 
@@ -159,11 +164,21 @@ def scaled_summary(scaled: DataFrame, score: str, weight: str) -> DataFrame:
     return scaled.agg(weighted_mean(F.col("scaled"), w).alias("mean"), (F.sum(F.when(F.col(score) <= 0, w).otherwise(0.0)) / positive(F.sum(w))).alias("zero_share"))
 
 
+def best_stops(patterns: DataFrame, curves: Sequence[ScoreCurves]) -> DataFrame:
+    """Per station and mode the best stop score under each set of curves (``_s0``, ``_s1``, ...), the shortest headway and the top speed.
+
+    A walk decays alike for all patterns of a station and mode, so the best of them is known before walks meet it: one row per walk and mode.
+    """
+    score = lambda c: F.max(c.stop_score(F.col("mode"), F.col("h"), F.col("v")))
+    return patterns.groupBy("station", "mode").agg(F.min("h").alias("h"), F.max("v").alias("v"), *[score(c).alias(f"_s{i}") for i, c in enumerate(curves)])
+
+
 def rescore(items: DataFrame, profiles: DataFrame, sets: Mapping[str, ScoreCurves], keep: Sequence[str] = ()) -> DataFrame:
     """Cell scores under many parameter sets: one aggregate column per set in a single pass, then (cell, set, los) rows."""
-    rows = skewed_join(items, profiles.select("station", "slot", "mode", "h", "v"), ["station"], "inner")
-    value = lambda c: c.value(F.col("dist"), F.col("mode"), F.col("h"), F.col("v"))
-    wide = rows.groupBy("cell", *keep).agg(*[(100 * F.max(value(c))).alias(f"_{i}") for i, c in enumerate(sets.values())])
+    best = best_stops(profiles, list(sets.values()))
+    rows = skewed_join(items, best, ["station"], "inner")
+    value = lambda i, c: F.col(f"_s{i}") * c.walk(F.col("dist"), F.col("mode"))
+    wide = rows.groupBy("cell", *keep).agg(*[(100 * F.max(value(i, c))).alias(f"_{i}") for i, c in enumerate(sets.values())])
     pairs = F.array(*[F.struct(F.lit(n).alias("set"), F.col(f"_{i}").alias("los")) for i, n in enumerate(sets)])
     return wide.select("cell", *keep, F.inline(pairs))
 

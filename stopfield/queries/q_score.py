@@ -128,7 +128,7 @@ SCALED = """
 
 
 def _scaled(t):
-    cells = K.cell_scores(_values(t), ["population"]).withColumn("los", F.greatest(F.col("los") - 3, F.lit(0.0)))
+    cells = K.cell_scores(_values(t), ["population"]).select("cell", "population", F.greatest(F.col("los") - 3, F.lit(0.0)).alias("los"))
     return K.scaled_scores(cells, "los", "population")
 
 

@@ -49,6 +49,25 @@ def test_segments_of_a_zone_are_not_gathered(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_scores_without_their_stations_are_not_sorted(spark):
+    rows = [("a", 1, 0, 5.0, 0.5), ("a", 2, 0, 4.0, 0.5), ("a", 3, 1, 9.0, 0.25), ("b", 1, 0, 1.0, None)]
+    cells = score.cell_scores(spark.createDataFrame(rows, "cell string, station int, slot int, dist double, value double"))
+    assert {r.cell: (r.los, r.station) for r in cells.collect()} == {"a": (50.0, 2), "b": (None, 1)}
+    only = cells.select("cell", "los")
+    assert "max(struct" not in plan(only) and "SortAggregate" not in plan(only, "executedPlan")
+
+
+def test_walks_meet_one_row_per_mode_of_a_station(spark):
+    patterns = spark.createDataFrame([(1, 0, "bus", 5.0, 30.0), (1, 1, "bus", 20.0, 60.0), (1, 2, "rail", 60.0, 5.0), (1, 3, "rail", 30.0, None)], "station int, slot int, mode string, h double, v double")
+    curves = [DEFAULT, DEFAULT.with_(walk_power=3.0, weights=(0.0, 1.0, 1.0))]
+    assert score.best_stops(patterns, curves).count() == 2
+    items = spark.createDataFrame([("a", 1, 100.0), ("b", 1, 900.0), ("b", 1, None)], "cell string, station int, dist double")
+    got = {(r.cell, r.set): r.los for r in score.rescore(items, patterns, {str(i): c for i, c in enumerate(curves)}).collect()}
+    for i, c in enumerate(curves):
+        for r in score.item_values(items, patterns, c).groupBy("cell").agg((100 * F.max("value")).alias("los")).collect():
+            assert got[r.cell, str(i)] == r.los
+
+
 def test_shuffle_sizes_are_set_only_where_the_cluster_has_none(spark):
     first, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     other = spark.newSession()
@@ -63,3 +82,17 @@ def test_shuffle_sizes_are_set_only_where_the_cluster_has_none(spark):
     many.conf.set("spark.sql.shuffle.partitions", "5000")
     tune(many)
     assert many.conf.get(first, None) is None
+
+
+def test_cells_of_a_scaled_score_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    schema = "cell string, population double, los double"
+    cells = spark.createDataFrame(spark.createDataFrame([("a", 1.0, 50.0), ("b", 1.0, 10.0)], schema).rdd.mapPartitions(count), schema)
+    assert {r.cell: r.scaled for r in score.scaled_scores(cells, "los", "population").collect()} == {"a": 100.0, "b": 20.0}
+    assert seen.value == 2
