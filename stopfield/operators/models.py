@@ -88,8 +88,9 @@ def search_curves(
     (relative steps down to the first ones / 2^(rounds - 1)), not a limit of an iteration.
 
     ``moves``: parameter -> relative steps; every round scores all candidates of the round in one job. ``loss(scores)`` takes (cell, by, set, los)
-    and returns (set, loss). Returns the best curves and the losses of the last round.
+    and returns (set, loss). Returns the best curves and the losses of the last round. Walks and patterns are written once and read by every round.
     """
+    items, profiles = cut_lineage(items.select("cell", "station", "dist", *by)), cut_lineage(profiles)
     best, table = start, None
     for r in range(rounds):
         sets = {"stay": best}
@@ -98,7 +99,7 @@ def search_curves(
                 for sign in (1, -1):
                     value = getattr(best, name) * (1 + sign * s / 2**r)
                     sets[f"{name}:{sign * s / 2**r:+.4f}"] = best.with_(**{name: value})
-        table = loss(rescore(items, profiles, sets, by))
+        table = cut_lineage(loss(rescore(items, profiles, sets, by)))
         # one row per candidate of the round: a list as long as the moves
         ranked = table.groupBy("set").agg(F.sum("loss").alias("loss")).orderBy("loss", "set").limit(1).collect()
         best = sets[ranked[0]["set"]]

@@ -96,3 +96,21 @@ def test_cells_of_a_scaled_score_are_computed_once(spark):
     cells = spark.createDataFrame(spark.createDataFrame([("a", 1.0, 50.0), ("b", 1.0, 10.0)], schema).rdd.mapPartitions(count), schema)
     assert {r.cell: r.scaled for r in score.scaled_scores(cells, "los", "population").collect()} == {"a": 100.0, "b": 20.0}
     assert seen.value == 2
+
+
+
+def test_a_curve_search_reads_walks_that_are_written_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            read.add(1)
+            yield r
+
+    schema = "cell string, station int, dist double"
+    items = spark.createDataFrame(spark.createDataFrame([("a", 1, 100.0), ("b", 1, 900.0)], schema).rdd.mapPartitions(count), schema)
+    patterns = spark.createDataFrame([(1, 0, "bus", 5.0, 30.0)], "station int, slot int, mode string, h double, v double")
+    loss = lambda scores: scores.groupBy("set").agg(F.sum("los").alias("loss"))
+    best, table = models.search_curves(items, patterns, DEFAULT, {"walk_power": [0.4, 0.2]}, loss, rounds=2)
+    assert table.count() == 5 and best.walk_power > 1.5
+    assert read.value == 2
