@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions.curves import ScoreCurves
 from stopfield.operators.inference import bootstrap_weights
-from stopfield.operators.score import rescore
+from stopfield.operators.score import SEARCHED_ALONE, leading_walks, rescore, rescore_walks
 from stopfield.operators.skew import skewed_join
 from stopfield.operators.stats import weighted_moments
 from stopfield.session import cut_lineage
@@ -169,7 +169,8 @@ def fit_curves(
     """Score curves of the least loss over several positive parameters at once, from several starts: the best curves, and loss and values by start.
 
     ``names`` are parameters of ``ScoreCurves``, ``mode:bus`` one of its tables; they are searched by their logarithms. ``loss`` is that of
-    ``search_curves``. A round scores all candidates of all starts in one job; only one number a candidate comes back.
+    ``search_curves``. A round scores all candidates of all starts in one job; only one number a candidate comes back. Where no parameter of headways,
+    speeds or weights is searched, walks that can be best under no candidate are left out once, and the others lie by cell for all rounds.
     """
 
     def value(curves: ScoreCurves, name: str) -> float:
@@ -183,10 +184,16 @@ def fit_curves(
             out = out.with_(**{table: {**getattr(out, table), key: float(v)} if key else float(v)})
         return out
 
-    items, profiles = cut_lineage(items), cut_lineage(profiles)  # read by every round
+    falling = start.walk_power > 0 and min(start.walk_scale.values()) > 0 and min(start.mode.values()) >= 0
+    if falling and {n.partition(":")[0] for n in names} <= SEARCHED_ALONE:
+        walks = cut_lineage(leading_walks(items, profiles, start))  # read by every round
+        score = lambda sets: rescore_walks(walks, sets)
+    else:
+        items, profiles = cut_lineage(items), cut_lineage(profiles)
+        score = lambda sets: rescore(items, profiles, sets)
 
     def evaluate(places: list[np.ndarray]) -> list[float]:
-        table = loss(rescore(items, profiles, {f"{i:05d}": curves_at(p) for i, p in enumerate(places)}))
+        table = loss(score({f"{i:05d}": curves_at(p) for i, p in enumerate(places)}))
         return [r["loss"] for r in table.groupBy("set").agg(F.sum("loss").alias("loss")).orderBy("set").collect()]
 
     runs = simplex_search(evaluate, [np.log(value(start, n)) for n in names], starts, spread, seed, tolerance=tolerance)

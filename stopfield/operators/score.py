@@ -183,6 +183,34 @@ def rescore(items: DataFrame, profiles: DataFrame, sets: Mapping[str, ScoreCurve
     return wide.select("cell", *keep, F.inline(pairs))
 
 
+SEARCHED_ALONE = {"mode", "walk_power", "walk_scale"}
+"""Parameters that leave the headway and speed part of a stop score as it is."""
+
+
+def leading_walks(items: DataFrame, profiles: DataFrame, curves: ScoreCurves) -> DataFrame:
+    """The walks (cell, dist, mode, ``base``) of which one is best under any positive walk decay and any mode factors: no other walk of the cell
+    and mode is as short and has as good a ``base``, the station's best headway and speed part under ``curves``.
+
+    Unknown and negative figures are left alone. The rows lie by cell, so that the partial aggregate of a later round is one row per cell.
+    """
+    _, b, c = curves.weights
+    part = curves._power(curves.headway_score(F.col("h")), b) * curves._power(curves.speed_score(F.col("v")), c)
+    best = profiles.groupBy("station", "mode").agg(F.max(part).alias("base"))
+    walks = skewed_join(items.select("cell", "station", "dist"), best, ["station"], "inner").select("cell", "dist", "mode", "base")
+    plain = F.coalesce((F.col("dist") >= 0) & ~F.isnan(F.col("dist").cast("double")) & (F.col("base") >= 0), F.lit(False))
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nearer = Window.partitionBy("cell", "mode", "_plain").orderBy("dist", F.col("base").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = walks.withColumn("_plain", plain).repartition(width, "cell").withColumn("_best", F.max("base").over(nearer))
+    return ranked.filter(~F.col("_plain") | F.col("_best").isNull() | (F.col("base") > F.col("_best"))).select("cell", "dist", "mode", "base")
+
+
+def rescore_walks(walks: DataFrame, sets: Mapping[str, ScoreCurves]) -> DataFrame:
+    """``rescore`` of ``leading_walks`` under sets that differ in ``SEARCHED_ALONE`` only: (cell, set, los)."""
+    value = lambda c: c._power(c.mode_score(F.col("mode")), c.weights[0]) * F.col("base") * c.walk(F.col("dist"), F.col("mode"))
+    wide = walks.groupBy("cell").agg(*[(100 * F.max(value(c))).alias(f"_{i}") for i, c in enumerate(sets.values())])
+    return wide.select("cell", F.inline(F.array(*[F.struct(F.lit(n).alias("set"), F.col(f"_{i}").alias("los")) for i, n in enumerate(sets)])))
+
+
 def predicted_at_factors(rows: DataFrame, n: Column, logit_at, factors: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Expected successes when values are multiplied by each factor, relative to the last one: (factor, demand), in one pass."""
     sums = [F.sum(n / (1 + F.exp(-logit_at(f)))).alias(f"_{i}") for i, f in enumerate(factors)]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stopfield.functions.curves import DEFAULT
-from stopfield.operators import match, models, score, spatial, timetable
+from stopfield.operators import match, models, score, search, skew, spatial, timetable
 from stopfield.session import tune
 
 
@@ -114,3 +114,21 @@ def test_a_curve_search_reads_walks_that_are_written_once(spark):
     best, table = models.search_curves(items, patterns, DEFAULT, {"walk_power": [0.4, 0.2]}, loss, rounds=2)
     assert table.count() == 5 and best.walk_power > 1.5
     assert read.value == 2
+
+
+def test_rounds_of_a_fit_join_nothing(spark):
+    items = spark.createDataFrame([(c, s, float((c * 13 + s * 7) % 100 * 25)) for c in range(40) for s in range(20)] + [(50, 1, None), (51, 21, 10.0), (1, 22, 5.0)], "cell int, station int, dist double")
+    patterns = [(s, i, ["bus", "tram", "rail"][s % 3], float((s * 11 + i * 17) % 59 + 2), float((s * 5 + i * 3) % 45 + 5)) for s in range(20) for i in range(2)]
+    profiles = spark.createDataFrame(patterns + [(21, 0, None, 5.0, 30.0), (22, 0, "bus", None, 30.0)], "station int, slot int, mode string, h double, v double")
+    sets = {"a": DEFAULT, "b": DEFAULT.with_(walk_power=0.3, mode={**DEFAULT.mode, "tram": 0.1}), "c": DEFAULT.with_(walk_power=3.0, walk_scale={**DEFAULT.walk_scale, "bus": 50.0})}
+    walks = score.leading_walks(items, profiles, DEFAULT)
+    flat = lambda df: sorted((r.cell, r.set, None if r.los is None else round(r.los, 9)) for r in df.collect())
+    assert flat(score.rescore_walks(walks, sets)) == flat(score.rescore(items, profiles, sets)) and walks.count() < items.count() / 2
+    plans = []
+
+    def loss(scores):
+        plans.append(plan(scores, "executedPlan"))
+        return scores.groupBy("set").agg(F.sum("los").alias("loss"))
+
+    models.fit_curves(items, profiles, DEFAULT, ["walk_power"], loss, tolerance=5.0)
+    assert plans and not any("Join" in p for p in plans)
