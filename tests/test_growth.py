@@ -132,3 +132,13 @@ def test_rounds_of_a_fit_join_nothing(spark):
 
     models.fit_curves(items, profiles, DEFAULT, ["walk_power"], loss, tolerance=5.0)
     assert plans and not any("Join" in p for p in plans)
+
+
+def test_bounds_of_order_buckets_are_not_copied_with_each_row(spark):
+    values = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("v"), F.lit(1).alias("w")).groupBy("v").agg(F.sum("w").alias("w"))
+    out = skew.with_order_bucket(values, "v", "w", "b", buckets=16)
+    assert plan(out).count("aggregate(") == 0
+    found = sorted((r.v, r.b) for r in out.collect())
+    assert all(a[1] <= b[1] for a, b in zip(found, found[1:])) and 15 <= len({b for _, b in found}) <= 17
+    odd = spark.createDataFrame([(None, 1), (float("nan"), 1), (1.0, None), (2.0, 1), (3.0, 1)], "v double, w int")
+    assert sorted((str(r.v), r.b) for r in skew.with_order_bucket(odd, "v", "w", "b").collect()) == [("1.0", 0), ("2.0", 1), ("3.0", 2), ("None", 0), ("nan", 2)]
