@@ -24,7 +24,8 @@ LEAST_SIDE = 1e-3
 """Metres; cubes are not cut below."""
 SLACK = 1e-3
 """Metres by which bounds give way to rounding; the distance itself decides."""
-BITS = 3
+BITS = 2
+"""Halvings of the side in a round: a pair becomes up to 16 x 16 pairs on the ground."""
 AXES = ("_x", "_y", "_z")
 
 
@@ -58,10 +59,20 @@ def _start(where: DataFrame, places: DataFrame, side: float, by: Sequence[str])
 
 
 def _finer(pairs: DataFrame, where: DataFrame, places: DataFrame, side: float, finer: float, by: Sequence[str]) -> DataFrame:
-    """The pairs of the smaller occupied cubes inside each pair."""
+    """The pairs of the smaller occupied cubes inside each pair.
+
+    Large cubes are few, so what meets on them is dealt out by the smaller cubes before it is multiplied.
+    """
     p = where.select(_cube(side).alias("p"), _cube(finer).alias("p2")).distinct()
     f = places.groupBy(_cube(side).alias("f"), _cube(finer).alias("f2"), *by).agg(F.count("*").alias("_n"))
-    return pairs.drop("_n").join(p, "p").join(f, ["f", *by]).drop("p", "f").withColumnRenamed("p2", "p").withColumnRenamed("f2", "f")
+    inside = f.groupBy("f", *by).agg(F.collect_list(F.struct(F.col("f2").alias("f"), "_n")).alias("_inside"))
+    met = pairs.drop("_n").join(inside, ["f", *by]).drop("f").join(p, "p").drop("p").withColumnRenamed("p2", "p")
+    return met.repartition(_width(pairs), "p").select(*[c for c in met.columns if c != "_inside"], F.inline("_inside"))
+
+
+def _width(df: DataFrame) -> int:
+    """Partitions of rows that are about to be multiplied: their number, not their present size, says what a task has to do."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _placed(points: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -76,9 +87,11 @@ def nearest_pairs(where: DataFrame, places: DataFrame, cap: float | None, by: Se
     pairs = _start(where, places, side, by).withColumn("best", F.lit(2.0 * EARTH_M))
     out = []
     while True:
-        marked = pairs.withColumn("_low", low).withColumn("best", F.least("best", F.min(high).over(Window.partitionBy("p", *by))))
+        # what the bound of the round before rules out neither stays nor lowers the next bound
+        near = pairs.withColumn("_low", low).filter((F.col("_low") <= limit + SLACK) & (F.col("_low") <= F.col("best") + SLACK))
+        marked = near.withColumn("best", F.least("best", F.min(high).over(Window.partitionBy("p", *by))))
         # the cubes in reach of one cube are a bounded number: those touched at first, then those no farther than the best bound
-        pairs = cut_lineage(marked.filter((F.col("_low") <= limit + SLACK) & (F.col("_low") <= F.col("best") + SLACK)).drop("_low"))
+        pairs = cut_lineage(marked.filter(F.col("_low") <= F.col("best") + SLACK).drop("_low"))
         crowded = pairs.filter(F.col("_n") > FEW) if side > LEAST_SIDE else pairs.limit(0)
         out.append((side, (pairs.filter(F.col("_n") <= FEW) if side > LEAST_SIDE else pairs).select("p", "f", *by)))
         if crowded.isEmpty():
@@ -101,7 +114,7 @@ def nearest(points: DataFrame, features: DataFrame, point: str, feature: str, ca
     right = places.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), *AXES, *by, feature)
     compared = None
     for side, pairs in nearest_pairs(where, places, cap, by):
-        rows = pairs.join(where.withColumn("p", _cube(side)).drop(*AXES), "p").join(right.withColumn("f", _cube(side)).drop(*AXES), ["f", *by]).drop("p", "f")
+        rows = pairs.join(where.withColumn("p", _cube(side)).drop(*AXES), "p").repartition(_width(where), "f", *by).join(right.withColumn("f", _cube(side)).drop(*AXES), ["f", *by]).drop("p", "f")
         compared = rows if compared is None else compared.unionByName(rows)
     d = haversine_km(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) * 1000
     near = compared.withColumn("dist", d)

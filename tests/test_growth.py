@@ -142,3 +142,16 @@ def test_bounds_of_order_buckets_are_not_copied_with_each_row(spark):
     assert all(a[1] <= b[1] for a, b in zip(found, found[1:])) and 15 <= len({b for _, b in found}) <= 17
     odd = spark.createDataFrame([(None, 1), (float("nan"), 1), (1.0, None), (2.0, 1), (3.0, 1)], "v double, w int")
     assert sorted((str(r.v), r.b) for r in skew.with_order_bucket(odd, "v", "w", "b").collect()) == [("1.0", 0), ("2.0", 1), ("3.0", 2), ("None", 0), ("nan", 2)]
+
+
+def test_pairs_of_cubes_are_dealt_out_before_they_are_multiplied(spark):
+    tune(spark)
+    at = lambda n, seed: search.with_axes(spark.range(n).select((F.rand(seed) * 10).alias("lon"), (F.lit(30.0) + F.rand(seed + 1) * 10).alias("lat"), (F.col("id") % 2).alias("k")))
+    where, places = at(400, 1).drop("k").cache(), at(300, 3).cache()
+    side = search.EARTH_M
+    coarse = search._start(where, places, side, ["k"])
+    fine = search._finer(coarse, where, places, side, side / 64, ["k"])
+    cube = lambda r, s: tuple(int(r[a] // s) for a in search.AXES)
+    own, others = {cube(r, side / 64) for r in where.collect()}, {(cube(r, side / 64), r.k) for r in places.collect()}
+    assert {(tuple(r.p), (tuple(r.f), r.k)) for r in fine.collect()} == {(a, b) for a in own for b in others} and fine.count() == len(own) * len(others)
+    assert fine.select(F.spark_partition_id().alias("i")).distinct().count() > 1
