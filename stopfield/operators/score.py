@@ -35,71 +35,76 @@ def combined_speed(distance: Column, time: Column) -> Column:
     return (d / 1000) / positive(t / 3600)
 
 
-def best_subset(route_headways: DataFrame, speeds: DataFrame, curves: ScoreCurves = DEFAULT) -> DataFrame:
+def best_subset(route_headways: DataFrame, speeds: DataFrame | None = None, curves: ScoreCurves = DEFAULT) -> DataFrame:
     """Best combination of a mode tier and a minimum route speed for every station.
 
-    ``route_headways``: (station, route, direction, headway); ``speeds``: (station, route, mode, distance, time), one row per route. Cut-offs are the
-    tier's route speeds floored to 2 km/h (0 where none is known); routes at or above the cut-off, and those of unknown speed, are kept.
+    ``route_headways``: (station, route, direction, headway); ``speeds``: (station, route, mode, distance, time), one row per route. Without
+    ``speeds``, ``route_headways`` has the three too: the route's mode, and distances and times that add up to the route's. Cut-offs are the
+    tier's route speeds floored to 2 km/h; routes at or above the cut-off, and those of unknown speed, are kept.
     Equal scores go to the first tier, then the lowest cut-off; stations without a valid combination are absent.
 
-    All cut-offs of a tier are scored together: sums per speed step are accumulated from the fastest step down, so a busy station costs
-    one row per step, not one per pair of route and cut-off.
+    The rows are dealt out by station once, and all that follows runs where they are. All cut-offs of a tier are scored together, by sums
+    that run from the fastest step down: a busy station costs its rows, not one per pair of route and cut-off.
     """
-    known = F.col("distance").isNotNull() & (F.col("time") > 0)
-    speed = F.when(known, (F.col("distance") / 1000.0) / (F.col("time") / 3600.0))
-    routes = speeds.select(
-        "station", "route", F.coalesce("mode", F.lit("bus")).alias("mode"), (F.floor(speed / SPEED_STEP) * SPEED_STEP).alias("step"),
+    rows = _services(route_headways) if speeds is None else _routes_and_headways(route_headways, speeds)
+    tiers = F.array(*[F.struct(F.lit(i).alias("ti"), F.lit(n).alias("tier"), F.array(*[F.lit(m) for m in ms]).alias("ms")) for i, (n, ms) in enumerate(TIERS)])
+    rows = rows.withColumn("_t", F.explode(F.filter(tiers, lambda x: F.array_contains(x["ms"], F.col("mode"))))).select(
+        "station", "direction", "step", "d", "t", "rate", "route_id", F.col("_t.ti").alias("ti"), F.col("_t.tier").alias("tier")
+    )
+    # null first: routes of unknown speed count at all cut-offs. Equal steps are peers in these windows, so each row has the sums of its cut-off
+    down = F.col("step").desc_nulls_first()
+    rows = rows.withColumn("_r", F.sum("rate").over(Window.partitionBy("station", "ti", "direction").orderBy(down)))
+    # a direction's rate grows as the cut-off falls: the best headway of all rows so far is the best of the directions at the cut-off
+    faster = Window.partitionBy("station", "ti").orderBy(down)
+    rows = rows.select(
+        "station", "ti", "tier", "step", "route_id", ((F.sum("d").over(faster) / 1000) / positive(F.sum("t").over(faster) / 3600)).alias("speed"),
+        F.min(F.when(F.col("_r") > 0, F.try_divide(F.lit(1.0), F.col("_r")))).over(faster).alias("headway"),
+    )
+    fields = {
+        "headway": F.col("headway"), "speed": F.col("speed"), "min_speed": F.col("step"), "mode_score": curves.mode_score(F.col("tier")),
+        "speed_score": curves.speed_score(F.col("speed")), "frequency_score": curves.headway_score(F.col("headway")),
+        "score": curves.stop_score(F.col("tier"), F.col("headway"), F.col("speed")),
+    }
+    scored = F.struct((-fields["score"]).alias("o"), "ti", F.col("step").alias("at"), "tier", *[c.alias(n) for n, c in fields.items()])
+    valid = F.col("step").isNotNull() & F.col("speed").isNotNull() & F.col("headway").isNotNull()
+    rows = rows.withColumn("_best", F.min(F.when(valid, scored)).over(Window.partitionBy("station")))
+    kept = rows.filter((F.col("ti") == F.col("_best.ti")) & (F.col("step").isNull() | (F.col("step") >= F.col("_best.min_speed"))))
+    out = kept.groupBy("station").agg(F.first("_best").alias("_best"), F.sort_array(F.collect_list("route_id")).alias("route_ids"))
+    return out.select("station", "_best.tier", *[f"_best.{n}" for n in fields], "route_ids")
+
+
+def _speed_step(distance: Column, time: Column) -> Column:
+    return F.floor((distance / 1000.0) / (time / 3600.0) / SPEED_STEP) * SPEED_STEP
+
+
+def _services(services: DataFrame) -> DataFrame:
+    """The rows of ``best_subset`` by station: mode and speed step of the route, direction, distance, time and rate of the row; the first row of a
+    route names it. Distance, time and step are null where the route's speed is unknown, the rate where the headway is not positive."""
+    route = Window.partitionBy("station", "route")
+    dealt = services.filter(F.col("station").isNotNull()).repartition("station").withColumns(
+        {"_d": F.sum("distance").over(route), "_t": F.sum("time").over(route), "_n": F.row_number().over(route.orderBy("direction"))}
+    )
+    known = F.col("_d").isNotNull() & (F.col("_t") > 0)
+    return dealt.select(
+        "station", "direction", F.coalesce("mode", F.lit("bus")).alias("mode"), F.when(known, _speed_step(F.col("_d"), F.col("_t"))).alias("step"),
         F.when(known, F.col("distance")).alias("d"), F.when(known, F.col("time")).alias("t"),
+        F.when(F.col("route").isNotNull() & (F.col("headway") > 0), F.try_divide(F.lit(1.0), F.col("headway"))).alias("rate"),
+        F.when(F.col("_n") == 1, F.col("route").cast("string")).alias("route_id"),
     )
-    # all that follows works on sums per speed step, a short list per station
-    per_mode = routes.groupBy("station", "mode", "step").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
-    # a (station, route) pair has a row per direction at most, so the pairs need no salt
-    rated = route_headways.filter("headway > 0").join(routes.select("station", "route", "mode", "step"), ["station", "route"])
-    rate = F.sum(F.try_divide(F.lit(1.0), F.col("headway"))).alias("rate")
-    mode_rates = rated.groupBy("station", "mode", "step", "direction").agg(rate)
 
-    tiers = F.array(*[F.struct(F.lit(i).alias("ti"), F.lit(n).alias("tier"), F.array(*[F.lit(m) for m in ms]).alias("ms")) for i, (n, ms) in enumerate(TIERS)])
 
-    def by_tier(df, keys, *sums):
-        rows = df.withColumn("_t", F.explode(F.filter(tiers, lambda x: F.array_contains(x["ms"], F.col("mode")))))
-        rows = rows.select("*", F.col("_t.ti").alias("ti"), F.col("_t.tier").alias("tier"))
-        return rows.groupBy("station", "ti", "tier", *keys).agg(*sums)
-
-    key = ["station", "ti", "tier"]
-    w = Window.partitionBy(*key)
-    steps = by_tier(per_mode, ["step"], F.sum("d").alias("d"), F.sum("t").alias("t")).withColumn("_known", F.count("step").over(w))
-    steps = steps.filter("step is not null or _known = 0").withColumn("step", F.coalesce("step", F.lit(0.0)))
-    faster = w.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    speed_at = steps.select(*key, "step", ((F.sum("d").over(faster) / 1000) / positive(F.sum("t").over(faster) / 3600)).alias("speed"))
-
-    # rates per direction at every cut-off of the tier: routes of unknown speed count at all of them
-    per_step = by_tier(mode_rates, ["direction", "step"], F.sum("rate").alias("rate"))
-    d = Window.partitionBy("station", "ti", "direction")
-    always = F.coalesce(F.max(F.when(F.col("step").isNull(), F.col("rate"))).over(d), F.lit(0.0))
-    per_step = per_step.withColumn("_always", always)
-    directions = per_step.select("station", "ti", "direction", "_always").distinct()
-    frame = steps.select("station", "ti", "step").join(directions, ["station", "ti"])
-    at_step = per_step.filter("step is not null").select("station", "ti", "direction", "step", "rate")
-    down = d.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = frame.join(at_step, ["station", "ti", "direction", "step"], "left").withColumn(
-        "_r", F.coalesce(F.sum("rate").over(down), F.lit(0.0)) + F.col("_always")
-    )
-    headway_at = summed.filter("_r > 0").groupBy("station", "ti", "step").agg(F.min(F.try_divide(F.lit(1.0), F.col("_r"))).alias("headway"))
-
-    combos = speed_at.join(headway_at, ["station", "ti", "step"]).filter("speed is not null")
-    scored = combos.select(
-        *key, F.col("step").alias("min_speed"), "headway", "speed",
-        curves.mode_score(F.col("tier")).alias("mode_score"), curves.speed_score(F.col("speed")).alias("speed_score"),
-        curves.headway_score(F.col("headway")).alias("frequency_score"),
-        curves.stop_score(F.col("tier"), F.col("headway"), F.col("speed")).alias("score"),
+def _routes_and_headways(route_headways: DataFrame, speeds: DataFrame) -> DataFrame:
+    """``_services`` of two tables: a row for each route with its distance and time, and a row for each headway of a route with its rate."""
+    known = F.col("distance").isNotNull() & (F.col("time") > 0)
+    routes = speeds.filter(F.col("station").isNotNull()).select(
+        "station", "route", F.coalesce("mode", F.lit("bus")).alias("mode"), F.when(known, _speed_step(F.col("distance"), F.col("time"))).alias("step"),
+        F.when(known, F.col("distance")).alias("d"), F.when(known, F.col("time")).alias("t"),
     )
-    fields = ["ti", "tier", "headway", "speed", "min_speed", "mode_score", "speed_score", "frequency_score", "score"]
-    best = first_row(scored, ["station"], [-F.col("score"), F.col("ti"), F.col("min_speed")], fields)
-    members = F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for _, ms in TIERS]), F.col("ti") + 1)
-    kept = skewed_join(routes.select("station", "route", "mode", "step"), best.select("station", "ti", "min_speed"), ["station"], "inner")
-    kept = kept.filter((F.col("step").isNull() | (F.col("step") >= F.col("min_speed"))) & F.array_contains(members, F.col("mode")))
-    lists = kept.groupBy("station").agg(F.sort_array(F.collect_list(F.col("route").cast("string"))).alias("route_ids"))
-    return best.drop("ti").join(lists, "station")
+    # a (station, route) pair has a row per direction at most, so the pairs need no salt
+    rated = route_headways.filter("headway > 0").join(routes.select("station", "route", "mode", "step"), ["station", "route"])
+    rates = rated.select("station", "direction", "mode", "step", F.try_divide(F.lit(1.0), F.col("headway")).alias("rate"))
+    named = routes.select("station", "mode", "step", "d", "t", F.col("route").cast("string").alias("route_id"))
+    return rates.unionByName(named, allowMissingColumns=True).repartition("station")
 
 
 def pattern_slots(patterns: DataFrame, order: Sequence[Column], slots: int) -> DataFrame:

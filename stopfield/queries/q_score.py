@@ -16,10 +16,14 @@ def r(c, digits=6):
     return F.round(c, digits)
 
 
-def _speeds(t):
-    s = t.route_service.groupBy("station", "route").agg(F.sum("distance").alias("distance"), F.sum("time").alias("time"))
+def _moded(rows):
+    """Rows of routes with the route's mode; the distance of some routes is unknown."""
     mode = F.element_at(F.array(F.lit("bus"), F.lit("tram"), F.lit("rail")), (F.col("route") % 3 + 1).cast("int"))
-    return s.withColumn("mode", mode).withColumn("distance", F.when(F.col("route") % 11 > 0, F.col("distance")))
+    return rows.withColumn("mode", mode).withColumn("distance", F.when(F.col("route") % 11 > 0, F.col("distance")))
+
+
+def _speeds(t):
+    return _moded(t.route_service.groupBy("station", "route").agg(F.sum("distance").alias("distance"), F.sum("time").alias("time")))
 
 
 def _items(t):
@@ -64,7 +68,7 @@ def _(t):
     SELECT b.station, b.tier, round(headway,6) AS headway, round(speed,6) AS speed, b.cutoff AS min_speed, round(score,6) AS score, count(*) AS routes FROM b JOIN kept k ON k.station = b.station AND k.ti = b.ti AND k.cutoff = b.cutoff
     WHERE n = 1 GROUP BY 1,2,3,4,5,6""")
 def _(t):
-    best = K.best_subset(t.route_service.select("station", "route", "direction", "headway"), _speeds(t))
+    best = K.best_subset(_moded(t.route_service))
     return best.select("station", "tier", r(F.col("headway")).alias("headway"), r(F.col("speed")).alias("speed"), "min_speed", r(F.col("score")).alias("score"), F.size("route_ids").cast("long").alias("routes"))
 
 

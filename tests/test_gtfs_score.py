@@ -128,6 +128,25 @@ def test_best_subset_against_brute_force(spark, seed):
     assert got == want
 
 
+def test_best_subset_deals_services_out_once(spark):
+    rnd = random.Random(7)
+    services, speeds = [], []
+    for st in range(8):
+        for r in range(rnd.randint(1, 7)):
+            mode, d = rnd.choice(["bus", "tram", "rail", None]), None if rnd.random() < 0.2 else rnd.uniform(2000, 40000)
+            ways = range(rnd.randint(1, 2))
+            speeds.append((st, r, mode, d, 3600.0 * len(ways)))
+            services += [(st, r, i, float(rnd.choice([0, *range(3, 60)])), mode, None if d is None else d / len(ways), 3600.0) for i in ways]
+    services += [(None, 1, 0, 5.0, "rail", 30000.0, 3600.0), (1, None, 0, 5.0, "rail", 50000.0, 3600.0)]
+    speeds += [(None, 1, "rail", 30000.0, 3600.0), (1, None, "rail", 50000.0, 3600.0)]
+    one = spark.createDataFrame(services, "station int, route int, direction int, headway double, mode string, distance double, time double")
+    two = one.select("station", "route", "direction", "headway"), spark.createDataFrame(speeds, "station int, route int, mode string, distance double, time double")
+    plain = lambda df: sorted((r["station"], r["tier"], r["min_speed"], round(r["score"], 9), tuple(r["route_ids"])) for r in df.collect())
+    best = score.best_subset(one)
+    assert plain(best) == plain(score.best_subset(*two)) and len(plain(best)) == 7  # a station has no valid combination
+    assert best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 def test_acronyms_and_veto(spark):
     s = lambda a, b: spark.range(1).select(match.match_score(F.lit(a), F.lit(b))).first()[0]
     assert s("Southeastern Pennsylvania Transportation Authority", "SEPTA") == 0.9
