@@ -26,14 +26,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopfield.llm.common import bounded_batches
+
 LONG = 32
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 """Strings whose paths a worker keeps; beyond, it starts anew. Bounds memory, changes no result."""
 ARC_SLOTS = 1 << 19
+SLICE_BYTES = 1 << 20
+"""Bytes of text encoded at once: bounds the tables that are made for its new words, changes no result."""
 
 # Fixed value: the published pattern that pre-splits words for this kind of vocabulary.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -331,18 +336,23 @@ def _compiled(source: str) -> Automaton:
 
 def _shipped(df: DataFrame, vocabulary: str):
     """The vocabulary file, read once where the query is built and sent to the executors (its size is the vocabulary's)."""
+    bounded_batches(df.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, int, list]]:
-    """Rows of a batch in runs of some MB of text."""
-    values, start, size = batch.column(column).to_pylist(), 0, 0
-    for i, v in enumerate(values):
-        size += len(v) if v is not None else 0
-        if size >= most or i + 1 == len(values):
-            yield start, i + 1, values[start : i + 1]
-            start, size = i + 1, 0
+def _slices(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[tuple[int, int, list]]:
+    """Rows of a batch in runs of at most ``most`` bytes of text (or one longer text). Only the texts of a run are Python strings at a time."""
+    most = SLICE_BYTES if most is None else most
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, more in enumerate(sizes.tolist()):
+        if size + more > most and i > start:
+            yield start, i, batch.column(column)[start:i].to_pylist()
+            start, size = i, 0
+        size += more
+    if start < len(sizes):
+        yield start, len(sizes), batch.column(column)[start:].to_pylist()
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

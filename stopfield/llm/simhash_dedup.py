@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopfield.llm.common import landed, utf8
+from stopfield.llm.common import bounded_batches, landed, utf8
 from stopfield.llm.components import components
 from stopfield.llm.fingerprint import simhash
 
@@ -50,6 +50,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp): the fingerprint of every whole text as a signed long, and the digest of the text."""
+    bounded_batches(docs.sparkSession)
     kind, text = dict(docs.dtypes)["doc_id"], F.col("text").cast("string")
     return docs.select(text.alias("text"), "doc_id", F.xxhash64(utf8(text), F.lit(1)).alias("h")).mapInArrow(_prints, f"doc_id {kind}, h long, fp long")
 

@@ -2,9 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stopfield.llm import bpe
+from stopfield.llm.common import BATCH_SETTING
 from stopfield.llm.queries import byte_vocabulary
 from tests.llm.conftest import ODD_TEXTS
 
@@ -37,6 +40,22 @@ def test_texts_as_the_library(automaton, library):
     same(automaton, library, texts)
 
 
+def test_texts_are_encoded_some_bytes_at_a_time():
+    texts = ["a b " * 50_000, None, "", *["日本 " * 30_000] * 12, "x " * 3_000_000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    runs = list(bpe._slices(batch.slice(1), 1))
+    assert [t for _, _, x in runs for t in x] == texts[1:] and [a for a, _, _ in runs] == [0, *[b for _, b, _ in runs[:-1]]]
+    assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= 1 << 20 for _, _, x in runs)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    spark.conf.unset(BATCH_SETTING)
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab c', 1000)").alias("text"))
+    bpe.token_rows(docs, byte_vocabulary())
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) > 20_000_000 and max(r["n"] for r in sizes) < 5_000_000
+
+
 def test_a_full_cache_starts_anew(automaton, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
     for _ in range(3):
