@@ -137,7 +137,8 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD, codes: tuple[str
     """(a, b), a < b: the pairs of fingerprints of ``distinct`` (fp, no repeats) that differ in 1 to ``threshold`` bits."""
     replicas = distinct.select("fp").mapInArrow(_spread(codes, threshold), "anchor long, fp long").select("anchor", F.col("fp").alias("b"))
     homes = distinct.select("fp").mapInArrow(_spread(codes, 0), "anchor long, fp long").select(F.col("anchor").alias("home"), F.col("fp").alias("a"))
-    met = homes.join(replicas, (F.col("home") == F.col("anchor")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
+    # a merge join: the planner takes the replicas for as small as the fingerprints, about 1 in 155 of them, and would broadcast them
+    met = homes.join(replicas.hint("merge"), (F.col("home") == F.col("anchor")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
     return met.select("a", "b")
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from stopfield.llm import simhash_dedup as near
+from stopfield.llm.common import landed
 from stopfield.llm.components import components
 from stopfield.llm.fingerprint import simhash
 from tests.llm.conftest import ODD_TEXTS
@@ -73,3 +74,10 @@ def test_odd_rows(odd_docs, no_docs):
     kept = near.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns and sum(r.text == "same text here" for r in kept.collect()) == 1
     assert near.near_duplicate_report(no_docs).collect() == [] and near.one_of_each(no_docs).collect() == []
+
+
+def test_replicas_are_not_broadcast(spark):
+    # few fingerprints make many replicas, which the planner takes for as few
+    distinct = landed(spark.createDataFrame([(i * 7919,) for i in range(50)], "fp long"))
+    plan = near.near_links(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [home" in plan and "Broadcast" not in plan
