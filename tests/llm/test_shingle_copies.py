@@ -105,3 +105,13 @@ def test_groups_of_two_tables_are_joined(spark):
     other = spark.createDataFrame([(1, 11, 1), (2, 12, 2), (3, 13, 2), (4, 14, 4), (None, 14, 4)], kind)
     got = {(r.doc_id, r.h): r.label for r in joined_groups(one, other).collect()}
     assert len(got) == 5 and got[1, 11] == got[2, 12] == got[3, 13] != got[4, 14] == got[None, 14]
+
+
+def test_lists_that_an_explode_has_made_are_not_broadcast(docs_of, monkeypatch):
+    plans = []
+    landed = shingle_copies.landed
+    monkeypatch.setattr(shingle_copies, "landed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or landed(df))
+    text = " ".join(f"w{i}" for i in range(40))
+    assert len({r.label for r in shingle_copies.near_copies(docs_of([(1, text), (2, text + " end"), (3, "other " + text), (4, "one more text of some words")])).collect()}) == 2
+    met = [line for plan in plans for line in plan.splitlines() if "Join [g" in line]
+    assert len(met) > 1 and all("SortMergeJoin" in line for line in met), met
