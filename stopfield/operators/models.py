@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stopfield.functions.curves import ScoreCurves
 from stopfield.operators.inference import bootstrap_weights
-from stopfield.operators.score import SEARCHED_ALONE, leading_walks, rescore, rescore_walks
+from stopfield.operators.score import SEARCHED_ALONE, best_stops, leading_walks, rescore, rescore_best, rescore_walks
 from stopfield.operators.skew import skewed_join
 from stopfield.operators.stats import weighted_moments
 from stopfield.session import cut_lineage
@@ -88,9 +88,11 @@ def search_curves(
     (relative steps down to the first ones / 2^(rounds - 1)), not a limit of an iteration.
 
     ``moves``: parameter -> relative steps; every round scores all candidates of the round in one job. ``loss(scores)`` takes (cell, by, set, los)
-    and returns (set, loss). Returns the best curves and the losses of the last round. Walks and patterns are written once and read by every round.
+    and returns (set, loss). Returns the best curves and the losses of the last round. Walks and patterns are written once and read by every round;
+    where only the walk is searched, the best stop score of a station and mode is the same for all candidates and stands for all its patterns.
     """
-    items, profiles = cut_lineage(items.select("cell", "station", "dist", *by)), cut_lineage(profiles)
+    items, one_score = cut_lineage(items.select("cell", "station", "dist", *by)), set(moves) <= {"walk_power"}
+    profiles = cut_lineage(best_stops(profiles, [start]).select("station", "mode", "_s0") if one_score else profiles)
     best, table = start, None
     for r in range(rounds):
         sets = {"stay": best}
@@ -99,7 +101,11 @@ def search_curves(
                 for sign in (1, -1):
                     value = getattr(best, name) * (1 + sign * s / 2**r)
                     sets[f"{name}:{sign * s / 2**r:+.4f}"] = best.with_(**{name: value})
-        table = cut_lineage(loss(rescore(items, profiles, sets, by)))
+        if one_score:
+            scores = rescore_best(items, profiles.select("station", "mode", *[F.col("_s0").alias(f"_s{i}") for i in range(len(sets))]), sets, by)
+        else:
+            scores = rescore(items, profiles, sets, by)
+        table = cut_lineage(loss(scores))
         # one row per candidate of the round: a list as long as the moves
         ranked = table.groupBy("set").agg(F.sum("loss").alias("loss")).orderBy("loss", "set").limit(1).collect()
         best = sets[ranked[0]["set"]]

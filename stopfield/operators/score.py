@@ -180,7 +180,11 @@ def best_stops(patterns: DataFrame, curves: Sequence[ScoreCurves]) -> DataFrame:
 
 def rescore(items: DataFrame, profiles: DataFrame, sets: Mapping[str, ScoreCurves], keep: Sequence[str] = ()) -> DataFrame:
     """Cell scores under many parameter sets: one aggregate column per set in a single pass, then (cell, set, los) rows."""
-    best = best_stops(profiles, list(sets.values()))
+    return rescore_best(items, best_stops(profiles, list(sets.values())), sets, keep)
+
+
+def rescore_best(items: DataFrame, best: DataFrame, sets: Mapping[str, ScoreCurves], keep: Sequence[str] = ()) -> DataFrame:
+    """``rescore`` of patterns that ``best_stops`` has reduced: ``best`` has the stop score of each set."""
     rows = skewed_join(items, best, ["station"], "inner")
     value = lambda i, c: F.col(f"_s{i}") * c.walk(F.col("dist"), F.col("mode"))
     wide = rows.groupBy("cell", *keep).agg(*[(100 * F.max(value(i, c))).alias(f"_{i}") for i, c in enumerate(sets.values())])

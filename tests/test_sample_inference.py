@@ -130,3 +130,29 @@ def test_planted_curves_of_three_parameters_are_found(spark):
     best, runs = models.fit_curves(items, profiles, DEFAULT, ["walk_power", "walk_scale:bus", "mode:tram"], loss, starts=2, spread=0.2, tolerance=1e-2)
     assert abs(best.walk_power - 2.2) < 0.2 and abs(best.walk_scale["bus"] - 800) < 120 and abs(best.mode["tram"] - 0.5) < 0.05
     assert min(v for v, _ in runs) < 0.05 and len(runs) == 2
+
+
+def test_curve_search_scores_all_patterns_of_a_station(spark, tmp_path):
+    import __spark_entry__ as contract
+
+    # the station's three most frequent patterns are slow, the fourth has by far the best score
+    lines = [(1, 1, 8.0, 1000.0), (2, 2, 8.0, 1000.0), (3, 3, 8.0, 1000.0), (5, 4, 9.0, 14000.0)]
+    tables = {
+        "nation": ([(0, 0)], "n_nationkey long, n_regionkey long"),
+        "customer": ([(k, 0, 10.0, "A") for k in (1, 40)], "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string"),
+        "supplier": ([(1, "s", 0)], "s_suppkey long, s_name string, s_nationkey long"),
+        "orders": ([(k, 1 if k < 5 else 40, 100.0, "F" if k in (1, 2, 5) else "O") for k in range(1, 8)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string"),
+        "lineitem": ([(o, p, 1, 1, q, x) for o, p, q, x in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    h, v = [2 + q for _, _, q, _ in lines], [x / 1000 / ((600 + 30 * q) / 3600) for _, _, q, x in lines]
+    base = max(0.85 * np.interp(a, [2, 10, 30, 60], [1, 0.7, 0.3, 0.1]) * np.interp(b, [5, 20, 50], [0.2, 0.6, 1]) for a, b in zip(h, v))
+    units = [((1 * 13 + 7) % 2500, 4, 2), ((40 * 13 + 7) % 2500, 3, 1)]  # distance, residents, votes
+    loss = lambda power: sum(n * (base * (1 + d / 700) ** -power - dem / n) ** 2 for d, n, dem in units) / 7
+    power = 1.5
+    for half in (1, 2):
+        tried = {"stay": power} | {f"walk_power:{sign * s / half:+.4f}": power * (1 + sign * s / half) for s in (0.4, 0.2) for sign in (1, -1)}
+        power = min(tried.values(), key=loss)
+    got = {r["set"]: (r.loss, r.walk_power) for r in contract.queries()["curve_parameter_search"](spark, str(tmp_path)).collect()}
+    assert {s: x for s, (x, _) in got.items()} == pytest.approx({s: loss(p) for s, p in tried.items()}, abs=1e-6) and {p for _, p in got.values()} == {round(power, 6)}
